@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("memory_queries", "io_queries", "routing_queries")
+MODULES = ("memory_queries", "io_queries", "routing_queries", "raster_queries")
 
 
 def load():

@@ -61,12 +61,12 @@ def candidates_for(spark, sf):
 
 def route_attempts(spark, sf):
     return X.review_log(spark, sf).select(
-        F.concat("part", F.lit("/"), F.col("pair_id").cast("string")).alias("key"), "step_id", "outcome", "part",
-        F.when(F.col("step_id") % 97 < 90, F.concat(F.lit("material."), "part")).otherwise("material.open").alias("route"))
+        F.concat("part", F.lit("/"), F.floor(F.col("step_id") / 30).cast("string")).alias("key"), "step_id", "outcome", "part",
+        F.when(F.col("step_id") % 97 < 50, F.concat(F.lit("material."), "part")).otherwise("material.open").alias("route"))
 
 
 @query("choose_route", sql("review_log tree_leaf", """
-a AS (SELECT part || '/' || CAST(pair_id AS VARCHAR) AS key, part, outcome, CASE WHEN step_id % 97 < 90 THEN 'material.' || part ELSE 'material.open' END AS route FROM review_log WHERE value < 15),
+a AS (SELECT part || '/' || CAST(step_id // 30 AS VARCHAR) AS key, part, outcome, CASE WHEN step_id % 97 < 50 THEN 'material.' || part ELSE 'material.open' END AS route FROM review_log),
 k AS (SELECT DISTINCT key, part FROM a),
 c AS (SELECT route_id, 0 AS pos, route_id AS cand FROM tree_leaf UNION ALL
  SELECT t.route_id, 1, t.fallbacks FROM tree_leaf t WHERE fallbacks IN (SELECT route_id FROM tree_leaf) UNION ALL
@@ -74,8 +74,7 @@ c AS (SELECT route_id, 0 AS pos, route_id AS cand FROM tree_leaf UNION ALL
 x AS (SELECT k.key, c.cand, c.pos, EXISTS (SELECT 1 FROM a WHERE a.key = k.key AND a.outcome = 'rejected' AND a.route = c.cand) AS rej FROM k JOIN c ON c.route_id = 'material.' || k.part)
 SELECT key, arg_min(cand, pos + CASE WHEN rej THEN 10000000 ELSE 0 END) AS route, bool_and(rej) AS exhausted FROM x GROUP BY key"""))
 def choose_route(spark, sf):
-    # slow reviews (value 15 and up) are still open and have not been decided
-    a = route_attempts(spark, sf).join(X.review_log(spark, sf).filter("value < 15").select("step_id"), "step_id")
+    a = route_attempts(spark, sf)
     asks = a.select("key", F.concat(F.lit("material."), "part").alias("route_id")).distinct()
     return R.choose_route(asks, R.candidates_for(leaf_routes(spark)), a)
 
