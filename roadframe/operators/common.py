@@ -265,6 +265,11 @@ def label_regions(px: DataFrame, eight: bool = False, tile: int = TILE, image: s
 
 
 # ---------------------------------------------------------------- lines of pixels as arrays
+def let(value: Column, body) -> Column:
+    """Bind an expression once for use inside lambdas; the optimizer would otherwise copy it into every call."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def lines(px: DataFrame, line: list[str], pos: str, fields: list[str]) -> DataFrame:
     """One row per raster line with its samples in order. A line is at most one image side long."""
     return px.groupBy(*line).agg(
@@ -275,33 +280,31 @@ def convolve_lines(px: DataFrame, line: list[str], pos: str, fields: list[str],
                    mode: str = "reflect") -> DataFrame:
     """Weighted neighbourhood sum along one axis. Lines must be dense (positions 0..n-1)."""
     r = len(weights) // 2
-    k = F.array(*[F.lit(float(w)) for w in weights])
-    packed = lines(px, line, pos, fields).withColumn("n", F.size("a"))
-    # each field becomes a padded array, so that the inner loop is a plain slice and dot product
-    n = F.col("n")
-    if mode == "wrap":
-        idx = F.transform(F.sequence(F.lit(-r), n - 1 + r), lambda i: F.pmod(i, n))
-    elif mode == "nearest":
-        idx = F.transform(F.sequence(F.lit(-r), n - 1 + r), lambda i: F.least(F.greatest(i, F.lit(0)), n - 1))
-    else:
-        def mirror(i):
-            m = F.pmod(i, n * 2)
-            return F.when(m >= n, n * 2 - 1 - m).otherwise(m)
-        idx = F.transform(F.sequence(F.lit(-r), n - 1 + r), mirror)
-    packed = packed.withColumn("idx", idx).withColumn("k", k)
-    for f in fields:
-        packed = packed.withColumn(f"p_{f}", F.transform("idx", lambda i, f=f: F.get(F.col("a"), i)[f].cast("double")))
-
-    def dot(f):
-        return lambda i: F.aggregate(
-            F.zip_with(F.slice(F.col(f"p_{f}"), i + 1, 2 * r + 1), F.col("k"), lambda v, w: v * w),
-            F.lit(0.0), lambda s, v: s + v)
-
-    steps = F.sequence(F.lit(0), n - 1)
-    outs = [F.transform(steps, dot(f)).alias(f) for f in fields]
-    z = packed.select(*line, F.arrays_zip(*outs).alias("z"))
-    return z.select(*line, F.posexplode("z").alias(pos, "e")).select(
-        *line, pos, *[F.col("e")[i].alias(f) if False else F.col("e").getField(f).alias(f) for i, f in enumerate(fields)])
+    kernel = F.array(*[F.lit(float(w)) for w in weights])
+    packed = lines(px, line, pos, fields)
+
+    def index(i, n):
+        if mode == "wrap":
+            return F.pmod(i, n)
+        if mode == "nearest":
+            return F.least(F.greatest(i, F.lit(0)), n - 1)
+        m = F.pmod(i, n * 2)
+        return F.when(m >= n, n * 2 - 1 - m).otherwise(m)
+
+    def filtered(a):
+        n = F.size(a)
+
+        def one(f):
+            # the border-extended samples and the kernel are bound once per line
+            ext = F.transform(F.sequence(F.lit(-r), n - 1 + r), lambda i: F.get(a, index(i, n))[f].cast("double"))
+            return let(F.struct(ext.alias("v"), kernel.alias("k")), lambda b: F.transform(
+                F.sequence(F.lit(1), n), lambda i: F.aggregate(
+                    F.zip_with(F.slice(b["v"], i, 2 * r + 1), b["k"], lambda v, w: v * w), F.lit(0.0), lambda s, v: s + v)))
+
+        return F.arrays_zip(*[one(f).alias(f) for f in fields])
+
+    z = packed.select(*line, F.posexplode(let(F.col("a"), filtered)).alias(pos, "e"))
+    return z.select(*line, pos, *[F.col("e").getField(str(i) if False else f).alias(f) for i, f in enumerate(fields)])
 
 
 def blur(px: DataFrame, fields: list[str], sigma: float, mode: str = "reflect", key: list[str] | None = None

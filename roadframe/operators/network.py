@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from roadframe.operators.common import (N8, connected_components, label_regions, lines, materialize, pixel_code,
+from roadframe.operators.common import (N8, connected_components, label_regions, let, lines, materialize, pixel_code,
                                         scatter_offsets)
 
 IMG = "image_id"
@@ -25,21 +25,22 @@ def nearest_target(px: DataFrame, target: str, keep: tuple = ()) -> DataFrame:
     d = px.select(IMG, "y", "x", *keep, F.max(hit).over(up).alias("_u"), F.min(hit).over(down).alias("_d"))
     du, dd = F.coalesce(F.col("y") - F.col("_u"), F.lit(FAR)), F.coalesce(F.col("_d") - F.col("y"), F.lit(FAR))
     d = d.select(IMG, "y", "x", *keep, F.least(du, dd).alias("g"), F.when(du <= dd, F.col("_u")).otherwise(F.col("_d")).alias("ty"))
-    row = lines(d, [IMG, "y"], "x", ["g", "ty", *keep]).withColumn("n", F.size("a"))
-    a, n = F.col("a"), F.col("n")
-    none = F.struct(F.lit(None).cast("bigint").alias("d2"), F.lit(None).cast("int").alias("ty"), F.lit(None).cast("int").alias("tx"))
-
-    def best(i):
-        g = F.get(a, i)["g"]
-        span = F.sequence(F.greatest(F.lit(0), i - g), F.least(n - 1, i + g))
-        cand = F.transform(span, lambda k: F.struct(
-            (F.get(a, k)["g"].cast("bigint") * F.get(a, k)["g"] + (k - i).cast("bigint") * (k - i)).alias("d2"),
-            F.get(a, k)["ty"].alias("ty"), k.alias("tx")))
-        return F.when(g == 0, F.struct(F.lit(0).cast("bigint").alias("d2"), F.get(a, i)["ty"].alias("ty"), i.alias("tx"))).otherwise(
-            F.array_min(F.filter(cand, lambda c: c["ty"].isNotNull())))
-
-    out = row.select(IMG, "y", F.posexplode(F.zip_with(
-        a, F.transform(F.sequence(F.lit(0), n - 1), best), lambda s, b: F.struct(s.alias("s"), b.alias("b")))).alias("x", "e"))
+    row = lines(d, [IMG, "y"], "x", ["g", "ty", *keep])
+
+    def search(a):
+        n = F.size(a)
+
+        def best(i):
+            g = F.get(a, i)["g"]
+            span = F.sequence(F.greatest(F.lit(0), i - g), F.least(n - 1, i + g))
+            cand = F.transform(span, lambda k: let(F.get(a, k), lambda c: F.struct(
+                (c["g"].cast("bigint") * c["g"] + (k - i).cast("bigint") * (k - i)).alias("d2"), c["ty"].alias("ty"), k.alias("tx"))))
+            own = F.struct(F.lit(0).cast("bigint").alias("d2"), F.get(a, i)["ty"].alias("ty"), i.alias("tx"))
+            return F.when(g == 0, own).otherwise(F.array_min(F.filter(cand, lambda c: c["ty"].isNotNull())))
+
+        return F.zip_with(a, F.transform(F.sequence(F.lit(0), n - 1), best), lambda s, b: F.struct(s.alias("s"), b.alias("b")))
+
+    out = row.select(IMG, "y", F.posexplode(let(F.col("a"), search)).alias("x", "e"))
     return out.select(IMG, "y", "x", *[F.col("e.s").getField(k).alias(k) for k in keep], F.col("e.b.d2").alias("d2"),
                       F.col("e.b.ty").alias("ty"), F.col("e.b.tx").alias("tx"))
 
@@ -52,3 +53,329 @@ def distance_transform(px: DataFrame, keep: tuple = ()) -> DataFrame:
 
 def label_components(px: DataFrame, eight: bool = False) -> DataFrame:
     return label_regions(px, eight)
+
+
+# ---------------------------------------------------------------- cleaning
+def clean_mask(mask: DataFrame, divider_limit: float = 6.0, road_over: int = 128) -> tuple[DataFrame, DataFrame]:
+    """(clean road pixels (image_id, y, x, road), one row of counts per image).
+
+    Background regions that are tiny specks or thin dividers become road; road regions under 60 px are dropped.
+    """
+    px = mask.select(IMG, "y", "x", (F.col("v") > road_over).alias("road"))
+    gap = distance_transform(px.select(IMG, "y", "x", (~F.col("road")).alias("inside"))).filter("inside")
+    lab = label_regions(gap)
+    hole = materialize(gap.join(lab, [IMG, "y", "x"]).select(IMG, "y", "x", "label", "dist"))
+    region = hole.groupBy(IMG, "label").agg((F.max("dist") * 2).alias("gap"), F.count(F.lit(1)).alias("area"))
+    speck = (F.col("gap") <= 3.0) & (F.col("area") < 40)
+    merge = (F.col("gap") <= divider_limit) & (F.col("area") >= 40)
+    left = (F.col("area") >= 40) & (F.col("gap") / 2 <= 12)
+    region = region.withColumn("what", F.when(speck, "speck").when(merge, "divider").when(left, "left"))
+    counts = region.groupBy(IMG).agg(F.count_if(F.col("what") == "speck").alias("specks_filled"),
+                                     F.count_if(F.col("what") == "divider").alias("dividers_merged"),
+                                     F.count_if(F.col("what") == "left").alias("gaps_left_split"))
+    filled = hole.join(region.filter(F.col("what").isin("speck", "divider")).select(IMG, "label"), [IMG, "label"], "left_semi")
+    on = px.filter("road").select(IMG, "y", "x").unionByName(filled.select(IMG, "y", "x"))
+    road = materialize(label_regions(on))
+    big = road.groupBy(IMG, "label").agg(F.count(F.lit(1)).alias("n")).filter("n >= 60").select(IMG, "label")
+    keep = road.join(big, [IMG, "label"], "left_semi").select(IMG, "y", "x", F.lit(True).alias("road"))
+    out = px.select(IMG, "y", "x").join(keep, [IMG, "y", "x"], "left").select(
+        IMG, "y", "x", F.coalesce("road", F.lit(False)).alias("road"))
+    images = px.select(IMG).distinct()
+    return out, images.join(counts, IMG, "left").na.fill(0)
+
+
+# ---------------------------------------------------------------- thinning on packed rows
+def pack_rows(px: DataFrame) -> DataFrame:
+    """Sparse pixels to 64-pixel words: (image_id, y, w, bits), bit k is column 64 w + k."""
+    return px.groupBy(IMG, "y", F.floor(F.col("x") / 64).cast("int").alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, x % 64)")).alias("bits"))
+
+
+def unpack_rows(words: DataFrame) -> DataFrame:
+    return words.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(63)))).filter(
+        F.expr("(shiftrightunsigned(bits, k) & 1) = 1")).select(IMG, "y", (F.col("w") * 64 + F.col("k")).alias("x"))
+
+
+def _thin_step(words: DataFrame, second: bool) -> DataFrame:
+    """One parallel deletion step on all words at once: every word gathers its eight neighbour words (one shuffle)
+    and the removal test runs as bit arithmetic on 64 pixels together."""
+    to = F.array(*[F.struct((F.col("y") - dy).alias("y"), (F.col("w") - dw).alias("w"), F.lit((dy + 1) * 3 + dw + 1).alias("t"))
+                   for dy in (-1, 0, 1) for dw in (-1, 0, 1)])
+    sent = words.withColumn("_c", F.explode(to)).select(IMG, F.col("_c.y").alias("y"), F.col("_c.w").alias("w"), F.col("_c.t").alias("t"), "bits")
+    g = sent.groupBy(IMG, "y", "w").agg(*[F.coalesce(F.max(F.when(F.col("t") == t, F.col("bits"))), F.lit(0).cast("bigint")).alias(f"b{t}")
+                                          for t in range(9)]).filter("b4 <> 0")
+    east = lambda m, r: F.shiftrightunsigned(F.col(m), 1).bitwiseOR(F.shiftleft(F.col(r), 63))
+    west = lambda m, l: F.shiftleft(F.col(m), 1).bitwiseOR(F.shiftrightunsigned(F.col(l), 63))
+    # clockwise from the pixel above
+    p = [F.col("b1"), east("b1", "b2"), east("b4", "b5"), east("b7", "b8"), F.col("b7"), west("b7", "b6"), west("b4", "b3"), west("b1", "b0")]
+    g = g.select(IMG, "y", "w", F.col("b4").alias("bits"), *[c.alias(f"p{i}") for i, c in enumerate(p)])
+    p = [F.col(f"p{i}") for i in range(8)]
+
+    def counted(cs):
+        once, twice = cs[0], F.lit(0).cast("bigint")
+        for c in cs[1:]:
+            twice = twice.bitwiseOR(once.bitwiseAND(c))
+            once = once.bitwiseOR(c)
+        return once, twice
+
+    _, two_set = counted(p)
+    _, two_clear = counted([F.bitwise_not(c) for c in p])
+    rise, more = counted([F.bitwise_not(p[i]).bitwiseAND(p[(i + 1) % 8]) for i in range(8)])
+    n, e, s, w = p[0], p[2], p[4], p[6]
+    blocks = ((n, e, w), (n, s, w)) if second else ((n, e, s), (e, s, w))
+    gone = two_set.bitwiseAND(two_clear).bitwiseAND(rise).bitwiseAND(F.bitwise_not(more))
+    for a, b, c in blocks:
+        gone = gone.bitwiseAND(F.bitwise_not(a.bitwiseAND(b).bitwiseAND(c)))
+    return g.select(IMG, "y", "w", F.col("bits").bitwiseAND(F.bitwise_not(gone)).alias("bits")).filter("bits <> 0")
+
+
+def skeleton(px: DataFrame, per_job: int = 2, max_rounds: int = 4096) -> DataFrame:
+    """One-pixel centrelines of sparse road pixels by Zhang-Suen thinning; all images advance together.
+
+    Two rounds are planned per job, then the words are written out; a round that removes nothing ends it.
+    """
+    words = materialize(pack_rows(px))
+    size = lambda d: d.agg(F.coalesce(F.sum(F.bit_count("bits")), F.lit(0))).first()[0]
+    left = size(words)
+    for _ in range(max_rounds):
+        d = words
+        for _ in range(per_job):
+            d = _thin_step(_thin_step(d, False), True)
+        words = materialize(d)
+        now = size(words)
+        if now == left:
+            break
+        left = now
+    return unpack_rows(words)
+
+
+def skeleton_degree(sk: DataFrame) -> DataFrame:
+    """Eight-neighbour count of every skeleton pixel."""
+    near = scatter_offsets(sk.select(IMG, "y", "x"), N8).groupBy(IMG, "y", "x").agg(F.count(F.lit(1)).cast("int").alias("deg"))
+    return sk.select(IMG, "y", "x").join(near, [IMG, "y", "x"], "left").select(IMG, "y", "x", F.coalesce("deg", F.lit(0)).alias("deg"))
+
+
+def prune_spurs(sk: DataFrame, dt: DataFrame, dims: DataFrame, rounds: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Remove short dead ends that reach a branch pixel; dead ends near the image border are roads leaving it.
+
+    A spur is a region of non-branch pixels that holds an end point, so the walk along it is a region label.
+    """
+    cur, dropped = materialize(sk.select(IMG, "y", "x")), None
+    d = dt.select(IMG, "y", "x", "dist")
+    for _ in range(rounds):
+        deg = materialize(skeleton_degree(cur).join(d, [IMG, "y", "x"], "left"))
+        thin = deg.filter("deg <= 2")
+        lab = materialize(label_regions(thin, eight=True).join(deg, [IMG, "y", "x"]))
+        margin = F.greatest(F.lit(6), F.floor(F.col("dist") * 2).cast("int"))
+        inner = ((F.col("y") >= margin) & (F.col("x") >= margin) & (F.col("y") < F.col("h") - margin) & (F.col("x") < F.col("w") - margin))
+        ends = lab.filter("deg = 1").join(dims, IMG).filter(inner).select(IMG, "label").distinct()
+        branch = scatter_offsets(deg.filter("deg >= 3").select(IMG, "y", "x", F.col("dist").alias("bd")), N8)
+        size = lab.groupBy(IMG, "label").agg(F.count(F.lit(1)).alias("len"))
+        meet = lab.select(IMG, "y", "x", "label").join(branch, [IMG, "y", "x"]).groupBy(IMG, "label").agg(F.max("bd").alias("bd"))
+        spur = size.join(ends, [IMG, "label"], "left_semi").join(meet, [IMG, "label"]).filter(
+            (F.col("len") < F.greatest(F.lit(4.0), F.col("bd") * 2.5)) & (F.col("len") <= 80))
+        gone = materialize(lab.join(spur.select(IMG, "label"), [IMG, "label"], "left_semi").select(IMG, "y", "x", "label"))
+        if gone.isEmpty():
+            break
+        n = gone.groupBy(IMG).agg(F.count_distinct("label").alias("pruned"))
+        dropped = n if dropped is None else dropped.unionByName(n)
+        cur = materialize(cur.join(gone.select(IMG, "y", "x"), [IMG, "y", "x"], "left_anti"))
+    counts = dims.select(IMG)
+    counts = (counts.withColumn("pruned", F.lit(0).cast("bigint")) if dropped is None else
+              counts.join(dropped.groupBy(IMG).agg(F.sum("pruned").alias("pruned")), IMG, "left").na.fill(0))
+    return skeleton(cur, per_job=1), counts
+
+
+# ---------------------------------------------------------------- junctions
+def junction_candidates(deg: DataFrame, dt: DataFrame, reach: int = 6) -> DataFrame:
+    """Clusters of branch pixels: centre and the largest half width in a box around it."""
+    plus = [(0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)]
+    grown = scatter_offsets(deg.filter("deg >= 3").select(IMG, "y", "x"), plus).distinct()
+    spots = label_regions(grown.join(deg.select(IMG, "y", "x"), [IMG, "y", "x"], "left_semi"))
+    c = materialize(spots.groupBy(IMG, F.col("label").alias("cand_id")).agg(F.avg("y").alias("y"), F.avg("x").alias("x")))
+    side = F.sequence(F.lit(-reach), F.lit(reach))
+    box = c.select(IMG, "cand_id", (F.floor("y").cast("int") + F.explode(side)).alias("by"), F.floor("x").cast("int").alias("x0")).select(
+        IMG, "cand_id", "by", (F.col("x0") + F.explode(side)).alias("bx"))
+    near = box.join(dt.filter("dist > 0").select(IMG, F.col("y").alias("by"), F.col("x").alias("bx"), "dist"), [IMG, "by", "bx"])
+    hw = near.groupBy(IMG, "cand_id").agg(F.max("dist").alias("hw"))
+    return c.join(hw, [IMG, "cand_id"], "left").select(IMG, "cand_id", "y", "x", F.coalesce("hw", F.lit(0.0)).alias("hw"))
+
+
+def near_pairs(pts: DataFrame, reach: Column, max_level: int = 20) -> DataFrame:
+    """Pairs of points (image_id, pid, x, y, r) that may be within the larger of their reaches, each pair once.
+
+    A point lives on the grid whose cell is the power of two covering its reach, and is also listed on every
+    coarser grid in use; the one with the larger reach probes the 3x3 cells around it.
+    """
+    lv = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(reach, F.lit(1.0)))).cast("int"))
+    p = pts.withColumn("_lv", lv)
+    used = p.select(IMG, F.col("_lv").alias("L")).distinct()
+    cell = lambda c, l: F.floor(c / F.pow(F.lit(2.0), l)).cast("bigint")
+    low = p.join(used, IMG).filter(F.col("_lv") <= F.col("L")).select(
+        IMG, "L", cell(F.col("x"), F.col("L")).alias("gx"), cell(F.col("y"), F.col("L")).alias("gy"),
+        *[F.col(c).alias(f"{c}_b") for c in pts.columns if c != IMG], F.col("_lv").alias("lv_b"))
+    three = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    hi = p.withColumn("L", F.col("_lv")).withColumn("gx", cell(F.col("x"), F.col("L")) + F.explode(three)).withColumn(
+        "gy", cell(F.col("y"), F.col("L")) + F.explode(three))
+    return hi.join(low, [IMG, "L", "gx", "gy"]).filter((F.col("lv_b") < F.col("_lv")) | (F.col("pid_b") < F.col("pid"))).drop("L", "gx", "gy", "lv_b", "_lv")
+
+
+def merge_candidates(cands: DataFrame, factor: float = 1.6) -> DataFrame:
+    """Join candidates closer than factor * (sum of half widths), transitively: adds `root`, the smallest id.
+
+    Candidates at the same spot are one point with the widest half width, so repeated points add no pairs.
+    """
+    spot = cands.groupBy(IMG, "x", "y").agg(F.min("cand_id").alias("pid"), F.max("hw").alias("hw"))
+    pairs = near_pairs(spot, F.col("hw") * (2 * factor))
+    close = F.hypot(F.col("x") - F.col("x_b"), F.col("y") - F.col("y_b")) < (F.col("hw") + F.col("hw_b")) * factor
+    cc = connected_components(pairs.filter(close).select(IMG, F.col("pid").alias("u"), F.col("pid_b").alias("v")), [IMG])
+    root = spot.join(cc.select(IMG, F.col("id").alias("pid"), "label"), [IMG, "pid"], "left").select(
+        IMG, "x", "y", F.coalesce("label", "pid").alias("root"))
+    return cands.join(root, [IMG, "x", "y"]).select(IMG, "cand_id", "x", "y", "hw", "root")
+
+
+def junction_summary(merged: DataFrame) -> DataFrame:
+    centre = merged.groupBy(IMG, "root").agg(F.avg("y").alias("cy"), F.avg("x").alias("cx"), F.max("hw").alias("hw"),
+                                             F.count(F.lit(1)).alias("n_cand"))
+    spread = merged.select(IMG, "root", "x", "y").join(centre, [IMG, "root"]).groupBy(IMG, "root").agg(
+        F.max(F.hypot(F.col("y") - F.col("cy"), F.col("x") - F.col("cx"))).alias("spread"))
+    return centre.join(spread, [IMG, "root"]).withColumn("r", F.greatest(F.lit(6.0), F.col("hw") * 2 + F.col("spread")))
+
+
+def in_discs(px: DataFrame, discs: DataFrame, extra: float = 0.0, cell: int = 32) -> DataFrame:
+    """Pixels within r + extra of a disc (image_id, root, cy, cx, r): px columns, root and squared distance.
+
+    Discs are listed in the grid cells they touch; a pixel looks only at its own cell.
+    """
+    r = F.col("r") + extra
+    span = lambda c: F.sequence(F.floor((c - r) / cell).cast("int"), F.floor((c + r) / cell).cast("int"))
+    d = discs.select(IMG, "root", "cy", "cx", r.alias("_r"), F.explode(span(F.col("cy"))).alias("_gy"), span(F.col("cx")).alias("_sx")).withColumn(
+        "_gx", F.explode("_sx")).drop("_sx")
+    p = px.withColumn("_gy", F.floor(F.col("y") / cell).cast("int")).withColumn("_gx", F.floor(F.col("x") / cell).cast("int"))
+    d2 = F.pow(F.col("y") - F.col("cy"), F.lit(2)) + F.pow(F.col("x") - F.col("cx"), F.lit(2))
+    return p.join(d, [IMG, "_gy", "_gx"]).withColumn("d2", d2).filter(F.col("d2") <= F.col("_r") * F.col("_r")).drop("_gy", "_gx", "_r")
+
+
+def street_segments(sk: DataFrame, js: DataFrame) -> DataFrame:
+    """Skeleton outside every junction disc, labelled eight-connected."""
+    inside = in_discs(sk.select(IMG, "y", "x"), js).select(IMG, "y", "x").distinct()
+    return label_regions(sk.select(IMG, "y", "x").join(inside, [IMG, "y", "x"], "left_anti"), eight=True)
+
+
+def segments_off_image(seg: DataFrame, dims: DataFrame, margin: int = 3) -> DataFrame:
+    b = seg.groupBy(IMG, "label").agg(F.min("y").alias("y0"), F.min("x").alias("x0"), F.max("y").alias("y1"), F.max("x").alias("x1"),
+                                      F.count(F.lit(1)).alias("pixels"))
+    off = (F.col("y0") < margin) | (F.col("x0") < margin) | (F.col("y1") >= F.col("h") - margin) | (F.col("x1") >= F.col("w") - margin)
+    return b.join(dims, IMG).select(IMG, "label", "pixels", off.alias("off_image"))
+
+
+def compass(dy: Column, dx: Column) -> Column:
+    """Angle in degrees, counter-clockwise from the x axis with y pointing down, to one decimal."""
+    return F.round(F.pmod(F.degrees(F.atan2(-dy, dx)), F.lit(360.0)), 1)
+
+
+def junction_arms(js: DataFrame, seg: DataFrame, dt: DataFrame) -> DataFrame:
+    """Arms per (junction, segment touching its ring): angle of the mean near point and width."""
+    d = seg.join(dt.select(IMG, "y", "x", "dist"), [IMG, "y", "x"])
+    ring = in_discs(seg, js, 2.5).select(IMG, "root", "label").distinct()
+    js2 = js.withColumn("r0", F.col("r")).withColumn("far", F.greatest(F.lit(12.0), F.col("hw") * 4)).select(
+        IMG, "root", "cy", "cx", "r0", "far", (F.col("r") + F.col("far")).alias("r"))
+    near = in_discs(d, js2).join(ring, [IMG, "root", "label"], "left_semi").join(js2.select(IMG, "root", "r0"), [IMG, "root"])
+    dist = F.sqrt("d2")
+    main, alt = dist >= F.col("r0"), dist <= F.col("r0") + 12
+    pick = lambda c: (F.avg(F.when(main, F.col(c))), F.avg(F.when(alt, F.col(c))))
+    med = lambda cond: F.percentile(F.when(cond, F.col("dist")), F.lit(0.5))
+    a = near.groupBy(IMG, "root", "label", "cy", "cx").agg(
+        F.count_if(main).alias("n"), *[e.alias(f"{c}{i}") for c in ("y", "x") for i, e in enumerate(pick(c))],
+        med(main).alias("w0"), med(alt).alias("w1"))
+    use = F.col("n") >= 3
+    my, mx = F.when(use, F.col("y0")).otherwise(F.col("y1")), F.when(use, F.col("x0")).otherwise(F.col("x1"))
+    return a.select(IMG, "root", F.col("label").alias("segment"), compass(my - F.col("cy"), mx - F.col("cx")).alias("angle"),
+                    F.round(F.when(use, F.col("w0")).otherwise(F.col("w1")) * 2, 1).alias("width_px"), F.lit(False).alias("off_image"))
+
+
+def circular_gap(a: Column, b: Column) -> Column:
+    return F.abs(F.pmod(a - b + 180.0, F.lit(360.0)) - 180.0)
+
+
+def border_arms(js: DataFrame, road: DataFrame, dims: DataFrame, arms: DataFrame, reach: float = 8.0, apart: float = 25.0) -> DataFrame:
+    """Arms that leave the image inside a junction disc: clusters of border road not within 25 degrees of an arm."""
+    rim = road.filter("road").join(dims, IMG).filter("y = 0 or x = 0 or y = h - 1 or x = w - 1").select(IMG, "y", "x")
+    hit = in_discs(rim, js, reach)
+    # clusters are found per junction: the junction becomes part of the image key
+    tagged = hit.select(F.struct(IMG, "root").alias("k"), "y", "x", "cy", "cx")
+    ids = tagged.select("k").distinct().select("k", F.xxhash64("k.image_id", "k.root").alias("h"))
+    t = materialize(tagged.join(ids, "k").select(F.col("h").alias(IMG), F.col("k.image_id").alias("img"), F.col("k.root").alias("root"), "y", "x", "cy", "cx"))
+    lab = label_regions(t, eight=True)
+    c = t.join(lab, [IMG, "y", "x"]).groupBy("img", "root", "label").agg(
+        F.avg("y").alias("my"), F.avg("x").alias("mx"), F.first("cy").alias("cy"), F.first("cx").alias("cx"), F.count(F.lit(1)).alias("n"))
+    c = c.select(F.col("img").alias(IMG), "root", "label", compass(F.col("my") - F.col("cy"), F.col("mx") - F.col("cx")).alias("angle"),
+                 F.col("n").cast("double").alias("width_px"))
+    other = arms.select(IMG, "root", F.col("angle").alias("_a"))
+    taken = c.join(other, [IMG, "root"]).filter(circular_gap(F.col("angle"), F.col("_a")) <= apart).select(IMG, "root", "label").distinct()
+    free = c.join(taken, [IMG, "root", "label"], "left_anti")
+    # a later cluster gives way to an accepted earlier one
+    w = W.partitionBy(IMG, "root").orderBy("label")
+    seen = F.collect_list("angle").over(w.rowsBetween(W.unboundedPreceding, -1))
+    ok = F.forall(seen, lambda s: circular_gap(F.col("angle"), s) > apart)
+    return free.withColumn("_ok", ok).filter("_ok").select(
+        IMG, "root", F.lit(None).cast("bigint").alias("segment"), "angle", "width_px", F.lit(True).alias("off_image"))
+
+
+def arm_gaps(arms: DataFrame) -> DataFrame:
+    """Circular difference to the next arm; a junction has a handful of arms."""
+    w = W.partitionBy(IMG, "root").orderBy("angle", F.coalesce("segment", F.lit(-1)))
+    nxt = F.coalesce(F.lead("angle").over(w), F.first("angle").over(w))
+    return arms.withColumn("gap", F.round(F.pmod(nxt - F.col("angle"), F.lit(360.0)), 1))
+
+
+def junction_type(js: DataFrame, gaps: DataFrame) -> DataFrame:
+    a = gaps.groupBy(IMG, "root").agg(F.count(F.lit(1)).alias("k"), F.collect_list("angle").alias("angles"), F.collect_list("gap").alias("gaps"))
+    d = js.join(a, [IMG, "root"], "left").withColumn("k", F.coalesce("k", F.lit(0)))
+    straight = F.exists("angles", lambda p: F.exists("angles", lambda q: (p != q) & (F.abs(F.pmod(p - q, F.lit(360.0)) - 180.0) <= 20.0)))
+    square = F.forall("gaps", lambda g: F.abs(g - 90.0) <= 20.0)
+    k = F.col("k")
+    kind = (F.when((F.col("n_cand") >= 5) | (k >= 7), "interchange (flagged)").when(k <= 2, "not a junction")
+            .when(k == 3, F.when(straight, "T-junction").otherwise("Y / skewed"))
+            .when(k == 4, F.when(square, "crossroads").otherwise("skewed crossroads")).otherwise("complex"))
+    return d.withColumn("type", kind).drop("angles", "gaps")
+
+
+def mouth_lines(arms: DataFrame, js: DataFrame) -> DataFrame:
+    d = arms.join(js.select(IMG, "root", "cy", "cx", "r"), [IMG, "root"])
+    t = F.radians("angle")
+    ex, ey = F.col("cx") + F.cos(t) * F.col("r"), F.col("cy") - F.sin(t) * F.col("r")
+    half = F.greatest(F.lit(3.0), F.col("width_px") * 0.7)
+    px, py = -F.sin(t), -F.cos(t)
+    return d.select(IMG, "root", "angle", (ex - px * half).alias("x0"), (ey - py * half).alias("y0"), (ex + px * half).alias("x1"), (ey + py * half).alias("y1"))
+
+
+def network_summary(road: DataFrame, sk: DataFrame, dt: DataFrame, js: DataFrame, seg: DataFrame) -> DataFrame:
+    r = road.groupBy(IMG).agg(F.count_if("road").alias("road_px"))
+    wd = sk.select(IMG, "y", "x").join(dt.select(IMG, "y", "x", "dist"), [IMG, "y", "x"]).groupBy(IMG).agg(
+        (F.percentile("dist", F.lit(0.5)) * 2).alias("width_median"), (F.max("dist") * 2).alias("width_max"))
+    kinds = js.filter("type <> 'not a junction'").groupBy(IMG, "type").agg(F.count(F.lit(1)).alias("n"))
+    by = kinds.groupBy(IMG).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("type", "n"))), lambda s: F.concat(
+        s["type"], F.lit("="), s["n"].cast("string"))), ";").alias("by_type"), F.sum("n").alias("junctions"))
+    s = seg.groupBy(IMG).agg(F.count_distinct("label").alias("segments"))
+    return r.join(wd, IMG, "left").join(by, IMG, "left").join(s, IMG, "left").na.fill(0, ["junctions", "segments"]).na.fill(
+        0.0, ["width_median", "width_max"]).na.fill("", ["by_type"])
+
+
+def detect(mask: DataFrame, divider_limit: float = 6.0) -> dict[str, DataFrame]:
+    """The whole chain from a mask table to junctions, arms and street segments."""
+    road, counts = clean_mask(mask, divider_limit)
+    road = materialize(road)
+    dims = materialize(road.groupBy(IMG).agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w")))
+    dt = materialize(distance_transform(road.select(IMG, "y", "x", F.col("road").alias("inside"))).filter("inside"))
+    sk = skeleton(road.filter("road").select(IMG, "y", "x"))
+    sk, pruned = prune_spurs(sk, dt, dims)
+    sk = materialize(sk)
+    deg = skeleton_degree(sk)
+    js = materialize(junction_summary(merge_candidates(junction_candidates(deg, dt))))
+    seg = materialize(street_segments(sk, js))
+    arms = materialize(junction_arms(js, seg, dt))
+    arms = materialize(arms.unionByName(border_arms(js, road, dims, arms)))
+    typed = junction_type(js, arm_gaps(arms))
+    return {"road": road, "dims": dims, "dt": dt, "skeleton": sk, "junctions": typed, "segments": seg, "arms": arms,
+            "counts": counts.join(pruned, IMG)}

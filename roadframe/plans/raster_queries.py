@@ -23,8 +23,8 @@ def to_gray(spark, sf):
 
 
 @query("local_contrast", sql("photo_px", G + """, o(dy, dx) AS (VALUES (-1,-1),(-1,0),(-1,1),(0,-1),(0,1),(1,-1),(1,0),(1,1))
-SELECT a.image_id, round(avg(abs(a.v - b.v)), 6) AS local_contrast FROM gr a CROSS JOIN o JOIN gr b ON b.image_id = a.image_id
- AND b.y = (a.y + o.dy + 64) % 64 AND b.x = (a.x + o.dx + 64) % 64 GROUP BY 1"""))
+, sh AS (SELECT image_id, (y + dy + 64) % 64 AS y, (x + dx + 64) % 64 AS x, v FROM gr CROSS JOIN o)
+SELECT a.image_id, round(avg(abs(a.v - b.v)), 6) AS local_contrast FROM gr a JOIN sh b USING (image_id, y, x) GROUP BY 1"""))
 def local_contrast(spark, sf):
     return A.local_contrast(photo_gray(spark, sf)).select("image_id", *R("local_contrast"))
 

@@ -69,17 +69,18 @@ def blur_sql(name: str, src: str, fields: list[str], sigma: float, mode: str = "
     from roadframe.functions.kernels import gaussian_weights
     w = weights or gaussian_weights(sigma)
     r = len(w) // 2
-    vals = ",".join(f"({d - r},{v!r})" for d, v in enumerate(w))
+    vals = ",".join(f"({d - r},CAST({v!r} AS DOUBLE))" for d, v in enumerate(w))
 
     def idx(e):
         if mode == "wrap":
             return pmod(e, str(n))
         m = pmod(e, str(2 * n))
         return f"(CASE WHEN {m} >= {n} THEN {2 * n - 1} - ({m}) ELSE {m} END)"
-    agg = ", ".join(f"sum(b.{f}*k.w) AS {f}" for f in fields)
+    agg = ", ".join(f"sum(b.{f}*m.w) AS {f}" for f in fields)
     return f"""{name}_k(d, w) AS (VALUES {vals}),
-{name}_h AS (SELECT a.{key}, a.y, a.x, {agg} FROM {src} a CROSS JOIN {name}_k k JOIN {src} b ON b.{key} = a.{key} AND b.y = a.y AND b.x = {idx('a.x + k.d')} GROUP BY 1, 2, 3),
-{name} AS (SELECT a.{key}, a.y, a.x, {agg} FROM {name}_h a CROSS JOIN {name}_k k JOIN {name}_h b ON b.{key} = a.{key} AND b.x = a.x AND b.y = {idx('a.y + k.d')} GROUP BY 1, 2, 3)"""
+{name}_m AS (SELECT CAST(t.t AS INT) AS o, CAST({idx('t.t + k.d')} AS INT) AS s, sum(k.w) AS w FROM range({n}) AS t(t) CROSS JOIN {name}_k k GROUP BY 1, 2),
+{name}_h AS (SELECT b.{key}, b.y, m.o AS x, {agg} FROM {src} b JOIN {name}_m m ON b.x = m.s GROUP BY 1, 2, 3),
+{name} AS (SELECT b.{key}, m.o AS y, b.x, {agg} FROM {name}_h b JOIN {name}_m m ON b.y = m.s GROUP BY 1, 2, 3)"""
 
 
 def regions_sql(name: str, src: str, eight: bool = False) -> str:
