@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from roadframe.operators.common import (N8, connected_components, label_regions, let, lines, materialize, pixel_code,
-                                        scatter_offsets)
+from roadframe.operators.common import (N8, connected_components, label_regions, lines, materialize, pixel_code,
+                                        scatter_offsets, tile_halo)
 
 IMG = "image_id"
 FAR = 1 << 20                    # farther than any image side
@@ -25,24 +27,45 @@ def nearest_target(px: DataFrame, target: str, keep: tuple = ()) -> DataFrame:
     d = px.select(IMG, "y", "x", *keep, F.max(hit).over(up).alias("_u"), F.min(hit).over(down).alias("_d"))
     du, dd = F.coalesce(F.col("y") - F.col("_u"), F.lit(FAR)), F.coalesce(F.col("_d") - F.col("y"), F.lit(FAR))
     d = d.select(IMG, "y", "x", *keep, F.least(du, dd).alias("g"), F.when(du <= dd, F.col("_u")).otherwise(F.col("_d")).alias("ty"))
-    row = lines(d, [IMG, "y"], "x", ["g", "ty", *keep])
-
-    def search(a):
-        n = F.size(a)
-
-        def best(i):
-            g = F.get(a, i)["g"]
-            span = F.sequence(F.greatest(F.lit(0), i - g), F.least(n - 1, i + g))
-            cand = F.transform(span, lambda k: let(F.get(a, k), lambda c: F.struct(
-                (c["g"].cast("bigint") * c["g"] + (k - i).cast("bigint") * (k - i)).alias("d2"), c["ty"].alias("ty"), k.alias("tx"))))
-            own = F.struct(F.lit(0).cast("bigint").alias("d2"), F.get(a, i)["ty"].alias("ty"), i.alias("tx"))
-            return F.when(g == 0, own).otherwise(F.array_min(F.filter(cand, lambda c: c["ty"].isNotNull())))
-
-        return F.zip_with(a, F.transform(F.sequence(F.lit(0), n - 1), best), lambda s, b: F.struct(s.alias("s"), b.alias("b")))
-
-    out = row.select(IMG, "y", F.posexplode(let(F.col("a"), search)).alias("x", "e"))
-    return out.select(IMG, "y", "x", *[F.col("e.s").getField(k).alias(k) for k in keep], F.col("e.b.d2").alias("d2"),
-                      F.col("e.b.ty").alias("ty"), F.col("e.b.tx").alias("tx"))
+    row = lines(d, [IMG, "y"], "x", ["g", "ty", *keep]).select(
+        IMG, "y", "a", F.transform("a", lambda s: s["g"]).alias("g"), F.transform("a", lambda s: s["ty"]).alias("ty"))
+    out = row.select(IMG, "y", "a", _row_search("g", "ty").alias("b")).select(
+        IMG, "y", F.posexplode(F.arrays_zip("a", "b.d2", "b.ty", "b.tx")).alias("x", "e"))
+    known = F.col("e.d2") >= 0
+    return out.select(IMG, "y", "x", *[F.col("e.a").getField(k).alias(k) for k in keep],
+                      *[F.when(known, F.col(f"e.{c}")).alias(c) for c in ("d2", "ty", "tx")])
+
+
+@F.pandas_udf("d2 array<bigint>, ty array<int>, tx array<int>")
+def _row_search(g: pd.Series, ty: pd.Series) -> pd.DataFrame:
+    """Minimum over a row of column distance squared plus offset squared, all rows of equal length together."""
+    d2, oy, ox = [None] * len(g), [None] * len(g), [None] * len(g)
+    length = g.map(len).to_numpy()
+    for n in np.unique(length):
+        rows = np.flatnonzero(length == n)
+        for part in np.array_split(rows, max(1, int(len(rows) * n // 2_000_000))):
+            gg = np.stack([np.asarray(g.iat[i], np.int64) for i in part])
+            has = gg < FAR
+            yy = np.stack([np.asarray(ty.iat[i], float) for i in part])
+            yy = np.where(has, np.nan_to_num(yy, nan=0.0), 0).astype(np.int64)
+            far = np.int64(1) << 62
+            # distance and target row in one number: smaller distance first, then smaller row
+            code = np.where(has, gg * gg * FAR + yy, far)
+            best, col = code.copy(), np.tile(np.arange(n), (len(part), 1))
+            reach = int(min(n - 1, gg.max()))
+            for k in range(1, reach + 1):
+                for left in (True, False):
+                    mine, theirs = (slice(k, n), slice(0, n - k)) if left else (slice(0, n - k), slice(k, n))
+                    cand = np.where(has[:, theirs], code[:, theirs] + k * k * FAR, far)
+                    better = cand < best[:, mine]
+                    best[:, mine] = np.where(better, cand, best[:, mine])
+                    col[:, mine] = np.where(better, np.arange(n)[theirs], col[:, mine])
+            found = best < far
+            for r, i in enumerate(part):
+                d2[i] = np.where(found[r], best[r] // FAR, -1)
+                oy[i] = (best[r] % FAR).astype(np.int32)
+                ox[i] = col[r].astype(np.int32)
+    return pd.DataFrame({"d2": d2, "ty": oy, "tx": ox})
 
 
 def distance_transform(px: DataFrame, keep: tuple = ()) -> DataFrame:
@@ -62,7 +85,7 @@ def clean_mask(mask: DataFrame, divider_limit: float = 6.0, road_over: int = 128
     Background regions that are tiny specks or thin dividers become road; road regions under 60 px are dropped.
     """
     px = mask.select(IMG, "y", "x", (F.col("v") > road_over).alias("road"))
-    gap = distance_transform(px.select(IMG, "y", "x", (~F.col("road")).alias("inside"))).filter("inside")
+    gap = materialize(distance_transform(px.select(IMG, "y", "x", (~F.col("road")).alias("inside"))).filter("inside"))
     lab = label_regions(gap)
     hole = materialize(gap.join(lab, [IMG, "y", "x"]).select(IMG, "y", "x", "label", "dist"))
     region = hole.groupBy(IMG, "label").agg((F.max("dist") * 2).alias("gap"), F.count(F.lit(1)).alias("area"))
@@ -84,69 +107,56 @@ def clean_mask(mask: DataFrame, divider_limit: float = 6.0, road_over: int = 128
     return out, images.join(counts, IMG, "left").na.fill(0)
 
 
-# ---------------------------------------------------------------- thinning on packed rows
-def pack_rows(px: DataFrame) -> DataFrame:
-    """Sparse pixels to 64-pixel words: (image_id, y, w, bits), bit k is column 64 w + k."""
-    return px.groupBy(IMG, "y", F.floor(F.col("x") / 64).cast("int").alias("w")).agg(
-        F.bit_or(F.expr("shiftleft(1L, x % 64)")).alias("bits"))
-
-
-def unpack_rows(words: DataFrame) -> DataFrame:
-    return words.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(63)))).filter(
-        F.expr("(shiftrightunsigned(bits, k) & 1) = 1")).select(IMG, "y", (F.col("w") * 64 + F.col("k")).alias("x"))
-
-
-def _thin_step(words: DataFrame, second: bool) -> DataFrame:
-    """One parallel deletion step on all words at once: every word gathers its eight neighbour words (one shuffle)
-    and the removal test runs as bit arithmetic on 64 pixels together."""
-    to = F.array(*[F.struct((F.col("y") - dy).alias("y"), (F.col("w") - dw).alias("w"), F.lit((dy + 1) * 3 + dw + 1).alias("t"))
-                   for dy in (-1, 0, 1) for dw in (-1, 0, 1)])
-    sent = words.withColumn("_c", F.explode(to)).select(IMG, F.col("_c.y").alias("y"), F.col("_c.w").alias("w"), F.col("_c.t").alias("t"), "bits")
-    g = sent.groupBy(IMG, "y", "w").agg(*[F.coalesce(F.max(F.when(F.col("t") == t, F.col("bits"))), F.lit(0).cast("bigint")).alias(f"b{t}")
-                                          for t in range(9)]).filter("b4 <> 0")
-    east = lambda m, r: F.shiftrightunsigned(F.col(m), 1).bitwiseOR(F.shiftleft(F.col(r), 63))
-    west = lambda m, l: F.shiftleft(F.col(m), 1).bitwiseOR(F.shiftrightunsigned(F.col(l), 63))
-    # clockwise from the pixel above
-    p = [F.col("b1"), east("b1", "b2"), east("b4", "b5"), east("b7", "b8"), F.col("b7"), west("b7", "b6"), west("b4", "b3"), west("b1", "b0")]
-    g = g.select(IMG, "y", "w", F.col("b4").alias("bits"), *[c.alias(f"p{i}") for i, c in enumerate(p)])
-    p = [F.col(f"p{i}") for i in range(8)]
-
-    def counted(cs):
-        once, twice = cs[0], F.lit(0).cast("bigint")
-        for c in cs[1:]:
-            twice = twice.bitwiseOR(once.bitwiseAND(c))
-            once = once.bitwiseOR(c)
-        return once, twice
-
-    _, two_set = counted(p)
-    _, two_clear = counted([F.bitwise_not(c) for c in p])
-    rise, more = counted([F.bitwise_not(p[i]).bitwiseAND(p[(i + 1) % 8]) for i in range(8)])
-    n, e, s, w = p[0], p[2], p[4], p[6]
-    blocks = ((n, e, w), (n, s, w)) if second else ((n, e, s), (e, s, w))
-    gone = two_set.bitwiseAND(two_clear).bitwiseAND(rise).bitwiseAND(F.bitwise_not(more))
-    for a, b, c in blocks:
-        gone = gone.bitwiseAND(F.bitwise_not(a.bitwiseAND(b).bitwiseAND(c)))
-    return g.select(IMG, "y", "w", F.col("bits").bitwiseAND(F.bitwise_not(gone)).alias("bits")).filter("bits <> 0")
-
-
-def skeleton(px: DataFrame, per_job: int = 2, max_rounds: int = 4096) -> DataFrame:
+# ---------------------------------------------------------------- thinning
+def _thin(a: np.ndarray, rounds: int) -> tuple[np.ndarray, bool]:
+    """Up to `rounds` Zhang-Suen rounds on a tile with a clear rim; also tells whether it may go on."""
+    a = a.copy()
+    for _ in range(rounds):
+        removed = False
+        for second in (False, True):
+            n, s, w, e = a[:-2, 1:-1], a[2:, 1:-1], a[1:-1, :-2], a[1:-1, 2:]
+            ring = [n, a[:-2, 2:], e, a[2:, 2:], s, a[2:, :-2], w, a[:-2, :-2]]
+            near = sum(p.astype(np.int8) for p in ring)
+            rise = sum((~p & q).astype(np.int8) for p, q in zip(ring, ring[1:] + ring[:1]))
+            blocked = (n & e & w) | (n & s & w) if second else (n & e & s) | (e & s & w)
+            gone = a[1:-1, 1:-1] & (near >= 2) & (near <= 6) & (rise == 1) & ~blocked
+            if gone.any():
+                removed = True
+                a[1:-1, 1:-1] &= ~gone
+        if not removed:
+            return a, False
+    return a, True
+
+
+def skeleton(px: DataFrame, tile: int = 256, rounds: int = 16) -> DataFrame:
     """One-pixel centrelines of sparse road pixels by Zhang-Suen thinning; all images advance together.
 
-    Two rounds are planned per job, then the words are written out; a round that removes nothing ends it.
+    A pixel's fate in one round depends on pixels at most two away, so a tile with a halo of twice the rounds can
+    take that many rounds on its own. The job repeats only while some tile has not come to rest.
     """
-    words = materialize(pack_rows(px))
-    size = lambda d: d.agg(F.coalesce(F.sum(F.bit_count("bits")), F.lit(0))).first()[0]
-    left = size(words)
-    for _ in range(max_rounds):
-        d = words
-        for _ in range(per_job):
-            d = _thin_step(_thin_step(d, False), True)
-        words = materialize(d)
-        now = size(words)
-        if now == left:
-            break
-        left = now
-    return unpack_rows(words)
+    halo = 2 * rounds
+    key = px.schema[IMG]
+    schema = T.StructType([key, T.StructField("y", T.IntegerType()), T.StructField("x", T.IntegerType()), T.StructField("more", T.BooleanType())])
+
+    def run(pdf):
+        ty, tx = int(pdf["_ty"].iat[0]), int(pdf["_tx"].iat[0])
+        y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
+        y0, x0 = y.min() - 1, x.min() - 1
+        a = np.zeros((y.max() - y0 + 2, x.max() - x0 + 2), bool)
+        a[y - y0, x - x0] = True
+        a, more = _thin(a, rounds)
+        yy, xx = np.nonzero(a)
+        yy, xx = yy + y0, xx + x0
+        core = (yy // tile == ty) & (xx // tile == tx)
+        return pd.DataFrame({IMG: pdf[IMG].iat[0], "y": yy[core].astype(np.int32), "x": xx[core].astype(np.int32), "more": more})
+
+    cur = px.select(IMG, "y", "x")
+    while True:
+        cur = materialize(tile_halo(cur, halo, tile).groupBy(IMG, "_ty", "_tx").applyInPandas(run, schema))
+        again = not cur.filter("more").isEmpty()
+        cur = cur.select(IMG, "y", "x")
+        if not again:
+            return cur
 
 
 def skeleton_degree(sk: DataFrame) -> DataFrame:
@@ -183,7 +193,7 @@ def prune_spurs(sk: DataFrame, dt: DataFrame, dims: DataFrame, rounds: int = 4)
     counts = dims.select(IMG)
     counts = (counts.withColumn("pruned", F.lit(0).cast("bigint")) if dropped is None else
               counts.join(dropped.groupBy(IMG).agg(F.sum("pruned").alias("pruned")), IMG, "left").na.fill(0))
-    return skeleton(cur, per_job=1), counts
+    return skeleton(cur), counts
 
 
 # ---------------------------------------------------------------- junctions
@@ -194,8 +204,8 @@ def junction_candidates(deg: DataFrame, dt: DataFrame, reach: int = 6) -> DataFr
     spots = label_regions(grown.join(deg.select(IMG, "y", "x"), [IMG, "y", "x"], "left_semi"))
     c = materialize(spots.groupBy(IMG, F.col("label").alias("cand_id")).agg(F.avg("y").alias("y"), F.avg("x").alias("x")))
     side = F.sequence(F.lit(-reach), F.lit(reach))
-    box = c.select(IMG, "cand_id", (F.floor("y").cast("int") + F.explode(side)).alias("by"), F.floor("x").cast("int").alias("x0")).select(
-        IMG, "cand_id", "by", (F.col("x0") + F.explode(side)).alias("bx"))
+    box = (c.withColumn("dy", F.explode(side)).withColumn("dx", F.explode(side))
+            .select(IMG, "cand_id", (F.floor("y").cast("int") + F.col("dy")).alias("by"), (F.floor("x").cast("int") + F.col("dx")).alias("bx")))
     near = box.join(dt.filter("dist > 0").select(IMG, F.col("y").alias("by"), F.col("x").alias("bx"), "dist"), [IMG, "by", "bx"])
     hw = near.groupBy(IMG, "cand_id").agg(F.max("dist").alias("hw"))
     return c.join(hw, [IMG, "cand_id"], "left").select(IMG, "cand_id", "y", "x", F.coalesce("hw", F.lit(0.0)).alias("hw"))
@@ -215,8 +225,9 @@ def near_pairs(pts: DataFrame, reach: Column, max_level: int = 20) -> DataFrame:
         IMG, "L", cell(F.col("x"), F.col("L")).alias("gx"), cell(F.col("y"), F.col("L")).alias("gy"),
         *[F.col(c).alias(f"{c}_b") for c in pts.columns if c != IMG], F.col("_lv").alias("lv_b"))
     three = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    hi = p.withColumn("L", F.col("_lv")).withColumn("gx", cell(F.col("x"), F.col("L")) + F.explode(three)).withColumn(
-        "gy", cell(F.col("y"), F.col("L")) + F.explode(three))
+    hi = (p.withColumn("L", F.col("_lv")).withColumn("_dx", F.explode(three)).withColumn("_dy", F.explode(three))
+           .withColumn("gx", cell(F.col("x"), F.col("L")) + F.col("_dx")).withColumn("gy", cell(F.col("y"), F.col("L")) + F.col("_dy"))
+           .drop("_dx", "_dy"))
     return hi.join(low, [IMG, "L", "gx", "gy"]).filter((F.col("lv_b") < F.col("_lv")) | (F.col("pid_b") < F.col("pid"))).drop("L", "gx", "gy", "lv_b", "_lv")
 
 

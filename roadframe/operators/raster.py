@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from roadframe.functions.scalars import gray601, mix, pick
-from roadframe.operators.common import N4, N8, blur, convolve_lines, label_regions, lines
+from roadframe.operators.common import N4, N8, blur, label_regions, lines, stencil, weigh
 
 IMG = "image_id"
 PAINT = 128                  # brighter than this is paint, or road in a mask
@@ -64,14 +64,17 @@ def gaussian_blur(px: DataFrame, sigma: float, fields=("v",), mode: str = "refle
 
 
 def fine_detail(gray: DataFrame, sigma: float = 2.0) -> DataFrame:
-    """v minus its blur; the raw value rides through both passes, so no join is needed."""
+    """v and v minus its blur, from the same tile, so nothing has to be joined back."""
     from roadframe.functions.kernels import gaussian_weights
     w = gaussian_weights(sigma)
     r = len(w) // 2
-    delta = [0.0] * r + [1.0] + [0.0] * r
-    d = gray.select(IMG, "y", "x", F.col("v").cast("double").alias("v"))
-    low = blur(d, ["v"], sigma).withColumnRenamed("v", "low")
-    return d.join(low, [IMG, "y", "x"]).select(IMG, "y", "x", "v", (F.col("v") - F.col("low")).alias("fine"))
+
+    def fine(a):
+        v = a["v"]
+        inner = v[r:v.shape[0] - r, r:v.shape[1] - r]
+        return {"v": inner, "fine": inner - weigh(v, w)}
+
+    return stencil(gray, ["v"], r, fine, ["v", "fine"])
 
 
 def grain(gray: DataFrame) -> DataFrame:
