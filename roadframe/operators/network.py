@@ -36,7 +36,8 @@ def nearest_target(px: DataFrame, target: str, keep: tuple = ()) -> DataFrame:
                       *[F.when(known, F.col(f"e.{c}")).alias(c) for c in ("d2", "ty", "tx")])
 
 
-@F.pandas_udf("d2 array<bigint>, ty array<int>, tx array<int>")
+@F.pandas_udf(T.StructType([T.StructField("d2", T.ArrayType(T.LongType())), T.StructField("ty", T.ArrayType(T.IntegerType())),
+                            T.StructField("tx", T.ArrayType(T.IntegerType()))]))
 def _row_search(g: pd.Series, ty: pd.Series) -> pd.DataFrame:
     """Minimum over a row of column distance squared plus offset squared, all rows of equal length together."""
     d2, oy, ox = [None] * len(g), [None] * len(g), [None] * len(g)

@@ -172,7 +172,7 @@ def weighted_line_ratio(samples: DataFrame) -> DataFrame:
     w = W.orderBy("ratio")
     d = v.withColumn("run", F.sum("w").over(w.rowsBetween(W.unboundedPreceding, 0)))
     total = v.agg(F.sum("w")).scalar()
-    pairs = v.agg(F.sum("n")).scalar()
+    pairs = v.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
     return d.filter(F.col("run") >= total / 2).agg(F.min("ratio").alias("line_ratio")).withColumn("pairs", pairs)
 
 
@@ -195,10 +195,10 @@ def merge_shares(libs: DataFrame, cap: int = MERGED_CAP) -> DataFrame:
     want = F.greatest(F.lit(1), F.bround(F.col("pixels") / F.col("_t") * cap, 0).cast("bigint"))
     d = libs.join(tot, "part").withColumn("taken", F.least(want, F.col("patches"))).drop("_t")
     # every pair gives at least one patch, so only the first `cap` pairs can matter
-    d = range_rank(d, ["part"], [F.col("pair_id").asc()], "_k").filter(F.col("_k") <= cap)
-    run = F.sum("taken").over(W.partitionBy("part").orderBy("_k").rowsBetween(W.unboundedPreceding, -1))
+    d = range_rank(d, ["part"], [F.col("pair_id").asc()], "_pos").filter(F.col("_pos") <= cap)
+    run = F.sum("taken").over(W.partitionBy("part").orderBy("_pos").rowsBetween(W.unboundedPreceding, -1))
     left = F.lit(cap) - F.coalesce(run, F.lit(0))
-    return d.withColumn("kept", F.greatest(F.lit(0), F.least(F.col("taken"), left)).cast("bigint")).drop("_k")
+    return d.withColumn("kept", F.greatest(F.lit(0), F.least(F.col("taken"), left)).cast("bigint")).drop("_pos")
 
 
 def merge_libraries(libs: DataFrame, cap: int = MERGED_CAP) -> DataFrame:

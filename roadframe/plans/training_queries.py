@@ -34,10 +34,6 @@ def paint(spark, sf):
     return stage(spark, sf, "paint", lambda: T.paint_pixels(road_gray(spark, sf), T.paint_threshold(road_gray(spark, sf)))[1])
 
 
-def paint_core(spark, sf):
-    return stage(spark, sf, "paint_core", lambda: T.paint_pixels(road_gray(spark, sf), T.paint_threshold(road_gray(spark, sf)))[0])
-
-
 def parts(spark, sf):
     def build():
         surface = road_gray(spark, sf).join(paint(spark, sf), ["image_id", "y", "x"], "left_anti")
@@ -100,15 +96,15 @@ def group_stats(spark, sf):
         "image_id", "part", "pixels", *R("mean", "std", "p5", "p95", "local_contrast", "grain"), "reading", *R("share"))
 
 
-S_LINE = S_BAND + "," + S_PAINT + "," + regions_sql("pl", "core") + """, bg AS (SELECT image_id, label FROM pl GROUP BY 1, 2 HAVING count(*) >= 12), str0 AS (SELECT p.image_id, p.y, p.x FROM pl p JOIN bg USING (image_id, label)),
-np AS (SELECT image_id, count(*) AS paint_px FROM core GROUP BY 1), ns AS (SELECT image_id, count(*) AS stroke_px FROM str0 GROUP BY 1), str AS (SELECT s.* FROM str0 s JOIN ns USING (image_id) JOIN np USING (image_id) WHERE stroke_px >= 50 AND paint_px >= 50),
+S_LINE = S_BAND + "," + S_PAINT + "," + regions_sql("pl", "paint") + """, bg AS (SELECT image_id, label FROM pl GROUP BY 1, 2 HAVING count(*) >= 12), str0 AS (SELECT p.image_id, p.y, p.x FROM pl p JOIN bg USING (image_id, label)),
+np AS (SELECT image_id, count(*) AS paint_px FROM paint GROUP BY 1), ns AS (SELECT image_id, count(*) AS stroke_px FROM str0 GROUP BY 1), str AS (SELECT s.* FROM str0 s JOIN ns USING (image_id) JOIN np USING (image_id) WHERE stroke_px >= 50 AND paint_px >= 50),
 strall AS (SELECT m.image_id, m.y, m.x, s.image_id IS NOT NULL AS inside FROM mask_px m LEFT JOIN str s USING (image_id, y, x)),""" + nearest_sql("sdn", "strall", "NOT inside") + "," + NQ.thin_sql("ssk", "str", 8) + """,
 lw AS (SELECT k.image_id, quantile_cont(2*sqrt(d.d2) - 1, 5e-1) AS w FROM ssk k JOIN sdn d USING (image_id, y, x) GROUP BY 1),
 lr AS (SELECT b.image_id, CASE WHEN w > 0 THEN w END AS line_width_px, CASE WHEN w > 0 THEN w/b.road_width END AS line_ratio, CASE WHEN w > 0 THEN stroke_px ELSE coalesce(paint_px, 0) END AS paint_px FROM band b LEFT JOIN np USING (image_id) LEFT JOIN ns USING (image_id) LEFT JOIN lw USING (image_id))"""
 
 
 def line_rows(spark, sf):
-    return stage(spark, sf, "line_rows", lambda: T.line_width_ratio(paint_core(spark, sf), bands(spark, sf), NQ.dims(spark, sf)))
+    return stage(spark, sf, "line_rows", lambda: T.line_width_ratio(paint(spark, sf), bands(spark, sf), NQ.dims(spark, sf)))
 
 
 @query("line_width_ratio", P(NQ.S_SK + "," + S_LINE, "SELECT image_id, round(line_width_px, 6) AS line_width_px, round(line_ratio, 6) AS line_ratio, paint_px FROM lr"))
@@ -154,8 +150,8 @@ def libraries(spark, sf):
 S_LIB = S_SIZE + f""", s0 AS (SELECT image_id, 'open' AS part, open AS s FROM sz UNION ALL SELECT image_id, 'edge', edge FROM sz UNION ALL SELECT image_id, 'junction', junction FROM sz),
 s1 AS (SELECT image_id, part, least(s, 32) AS a, CASE WHEN least(s,32) > 4 THEN greatest(4, CAST(floor(least(s,32)*6e-1+1e-9) AS INT)) END AS b FROM s0), s2 AS (SELECT *, CASE WHEN b > 4 THEN greatest(4, CAST(floor(b*6e-1+1e-9) AS INT)) END AS c FROM s1),
 s3 AS (SELECT *, CASE WHEN c > 4 THEN greatest(4, CAST(floor(c*6e-1+1e-9) AS INT)) END AS d FROM s2),
-at AS (SELECT image_id, part, 0 AS attempt, a AS size FROM s3 UNION ALL SELECT image_id, part, 1, b FROM s3 WHERE b IS NOT NULL UNION ALL SELECT image_id, part, 2, c FROM s3 WHERE c IS NOT NULL UNION ALL SELECT image_id, part, 3, d FROM s3 WHERE d IS NOT NULL),
-og AS (SELECT image_id, size, t, {pick(mix('image_id', '7'), 't*2', '64-size')} AS y0, {pick(mix('image_id', '7'), 't*2+1', '64-size')} AS x0 FROM (SELECT DISTINCT image_id, size FROM at) CROSS JOIN range({COUNT * 40}) AS r(t)),
+atm AS (SELECT image_id, part, 0 AS attempt, a AS size FROM s3 UNION ALL SELECT image_id, part, 1, b FROM s3 WHERE b IS NOT NULL UNION ALL SELECT image_id, part, 2, c FROM s3 WHERE c IS NOT NULL UNION ALL SELECT image_id, part, 3, d FROM s3 WHERE d IS NOT NULL),
+og AS (SELECT image_id, size, t, {pick(mix('image_id', '7'), 't*2', '64-size')} AS y0, {pick(mix('image_id', '7'), 't*2+1', '64-size')} AS x0 FROM (SELECT DISTINCT image_id, size FROM atm) CROSS JOIN range({COUNT * 40}) AS r(t)),
 lx AS (SELECT m.image_id, m.y, m.x, p.part, CASE WHEN t.image_id IS NULL THEN 0 ELSE 1 END AS ex FROM mask_px m LEFT JOIN parts p USING (image_id, y, x) LEFT JOIN paint t USING (image_id, y, x)),
 rw AS (SELECT image_id, y, x, sum(CASE WHEN part='open' THEN 1 ELSE 0 END) OVER w AS o, sum(CASE WHEN part='edge' THEN 1 ELSE 0 END) OVER w AS e, sum(CASE WHEN part='junction' THEN 1 ELSE 0 END) OVER w AS j, sum(ex) OVER w AS q FROM lx WINDOW w AS (PARTITION BY image_id, y ORDER BY x)),
 sa AS (SELECT image_id, y, x, sum(o) OVER w AS o, sum(e) OVER w AS e, sum(j) OVER w AS j, sum(q) OVER w AS q FROM rw WINDOW w AS (PARTITION BY image_id, x ORDER BY y)),
@@ -163,7 +159,7 @@ wn AS (SELECT g.image_id, g.size, g.t, d.o - coalesce(b.o,0) - coalesce(c.o,0) +
  FROM og g JOIN sa d ON d.image_id=g.image_id AND d.y=g.y0+g.size-1 AND d.x=g.x0+g.size-1 LEFT JOIN sa b ON b.image_id=g.image_id AND b.y=g.y0-1 AND b.x=g.x0+g.size-1
  LEFT JOIN sa c ON c.image_id=g.image_id AND c.y=g.y0+g.size-1 AND c.x=g.x0-1 LEFT JOIN sa a ON a.image_id=g.image_id AND a.y=g.y0-1 AND a.x=g.x0-1),
 nn AS (SELECT t.image_id, t.part, t.attempt, t.size, least({COUNT}, count(*) FILTER ((CASE t.part WHEN 'open' THEN o WHEN 'edge' THEN e ELSE j END) / CAST(t.size*t.size AS DOUBLE) >= CASE t.part WHEN 'edge' THEN 5e-1 ELSE 6e-1 END AND q = 0)) AS patches
- FROM at t JOIN wn USING (image_id, size) GROUP BY 1, 2, 3, 4),
+ FROM atm t JOIN wn USING (image_id, size) GROUP BY 1, 2, 3, 4),
 lb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, part ORDER BY CASE WHEN patches < 6 AND size > 4 THEN 1 ELSE 0 END, CASE WHEN patches >= 6 THEN attempt ELSE -attempt END) AS rn FROM nn) WHERE rn = 1)"""
 
 
