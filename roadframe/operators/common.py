@@ -276,37 +276,6 @@ def lines(px: DataFrame, line: list[str], pos: str, fields: list[str]) -> DataFr
         F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), *[F.col(f) for f in fields]))).alias("a"))
 
 
-def convolve_lines(px: DataFrame, line: list[str], pos: str, fields: list[str], weights: list[float],
-                   mode: str = "reflect") -> DataFrame:
-    """Weighted neighbourhood sum along one axis. Lines must be dense (positions 0..n-1)."""
-    r = len(weights) // 2
-    kernel = F.array(*[F.lit(float(w)) for w in weights])
-    packed = lines(px, line, pos, fields)
-
-    def index(i, n):
-        if mode == "wrap":
-            return F.pmod(i, n)
-        if mode == "nearest":
-            return F.least(F.greatest(i, F.lit(0)), n - 1)
-        m = F.pmod(i, n * 2)
-        return F.when(m >= n, n * 2 - 1 - m).otherwise(m)
-
-    def filtered(a):
-        n = F.size(a)
-
-        def one(f):
-            # the border-extended samples and the kernel are bound once per line
-            ext = F.transform(F.sequence(F.lit(-r), n - 1 + r), lambda i: F.get(a, index(i, n))[f].cast("double"))
-            return let(F.struct(ext.alias("v"), kernel.alias("k")), lambda b: F.transform(
-                F.sequence(F.lit(1), n), lambda i: F.aggregate(
-                    F.zip_with(F.slice(b["v"], i, 2 * r + 1), b["k"], lambda v, w: v * w), F.lit(0.0), lambda s, v: s + v)))
-
-        return F.arrays_zip(*[one(f).alias(f) for f in fields])
-
-    z = packed.select(*line, F.posexplode(let(F.col("a"), filtered)).alias(pos, "e"))
-    return z.select(*line, pos, *[F.col("e").getField(str(i) if False else f).alias(f) for i, f in enumerate(fields)])
-
-
 # ---------------------------------------------------------------- tiles with a halo
 def tile_halo(px: DataFrame, halo: int, tile: int, image: str = "image_id") -> DataFrame:
     """Copy each pixel to every tile whose halo it lies in: adds `_ty`, `_tx`. Tiles bound the size of a group."""
@@ -314,15 +283,25 @@ def tile_halo(px: DataFrame, halo: int, tile: int, image: str = "image_id") -> D
     return px.withColumn("_ty", F.explode(span("y"))).withColumn("_tx", F.explode(span("x")))
 
 
+def _wrapped(px: DataFrame, halo: int, tile: int, image: str) -> DataFrame:
+    """Pixels with copies shifted by one image side, as far as they are seen from inside, then tiled."""
+    near = lambda c, n: F.filter(F.array(F.col(c) - F.col(n), F.col(c), F.col(c) + F.col(n)),
+                                 lambda p: (p >= -halo) & (p < F.col(n) + halo))
+    d = px.withColumn("_py", F.explode(near("y", "_h"))).withColumn("_px", F.explode(near("x", "_w")))
+    return tile_halo(d.drop("y", "x").withColumnsRenamed({"_py": "y", "_px": "x"}), halo, tile, image)
+
+
 def stencil(px: DataFrame, fields: list[str], halo: int, fn, outs: list[str], tile: int = TILE,
-            image: str = "image_id") -> DataFrame:
+            image: str = "image_id", wrap: bool = False) -> DataFrame:
     """Apply an array function to dense images, tile by tile, in one shuffle.
 
-    `fn` maps {field: core tile extended by `halo` on all sides, mirrored at the image border} to {out: core tile}.
+    `fn` maps {field: core tile extended by `halo` on all sides} to {out: core tile}. Beyond the image border the
+    extension is mirrored, or taken from the opposite side with `wrap` (halo at most one image side).
     """
     key = px.schema[image]
     dims = px.groupBy(image).agg((F.max("y") + 1).alias("_h"), (F.max("x") + 1).alias("_w"))
-    d = tile_halo(px.select(image, "y", "x", *[F.col(f).cast("double").alias(f) for f in fields]).join(dims, image), halo, tile, image)
+    d = tile_halo(px.select(image, "y", "x", *[F.col(f).cast("double").alias(f) for f in fields]).join(dims, image), halo, tile, image) if not wrap else (
+        _wrapped(px.select(image, "y", "x", *[F.col(f).cast("double").alias(f) for f in fields]).join(dims, image), halo, tile, image))
     d = d.filter("_ty >= 0 and _tx >= 0").filter((F.col("_ty") * tile < F.col("_h")) & (F.col("_tx") * tile < F.col("_w")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -331,6 +310,8 @@ def stencil(px: DataFrame, fields: list[str], halo: int, fn, outs: list[str], ti
         ch, cw = min(h, cy + tile) - cy, min(w, cx + tile) - cx
         y0, x0 = max(0, cy - halo), max(0, cx - halo)
         y1, x1 = min(h, cy + ch + halo), min(w, cx + cw + halo)
+        if wrap:
+            y0, x0, y1, x1 = cy - halo, cx - halo, cy + ch + halo, cx + cw + halo
         pad = ((halo - (cy - y0), halo - (y1 - cy - ch)), (halo - (cx - x0), halo - (x1 - cx - cw)))
         yy, xx = pdf["y"].to_numpy() - y0, pdf["x"].to_numpy() - x0
         arrays = {}
@@ -355,13 +336,10 @@ def weigh(a: np.ndarray, w) -> np.ndarray:
     return sum(wk * a[:, k:k + m] for k, wk in enumerate(w))
 
 
-def blur(px: DataFrame, fields: list[str], sigma: float, mode: str = "reflect", key: list[str] | None = None
+def blur(px: DataFrame, fields: list[str], sigma: float, mode: str = "reflect", key: str | None = None
          ) -> DataFrame:
     """Separable Gaussian over dense images; returns key, y, x and the blurred fields."""
     from roadframe.functions.kernels import gaussian_weights
     w = gaussian_weights(sigma)
-    if mode == "reflect" and not key:
-        return stencil(px, fields, len(w) // 2, lambda a: {f: weigh(a[f], w) for f in fields}, fields)
-    key = key or ["image_id"]
-    rows = convolve_lines(px, [*key, "y"], "x", fields, w, mode)
-    return convolve_lines(rows, [*key, "x"], "y", fields, w, mode)
+    return stencil(px, fields, len(w) // 2, lambda a: {f: weigh(a[f], w) for f in fields}, fields,
+                   image=key or "image_id", wrap=mode == "wrap")

@@ -26,9 +26,9 @@ def nearest_target(px: DataFrame, target: str, keep: tuple = ()) -> DataFrame:
     down = W.partitionBy(IMG, "x").orderBy(F.desc("y")).rowsBetween(W.unboundedPreceding, 0)
     d = px.select(IMG, "y", "x", *keep, F.max(hit).over(up).alias("_u"), F.min(hit).over(down).alias("_d"))
     du, dd = F.coalesce(F.col("y") - F.col("_u"), F.lit(FAR)), F.coalesce(F.col("_d") - F.col("y"), F.lit(FAR))
-    d = d.select(IMG, "y", "x", *keep, F.least(du, dd).alias("g"), F.when(du <= dd, F.col("_u")).otherwise(F.col("_d")).alias("ty"))
-    row = lines(d, [IMG, "y"], "x", ["g", "ty", *keep]).select(
-        IMG, "y", "a", F.transform("a", lambda s: s["g"]).alias("g"), F.transform("a", lambda s: s["ty"]).alias("ty"))
+    d = d.select(IMG, "y", "x", *keep, F.least(du, dd).alias("_g"), F.when(du <= dd, F.col("_u")).otherwise(F.col("_d")).alias("_ty"))
+    row = lines(d, [IMG, "y"], "x", ["_g", "_ty", *keep]).select(
+        IMG, "y", "a", F.transform("a", lambda s: s["_g"]).alias("g"), F.transform("a", lambda s: s["_ty"]).alias("ty"))
     out = row.select(IMG, "y", "a", _row_search("g", "ty").alias("b")).select(
         IMG, "y", F.posexplode(F.arrays_zip("a", "b.d2", "b.ty", "b.tx")).alias("x", "e"))
     known = F.col("e.d2") >= 0
