@@ -159,16 +159,17 @@ def scatter_offsets(df: DataFrame, offsets, y: str = "y", x: str = "x", tag: str
 def connected_components(edges: DataFrame, key: list[str]) -> DataFrame:
     """Label every id that occurs in `edges(key.., u, v)` with the smallest id of its component.
 
-    Each round every node adopts its smallest neighbour, pointers are halved twice, and the edge list is
-    rewritten to the adopted labels without duplicates or loops; it shrinks geometrically. The smallest id of
-    a component always keeps itself, so it is the final label.
+    Each round every node adopts its smallest neighbour in a hashed order, pointers are halved twice, and the edge
+    list is rewritten to the adopted nodes without duplicates or loops. Hashing keeps adoption chains short even on
+    long paths with ordered ids, so the list shrinks geometrically. The smallest id per component is taken at the end.
     """
     e = materialize(edges.select(*key, F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
                     .filter("u <> v").distinct())
     labels = None
+    order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
     while not e.isEmpty():
         both = e.unionByName(e.select(*key, F.col("v").alias("u"), F.col("u").alias("v")))
-        p = both.groupBy(*key, "u").agg(F.min("v").alias("m")).select(*key, "u", F.least("u", "m").alias("p"))
+        p = both.groupBy(*key, "u").agg(F.min(order("v")).alias("m")).select(*key, "u", F.least(order("u"), F.col("m"))["v"].alias("p"))
         for _ in range(2):
             up = p.select(*key, F.col("u").alias("p"), F.col("p").alias("pp"))
             p = p.join(up, [*key, "p"]).select(*key, "u", F.col("pp").alias("p"))
@@ -177,9 +178,8 @@ def connected_components(edges: DataFrame, key: list[str]) -> DataFrame:
             labels = p.select(*key, F.col("u").alias("id"), F.col("p").alias("label"))
         else:
             step = p.select(*key, F.col("u").alias("label"), F.col("p").alias("np"))
-            labels = labels.join(step, [*key, "label"], "left").select(
-                *key, "id", F.coalesce("np", "label").alias("label"))
-        labels = materialize(labels)
+            labels = materialize(labels.join(step, [*key, "label"], "left").select(
+                *key, "id", F.coalesce("np", "label").alias("label")))
         pu = p.select(*key, "u", F.col("p").alias("nu"))
         pv = p.select(*key, F.col("u").alias("v"), F.col("p").alias("nv"))
         e = materialize(
@@ -187,8 +187,9 @@ def connected_components(edges: DataFrame, key: list[str]) -> DataFrame:
              .select(*key, F.least("nu", "nv").alias("u"), F.greatest("nu", "nv").alias("v"))
              .filter("u <> v").distinct())
     if labels is None:
-        labels = e.select(*key, F.col("u").alias("id"), F.col("v").alias("label"))
-    return labels
+        return e.select(*key, F.col("u").alias("id"), F.col("v").alias("label"))
+    low = labels.groupBy(*key, "label").agg(F.min("id").alias("_low"))
+    return labels.join(low, [*key, "label"]).select(*key, "id", F.col("_low").alias("label"))
 
 
 # ---------------------------------------------------------------- region labels of pixel sets

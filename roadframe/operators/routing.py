@@ -205,3 +205,19 @@ def validate_review(reviews: DataFrame) -> DataFrame:
     ok = (F.coalesce("key", F.lit("")) != "") & (F.coalesce("route", F.lit("")) != "") & F.coalesce(
         F.col("outcome").isin("accepted", "rejected", "flagged"), F.lit(False))
     return reviews.withColumn("valid", ok)
+
+
+def inspect_point(points: DataFrame, codes: DataFrame, dt: DataFrame, js: DataFrame, index: DataFrame, mpp: float) -> DataFrame:
+    """points(placement_id, image_id, y, x): part, kerb distance, junction type and the library used there.
+
+    The choice depends on the part alone, so it is made once per part and looked up.
+    """
+    part = F.when(F.col("code") == 1, "junction").when(F.col("code") == 2, "edge").when(F.col("code") == 3, "open")
+    d = points.join(codes, ["image_id", "y", "x"]).join(dt.select("image_id", "y", "x", "dist"), ["image_id", "y", "x"], "left").withColumn("part", part)
+    j = js.select("image_id", F.col("jid").alias("junction_id"), "type")
+    one = index.sparkSession.range(1).select(F.lit(0).alias("ask_id"), F.lit(False).alias("primed_rejected"))
+    pick = choose_parts(index, one).select("part", "pair_id")
+    d = d.join(j, ["image_id", "junction_id"], "left").join(F.broadcast(pick), "part", "left")
+    on = F.col("part").isNotNull()
+    return d.select("placement_id", on.alias("on_road"), "part", F.when(on, F.round(F.coalesce("dist", F.lit(0.0)) * mpp, 2)).alias("edge_m"),
+                    F.when(F.col("part") == "junction", F.col("type")).alias("junction_type"), "pair_id")
