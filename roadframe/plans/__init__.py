@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("memory_queries", "io_queries", "routing_queries", "raster_queries", "network_queries", "training_queries", "synth_queries", "geometry_queries", "mesh_queries")
+MODULES = ("memory_queries", "io_queries", "routing_queries", "raster_queries", "network_queries", "training_queries", "synth_queries", "geometry_queries", "mesh_queries", "stream_queries")
 
 
 def load():

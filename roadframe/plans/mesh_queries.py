@@ -59,7 +59,7 @@ pb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, idx OR
 ln AS (SELECT w.image_id, b.idx, w.k, w.x, w.y, coalesce(sqrt(pow(w.x - lag(w.x) OVER o, 2) + pow(w.y - lag(w.y) OVER o, 2)), 0e0) AS st FROM wk w JOIN pb b ON b.image_id=w.image_id AND b.label=w.label WINDOW o AS (PARTITION BY w.image_id ORDER BY w.k)),
 la AS (SELECT image_id, idx, x, y, 25e-2*sum(st) OVER (PARTITION BY image_id, idx ORDER BY k) AS arc FROM ln),
 pl AS (SELECT b.image_id, b.idx, min(arc) FILTER ({GQ._RECT('l.x', 'l.y')}) AS s_in, max(arc) FILTER ({GQ._RECT('l.x', 'l.y')}) AS s_out, max(arc) AS len FROM br b LEFT JOIN la l ON l.image_id=b.image_id GROUP BY 1, 2),
-pr AS (SELECT *, least(8e0, s_in) AS rb, least(8e0, len - s_out) AS ra FROM pl), ps AS (SELECT *, greatest(CASE WHEN rb > 0 THEN 75e-1/rb END, CASE WHEN ra > 0 THEN 75e-1/ra END) AS steep FROM pr)"""
+pr AS (SELECT *, CASE WHEN s_in IS NOT NULL THEN least(8e0, s_in) END AS rb, CASE WHEN s_in IS NOT NULL THEN least(8e0, len - s_out) END AS ra FROM pl), ps AS (SELECT *, greatest(CASE WHEN rb > 0 THEN 75e-1/rb END, CASE WHEN ra > 0 THEN 75e-1/ra END) AS steep FROM pr)"""
 
 
 def rects(spark, sf):
@@ -73,7 +73,7 @@ def bridge_lines(spark, sf):
 
 
 @query("bridge_plan", NQ.Q(PLAN, """SELECT image_id, idx, s_in IS NOT NULL AS ok, round(s_in, 6) AS s_in, round(s_out, 6) AS s_out, round(rb, 6) AS r_before, round(ra, 6) AS r_after, round(steep*100, 6) AS steepest_pct,
- concat_ws('; ', CASE WHEN len IS NULL THEN 'no road runs lengthwise through this rectangle' END, CASE WHEN rb < 7 THEN 'short ramp at the start' END, CASE WHEN ra < 7 THEN 'short ramp at the end' END,
+ concat_ws('; ', CASE WHEN len IS NULL THEN 'no road runs lengthwise through this rectangle' END, CASE WHEN len IS NOT NULL AND s_in IS NULL THEN 'the road never enters the rectangle' END, CASE WHEN rb < 7 THEN 'short ramp at the start' END, CASE WHEN ra < 7 THEN 'short ramp at the end' END,
  CASE WHEN s_in IS NOT NULL AND coalesce(steep, 1e9) > 8e-2 THEN 'steeper than roads usually allow' END) AS warnings FROM ps"""))
 def bridge_plan(spark, sf):
     p = B.bridge_plan(bridge_lines(spark, sf), rects(spark, sf), 0.25, 5.0, 8.0)
@@ -119,10 +119,11 @@ def tris(spark, sf):
 
 
 _U = lambda p, q, r: f"(({q}.z-{p}.z)*({r}.x-{p}.x) - ({q}.x-{p}.x)*({r}.z-{p}.z))"
-QUAD = f"""q0 AS (SELECT q.mesh_id, q.fid, q.part, q.owner, a AS ai, c AS ci, CASE WHEN {_U('va','vb','vc')} + {_U('va','vc','vd')} < 0 THEN d ELSE b END AS bi, CASE WHEN {_U('va','vb','vc')} + {_U('va','vc','vd')} < 0 THEN b ELSE d END AS di FROM mesh_quad q
- JOIN mesh_vertex va ON va.mesh_id=q.mesh_id AND va.vid=q.a JOIN mesh_vertex vb ON vb.mesh_id=q.mesh_id AND vb.vid=q.b JOIN mesh_vertex vc ON vc.mesh_id=q.mesh_id AND vc.vid=q.c JOIN mesh_vertex vd ON vd.mesh_id=q.mesh_id AND vd.vid=q.d),
+MV = "mv AS MATERIALIZED (SELECT mesh_id*64 + vid AS k, x, h, z FROM mesh_vertex)"
+QUAD = MV + f""", q0 AS (SELECT q.mesh_id, q.fid, q.part, q.owner, a AS ai, c AS ci, CASE WHEN {_U('va','vb','vc')} + {_U('va','vc','vd')} < 0 THEN d ELSE b END AS bi, CASE WHEN {_U('va','vb','vc')} + {_U('va','vc','vd')} < 0 THEN b ELSE d END AS di FROM mesh_quad q
+ JOIN mv va ON va.k=q.mesh_id*64+q.a JOIN mv vb ON vb.k=q.mesh_id*64+q.b JOIN mv vc ON vc.k=q.mesh_id*64+q.c JOIN mv vd ON vd.k=q.mesh_id*64+q.d),
 q1 AS (SELECT q.*, {_U('va','vb','vc')} > 2e-4 AS abc, {_U('va','vc','vd')} > 2e-4 AS acd, {_U('va','vb','vd')} > 2e-4 AS abd, {_U('vb','vc','vd')} > 2e-4 AS bcd FROM q0 q
- JOIN mesh_vertex va ON va.mesh_id=q.mesh_id AND va.vid=q.ai JOIN mesh_vertex vb ON vb.mesh_id=q.mesh_id AND vb.vid=q.bi JOIN mesh_vertex vc ON vc.mesh_id=q.mesh_id AND vc.vid=q.ci JOIN mesh_vertex vd ON vd.mesh_id=q.mesh_id AND vd.vid=q.di),
+ JOIN mv va ON va.k=q.mesh_id*64+q.ai JOIN mv vb ON vb.k=q.mesh_id*64+q.bi JOIN mv vc ON vc.k=q.mesh_id*64+q.ci JOIN mv vd ON vd.k=q.mesh_id*64+q.di),
 q2 AS (SELECT *, abc AND acd AS ac2, NOT (abc AND acd) AND abd AND bcd AS bd2 FROM q1),
 tri AS (SELECT mesh_id, fid, part, owner, 0 AS half, ai AS a, bi AS b, ci AS c, false AS other_diagonal FROM q2 WHERE ac2 OR (NOT bd2 AND abc)
  UNION ALL SELECT mesh_id, fid, part, owner, 1, ai, ci, di, false FROM q2 WHERE ac2 OR (NOT bd2 AND NOT abc AND acd)
@@ -136,7 +137,7 @@ def world_coords(spark, sf):
     return E.world_coords(d, 0.25).select("image_id", "cand_id", *R("wx", "wz", "u", "v"))
 
 
-@query("fix_winding", sql("mesh_vertex mesh_quad", f"""t AS (SELECT q.mesh_id, q.fid, q.a, q.b, q.c, {_U('va','vb','vc')} AS ny FROM mesh_quad q JOIN mesh_vertex va ON va.mesh_id=q.mesh_id AND va.vid=q.a JOIN mesh_vertex vb ON vb.mesh_id=q.mesh_id AND vb.vid=q.b JOIN mesh_vertex vc ON vc.mesh_id=q.mesh_id AND vc.vid=q.c)
+@query("fix_winding", sql("mesh_vertex mesh_quad", MV + f""", t AS (SELECT q.mesh_id, q.fid, q.a, q.b, q.c, {_U('va','vb','vc')} AS ny FROM mesh_quad q JOIN mv va ON va.k=q.mesh_id*64+q.a JOIN mv vb ON vb.k=q.mesh_id*64+q.b JOIN mv vc ON vc.k=q.mesh_id*64+q.c)
 SELECT mesh_id, fid, a, CASE WHEN ny < 0 THEN c ELSE b END AS b, CASE WHEN ny < 0 THEN b ELSE c END AS c, ny < 0 AS flipped FROM t WHERE abs(ny)*5e-1 > 1e-3"""))
 def fix_winding(spark, sf):
     return E.fix_winding(quads(spark, sf).select("mesh_id", "fid", "a", "b", "c"), verts(spark, sf))
@@ -153,7 +154,7 @@ def mesh_volume_stats(spark, sf):
     return E.mesh_volume_stats(quads(spark, sf), verts(spark, sf))
 
 
-RAST = QUAD + """, tc AS (SELECT t.mesh_id, t.fid, 3*va.x AS x0, 3*va.z AS z0, va.h AS h0, 3*vb.x AS x1, 3*vb.z AS z1, vb.h AS h1, 3*vc.x AS x2, 3*vc.z AS z2, vc.h AS h2 FROM tri t JOIN mesh_vertex va ON va.mesh_id=t.mesh_id AND va.vid=t.a JOIN mesh_vertex vb ON vb.mesh_id=t.mesh_id AND vb.vid=t.b JOIN mesh_vertex vc ON vc.mesh_id=t.mesh_id AND vc.vid=t.c),
+RAST = QUAD + """, tc AS (SELECT t.mesh_id, t.fid, 3*va.x AS x0, 3*va.z AS z0, va.h AS h0, 3*vb.x AS x1, 3*vb.z AS z1, vb.h AS h1, 3*vc.x AS x2, 3*vc.z AS z2, vc.h AS h2 FROM tri t JOIN mv va ON va.k=t.mesh_id*64+t.a JOIN mv vb ON vb.k=t.mesh_id*64+t.b JOIN mv vc ON vc.k=t.mesh_id*64+t.c),
 tp AS (SELECT t.*, CAST(y.i AS INTEGER) AS py, CAST(x.i AS INTEGER) AS px, (z1-z2)*(x0-x2)+(x2-x1)*(z0-z2) AS den FROM tc t JOIN range(64) AS y(i) ON y.i BETWEEN least(z0,z1,z2) AND greatest(z0,z1,z2) JOIN range(64) AS x(i) ON x.i BETWEEN least(x0,x1,x2) AND greatest(x0,x1,x2)),
 tw AS (SELECT *, ((z1-z2)*(px-x2)+(x2-x1)*(py-z2))/den AS w0, ((z2-z0)*(px-x2)+(x0-x2)*(py-z2))/den AS w1 FROM tp WHERE abs(den) > 1e-12),
 ras AS (SELECT mesh_id, py AS y, px AS x, max(w0*h0 + w1*h1 + (1-w0-w1)*h2) AS h FROM tw WHERE w0 >= -1e-6 AND w1 >= -1e-6 AND 1-w0-w1 >= -1e-6 GROUP BY 1, 2, 3)"""
@@ -187,7 +188,7 @@ def group_faces(spark, sf):
     return E.group_faces(tris(spark, sf), ["part"])[1]
 
 
-@query("vertex_normals", sql("mesh_vertex mesh_quad", QUAD + """, c3 AS (SELECT t.mesh_id, [t.a, t.b, t.c] AS vs, (vb.h-va.h)*(vc.z-va.z)-(vb.z-va.z)*(vc.h-va.h) AS nx, (vb.z-va.z)*(vc.x-va.x)-(vb.x-va.x)*(vc.z-va.z) AS nh, (vb.x-va.x)*(vc.h-va.h)-(vb.h-va.h)*(vc.x-va.x) AS nz FROM tri t JOIN mesh_vertex va ON va.mesh_id=t.mesh_id AND va.vid=t.a JOIN mesh_vertex vb ON vb.mesh_id=t.mesh_id AND vb.vid=t.b JOIN mesh_vertex vc ON vc.mesh_id=t.mesh_id AND vc.vid=t.c),
+@query("vertex_normals", sql("mesh_vertex mesh_quad", QUAD + """, c3 AS (SELECT t.mesh_id, [t.a, t.b, t.c] AS vs, (vb.h-va.h)*(vc.z-va.z)-(vb.z-va.z)*(vc.h-va.h) AS nx, (vb.z-va.z)*(vc.x-va.x)-(vb.x-va.x)*(vc.z-va.z) AS nh, (vb.x-va.x)*(vc.h-va.h)-(vb.h-va.h)*(vc.x-va.x) AS nz FROM tri t JOIN mv va ON va.k=t.mesh_id*64+t.a JOIN mv vb ON vb.k=t.mesh_id*64+t.b JOIN mv vc ON vc.k=t.mesh_id*64+t.c),
 n3 AS (SELECT mesh_id, unnest(vs) AS vid, nx, nh, nz FROM c3), s3 AS (SELECT mesh_id, vid, sum(nx) AS nx, sum(nh) AS nh, sum(nz) AS nz FROM n3 GROUP BY 1, 2), l3 AS (SELECT *, sqrt(nx*nx+nh*nh+nz*nz) AS l FROM s3)
 SELECT v.mesh_id, v.vid, round(CASE WHEN l > 1e-12 THEN nx/l ELSE 0e0 END, 6) AS nx, round(CASE WHEN l > 1e-12 THEN nh/l ELSE 1e0 END, 6) AS nh, round(CASE WHEN l > 1e-12 THEN nz/l ELSE 0e0 END, 6) AS nz FROM mesh_vertex v LEFT JOIN l3 n USING (mesh_id, vid)"""))
 def vertex_normals(spark, sf):
@@ -249,7 +250,7 @@ def copies(spark, sf):
     return stage(spark, sf, "copies", lambda: E.expand_placements(X.placements(spark, sf), X.objects(spark, sf), 1.0))
 
 
-@query("expand_placements", sql("placements objects", COPY + " SELECT placement_id, object_id, i, j, round(mx, 6) AS mx, round(my, 6) AS my, width, depth, round(qy, 6) AS qy, round(qw, 6) AS qw FROM cp"))
+@query("expand_placements", sql("placements objects", COPY + " SELECT placement_id, object_id, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(mx, 6) AS mx, round(my, 6) AS my, width, depth, round(qy, 6) AS qy, round(qw, 6) AS qw FROM cp"))
 def expand_placements(spark, sf):
     return E.expand_placements(X.placements(spark, sf), X.objects(spark, sf), 1.0).select("placement_id", "object_id", "i", "j", *R("mx", "my"), "width", "depth", *R("qy", "qw"))
 
@@ -280,8 +281,8 @@ def snap_copies(spark, sf):
 # ------------------------------------------------------------------ inspection
 @query("inspect_point", sql("mask_px photo_px placements library_rows review_log", SQ.S_CODE + "," + BOTH + """,
 pk AS (SELECT part, arg_min(pair_id, rank) AS f FROM idx WHERE patches >= 6 AND cooldown = 0 GROUP BY 1), op AS (SELECT f FROM pk WHERE part='open'),
-pt AS (SELECT p.placement_id, p.image_id, CAST(p.cy AS INTEGER) AS y, CAST(p.cx AS INTEGER) AS x FROM placements p),
-hz AS (SELECT t.placement_id, t.image_id, t.y, t.x, c.junction_id, CASE c.code WHEN 1 THEN 'junction' WHEN 2 THEN 'edge' WHEN 3 THEN 'open' END AS part, d.dist FROM pt t JOIN code c USING (image_id, y, x) LEFT JOIN dt d USING (image_id, y, x))
+ipt AS (SELECT p.placement_id, p.image_id, CAST(p.cy AS INTEGER) AS y, CAST(p.cx AS INTEGER) AS x FROM placements p),
+hz AS (SELECT t.placement_id, t.image_id, t.y, t.x, c.junction_id, CASE c.code WHEN 1 THEN 'junction' WHEN 2 THEN 'edge' WHEN 3 THEN 'open' END AS part, d.dist FROM ipt t JOIN code c USING (image_id, y, x) LEFT JOIN dt d USING (image_id, y, x))
 SELECT h.placement_id, h.part IS NOT NULL AS on_road, h.part, CASE WHEN h.part IS NOT NULL THEN round(coalesce(h.dist, 0e0)*25e-2, 2) END AS edge_m, CASE WHEN h.part='junction' THEN j.type END AS junction_type,
  CASE WHEN h.part IS NOT NULL THEN coalesce(u.pair_id, k.f) END AS pair_id FROM hz h LEFT JOIN tj j ON j.image_id=h.image_id AND j.jid=h.junction_id LEFT JOIN pk k ON k.part=h.part LEFT JOIN idx u ON u.part=h.part AND u.pair_id=(SELECT f FROM op) AND u.patches >= 6 AND u.cooldown = 0""", recursive=True))
 def inspect_point(spark, sf):

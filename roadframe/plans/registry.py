@@ -32,7 +32,7 @@ def _closure(names):
 
 def sql(fixtures: str, body: str, recursive: bool = False) -> str:
     """`body` after the WITH list of the named fixtures; it may go on with further `name AS (...)` items."""
-    parts = [f"{n} AS ({FIXTURE_SQL[n].strip()})" for n in _closure(fixtures.split())]
+    parts = [f"{n} AS MATERIALIZED ({FIXTURE_SQL[n].strip()})" for n in _closure(fixtures.split())]
     body = body.strip()
     tail = body.lower().startswith("select")
     if not parts:
