@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from roadframe.functions.scalars import clip, half_even_int
-from roadframe.operators.common import connected_components, label_regions, materialize, scatter_offsets
+from roadframe.functions.scalars import half_even_int
+from roadframe.operators.common import connected_components, label_regions, materialize
 from roadframe.operators.geometry import in_rotated_rect
+from roadframe.operators.memory import range_rank
 from roadframe.operators.network import IMG
 
 UP_EPS = 2e-4                     # twice the smallest area a half quad may have
@@ -123,8 +124,7 @@ def dash_width_classes(streets: DataFrame, groups: int = 3) -> tuple[DataFrame,
     med = g.groupBy("g").agg(((F.max(F.when(has("r0"), F.col("w"))) + F.max(F.when(has("r1"), F.col("w")))) / 2).alias("m"))
     centres = med.select(F.greatest(F.lit(5), half_even_int(F.col("m") / 5).cast("int") * 5).alias("cm")).distinct()
     near = F.sort_array(F.collect_list("cm"))
-    arr = centres.agg(near.alias("c"))
-    d = streets.join(F.broadcast(arr))
+    d = streets.withColumn("c", centres.agg(near).scalar())
     best = F.array_min(F.transform("c", lambda c: F.struct(F.round(F.abs(c - F.col("width_m") * 100), 6).alias("d"), c.alias("c"))))["c"]
     return centres, d.select("street_id", best.alias("cm"))
 
@@ -135,8 +135,8 @@ def group_faces(tris: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]
     tris(mesh_id, fid, half, a, b, c, owner, keys..): a vertex is repeated per owner, as textures differ by street.
     """
     v = tris.select("mesh_id", *keys, "owner", F.explode(F.array("a", "b", "c")).alias("vid")).distinct()
-    idx = F.row_number().over(W.partitionBy("mesh_id", *keys).orderBy("vid", "owner")) - 1
-    remap = v.withColumn("index", idx)
+    remap = range_rank(v, ["mesh_id", *keys], [F.col("vid").asc(), F.col("owner").asc()], "_n0").withColumn(
+        "index", (F.col("_n0") - 1).cast("int")).drop("_n0")
     d = tris
     for c in "abc":
         d = d.join(remap.select("mesh_id", *keys, "owner", F.col("vid").alias(c), F.col("index").alias(f"i{c}")), ["mesh_id", *keys, "owner", c])

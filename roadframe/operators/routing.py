@@ -179,14 +179,23 @@ def choose_parts(index: DataFrame, asks: DataFrame) -> DataFrame:
     return op.unionByName(choose_pair(index, rest.select("ask_id", "part", "prefer_pair", "primed_rejected")))
 
 
-def rank_move(library: DataFrame, log: DataFrame) -> DataFrame:
-    """What the newest deciding review of each part did: confidence, rejections, rank before and after."""
+def rank_move(library: DataFrame, log: DataFrame, now: DataFrame | None = None) -> DataFrame:
+    """What the newest deciding review of each part did: confidence, rejections, rank before and after.
+
+    `now` is the replayed index if it is at hand. Only the pairs of the newest reviews are replayed without them; all
+    other pairs stood where they stand now.
+    """
     deciding = log.filter(F.col("outcome").isin("accepted", "rejected"))
-    last = deciding.groupBy("part").agg(F.max("step_id").alias("_last"), F.max_by("pair_id", "step_id").alias("pair_id"))
-    before = log.join(F.broadcast(last.select("part", "_last")), "part", "left").filter(
-        F.col("_last").isNull() | (F.col("step_id") != F.col("_last"))).drop("_last")
-    b = M.replay_index(library, before).select("part", "pair_id", F.col("rank").alias("rank_before"))
-    a = M.replay_index(library, log).select("part", "pair_id", "confidence", "rejections", F.col("rank").alias("rank_after"))
+    last = materialize(deciding.groupBy("part").agg(F.max("step_id").alias("_last"), F.max_by("pair_id", "step_id").alias("pair_id")))
+    now = materialize(now if now is not None else M.replay_index(library, log))
+    # one row per part of the road
+    few = F.broadcast(last)
+    before = log.join(few, ["part", "pair_id"]).filter(F.col("step_id") != F.col("_last")).drop("_last")
+    undone = M.replay_index(library.join(F.broadcast(last.select("part", "pair_id")), ["part", "pair_id"], "left_semi"), before, ranked=False)
+    then = now.select("part", "pair_id", "pixels", "weight").join(F.broadcast(last.select("part", "pair_id")), ["part", "pair_id"], "left_anti").unionByName(
+        undone.select("part", "pair_id", "pixels", "weight"))
+    b = M.rerank(then).select("part", "pair_id", F.col("rank").alias("rank_before"))
+    a = now.select("part", "pair_id", "confidence", "rejections", F.col("rank").alias("rank_after"))
     return last.select("part", "pair_id").join(a, ["part", "pair_id"]).join(b, ["part", "pair_id"])
 
 

@@ -215,5 +215,6 @@ def library_choice(spark, sf):
     """Which library each part uses after all reviews, and where the newest review moved a library."""
     lib, log = X.library_rows(spark, sf), X.review_log(spark, sf)
     one = spark.range(1).select(F.lit(0).alias("ask_id"), F.lit(False).alias("primed_rejected"))
-    use = R.choose_parts(M.replay_index(lib, log), one).select("part", F.col("pair_id").alias("used_pair"))
-    return use.join(R.rank_move(lib, log).withColumnRenamed("pair_id", "moved_pair"), "part")
+    now = M.materialize(M.replay_index(lib, log))
+    use = R.choose_parts(now, one).select("part", F.col("pair_id").alias("used_pair"))
+    return use.join(R.rank_move(lib, log, now).withColumnRenamed("pair_id", "moved_pair"), "part")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from roadframe.operators.common import prefix_sum
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -79,9 +81,11 @@ def candidates(spark, sf) -> DataFrame:
 
 
 def polyline(spark, sf) -> DataFrame:
-    n = F.row_number().over(W.partitionBy("user_id").orderBy("event_id"))
-    return table(spark, sf, "events").select(
-        F.col("user_id").alias("street_id"), (n - 1).cast("int").alias("seq"), (F.lit(4.0) * (n - 1)).alias("x"),
+    # points are numbered with a chunked running count, so that one busy street does not fall to a single task
+    d = prefix_sum(table(spark, sf, "events"), ["user_id"], "event_id", F.lit(1), "n")
+    n = F.col("n").cast("int")
+    return d.select(
+        F.col("user_id").alias("street_id"), (n - 1).alias("seq"), (F.lit(4.0) * (n - 1)).alias("x"),
         (F.col("value").cast("double") / 10).alias("y"), (F.lit(3.0) + F.col("event_id") % 5).alias("hw"))
 
 
