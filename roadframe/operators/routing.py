@@ -196,7 +196,9 @@ def rank_move(library: DataFrame, log: DataFrame, now: DataFrame | None = None)
         undone.select("part", "pair_id", "pixels", "weight"))
     b = M.rerank(then).select("part", "pair_id", F.col("rank").alias("rank_before"))
     a = now.select("part", "pair_id", "confidence", "rejections", F.col("rank").alias("rank_after"))
-    return last.select("part", "pair_id").join(a, ["part", "pair_id"]).join(b, ["part", "pair_id"])
+    # a reviewed pair without a library has no confidence and no rank
+    d = last.select("part", "pair_id").join(a, ["part", "pair_id"], "left").join(b, ["part", "pair_id"], "left")
+    return d.withColumn("rejections", F.coalesce("rejections", F.lit(0).cast("bigint")))
 
 
 # ---------------------------------------------------------------- reviews

@@ -156,8 +156,8 @@ def _named(suffix: str) -> str:
 
 @query("rank_move", sql("library_rows review_log", _LAST + "," + BOTH + "," +
                         _named("b").replace("FROM review_log", "FROM (SELECT r.* FROM review_log r LEFT JOIN last l ON l.part = r.part AND l.s = r.step_id WHERE l.s IS NULL) review_log") + """
-SELECT l.part, l.pair_id, i.confidence, i.rejections, b.rank AS rank_before, i.rank AS rank_after FROM last l
-JOIN idx i ON i.part = l.part AND i.pair_id = l.pair_id JOIN idx_b b ON b.part = l.part AND b.pair_id = l.pair_id"""))
+SELECT l.part, l.pair_id, i.confidence, coalesce(i.rejections, 0) AS rejections, b.rank AS rank_before, i.rank AS rank_after FROM last l
+LEFT JOIN idx i ON i.part = l.part AND i.pair_id = l.pair_id LEFT JOIN idx_b b ON b.part = l.part AND b.pair_id = l.pair_id"""))
 def rank_move(spark, sf):
     return R.rank_move(X.library_rows(spark, sf), X.review_log(spark, sf))
 
@@ -209,8 +209,8 @@ def validate_review(spark, sf):
                              _named("b").replace("FROM review_log", "FROM (SELECT r.* FROM review_log r LEFT JOIN last l ON l.part = r.part AND l.s = r.step_id WHERE l.s IS NULL) review_log") + """,
 op AS (SELECT arg_min(pair_id, rank) AS p FROM idx WHERE part='open' AND patches >= 6 AND cooldown = 0),
 pick AS (SELECT part, coalesce(max(pair_id) FILTER (pair_id = (SELECT p FROM op)), arg_min(pair_id, rank)) AS used_pair FROM idx WHERE patches >= 6 AND cooldown = 0 GROUP BY part)
-SELECT l.part, k.used_pair, l.pair_id AS moved_pair, i.confidence, i.rejections, b.rank AS rank_before, i.rank AS rank_after FROM last l JOIN pick k ON k.part = l.part
-JOIN idx i ON i.part = l.part AND i.pair_id = l.pair_id JOIN idx_b b ON b.part = l.part AND b.pair_id = l.pair_id"""))
+SELECT l.part, k.used_pair, l.pair_id AS moved_pair, i.confidence, coalesce(i.rejections, 0) AS rejections, b.rank AS rank_before, i.rank AS rank_after FROM last l JOIN pick k ON k.part = l.part
+LEFT JOIN idx i ON i.part = l.part AND i.pair_id = l.pair_id LEFT JOIN idx_b b ON b.part = l.part AND b.pair_id = l.pair_id"""))
 def library_choice(spark, sf):
     """Which library each part uses after all reviews, and where the newest review moved a library."""
     lib, log = X.library_rows(spark, sf), X.review_log(spark, sf)
