@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from roadframe.llm import exact
+import public_tokenizers as P
+
+from roadframe.llm import bpe, exact, packing, pii
 from roadframe.llm.common import read
 
 QUERIES: dict = {}
@@ -27,3 +29,18 @@ g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP B
 SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.norm) AS text_sha256
 FROM t JOIN g ON t.norm = g.norm
 """
+
+
+@query
+def op7_pii(spark, sf_dir):
+    return pii.find_personal_data(read(spark, sf_dir, "documents")).drop("redacted")
+
+
+@query
+def op9_packing(spark, sf_dir):
+    return packing.pack_documents(read(spark, sf_dir, "documents"), P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+
+
+@query
+def op10_bpe(spark, sf_dir):
+    return bpe.encode_texts(read(spark, sf_dir, "documents"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, with_ids=False)
