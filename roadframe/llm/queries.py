@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers as P
 
-from roadframe.llm import bpe, exact, packing, pii
+from roadframe.llm import bpe, chat, exact, packing, pii, quality, sharding
 from roadframe.llm.common import read
 
 QUERIES: dict = {}
@@ -44,3 +44,18 @@ def op9_packing(spark, sf_dir):
 @query
 def op10_bpe(spark, sf_dir):
     return bpe.encode_texts(read(spark, sf_dir, "documents"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, with_ids=False)
+
+
+@query
+def op2_quality(spark, sf_dir):
+    return quality.quality(read(spark, sf_dir, "documents")).drop("posterior")
+
+
+@query
+def op5_sharding(spark, sf_dir):
+    return sharding.shard(read(spark, sf_dir, "documents"))
+
+
+@query
+def op6_chat(spark, sf_dir):
+    return chat.rotate_perspectives(read(spark, sf_dir, "conversations"))
