@@ -20,8 +20,8 @@ def rotate_perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: s
                         text_col: str = "text", system: tuple[str, ...] = SYSTEM) -> DataFrame:
     """conv_id, perspective, position, turn, speaker, chat_role, segment, start, end, mask_start, mask_end.
 
-    Positions and offsets are code points from 0, ends exclusive; the mask (assistant text and its end mark) is null
-    for other turns. Speakers in `system` keep the system role and have no perspective; a conversation of such turns
+    Positions and offsets are code points from 0, ends exclusive; the mask (assistant text and its end mark) is
+    empty, at the segment's end, for other turns. Speakers in `system` keep the system role and have no perspective; a conversation of such turns
     alone gives no rows. A null speaker is called "unknown", a null text is empty, null conversation ids form one
     conversation and null turns come first. Equal turns are ordered by speaker and text; repeated rows are rendered
     each. Template marks inside a text are broken up by spaces. Other columns are ignored, so their names cannot clash.
@@ -41,5 +41,5 @@ def rotate_perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: s
     masked = F.col("chat_role") == "assistant"
     return placed.select("conv_id", "perspective", "position", "turn", "speaker", "chat_role", "segment", "start",
                          (F.col("start") + F.col("_size")).alias("end"),
-                         F.when(masked, F.col("start") + F.length("_head")).alias("mask_start"),
-                         F.when(masked, F.col("start") + F.col("_size") - 1).alias("mask_end"))
+                         (F.col("start") + F.when(masked, F.length("_head")).otherwise(F.col("_size"))).alias("mask_start"),
+                         (F.col("start") + F.col("_size") - F.when(masked, 1).otherwise(0)).alias("mask_end"))

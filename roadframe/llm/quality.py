@@ -65,7 +65,7 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_words": F.size(w), "word_chars": F.length(F.array_join(w, "")), "n_symbols": _count(t, r"[#*$%&|<>]"),
         "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)), "n_repeat_words": _repeat_words(w),
         "n_lines": F.size(lines), "n_distinct": F.size(F.array_distinct(w)), "n_upper": _count(t, r"\p{Lu}"),
-        "n_exclaim": _count(t, "!"), "n_ended": F.size(F.filter(lines, lambda x: x.rlike(r"[.!?:;\")][\x20\x09-\x0D]*$"))),
+        "n_exclaim": _count(t, "!"), "n_ended": F.size(F.filter(lines, lambda x: x.rlike(r"[.!?:;\")][\x20\x09-\x0D]*\z"))),
         "n_digits": _count(t, "[0-9]"),
     }
     return d.select(*docs.columns, *[c.cast("bigint").alias(f"_q_{n}") for n, c in made.items()])

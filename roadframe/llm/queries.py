@@ -4,14 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers as P
 
-from roadframe.llm import bpe, chat, exact, packing, pii, quality, sharding
+from roadframe.llm import bpe, chat, exact, html, neardup, packing, passages, pii, quality, sharding, twins
 from roadframe.llm.common import read
 
 QUERIES: dict = {}
-ORACLES: dict = {}
-
-LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-
+ORACLES = {"op1_exact_dedup": twins.EXACT, "op2_quality": twins.QUALITY, "op6_chat": twins.CHAT}
 
 def query(fn):
     QUERIES[fn.__name__] = fn
@@ -23,14 +20,6 @@ def op1_exact_dedup(spark, sf_dir):
     return exact.exact_groups(read(spark, sf_dir, "documents"))
 
 
-ORACLES["op1_exact_dedup"] = f"""
-WITH t AS (SELECT doc_id, {LOWER_SQL} AS norm FROM documents),
-g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
-SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.norm) AS text_sha256
-FROM t JOIN g ON t.norm = g.norm
-"""
-
-
 @query
 def op7_pii(spark, sf_dir):
     return pii.find_personal_data(read(spark, sf_dir, "documents")).drop("redacted")
@@ -59,3 +48,18 @@ def op5_sharding(spark, sf_dir):
 @query
 def op6_chat(spark, sf_dir):
     return chat.rotate_perspectives(read(spark, sf_dir, "conversations"))
+
+
+@query
+def op8_minhash(spark, sf_dir):
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query
+def op3_html(spark, sf_dir):
+    return html.main_text(read(spark, sf_dir, "pages"))
+
+
+@query
+def op4_passages(spark, sf_dir):
+    return passages.repeated_passages(read(spark, sf_dir, "documents"))
