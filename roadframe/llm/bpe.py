@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, types as T
 #: Words remembered between slices; beyond it the memory is emptied. Only speed depends on it.
 REMEMBERED = 400_000
 #: Characters of text in one slice.
-SLICE_CHARS = 16_000_000
+SLICE_CHARS = 8_000_000
 
 
 @lru_cache(maxsize=4)
@@ -70,22 +71,31 @@ def _ranges(chars: set[str]) -> str:
 
 
 class Replay:
-    """Encodes words with a rank table by replaying merges over all of them together."""
+    """Encodes words with a rank table by replaying merges over all of them together.
+
+    The words stand one after the other as a list of symbols with links to both neighbours. `index` maps a rank to the
+    places of its pairs. A rank with many places is applied to all of them by array operations; the places of a rare
+    one, and of a rank whose merges depend on their order inside a word, are taken one by one from the left.
+    """
+
+    FEW = 48
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {r: t for t, r in ranks.items()}
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int64)
-        self.pairs: dict[tuple[int, int], int | None] = {}
+        self.pairs: dict[int, int | None] = {}
+        #: Tokens that a token of a lower rank contains as a half: after such a merge a lower rank can come up.
+        self.early = {ranks[h] for t, r in ranks.items() for k in range(1, len(t)) for h in (t[:k], t[k:]) if ranks.get(h, -1) > r}
 
-    def rank_of(self, a: int, b: int) -> int | None:
-        key = (a, b)
+    def rank_of(self, key: int) -> int | None:
+        """Rank of what a pair makes; a pair is first << 20 | second."""
         try:
             return self.pairs[key]
         except KeyError:
             if len(self.pairs) > 4 * REMEMBERED:
                 self.pairs.clear()
-            r = self.pairs[key] = self.ranks.get(self.tokens[a] + self.tokens[b])
+            r = self.pairs[key] = self.ranks.get(self.tokens[key >> 20] + self.tokens[key & 0xFFFFF])
             return r
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
@@ -98,62 +108,105 @@ class Replay:
                 rest.append(k)
             else:
                 out[k] = [r]
+        rest = [k for k in rest if words[k]]
         if not rest:
-            return out
-        sizes = [len(words[k]) for k in rest]
-        sym = self.byte[np.frombuffer(b"".join(words[k] for k in rest), dtype=np.uint8)].tolist()
-        n = len(sym)
-        nxt, prv, word = list(range(1, n + 1)), list(range(-1, n - 1)), np.repeat(np.arange(len(rest)), sizes).tolist()
-        at = 0
-        for size in sizes:
-            prv[at] = -1
-            at += size
-            nxt[at - 1] = -1
-        index: dict[int, list[int]] = {}
-        for i in range(n):
-            j = nxt[i]
-            if j >= 0 and (r := self.rank_of(sym[i], sym[j])) is not None:
-                index.setdefault(r, []).append(i)
-        heap = list(index)
-        heapq.heapify(heap)
-        while heap:
-            r = heapq.heappop(heap)
-            places = index.pop(r, None)
+            return [x or [] for x in out]
+        sizes = np.array([len(words[k]) for k in rest])
+        start = self.byte[np.frombuffer(b"".join(words[k] for k in rest), dtype=np.uint8)]
+        n = len(start)
+        ends = np.cumsum(sizes)
+        after = np.arange(1, n + 1)
+        before = np.arange(-1, n - 1)
+        after[ends - 1] = -1
+        before[ends - sizes] = -1
+        # one memory for single places (fast in Python) and for whole arrays of places
+        self.sym, self.nxt, self.prv = (array("q", x.tobytes()) for x in (start, after, before))
+        self.word = np.repeat(np.arange(len(rest)), sizes)
+        self.index: dict[int, list] = {}
+        self.heap: list[int] = []
+        at = np.flatnonzero(after >= 0)
+        self._add(at, start[at] << 20 | start[at + 1])
+        while self.heap:
+            r = heapq.heappop(self.heap)
+            places = self.index.pop(r, None)
             if places is None:
                 continue
-            places.sort()
-            later, waiting = [], set()
-            for i in places:
-                j = nxt[i] if sym[i] >= 0 else -1
-                if j < 0 or self.rank_of(sym[i], sym[j]) != r:
-                    continue  # a neighbour has changed since
-                if word[i] in waiting:
-                    later.append(i)
-                    continue
-                after = nxt[j]
-                sym[i], sym[j], nxt[i] = r, -1, after
-                if after >= 0:
-                    prv[after] = i
-                for left, right in ((prv[i], i), (i, after)):
-                    if left >= 0 and right >= 0 and (q := self.rank_of(sym[left], sym[right])) is not None:
-                        if q not in index:
-                            index[q] = []
-                            heapq.heappush(heap, q)
-                        index[q].append(left)
-                        if q < r:  # comes before the other places of r in this word
-                            waiting.add(word[i])
-            if later:
-                index.setdefault(r, []).extend(later)
-                heapq.heappush(heap, r)
-        at = 0
-        for k, size in zip(rest, sizes):
+            if len(places) <= self.FEW and all(type(p) is int for p in places):
+                self._one_by_one(r, sorted(set(places)))
+            else:
+                self._together(r, np.unique(np.concatenate([np.atleast_1d(p) for p in places])))
+        sym, nxt = self.sym, self.nxt
+        for k, at in zip(rest, (ends - sizes).tolist()):
             ids, i = [], at
             while i >= 0:
                 ids.append(sym[i])
                 i = nxt[i]
             out[k] = ids
-            at += size
-        return out
+        return [x or [] for x in out]
+
+    def _add(self, at: np.ndarray, keys: np.ndarray) -> None:
+        """Index the pairs `keys` at the places `at`."""
+        order = np.argsort(keys, kind="stable")
+        at, keys = at[order], keys[order]
+        cuts = np.flatnonzero(np.diff(keys, prepend=-1)).tolist()
+        for a, z in zip(cuts, [*cuts[1:], len(keys)]):
+            q = self.rank_of(int(keys[a]))
+            if q is not None:
+                if q not in self.index:
+                    self.index[q] = []
+                    heapq.heappush(self.heap, q)
+                if z - a > 8:
+                    self.index[q].append(at[a:z])
+                else:
+                    self.index[q].extend(at[a:z].tolist())
+
+    def _together(self, r: int, at: np.ndarray) -> None:
+        sym, nxt, prv = (np.frombuffer(x, np.int64) for x in (self.sym, self.nxt, self.prv))
+        at = at[(sym[at] >= 0) & (nxt[at] >= 0)]
+        second = nxt[at]
+        keys = sym[at] << 20 | sym[second]
+        good = [k for k in np.unique(keys).tolist() if self.rank_of(k) == r]
+        if not good:
+            return
+        if len(good) > 1 or good[0] >> 20 == good[0] & 0xFFFFF or r in self.early:
+            self._one_by_one(r, at.tolist())
+            return
+        hold = keys == good[0]
+        at, second = at[hold], second[hold]
+        after = nxt[second]
+        sym[at], sym[second], nxt[at] = r, -1, after
+        on = after >= 0
+        prv[after[on]] = at[on]
+        left = prv[at]
+        back = left >= 0
+        self._add(np.concatenate([left[back], at[on]]), np.concatenate([sym[left[back]] << 20 | r, r << 20 | sym[after[on]]]))
+
+    def _one_by_one(self, r: int, places: list[int]) -> None:
+        sym, nxt, prv, index = self.sym, self.nxt, self.prv, self.index
+        later, waiting = [], set()
+        for i in places:
+            j = nxt[i] if sym[i] >= 0 else -1
+            if j < 0 or self.rank_of(sym[i] << 20 | sym[j]) != r:
+                continue  # a neighbour has changed since
+            if waiting and self.word[i] in waiting:
+                later.append(i)
+                continue
+            after = nxt[j]
+            sym[i], sym[j], nxt[i] = r, -1, after
+            if after >= 0:
+                prv[after] = i
+            before = prv[i]
+            for place, key in ((before, sym[before] << 20 | r if before >= 0 else -1), (i, r << 20 | sym[after] if after >= 0 else -1)):
+                if key >= 0 and (q := self.rank_of(key)) is not None:
+                    if q not in index:
+                        index[q] = []
+                        heapq.heappush(self.heap, q)
+                    index[q].append(place)
+                    if q < r:  # comes before the other places of r in this word
+                        waiting.add(self.word[i])
+        if later:
+            index.setdefault(r, []).extend(later)
+            heapq.heappush(self.heap, r)
 
 
 def slices(texts: list, limit: int = SLICE_CHARS):
