@@ -26,6 +26,10 @@ LABELLED = [
     [(0, 0, 0, 2, 0.0, 0), (0, 0, 0, 3, 1.0, 0), (0, 0, 0, 4, 1.0, 0), (0, 0, 1, 6, 0.0, 1), (0, 0, 0, 110, 0.0, 1), (0, 0, 0, 25, 0.0, 1), (0, 0, 0, 35, 0.1, 1), (0, 0, 0, 7, 0.5, 0), (0, 0, 0, 8, 0.6, 0), (0, 0, 0, 9, 0.7, 0)],
     [(0, 0, 0, 3, 0.0, 0), (0, 0, 0, 12, 0.8, 0), (0, 0, 0, 30, 0.9, 0), (0, 0, 1, 10, 0.0, 1), (0, 0, 0, 30, 0.0, 1), (0, 0, 0, 28, 0.0, 1), (0, 0, 0, 200, 0.05, 1), (0, 1, 0, 55, 0.0, 0), (0, 1, 0, 35, 0.0, 0), (0, 0, 0, 25, 0.7, 0), (0, 0, 0, 4, 0.0, 0)],
     [(0, 0, 1, 3, 1.0, 0), (0, 0, 0, 20, 1.0, 0), (0, 0, 0, 75, 0.0, 1), (0, 0, 0, 50, 0.2, 1), (0, 0, 0, 40, 0.8, 0), (0, 0, 0, 45, 0.7, 0)],
+    [(0, 0, 0, 24, 0.0, 1)],
+    [(0, 0, 1, 5, 0.0, 1), (0, 0, 0, 20, 0.0, 1), (0, 0, 0, 16, 0.0, 1), (0, 0, 0, 30, 0.0, 1)],
+    [(0, 0, 0, 2, 1.0, 0), (0, 0, 0, 24, 0.0, 1), (0, 0, 0, 50, 0.1, 1), (0, 0, 0, 3, 1.0, 0)],
+    [(0, 0, 0, 100, 0.0, 1), (0, 0, 0, 22, 0.0, 1), (0, 0, 0, 3, 1.0, 0)],
     [(0, 1, 1, 2, 0.0, 0), (0, 1, 0, 60, 0.0, 0), (0, 1, 0, 30, 0.2, 0), (0, 1, 1, 9, 0.0, 0), (0, 1, 0, 120, 0.0, 0), (1, 0, 0, 10, 0.0, 1)],
 ]
 
