@@ -29,9 +29,10 @@ def record_step(log: DataFrame, new: DataFrame) -> DataFrame:
     return log.unionByName(new.join(log.select("step_id"), "step_id", "left_anti").select(*log.columns))
 
 
-def steps(log: DataFrame, kind: str | None = None, limit: int = 200) -> DataFrame:
+def steps(log: DataFrame, kind: str | None = None, limit: int | None = None) -> DataFrame:
     d = log if kind is None else log.filter(F.col("kind") == kind)
-    return d.orderBy(F.desc("step_id")).limit(limit)
+    d = d.orderBy(F.desc("step_id"))
+    return d if limit is None else d.limit(limit)
 
 
 def images(catalog: DataFrame, role: str | None = None) -> DataFrame:
@@ -114,13 +115,17 @@ def tree_as_of(versions: DataFrame, moments: DataFrame) -> DataFrame:
 
 
 def restore_tree(versions: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Append a copy of version `restore` of each wanted(name, restore) tree as its newest version."""
+    """Append a copy of version `restore` of each wanted(name, restore) row as a new version of its tree.
+
+    Several restores of one tree are numbered in order of their version, each with a step of its own.
+    """
     top = versions.groupBy("name").agg(F.max("version").alias("_top"), F.max("step_id").alias("_step"))
-    w = wanted.select("name", F.col("restore").alias("version"))
+    nth = F.row_number().over(W.partitionBy("name").orderBy("restore"))  # a request list, small per tree
+    w = wanted.select("name", F.col("restore").alias("version"), nth.cast("bigint").alias("_nth"))
     return (versions.join(w, ["name", "version"]).join(top, "name")
-            .select("name", (F.col("_top") + 1).alias("version"),
+            .select("name", (F.col("_top") + F.col("_nth")).alias("version"),
                     F.concat(F.lit("restored from version "), F.col("version").cast("string")).alias("source"),
-                    "data", (F.col("_step") + 1).alias("step_id")))
+                    "data", (F.col("_step") + F.col("_nth")).alias("step_id")))
 
 
 # ---------------------------------------------------------------- trained pairs

@@ -326,11 +326,11 @@ def border_arms(js: DataFrame, road: DataFrame, dims: DataFrame, arms: DataFrame
     other = arms.select(IMG, "root", F.col("angle").alias("_a"))
     taken = c.join(other, [IMG, "root"]).filter(circular_gap(F.col("angle"), F.col("_a")) <= apart).select(IMG, "root", "label").distinct()
     free = c.join(taken, [IMG, "root", "label"], "left_anti")
-    # a later cluster gives way to an accepted earlier one
-    w = W.partitionBy(IMG, "root").orderBy("label")
-    seen = F.collect_list("angle").over(w.rowsBetween(W.unboundedPreceding, -1))
-    ok = F.forall(seen, lambda s: circular_gap(F.col("angle"), s) > apart)
-    return free.withColumn("_ok", ok).filter("_ok").select(
+    # a later cluster gives way to an accepted earlier one; the rim inside one disc has a handful of clusters
+    one = free.groupBy(IMG, "root").agg(F.sort_array(F.collect_list(F.struct("label", "angle", "width_px"))).alias("all"))
+    accept = F.aggregate("all", F.slice("all", 1, 0), lambda kept, c: F.when(
+        F.forall(kept, lambda k: circular_gap(c["angle"], k["angle"]) > apart), F.concat(kept, F.array(c))).otherwise(kept))
+    return one.select(IMG, "root", F.inline(accept)).select(
         IMG, "root", F.lit(None).cast("bigint").alias("segment"), "angle", "width_px", F.lit(True).alias("off_image"))
 
 

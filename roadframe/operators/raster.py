@@ -329,9 +329,9 @@ def noise_features(gray: DataFrame) -> DataFrame:
 
 
 def isolate_noise(clean: DataFrame, noisy: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(difference pixels, images refused because their sizes differ)."""
+    """(difference pixels, images refused because their sizes differ or one side is missing)."""
     a, b = dims(clean), dims(noisy).withColumnsRenamed({"h": "h2", "w": "w2"})
-    bad = a.join(b, IMG).filter("h <> h2 or w <> w2").select(IMG, "h", "w", "h2", "w2")
+    bad = a.join(b, IMG, "full").filter("NOT (h <=> h2 AND w <=> w2)").select(IMG, "h", "w", "h2", "w2")
     tot = lambda d, n: d.select(IMG, "y", "x", (F.col("r") + F.col("g") + F.col("b")).alias(n))
     diff = tot(clean, "ta").join(tot(noisy, "tb"), [IMG, "y", "x"]).join(bad.select(IMG), IMG, "left_anti").select(
         IMG, "y", "x", F.least(F.lit(255), F.abs(F.col("ta") - F.col("tb"))).alias("v"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from roadframe.operators.common import CHUNK, materialize
@@ -12,20 +14,24 @@ KERB_BRANCH = 1.5                   # metres
 
 
 # ---------------------------------------------------------------- trees
-def index_routes(nodes: DataFrame, max_depth: int = 16) -> DataFrame:
+def index_routes(nodes: DataFrame) -> DataFrame:
     """Leaf routes of every tree with their path, and the primed fallback of a leaf as a route of its own.
 
-    nodes(tree, node, parent, answer, route_id, primed_id). One join per level, until a level is empty.
+    nodes(tree, node, parent, answer, route_id, primed_id). One join per level, until a level is empty. A tree cannot be
+    deeper than it has nodes; one that seems to be has a cycle, which is an error.
     """
     level = nodes.filter("parent is null").select("tree", "node", F.lit("").alias("path"), "route_id", "primed_id")
     found = level.filter("route_id is not null")
-    for _ in range(max_depth):
+    deepest = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    for depth in itertools.count(1):
         up = level.filter("route_id is null").select("tree", F.col("node").alias("parent"), F.col("path").alias("_up"))
         level = materialize(nodes.join(up, ["tree", "parent"]).select(
             "tree", "node", F.concat_ws("/", F.when(F.col("_up") != "", F.col("_up")), "answer").alias("path"),
             "route_id", "primed_id"))
         if level.isEmpty():
             break
+        if depth >= deepest:
+            raise ValueError("a tree has a cycle")
         found = found.unionByName(level.filter("route_id is not null"))
     primed = found.filter("primed_id is not null").select(
         "tree", "path", F.col("primed_id").alias("route_id"), F.lit(True).alias("is_primed"))

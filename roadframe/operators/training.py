@@ -13,14 +13,14 @@ IMG = "image_id"
 # fixed values of the training rules
 EDGE_METRES = 1.5
 MIN_PATCHES = 6
-MERGED_CAP = 300
 DEFAULT_WIDTH = 8.0
 
 
 def check_alignment(mask: DataFrame, photo: DataFrame) -> DataFrame:
+    """Sizes of each mask and its photo; an image that only one side has is not ok, and the missing sizes are null."""
     a, b = A.dims(mask), A.dims(photo).withColumnsRenamed({"h": "photo_h", "w": "photo_w"})
     ok = (F.col("h") == F.col("photo_h")) & (F.col("w") == F.col("photo_w"))
-    return a.join(b, IMG).select(IMG, "h", "w", "photo_h", "photo_w", ok.alias("ok"))
+    return a.join(b, IMG, "full").select(IMG, "h", "w", "photo_h", "photo_w", F.coalesce(ok, F.lit(False)).alias("ok"))
 
 
 def kerb_band(sk: DataFrame, dt: DataFrame, images: DataFrame, mpp: float) -> DataFrame:
@@ -189,19 +189,25 @@ def accumulate_groups(measured: DataFrame) -> DataFrame:
                     (F.col("c") / n).alias("contrast"), "pairs", "skipped")
 
 
-def merge_shares(libs: DataFrame, cap: int = MERGED_CAP) -> DataFrame:
-    """libs(part, pair_id, pixels, patches, size_px): patches each pair gives to a merged library of the part."""
-    tot = libs.groupBy("part").agg(F.sum("pixels").alias("_t"), F.percentile("size_px", F.lit(0.5)).cast("int").alias("common_size"))
-    want = F.greatest(F.lit(1), F.bround(F.col("pixels") / F.col("_t") * cap, 0).cast("bigint"))
-    d = libs.join(tot, "part").withColumn("taken", F.least(want, F.col("patches"))).drop("_t")
-    # every pair gives at least one patch, so only the first `cap` pairs can matter
-    d = range_rank(d, ["part"], [F.col("pair_id").asc()], "_pos").filter(F.col("_pos") <= cap)
-    run = F.sum("taken").over(W.partitionBy("part").orderBy("_pos").rowsBetween(W.unboundedPreceding, -1))
-    left = F.lit(cap) - F.coalesce(run, F.lit(0))
-    return d.withColumn("kept", F.greatest(F.lit(0), F.least(F.col("taken"), left)).cast("bigint")).drop("_pos")
-
+def merge_shares(libs: DataFrame, cap: int | None = None) -> DataFrame:
+    """libs(part, pair_id, pixels, patches, size_px): how many patches each pair gives (`kept`) to a merged library.
 
-def merge_libraries(libs: DataFrame, cap: int = MERGED_CAP) -> DataFrame:
+    Without a cap every pair gives all its patches. A cap is shared over all pairs of the part by pixels, with the
+    largest remainders rounded up; a pair never gives more than it has.
+    """
+    tot = libs.groupBy("part").agg(F.sum("pixels").alias("_t"), F.percentile("size_px", F.lit(0.5)).cast("int").alias("common_size"))
+    d = libs.join(tot, "part")
+    if cap is None:
+        return d.withColumn("kept", F.col("patches").cast("bigint")).drop("_t")
+    share = F.col("pixels") * F.lit(cap).cast("bigint")
+    d = d.withColumn("_base", F.expr(f"(pixels * {cap}L) div _t")).withColumn("_rest", share % F.col("_t"))
+    given = d.groupBy("part").agg((F.lit(cap) - F.sum("_base")).alias("_spare"))
+    d = range_rank(d, ["part"], [F.col("_rest").desc(), F.col("pair_id").asc()], "_pos").join(given, "part")
+    kept = F.least(F.col("_base") + (F.col("_pos") <= F.col("_spare")).cast("bigint"), F.col("patches"))
+    return d.withColumn("kept", kept.cast("bigint")).drop("_t", "_base", "_rest", "_pos", "_spare")
+
+
+def merge_libraries(libs: DataFrame, cap: int | None = None) -> DataFrame:
     """Chosen patches (part, pair_id, patch): a hashed sample without replacement of each pair's share."""
     s = merge_shares(libs, cap)
     d = s.withColumn("patch", F.explode(F.sequence(F.lit(0), (F.col("patches") - 1).cast("int"))))

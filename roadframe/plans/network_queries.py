@@ -114,7 +114,12 @@ S_BORDER = S_ARM + f""", rim AS (SELECT r.image_id*100000000 + CAST(floor(j.root
  WHERE (r.y IN (0, 63) OR r.x IN (0, 63)) AND (r.y-j.cy)*(r.y-j.cy)+(r.x-j.cx)*(r.x-j.cx) <= (j.r+8)*(j.r+8)),""" + regions_sql("bl", "rim", True) + f""",
 bc AS (SELECT t.img AS image_id, t.root, b.label, {_ANG('avg(t.y)-any_value(t.cy)', 'avg(t.x)-any_value(t.cx)')} AS angle, CAST(count(*) AS DOUBLE) AS width_px FROM rim t JOIN bl b USING (image_id, y, x) GROUP BY 1, 2, 3),
 bf AS (SELECT c.* FROM bc c WHERE NOT EXISTS (SELECT 1 FROM arms1 a WHERE a.image_id=c.image_id AND a.root=c.root AND abs(((c.angle-a.angle+180+360) % 360) - 180) <= 25)),
-bk AS (SELECT c.* FROM bf c WHERE NOT EXISTS (SELECT 1 FROM bf o WHERE o.image_id=c.image_id AND o.root=c.root AND o.label < c.label AND abs(((c.angle-o.angle+180+360) % 360) - 180) <= 25)),
+bo AS (SELECT *, row_number() OVER (PARTITION BY image_id, root ORDER BY label) AS n FROM bf),
+bg AS (SELECT image_id, root, n, angle, width_px, true AS good, [angle] AS kept FROM bo WHERE n = 1
+ UNION ALL SELECT image_id, root, n, angle, width_px, good, CASE WHEN good THEN list_append(kept, angle) ELSE kept END FROM
+ (SELECT b.image_id, b.root, b.n, b.angle, b.width_px, len([k FOR k IN g.kept IF abs(((b.angle-k+180+360) % 360) - 180) <= 25]) = 0 AS good, g.kept
+  FROM bg g JOIN bo b ON b.image_id=g.image_id AND b.root=g.root AND b.n = g.n + 1)),
+bk AS (SELECT * FROM bg WHERE good),
 arms AS (SELECT image_id, root, segment, angle, width_px, false AS off_image FROM arms1 UNION ALL SELECT image_id, root, NULL, angle, width_px, true FROM bk)"""
 S_GAP = S_BORDER + """, gp AS (SELECT *, coalesce(lead(angle) OVER w, first_value(angle) OVER w) AS nx FROM arms WINDOW w AS (PARTITION BY image_id, root ORDER BY angle, coalesce(segment, -1))),
 gaps AS (SELECT image_id, root, segment, angle, width_px, off_image, round((nx - angle + 360) % 360, 1) AS gap FROM gp)"""

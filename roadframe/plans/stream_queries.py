@@ -29,8 +29,9 @@ def log_stream(spark, sf):
 @query("stream_replay_index", sql("library_rows review_log", BOTH + " SELECT part, pair_id, confidence, rejections, acceptances FROM idx WHERE rejections + acceptances > 0"))
 def stream_replay_index(spark, sf):
     out = S.new_folder(spark, "index")
-    S.run_available(S.stream_replay_index(log_stream(spark, sf), X.library_rows(spark, sf)), "update", out)
-    return S.latest(spark, out, ["part", "pair_id"]).drop("too_late")
+    library = X.library_rows(spark, sf)
+    S.run_available(S.stream_replay_index(log_stream(spark, sf), library), "update", out)
+    return S.settle_late(S.latest(spark, out, ["part", "pair_id"]), X.review_log(spark, sf), library).drop("too_late")
 
 
 @query("stream_situations", sql("review_log", ATTEMPTS + " SELECT key, arg_min(part, step_id) AS features, CAST(epoch_us(min(ts)) AS BIGINT) AS first_us, CAST(epoch_us(max(ts)) AS BIGINT) AS last_us, count(*) AS seen FROM attempts GROUP BY key"))
@@ -58,12 +59,12 @@ def stream_new_pairs(spark, sf):
     # the whole table as a stream of one file
     src = spark.readStream.schema(l.schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf)
     out = S.new_folder(spark, "pairs")
-    S.append_to(S.stream_new_pairs(pick(src, "l_tax"), pick(l, "l_discount")), out)
-    return spark.read.parquet(out)
+    S.append_new_pairs(pick(src, "l_tax"), pick(l, "l_discount"), out)
+    return spark.read.parquet(out).drop("batch")
 
 
 @query("stream_append_log", sql("review_log", "SELECT step_id, part, pair_id, outcome, payload, value FROM review_log"))
 def stream_append_log(spark, sf):
     out = S.new_folder(spark, "appended")
-    S.append_to(S.stream_append_log(log_stream(spark, sf)), out)
+    S.append_once(log_stream(spark, sf), out, "step_id")
     return spark.read.parquet(out).select("step_id", "part", "pair_id", "outcome", "payload", "value")

@@ -13,7 +13,7 @@ from roadframe.plans.stages import stage
 from roadframe.sources import fixtures as X
 
 R = lambda *cs: [F.round(c, 6).alias(c) for c in cs]
-N_PATCH = 400
+N_PATCH = "(SELECT count(*) FROM embeddings)"  # all patches of the library
 
 
 def canvas(spark, sf):
@@ -27,7 +27,7 @@ def patches(spark, sf):
 
 _A, _B = mix("image_id", "7"), "(gy*65536+gx)*8"
 PLACE = f"""pc AS (SELECT s_suppkey AS image_id, CAST(a.i AS INTEGER) AS gy, CAST(b.i AS INTEGER) AS gx FROM supplier CROSS JOIN range(14) AS a(i) CROSS JOIN range(14) AS b(i)),
-pl AS (SELECT image_id, gy, gx, CAST(gy*6 - 8 + {pick(_A, _B, '5')} - 2 AS INTEGER) AS y, CAST(gx*6 - 8 + {pick(_A, _B + '+1', '5')} - 2 AS INTEGER) AS x, CAST({pick(_A, _B + '+2', str(N_PATCH))} AS INTEGER) AS patch,
+pl AS (SELECT image_id, gy, gx, CAST(gy*6 - 8 + {pick(_A, _B, '5')} - 2 AS INTEGER) AS y, CAST(gx*6 - 8 + {pick(_A, _B + '+1', '5')} - 2 AS INTEGER) AS x, CAST({pick(_A, _B + '+2', N_PATCH)} AS INTEGER) AS patch,
  CAST({pick(_A, _B + '+3', '4')} AS INTEGER) AS k, CAST({pick(_A, _B + '+4', '2')} AS INTEGER) AS flip FROM pc)"""
 LAYER = PLACE + """, pp AS (SELECT vec_id AS patch, y AS py, x AS px, v FROM patch_px WHERE v > -1e-1),
 o1 AS (SELECT l.image_id, l.y, l.x, l.flip, v, CASE l.k WHEN 0 THEN py WHEN 1 THEN 7-px WHEN 2 THEN 7-py ELSE px END AS oy, CASE l.k WHEN 0 THEN px WHEN 1 THEN py WHEN 2 THEN 7-px ELSE 7-py END AS ox0 FROM pl l JOIN pp USING (patch)),
@@ -37,7 +37,7 @@ layer AS (SELECT image_id, y, x, sum(v*w)/sum(w) AS v FROM o3 WHERE y BETWEEN 0
 
 
 def places(spark, sf):
-    return S.place_patches(canvas(spark, sf), 8, N_PATCH)
+    return S.place_patches(canvas(spark, sf), 8, X.table(spark, sf, "embeddings").count())
 
 
 def layer(spark, sf):

@@ -209,16 +209,24 @@ def train_incremental(spark, sf):
     return T.train_incremental(asked, kept_pairs(spark, sf))
 
 
-@query("merge_libraries", sql("library_rows", f"""
+MERGED = f"""
 t AS (SELECT part, sum(pixels) AS t, CAST(trunc(quantile_cont(size_px, 5e-1)) AS INTEGER) AS cs FROM library_rows GROUP BY 1),
-w AS (SELECT l.*, t.cs, least(l.patches, greatest(1, CAST(round_even(l.pixels/CAST(t.t AS DOUBLE)*300, 0) AS BIGINT))) AS taken FROM library_rows l JOIN t USING (part)),
-k AS (SELECT *, greatest(0, least(taken, 300 - coalesce(sum(taken) OVER (PARTITION BY part ORDER BY pair_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS kept FROM w),
+w AS (SELECT l.*, t.t, t.cs, CAST(l.pixels*300 // t.t AS BIGINT) AS base, l.pixels*300 % t.t AS rest FROM library_rows l JOIN t USING (part)),
+k AS (SELECT *, least(patches, base + CASE WHEN row_number() OVER (PARTITION BY part ORDER BY rest DESC, pair_id) <= 300 - sum(base) OVER (PARTITION BY part) THEN 1 ELSE 0 END) AS kept FROM w),
 p AS (SELECT k.part, k.pair_id, k.cs, k.kept, r.i AS patch, row_number() OVER (PARTITION BY k.part, k.pair_id ORDER BY {mix('k.pair_id', 'r.i')}, r.i) AS rn FROM k JOIN range(100000) AS r(i) ON r.i < k.patches)
-SELECT part, pair_id, CAST(patch AS INTEGER) AS patch, cs AS common_size FROM p WHERE rn <= kept"""))
+SELECT part, pair_id, CAST(patch AS INTEGER) AS patch, cs AS common_size FROM p WHERE """
+
+
+@query("merge_libraries", sql("library_rows", MERGED + "true"))
 def merge_libraries(spark, sf):
     return T.merge_libraries(X.library_rows(spark, sf))
 
 
+@query("merge_libraries_capped", sql("library_rows", MERGED + "rn <= kept"))
+def merge_libraries_capped(spark, sf):
+    return T.merge_libraries(X.library_rows(spark, sf), 300)
+
+
 @query("upgrade_routes", sql("tree_leaf library_rows", """
 m AS (SELECT part, count(*) FILTER (patches >= 190) AS pairs, CAST(sum(pixels) FILTER (patches >= 190) AS BIGINT) AS px FROM library_rows GROUP BY 1),
 r AS (SELECT t.*, CASE WHEN tree='lines' THEN 'lines' ELSE split_part(route_id, '.', 2) END AS part FROM tree_leaf t)

@@ -10,11 +10,12 @@ import os
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from roadframe.operators.common import checkpoint_root
-from roadframe.operators.memory import CAP, FLOOR, SCALE, STEP_UP
+from roadframe.operators.memory import CAP, FLOOR, SCALE, STEP_UP, replay_index
 
 
 def read_log(spark: SparkSession, path: str, schema, files_per_trigger: int = 4) -> DataFrame:
@@ -58,7 +59,7 @@ def stream_replay_index(log: DataFrame, library: DataFrame, horizon: int = 65536
 
     State per pair: the confidence settled up to a step, and the reviews of the last `horizon` steps. A late row inside
     the horizon is put in its place and the tail is applied again; a repeated step is ignored; a row older than the
-    horizon cannot be placed any more and is reported in `too_late`. Step ids are unique, which bounds the tail.
+    horizon is counted in `too_late`, and `settle_late` replays its pair exactly. Step ids are unique, which bounds the tail.
     """
     start = library.select("part", "pair_id", F.bround(F.col("confidence0") * SCALE, 0).cast("int").alias("u0"))
     ev = log.filter(F.col("outcome").isin("accepted", "rejected")).select("part", "pair_id", "step_id", "outcome").join(start, ["part", "pair_id"])
@@ -106,22 +107,56 @@ def stream_summary(log: DataFrame) -> DataFrame:
     return log.groupBy("part", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-def stream_new_pairs(requests: DataFrame, trained: DataFrame) -> DataFrame:
-    """Requests not seen before in the stream and not trained already. Scales are compared in tolerance cells."""
-    cell = lambda c: F.bround(F.col(c) * 1e6, 0).cast("bigint").alias("cell")
-    r = requests.select("request_id", "mask_id", "photo_id", "scale", cell("scale"))
-    t = trained.select("mask_id", "photo_id", cell("scale")).distinct()
-    return r.dropDuplicates(["mask_id", "photo_id", "cell"]).join(t, ["mask_id", "photo_id", "cell"], "left_anti").select("mask_id", "photo_id", "scale")
+def _written(spark: SparkSession, out: str, batch_id: int) -> DataFrame | None:
+    """What other batches have written so far."""
+    try:
+        return spark.read.parquet(out).filter(F.col("batch") != batch_id).drop("batch")
+    except AnalysisException:
+        return None
 
 
-def stream_append_log(log: DataFrame, late: str = "30 days") -> DataFrame:
-    """Append with repeats removed: a row repeated within the lateness bound is written once."""
-    d = log.withColumn("ts", F.col("ts").cast("timestamp"))
-    return d.withWatermark("ts", late).dropDuplicatesWithinWatermark(["step_id"])
+def append_new_pairs(requests: DataFrame, trained: DataFrame, out: str, tol: float = 1e-6) -> None:
+    """Append requests whose (mask, photo, scale) is neither trained nor written before, within `tol`.
 
+    Known scales stand in their own and both neighbouring cells, so the check is an equi-join and then exact. Scales of
+    one batch that follow each other closer than `tol` count as one, the smallest. The sink is the only state.
+    """
+    spark = requests.sparkSession
+    cell = F.floor(F.col("scale") / (2 * tol)).cast("bigint")
+    pair = ["mask_id", "photo_id"]
 
-def append_to(stream: DataFrame, out: str) -> None:
-    """Exactly-once file sink."""
-    q = (stream.writeStream.outputMode("append").format("parquet").option("path", out)
-         .option("checkpointLocation", out + "-offsets").trigger(availableNow=True).start())
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        gap = F.col("scale") - F.lag("scale").over(W.partitionBy(*pair).orderBy("scale", "request_id"))
+        first = batch.withColumn("_gap", gap).filter(F.col("_gap").isNull() | (F.col("_gap") >= tol)).select(*pair, "scale", cell.alias("_cell"))
+        held = _written(spark, out, batch_id)
+        known = trained.select(*pair, "scale") if held is None else trained.select(*pair, "scale").unionByName(held)
+        known = known.select(*pair, F.col("scale").alias("_known"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("_cell"))
+        near = [first[c] == known[c] for c in [*pair, "_cell"]] + [F.abs(first["scale"] - known["_known"]) < tol]
+        first.join(known, near, "left_anti").select(*pair, "scale").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    requests.writeStream.foreachBatch(sink).option("checkpointLocation", out + "-offsets").trigger(availableNow=True).start().awaitTermination()
+
+
+def append_once(stream: DataFrame, out: str, key: str) -> None:
+    """Append every row whose key the sink does not hold yet, however late it comes.
+
+    Each batch is checked against the keys written by the other batches, so no lateness bound and no growing state is
+    needed; a repeated batch replaces its own folder.
+    """
+    spark = stream.sparkSession
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        new, held = batch.dropDuplicates([key]), _written(spark, out, batch_id)
+        new = new if held is None else new.join(held.select(key), key, "left_anti")
+        new.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", out + "-offsets").trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def settle_late(index: DataFrame, log: DataFrame, library: DataFrame) -> DataFrame:
+    """The streamed index with the pairs that had reviews beyond the horizon replayed in batch from the whole log."""
+    late = index.filter("too_late > 0").select("part", "pair_id")
+    again = replay_index(library.join(late, ["part", "pair_id"], "left_semi"), log.join(late, ["part", "pair_id"], "left_semi"), ranked=False)
+    settled = again.select("part", "pair_id", "confidence", "rejections", "acceptances", F.lit(0).cast("bigint").alias("too_late"))
+    return index.filter("too_late = 0").unionByName(settled)
