@@ -34,10 +34,18 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new folder below the shared one, removed when the application ends."""
+    path = os.path.join(checkpoint_root(spark), uuid.uuid4().hex)
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write once to the shared checkpoint folder and read back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = os.path.join(checkpoint_root(spark), uuid.uuid4().hex)
+    path = scratch_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
