@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from roadframe.operators.common import checkpoint_root
+from roadframe.operators.common import scratch_path
 
 #: ASCII white space: everything that the word pattern [^\x20\x09-\x0D]+ leaves out.
 SPACE = " \t\n\x0b\f\r"
@@ -21,7 +18,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """Write once below spark.checkpoint.dir and read back: later uses see one fixed result and survive lost executors."""
     spark = df.sparkSession
-    path = os.path.join(checkpoint_root(spark), uuid.uuid4().hex)
+    path = scratch_path(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
