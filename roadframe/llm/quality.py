@@ -17,17 +17,21 @@ WINDOW = 5
 #: rule -> (feature, bad when, good when); a document between both, or without the feature, makes the rule abstain.
 RULES = {
     "symbols": ("n_symbols / n_words", "> 0.2", "< 0.05"),
-    "repeats": ("n_repeat_words / n_words", "> 0.3", "< 0.1"),
+    "runs": ("n_run_chars / n_words", "> 0.2", "< 0.05"),
+    "pipes": ("n_pipes / n_words", "> 0.1", "< 0.02"),
+    "alnum": ("n_alnum / word_chars", "< 0.9", "> 0.95"),
+    "repeats": ("n_repeat_words / n_words", "> 0.15", "< 0.1"),
     "lines": ("n_dup_lines / n_lines", "> 0.5", "< 0.3"),
     "variety": ("n_distinct / n_words", "< 0.15", "> 0.35"),
-    "capitals": ("n_upper / word_chars", "> 0.4", "< 0.15"),
+    "capitals": ("n_upper / n_alnum", "> 0.4", "< 0.15"),
     "shouting": ("n_exclaim / n_words", "> 0.3", "< 0.05"),
-    "length": ("word_chars / n_words", "> 12", "< 9"),
+    "length": ("word_chars / n_words", "> 7", "< 6.3"),
     "endings": ("n_ended / n_lines", "< 0.2", "> 0.6"),
-    "digits": ("n_digits / word_chars", "> 0.4", "< 0.15"),
 }
-ROUNDS, PRIOR, ACCURACY, THRESHOLD = 10, 0.9, 0.8, 0.5
-FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_exclaim", "n_ended", "n_digits")
+#: Rounds of EM; share of good documents and how often a rule is right on good and on bad ones at the start; the least
+#: that a rule may come down to (rules are taken to be better than chance); posterior from which a document is kept.
+ROUNDS, PRIOR, START, FLOOR, THRESHOLD = 10, 0.9, (0.97, 0.5), (0.9, 0.2), 0.5
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_alnum", "n_exclaim", "n_ended", "n_pipes", "n_run_chars")
 
 
 def _repeat_words(w: Column) -> Column:
@@ -66,7 +70,8 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)), "n_repeat_words": _repeat_words(w),
         "n_lines": F.size(lines), "n_distinct": F.size(F.array_distinct(w)), "n_upper": _count(t, r"\p{Lu}"),
         "n_exclaim": _count(t, "!"), "n_ended": F.size(F.filter(lines, lambda x: x.rlike(r"[.!?:;\")][\x20\x09-\x0D]*\z"))),
-        "n_digits": _count(t, "[0-9]"),
+        "n_alnum": F.length(F.regexp_replace(t, r"[^\p{L}\p{N}]+", "")), "n_pipes": _count(t, r"\|"),
+        "n_run_chars": _count(t, r"##+|\*\*+|\$\$+|%%+|&&+|!!+"),
     }
     return d.select(*docs.columns, *[c.cast("bigint").alias(f"_q_{n}") for n, c in made.items()])
 
@@ -103,7 +108,7 @@ def estimate(votes: DataFrame, rounds: int = ROUNDS) -> dict:
     Only the histogram of patterns is read in each round, and one row of sums comes back. Shares are smoothed by one
     count and rounded to 6 decimals, so the order of summation cannot change them.
     """
-    params: dict = {"prior": PRIOR} | dict.fromkeys(RULES, (ACCURACY, ACCURACY))
+    params: dict = {"prior": PRIOR} | dict.fromkeys(RULES, START)
     names = list(RULES)
     hist = written(votes.groupBy(*names).agg(F.count(F.lit(1)).cast("double").alias("_n")))
     for _ in range(rounds):
@@ -114,16 +119,15 @@ def estimate(votes: DataFrame, rounds: int = ROUNDS) -> dict:
             sums += [F.sum(F.when(F.col(r) == 1, good)).alias(f"{r}_gr"), F.sum(F.when(F.col(r).isNotNull(), good)).alias(f"{r}_g"),
                      F.sum(F.when(F.col(r) == 0, bad)).alias(f"{r}_br"), F.sum(F.when(F.col(r).isNotNull(), bad)).alias(f"{r}_b")]
         s = h.agg(*sums).first().asDict()
-        share = lambda a, b: round(((s[a] or 0.0) + 1) / ((s[b] or 0.0) + 2), 6)
-        params = {"prior": share("good", "all")} | {r: (share(f"{r}_gr", f"{r}_g"), share(f"{r}_br", f"{r}_b")) for r in names}
-        params = {k: tuple(min(max(x, 1e-6), 1 - 1e-6) for x in v) if isinstance(v, tuple) else min(max(v, 1e-6), 1 - 1e-6) for k, v in params.items()}
+        share = lambda a, b, least=1e-6: min(max(round(((s[a] or 0.0) + 1) / ((s[b] or 0.0) + 2), 6), least), 1 - 1e-6)
+        params = {"prior": share("good", "all")} | {r: (share(f"{r}_gr", f"{r}_g", FLOOR[0]), share(f"{r}_br", f"{r}_b", FLOOR[1])) for r in names}
     return params
 
 
 def _judged(table: DataFrame, rounds: int) -> DataFrame:
-    """A table with `_q_` features, judged by rules that are weighed over the whole table."""
+    """A table with `_q_` features, judged by rules that are weighed over all rows that pass the base rule."""
     d = written(table)
-    params = estimate(d.select(*[v.alias(r) for r, v in _votes().items()]), rounds)
+    params = estimate(d.filter(~base_failed()).select(*[v.alias(r) for r, v in _votes().items()]), rounds)
     d = d.withColumn("_q_posterior", _posterior(_log_odds(params, _votes())))
     return d.withColumn("_q_failed", base_failed()).withColumn("_q_kept", ~F.col("_q_failed") & (F.col("_q_posterior") >= THRESHOLD))
 

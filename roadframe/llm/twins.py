@@ -21,6 +21,7 @@ def quality_features(source: str = "documents") -> str:
     def count(pattern: str) -> str:
         return f"length(t) - length(regexp_replace(t, '{pattern}', '', 'g'))"
 
+    RUNS = r"##+|\*\*+|\$\$+|%%+|&&+|!!+"
     votes = []
     for rule, (ratio, bad, good) in quality.RULES.items():
         a, b = (x.strip() for x in ratio.split("/"))
@@ -35,25 +36,25 @@ r AS (SELECT doc_id, sum(least(5, coalesce(n - i, 5))) AS n FROM (SELECT doc_id,
 f AS MATERIALIZED (SELECT w.doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, {count('[#*$%&|<>]')} AS n_symbols,
       len(lines) - len(list_distinct(lines)) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines,
       len(list_distinct(words)) AS n_distinct, {count(chr(92) + 'p{Lu}')} AS n_upper, {count('!')} AS n_exclaim,
-      len([x FOR x IN lines IF regexp_matches(x, '[.!?:;")][\\x20\\x09-\\x0D]*\\z')]) AS n_ended, {count('[0-9]')} AS n_digits
+      len([x FOR x IN lines IF regexp_matches(x, '[.!?:;")][\\x20\\x09-\\x0D]*\\z')]) AS n_ended, length(regexp_replace(t, '[^\\p{{L}}\\p{{N}}]+', '', 'g')) AS n_alnum, {count(chr(92) + '|')} AS n_pipes, {count(RUNS)} AS n_run_chars
       FROM w LEFT JOIN r ON w.doc_id = r.doc_id),
-v AS MATERIALIZED (SELECT doc_id, {', '.join(votes)} FROM f)"""
+v AS MATERIALIZED (SELECT doc_id, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS failed, {', '.join(votes)} FROM f)"""
 
 
 def quality_rounds(rounds: int = quality.ROUNDS) -> str:
     """Further items: the histogram and one row of estimates per round, the last named `estimate`."""
     rules = list(quality.RULES)
     names = ", ".join(rules)
-    items = [f"hist AS MATERIALIZED (SELECT {names}, CAST(count(*) AS DOUBLE) AS n FROM v GROUP BY {names})",
+    items = [f"hist AS MATERIALIZED (SELECT {names}, CAST(count(*) AS DOUBLE) AS n FROM v WHERE NOT failed GROUP BY {names})",
              "e0 AS (SELECT CAST({p} AS DOUBLE) AS prior, {r})".format(
-                 p=quality.PRIOR, r=", ".join(f"CAST({quality.ACCURACY} AS DOUBLE) AS {x}_g, CAST({quality.ACCURACY} AS DOUBLE) AS {x}_b" for x in rules))]
+                 p=quality.PRIOR, r=", ".join(f"CAST({quality.START[0]} AS DOUBLE) AS {x}_g, CAST({quality.START[1]} AS DOUBLE) AS {x}_b" for x in rules))]
 
-    def share(top: str, bottom: str) -> str:
-        return f"least(greatest(round((coalesce(sum({top}), 0) + 1) / (coalesce(sum({bottom}), 0) + 2), 6), 1e-6), 1 - 1e-6)"
+    def share(top: str, bottom: str, least: float = 1e-6) -> str:
+        return f"least(greatest(round((coalesce(sum({top}), 0) + 1) / (coalesce(sum({bottom}), 0) + 2), 6), {least}), 1 - 1e-6)"
 
     for k in range(rounds):
-        one = ", ".join(f"{share(f'CASE WHEN {x} = 1 THEN good END', f'CASE WHEN {x} IS NOT NULL THEN good END')} AS {x}_g, "
-                        f"{share(f'CASE WHEN {x} = 0 THEN bad END', f'CASE WHEN {x} IS NOT NULL THEN bad END')} AS {x}_b" for x in rules)
+        one = ", ".join(f"{share(f'CASE WHEN {x} = 1 THEN good END', f'CASE WHEN {x} IS NOT NULL THEN good END', quality.FLOOR[0])} AS {x}_g, "
+                        f"{share(f'CASE WHEN {x} = 0 THEN bad END', f'CASE WHEN {x} IS NOT NULL THEN bad END', quality.FLOOR[1])} AS {x}_b" for x in rules)
         items.append(f"h{k} AS (SELECT hist.*, n * p AS good, n * (1 - p) AS bad FROM (SELECT hist.*, {posterior()} AS p FROM hist, e{k} AS e) AS hist)")
         items.append(f"e{k + 1} AS MATERIALIZED (SELECT {share('good', 'n')} AS prior, {one} FROM h{k})")
     return ",\n".join(items) + f",\nestimate AS (SELECT * FROM e{rounds})"
@@ -66,9 +67,8 @@ def posterior(votes: str = "hist") -> str:
 
 QUALITY = f"""WITH {quality_features()},
 {quality_rounds()}
-SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND {posterior('v')} >= {quality.THRESHOLD} AS kept
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed,
+       NOT failed AND {posterior('v')} >= {quality.THRESHOLD} AS kept
 FROM f JOIN v ON f.doc_id = v.doc_id, estimate AS e
 """
 
