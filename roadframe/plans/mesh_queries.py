@@ -204,19 +204,30 @@ def normalise_object(spark, sf):
     return info.join(s, "object_id")
 
 
-@query("contour_segments", sql("mask_px", GQ.COV + """, pd AS (SELECT s_suppkey AS image_id, CAST(y.i AS INTEGER) AS cy, CAST(x.i AS INTEGER) AS cx FROM supplier CROSS JOIN range(-1, 64) AS y(i) CROSS JOIN range(-1, 64) AS x(i)),
+CONTOUR = GQ.COV + """, pd AS (SELECT s_suppkey AS image_id, CAST(y.i AS INTEGER) AS cy, CAST(x.i AS INTEGER) AS cx FROM supplier CROSS JOIN range(-1, 64) AS y(i) CROSS JOIN range(-1, 64) AS x(i)),
 c4 AS (SELECT p.*, coalesce(a.c, 0e0) AS v00, coalesce(b.c, 0e0) AS v01, coalesce(d.c, 0e0) AS v10, coalesce(e.c, 0e0) AS v11 FROM pd p LEFT JOIN cov a ON a.image_id=p.image_id AND a.y=p.cy AND a.x=p.cx LEFT JOIN cov b ON b.image_id=p.image_id AND b.y=p.cy AND b.x=p.cx+1
  LEFT JOIN cov d ON d.image_id=p.image_id AND d.y=p.cy+1 AND d.x=p.cx LEFT JOIN cov e ON e.image_id=p.image_id AND e.y=p.cy+1 AND e.x=p.cx+1),
 k AS (SELECT *, (CASE WHEN v00 >= 5e-1 THEN 1 ELSE 0 END) + (CASE WHEN v01 >= 5e-1 THEN 2 ELSE 0 END) + (CASE WHEN v11 >= 5e-1 THEN 4 ELSE 0 END) + (CASE WHEN v10 >= 5e-1 THEN 8 ELSE 0 END) AS kase FROM c4),
 tb(kase, p, q) AS (VALUES (1,'L','T'),(2,'T','R'),(3,'L','R'),(4,'R','B'),(5,'L','T'),(5,'R','B'),(6,'T','B'),(7,'L','B'),(8,'L','B'),(9,'T','B'),(10,'T','R'),(10,'L','B'),(11,'R','B'),(12,'L','R'),(13,'T','R'),(14,'L','T')),
-xy AS (SELECT k.image_id, k.cy, k.cx, t.p, t.q, cx + (5e-1-v00)/nullif(v01-v00, 0) AS tx, cx + (5e-1-v10)/nullif(v11-v10, 0) AS bx, cy + (5e-1-v00)/nullif(v10-v00, 0) AS ly, cy + (5e-1-v01)/nullif(v11-v01, 0) AS ry FROM k JOIN tb t USING (kase))
-SELECT image_id, cy, cx, round(CASE p WHEN 'T' THEN tx WHEN 'B' THEN bx WHEN 'L' THEN cx ELSE cx+1 END, 6) AS x0, round(CASE p WHEN 'T' THEN cy WHEN 'B' THEN cy+1 WHEN 'L' THEN ly ELSE ry END, 6) AS y0,
- round(CASE q WHEN 'T' THEN tx WHEN 'B' THEN bx WHEN 'L' THEN cx ELSE cx+1 END, 6) AS x1, round(CASE q WHEN 'T' THEN cy WHEN 'B' THEN cy+1 WHEN 'L' THEN ly ELSE ry END, 6) AS y1 FROM xy""", recursive=True))
+xy AS (SELECT k.image_id, k.cy, k.cx, t.p, t.q, cx + (5e-1-v00)/nullif(v01-v00, 0) AS tx, cx + (5e-1-v10)/nullif(v11-v10, 0) AS bx, cy + (5e-1-v00)/nullif(v10-v00, 0) AS ly, cy + (5e-1-v01)/nullif(v11-v01, 0) AS ry FROM k JOIN tb t USING (kase)),
+sg AS (SELECT image_id, cy, cx, CASE p WHEN 'T' THEN tx WHEN 'B' THEN bx WHEN 'L' THEN cx ELSE cx+1 END AS x0, CASE p WHEN 'T' THEN cy WHEN 'B' THEN cy+1 WHEN 'L' THEN ly ELSE ry END AS y0,
+ CASE q WHEN 'T' THEN tx WHEN 'B' THEN bx WHEN 'L' THEN cx ELSE cx+1 END AS x1, CASE q WHEN 'T' THEN cy WHEN 'B' THEN cy+1 WHEN 'L' THEN ly ELSE ry END AS y1,
+ ((cy + 1 + CASE WHEN p = 'B' THEN 1 ELSE 0 END)*2147483648 + cx + 1 + CASE WHEN p = 'R' THEN 1 ELSE 0 END)*2 + CASE WHEN p IN ('L', 'R') THEN 1 ELSE 0 END AS u,
+ ((cy + 1 + CASE WHEN q = 'B' THEN 1 ELSE 0 END)*2147483648 + cx + 1 + CASE WHEN q = 'R' THEN 1 ELSE 0 END)*2 + CASE WHEN q IN ('L', 'R') THEN 1 ELSE 0 END AS v FROM xy)"""
+
+
+@query("contour_segments", sql("mask_px", CONTOUR + "SELECT image_id, cy, cx, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1 FROM sg", recursive=True))
 def contour_segments(spark, sf):
     return E.contour_segments(SQ.coverage(spark, sf).select("image_id", "y", "x", "coverage")).select("image_id", "cy", "cx", *R("x0", "y0", "x1", "y1"))
 
 
-@query("contour_rings")
+@query("contour_rings", sql("mask_px", CONTOUR + """, ed AS MATERIALIZED (SELECT image_id, u AS a, v AS b FROM sg UNION SELECT image_id, v, u FROM sg),
+re AS (SELECT image_id, a AS src, a AS cur FROM ed UNION SELECT r.image_id, r.src, e.b FROM re r JOIN ed e ON e.image_id = r.image_id AND e.a = r.cur),
+lb AS (SELECT image_id, src, min(cur) AS ring FROM re GROUP BY 1, 2),
+sr AS MATERIALIZED (SELECT s.*, l.ring FROM sg s JOIN lb l ON l.image_id = s.image_id AND l.src = s.u),
+rr AS (SELECT image_id, ring, count(*) AS pieces, round(sum(sqrt((x1-x0)*(x1-x0)+(y1-y0)*(y1-y0))), 6) AS length, min({'y': y0, 'x': x0}) AS p FROM sr GROUP BY 1, 2)
+SELECT r.image_id, CAST(r.ring AS BIGINT) AS ring, r.pieces, r.length, (SELECT count(*) FROM sr e WHERE e.image_id = r.image_id AND e.ring <> r.ring AND (e.y0 > r.p.y) <> (e.y1 > r.p.y)
+ AND r.p.x < (e.x1-e.x0)*(r.p.y-e.y0)/(e.y1-e.y0) + e.x0) % 2 = 1 AS hole FROM rr r""", recursive=True))
 def contour_rings(spark, sf):
     return E.contour_rings(materialize(E.contour_segments(SQ.coverage(spark, sf).select("image_id", "y", "x", "coverage")))).withColumn("length", F.round("length", 6))
 
