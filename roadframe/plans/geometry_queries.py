@@ -283,7 +283,7 @@ _RECT = lambda x, y: f"abs(({x}-b.cx)*cos(radians(b.angle)) + ({y}-b.cy)*sin(rad
 
 @query("in_rotated_rect", sql("mask_px bridges", f"SELECT m.image_id, count(*) FILTER (v > 128) AS road_px, count(*) AS pixels FROM mask_px m JOIN bridges b USING (image_id) WHERE {_RECT('m.x', 'm.y')} GROUP BY 1"))
 def in_rotated_rect(spark, sf):
-    d = NQ.mask(spark, sf).join(X.bridges(spark, sf), "image_id").filter(Q.in_rotated_rect(F.col("x"), F.col("y")))
+    d = Q.in_rects(NQ.mask(spark, sf), X.bridges(spark, sf))
     return d.groupBy("image_id").agg(F.count_if(F.col("v") > 128).alias("road_px"), F.count(F.lit(1)).alias("pixels"))
 
 
