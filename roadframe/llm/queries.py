@@ -8,7 +8,7 @@ from roadframe.llm import bpe, chat, exact, html, neardup, packing, passages, pi
 from roadframe.llm.common import read
 
 QUERIES: dict = {}
-ORACLES = {"op1_exact_dedup": twins.EXACT, "op2_quality": twins.QUALITY, "op6_chat": twins.CHAT}
+ORACLES = {"op1_exact_dedup": twins.EXACT, "op2_quality": twins.QUALITY, "op6_chat": twins.CHAT, "op8_minhash": twins.NEAR}
 
 def query(fn):
     QUERIES[fn.__name__] = fn

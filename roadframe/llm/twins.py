@@ -88,3 +88,17 @@ SELECT conv_id, perspective, position, turn, speaker, chat_role, segment, start,
     start + length(segment) - CASE WHEN chat_role = 'assistant' THEN 1 ELSE 0 END AS mask_end
 FROM o
 """
+
+NEAR = f"""
+WITH RECURSIVE t AS (SELECT doc_id, trim({LOWERED}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM documents),
+w AS MATERIALIZED (SELECT doc_id, CASE WHEN t = '' THEN [] ELSE string_split_regex(t, '[\\x20\\x09-\\x0D]+') END AS words FROM t),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(words[i:i + 2], ' ') AS s
+    FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 1, 2))) AS i FROM w WHERE len(words) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * c >= 85 * (a.n + b.n - c)),
+e AS MATERIALIZED (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+r AS (SELECT doc_id, doc_id AS seen FROM w UNION SELECT r.doc_id, e.v FROM r JOIN e ON e.u = r.seen),
+m AS (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id)
+SELECT m.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, m.doc_id = m.component_id AS kept FROM m LEFT JOIN n ON n.doc_id = m.doc_id
+"""
