@@ -197,10 +197,13 @@ def rank_move(library: DataFrame, log: DataFrame, now: DataFrame | None = None)
     # one row per part of the road
     few = F.broadcast(last)
     before = log.join(few, ["part", "pair_id"]).filter(F.col("step_id") != F.col("_last")).drop("_last")
-    undone = M.replay_index(library.join(F.broadcast(last.select("part", "pair_id")), ["part", "pair_id"], "left_semi"), before, ranked=False)
+    undone = materialize(M.replay_index(library.join(F.broadcast(last.select("part", "pair_id")), ["part", "pair_id"], "left_semi"), before, ranked=False))
     then = now.select("part", "pair_id", "pixels", "weight").join(F.broadcast(last.select("part", "pair_id")), ["part", "pair_id"], "left_anti").unionByName(
         undone.select("part", "pair_id", "pixels", "weight"))
-    b = M.rerank(then).select("part", "pair_id", F.col("rank").alias("rank_before"))
+    # a rank is one more than the rows before it: one aggregate instead of ordering every pair
+    at = undone.select("part", F.col("pair_id").alias("_p"), F.col("weight").alias("_w"), F.col("pixels").alias("_x"))
+    ahead = F.struct("weight", "pixels", -F.col("pair_id")) > F.struct(F.col("_w").alias("weight"), F.col("_x").alias("pixels"), (-F.col("_p")).alias("pair_id"))
+    b = then.join(F.broadcast(at), "part").groupBy("part", F.col("_p").alias("pair_id")).agg((F.count_if(ahead) + 1).alias("rank_before"))
     a = now.select("part", "pair_id", "confidence", "rejections", F.col("rank").alias("rank_after"))
     # a reviewed pair without a library has no confidence and no rank
     d = last.select("part", "pair_id").join(a, ["part", "pair_id"], "left").join(b, ["part", "pair_id"], "left")

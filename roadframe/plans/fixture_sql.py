@@ -57,7 +57,7 @@ SELECT s.s_suppkey AS image_id, CAST(i.i*6 + j.j + 36*d.d AS INT) AS street_id,
  WHERE i.i+1-d.d < 6 AND j.j+d.d < 6
 """,
     "placements": """
-SELECT o_orderkey AS placement_id, CAST(o_custkey % 25 AS INT) AS object_id, CAST(1 + o_orderkey % 100 AS BIGINT) AS image_id, CAST(o_custkey % 64 AS DOUBLE) AS cx, CAST(o_orderkey % 61 AS DOUBLE) AS cy,
+SELECT o_orderkey AS placement_id, CAST(o_custkey % 25 AS INT) AS object_id, CAST(1 + o_orderkey % (SELECT count(*) FROM supplier) AS BIGINT) AS image_id, CAST(o_custkey % 64 AS DOUBLE) AS cx, CAST(o_orderkey % 61 AS DOUBLE) AS cy,
  15e0 * (o_orderkey % 24) AS angle, CAST(1 + o_orderkey % 3 AS INT) AS nx, CAST(1 + o_orderkey % 2 AS INT) AS ny, 5e-1 * (o_orderkey % 3) AS gap_x, 25e-2 * (o_orderkey % 5) AS gap_y FROM orders
 """,
     "objects": """

@@ -117,7 +117,7 @@ def placements(spark, sf) -> DataFrame:
     o, c = F.col("o_orderkey"), F.col("o_custkey")
     return table(spark, sf, "orders").select(
         o.alias("placement_id"), (c % 25).cast("int").alias("object_id"),
-        (1 + o % 100).cast("bigint").alias("image_id"), (c % 64).cast("double").alias("cx"),
+        (1 + o % table(spark, sf, "supplier").count()).cast("bigint").alias("image_id"), (c % 64).cast("double").alias("cx"),
         (o % 61).cast("double").alias("cy"), (F.lit(15.0) * (o % 24)).alias("angle"),
         (1 + o % 3).cast("int").alias("nx"), (1 + o % 2).cast("int").alias("ny"),
         (F.lit(0.5) * (o % 3)).alias("gap_x"), (F.lit(0.25) * (o % 5)).alias("gap_y"))
