@@ -73,8 +73,8 @@ def bridge_lines(spark, sf):
 
 
 @query("bridge_plan", NQ.Q(PLAN, """SELECT image_id, idx, s_in IS NOT NULL AS ok, round(s_in, 6) AS s_in, round(s_out, 6) AS s_out, round(rb, 6) AS r_before, round(ra, 6) AS r_after, round(steep*100, 6) AS steepest_pct,
- concat_ws('; ', CASE WHEN len IS NULL THEN 'no road runs lengthwise through this rectangle' END, CASE WHEN len IS NOT NULL AND s_in IS NULL THEN 'the road never enters the rectangle' END, CASE WHEN rb < 7 THEN 'short ramp at the start' END, CASE WHEN ra < 7 THEN 'short ramp at the end' END,
- CASE WHEN s_in IS NOT NULL AND coalesce(steep, 1e9) > 8e-2 THEN 'steeper than roads usually allow' END) AS warnings FROM ps"""))
+ concat_ws('; ', CASE WHEN len IS NULL THEN 'no_road' END, CASE WHEN len IS NOT NULL AND s_in IS NULL THEN 'outside' END, CASE WHEN rb < 7 THEN 'short_ramp_start' END, CASE WHEN ra < 7 THEN 'short_ramp_end' END,
+ CASE WHEN s_in IS NOT NULL AND coalesce(steep, 1e9) > 8e-2 THEN 'too_steep' END) AS warnings FROM ps"""))
 def bridge_plan(spark, sf):
     p = B.bridge_plan(bridge_lines(spark, sf), rects(spark, sf), 0.25, 5.0, 8.0)
     return p.select("image_id", "idx", "ok", *R("s_in", "s_out", "r_before", "r_after", "steepest_pct"), "warnings")
