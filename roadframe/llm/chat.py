@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from roadframe.llm.common import null_safe, ordered
+from roadframe.llm.common import null_safe, ordered, written
 
 START, END = "<|im_start|>", "<|im_end|>"
 SYSTEM = ("system",)
@@ -23,23 +23,26 @@ def rotate_perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: s
     Positions and offsets are code points from 0, ends exclusive; the mask (assistant text and its end mark) is
     empty, at the segment's end, for other turns. Speakers in `system` keep the system role and have no perspective; a conversation of such turns
     alone gives no rows. A null speaker is called "unknown", a null text is empty, null conversation ids form one
-    conversation and null turns come first. Equal turns are ordered by speaker and text; repeated rows are rendered
-    each. Template marks inside a text are broken up by spaces. Other columns are ignored, so their names cannot clash.
+    conversation and null turns come first. Equal turns are ordered by speaker and a hash of the text; repeated rows are
+    rendered each. Template marks inside a text are broken up by spaces. Other columns are ignored, so their names cannot clash.
     """
     mark = r"<\|(im_start|im_end)\|>"
-    t = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"),
-                     F.coalesce(F.col(speaker_col), F.lit("unknown")).alias("speaker"),
-                     F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), mark, "< |$1| >").alias("_text"))
+    t = written(turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"),
+                             F.coalesce(F.col(speaker_col), F.lit("unknown")).alias("speaker"),
+                             F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), mark, "< |$1| >").alias("_text"),
+                             F.monotonically_increasing_id().alias("_row")))
+    # places are found without the texts, which join at the end
+    slim = t.select("_row", "conv_id", "turn", "speaker", F.length("_text").alias("_chars"), F.xxhash64("_text").alias("_mark"))
     is_system = F.col("speaker").isin(*system)
-    people = t.filter(~is_system).select("conv_id", F.col("speaker").alias("perspective")).distinct()
-    views = null_safe(t, people, ["conv_id"]).withColumn(
-        "chat_role", F.when(is_system, "system").when(F.col("speaker") == F.col("perspective"), "assistant").otherwise("user"))
+    people = slim.filter(~is_system).select("conv_id", F.col("speaker").alias("perspective")).distinct()
+    role = F.when(is_system, "system").when(F.col("speaker") == F.col("perspective"), "assistant").otherwise("user")
     head = F.concat(F.lit(START), "chat_role", F.when(F.col("chat_role") == "user", F.concat(F.lit(" name="), "speaker")).otherwise(""), F.lit("\n"))
-    views = views.withColumn("_head", head).withColumn("segment", F.concat("_head", "_text", F.lit(END + "\n"))).withColumn(
-        "_size", F.length("segment").cast("bigint"))
-    placed = ordered(views, ["conv_id", "perspective"], ["turn", "speaker", "_text"], "position", {"start": "_size"})
+    size = F.length(head) + F.col("_chars") + len(END) + 1
+    views = null_safe(slim, people, ["conv_id"]).withColumn("chat_role", role).withColumn("_size", size.cast("bigint")).drop("_chars")
+    placed = ordered(views, ["conv_id", "perspective"], ["turn", "speaker", "_mark", "_row"], "position", {"start": "_size"}).drop("speaker", "turn", "conv_id")
+    full = placed.join(t, "_row").withColumn("_head", head)
     masked = F.col("chat_role") == "assistant"
-    return placed.select("conv_id", "perspective", "position", "turn", "speaker", "chat_role", "segment", "start",
-                         (F.col("start") + F.col("_size")).alias("end"),
-                         (F.col("start") + F.when(masked, F.length("_head")).otherwise(F.col("_size"))).alias("mask_start"),
-                         (F.col("start") + F.col("_size") - F.when(masked, 1).otherwise(0)).alias("mask_end"))
+    return full.select("conv_id", "perspective", "position", "turn", "speaker", "chat_role", F.concat("_head", "_text", F.lit(END + "\n")).alias("segment"), "start",
+                       (F.col("start") + F.col("_size")).alias("end"),
+                       (F.col("start") + F.when(masked, F.length("_head")).otherwise(F.col("_size"))).alias("mask_start"),
+                       (F.col("start") + F.col("_size") - F.when(masked, 1).otherwise(0)).alias("mask_end"))
