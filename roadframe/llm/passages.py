@@ -1,13 +1,16 @@
 """Fuzzy repeated passages by collinear chaining of shared k-mer seeds.
 
 1. Word k-mers are thinned by winnowing: the smallest hash of every window is a seed, so that any `k + window - 1` words
-   that two documents share hold a shared seed.
-2. Every seed value has a home, its smallest document; other documents match their seeds with the home's. A seed that a
-   third of all documents hold thus gives one match per occurrence and never a pair of every two.
+   that two documents share hold a shared seed. Each seed carries a bitmap of the words on either side.
+2. Seed occurrences are cut into sorted ranges; each is matched with the first document that holds the seed, with the
+   previous one, and with the occurrence before it in its own document. A seed that a third of all documents hold thus
+   gives a few matches per occurrence and never a pair of every two. Runs that cross ranges are closed over one row per
+   range.
 3. The matches of two documents are chained in order: a Fenwick tree over the home's positions gives the best chain to
-   go on from, with a cost for every word skipped.
-4. Chains are aligned on the words of both texts, between the seeds and beyond both ends, and those that are long and
-   similar enough are passages.
+   go on from, with a cost for every word skipped. A lone seed goes on if the words beside it agree on one side.
+4. Chains are aligned on the words of both texts, between the seeds and beyond both ends. An alignment that is not
+   similar enough is cut into its longest stretches that are; those that are long enough are passages.
+5. Of the passages of a document, those that the ones with smaller homes cover are left out.
 """
 
 from __future__ import annotations
@@ -16,8 +19,9 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
+from roadframe.llm.common import written
 from roadframe.llm.neardup import WordHash, _mix, _odd_numbers, runs
 
 K, WINDOW = 5, 12
@@ -26,6 +30,10 @@ GAP_COST, MAX_GAP = 0.05, 60
 #: Differences that an extension beyond a chain steps over (words of either text), and the equal words it then asks for.
 STEPS = tuple(sorted(((x, y) for x in range(4) for y in range(4) if x or y), key=lambda s: (max(s), abs(s[0] - s[1]))))
 AGAIN = 3
+#: Longer differences of equal length, tried last.
+STEPS += tuple((x, x) for x in range(4, 9))
+#: Words on either side of a seed that its bitmaps hold.
+BESIDE = 16
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -36,8 +44,8 @@ def word_ids(text: str | None, hashes: WordHash) -> np.ndarray:
 
 
 def seeds_of(ids: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(values, word positions): the smallest k-mer of every window, each value at its first position in the text; a
-    shorter text is one window."""
+    """(values, word positions): the smallest k-mer of every window, at every position it has; a shorter text is
+    one window."""
     n = len(ids) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
@@ -51,28 +59,129 @@ def seeds_of(ids: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarr
     else:
         windows = np.lib.stride_tricks.sliding_window_view(values, window)
         at = np.unique(windows.argmin(axis=1) + np.arange(n - window + 1))
-    at = at[np.sort(np.unique(values[at], return_index=True)[1])]
     return values[at], at
 
 
+def beside(ids: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit bitmaps of the BESIDE words before and after the k-mers at `at`."""
+    bits = np.zeros(len(ids) + 2 * BESIDE, np.uint64)
+    bits[BESIDE:len(ids) + BESIDE] = np.uint64(1) << (ids >> np.uint64(58))
+    n = 1
+    while n < BESIDE:
+        bits[:-n] |= bits[n:].copy()
+        n *= 2
+    return bits[at], bits[at + k + BESIDE]
+
+
+def agree(left, right, home_left, home_right):
+    """Whether half of the words on one side are the same."""
+    out = np.zeros(len(left), bool)
+    for x, y in ((left, home_left), (right, home_right)):
+        same = np.bitwise_count(x & y).astype(int)
+        out |= (same > 0) & (2 * same >= np.maximum(np.bitwise_count(x), np.bitwise_count(y)))
+    return out
+
+
 def seeds(docs: DataFrame, k: int, window: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, seed, pos."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("seed", T.LongType()), T.StructField("pos", T.IntegerType())])
+    """seed, doc_id, pos, left, right."""
+    schema = T.StructType([T.StructField("seed", T.LongType()), T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("pos", T.IntegerType()),
+                           T.StructField("left", T.LongType()), T.StructField("right", T.LongType())])
 
     def run(batches):
         hashes = WordHash()
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
-                found = [seeds_of(word_ids(t, hashes), k, window) for t in b.column(1).to_pylist()]
-                row = np.repeat(np.arange(b.num_rows), [len(v) for v, _ in found])
+            for start in range(0, whole.num_rows, 1000):
+                b = whole.slice(start, 1000)
+                found = []
+                for t in b.column(1).to_pylist():
+                    ids = word_ids(t, hashes)
+                    values, at = seeds_of(ids, k, window)
+                    found.append((values, at, *beside(ids, at, k)))
+                row = np.repeat(np.arange(b.num_rows), [len(f[0]) for f in found])
+                values, at, left, right = (np.concatenate(c) for c in zip(*found))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(row)), pa.array(np.concatenate([v for v, _ in found]).view(np.int64)),
-                     pa.array(np.concatenate([p for _, p in found]).astype(np.int32))], names=schema.names)
+                    [pa.array(values.view(np.int64)), b.column(0).take(pa.array(row)), pa.array(at.astype(np.int32)),
+                     pa.array(left.view(np.int64)), pa.array(right.view(np.int64))], names=schema.names)
 
     return docs.filter(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(run, schema)
 
 
+#: Kinds of rows that a sorted range gives: a match, an occurrence whose seed may stand in the range before, and the
+#: first and last occurrence of a seed at an end of the range.
+MATCH, OPEN, EDGE = 0, 1, 2
+
+
+def matches(spread: DataFrame, id_type) -> DataFrame:
+    """doc_id, home, pos, home_pos, near: occurrences of seeds with those in the first and the previous document and the
+    one before in the same document. near: the words beside the seeds agree."""
+    here = [T.StructField("doc_id", id_type), T.StructField("pos", T.IntegerType()), T.StructField("left", T.LongType()), T.StructField("right", T.LongType())]
+    schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("seed", T.LongType()), *here,
+                           *[T.StructField(f"home_{f.name}", f.dataType) for f in here], T.StructField("near", T.BooleanType()), T.StructField("head", T.BooleanType())])
+
+    def run(batches):
+        from pyspark import TaskContext
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        part, types = TaskContext.get().partitionId(), [to_arrow_type(f.dataType) for f in schema]
+        kept, opening, top, edges = None, None, None, []
+
+        def rows(kind, t, a, b, near, head):
+            n = len(a)
+            cols = [np.full(n, kind), np.full(n, part), t.column(0).take(pa.array(a)), *[t.column(c).take(pa.array(a)) for c in range(1, 5)],
+                    *[t.column(c).take(pa.array(b)) for c in range(1, 5)], near, head]
+            return pa.RecordBatch.from_arrays([(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else pa.array(c)).cast(x) for c, x in zip(cols, types)], names=schema.names)
+
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            t = pa.Table.from_batches([batch])
+            old = 0
+            if kept is not None:
+                old, t = kept.num_rows, pa.concat_tables([kept, t])
+            seed, doc = t.column(0).to_numpy(), t.column(1).to_numpy()
+            n = len(seed)
+            index = np.arange(n)
+            new = np.r_[True, seed[1:] != seed[:-1]]
+            first = np.maximum.accumulate(np.where(new, index, 0))  # of the seed
+            own = np.maximum.accumulate(np.where(new | np.r_[True, doc[1:] != doc[:-1]], index, 0))  # of the seed in the document
+            if opening is None:
+                opening, top, top_doc = seed[0], t.slice(0, 1), doc[0]
+            bits = [t.column(c).to_numpy().view(np.uint64) for c in (3, 4)]
+            fresh = index >= old
+            for partner, taken in ((first, fresh & (own > first) & (seed != opening)),):
+                a = np.flatnonzero(taken)
+                if len(a):
+                    b = partner[a]
+                    yield rows(MATCH, t, a, b, agree(bits[0][a], bits[1][a], bits[0][b], bits[1][b]), np.zeros(len(a), bool))
+            a = np.flatnonzero(fresh & (seed == opening))
+            if len(a):
+                yield rows(OPEN, t, a, a, np.zeros(len(a), bool), doc[a] == top_doc)
+            last = [n - 1] if seed[-1] == opening else [n - 1, int(np.searchsorted(seed, opening, "right")) - 1]
+            if last[-1] >= 0 and seed[last[-1]] == opening:
+                edges[:1] = [(top, t.slice(last[-1], 1))]
+            edges[1:] = [] if seed[-1] == opening else [(t.slice(int(first[-1]), 1), t.slice(n - 1, 1))]
+            kept = t.take(pa.array(np.unique([first[-1], max(own[-1] - 1, first[-1]), own[-1], n - 1])))
+        for low, high in edges:
+            yield rows(EDGE, pa.concat_tables([low, high]), np.array([0]), np.array([1]), np.zeros(1, bool), np.zeros(1, bool))
+
+    ranged = spread.repartitionByRange("seed", "doc_id").sortWithinPartitions("seed", "doc_id", "pos")
+    found = written(ranged.mapInArrow(run, schema))
+    over = W.partitionBy("seed").orderBy("doc_id", "pos")
+    low, high = (F.struct(*[F.col(f"{p}{f.name}").alias(f.name) for f in here]) for p in ("", "home_"))
+    edges = found.filter(F.col("kind") == EDGE).select("seed", "part", F.first(low).over(over).alias("_first"), F.lag(high).over(over).alias("_last"))
+    opened = found.filter(F.col("kind") == OPEN).select("seed", "part", "doc_id", "pos", "left", "right", "head").join(edges, ["seed", "part"])
+    opened = opened.select("doc_id", "pos", "left", "right", F.explode(F.array(F.col("_first"), F.when(F.col("head"), F.col("_last")))).alias("_home"))
+
+    def side(c: str):
+        x, y = F.col(c), F.col(f"_home.{c}")
+        same = F.bit_count(x.bitwiseAND(y))
+        return (same > 0) & (2 * same >= F.greatest(F.bit_count(x), F.bit_count(y)))
+
+    opened = opened.filter("_home.doc_id < doc_id").select("doc_id", F.col("_home.doc_id").alias("home"), "pos", F.col("_home.pos").alias("home_pos"),
+                                                           (side("left") | side("right")).alias("near"))
+    return found.filter(F.col("kind") == MATCH).select("doc_id", F.col("home_doc_id").alias("home"), "pos", "home_pos", "near").unionByName(opened)
+
+
 def chains_of(pos: np.ndarray, home: np.ndarray, k: int, gap_cost: float, max_gap: int) -> list[list[int]]:
     """Best chains of matches, as lists of indices; matches are sorted by (pos, home) and each is used once at most."""
     order = np.unique(home)
@@ -110,23 +219,30 @@ def chains_of(pos: np.ndarray, home: np.ndarray, k: int, gap_cost: float, max_ga
             used[x] = True
             chain.append(int(x))
             x = back[x]
-        if len(chain) > 1:
+        if chain:
             out.append(chain[::-1])
     return out
 
 
 def chains(found: DataFrame, k: int, gap_cost: float, max_gap: int, id_type) -> DataFrame:
-    """doc_id, home, pos, home_pos (arrays): the chains of two or more seeds between a document and a home."""
+    """doc_id, home, pos, home_pos, sizes (arrays): the chains between a document and a home, one after another, best
+    first, and how many seeds each has. Of chains of one seed, those whose neighbours agree."""
     ints = T.ArrayType(T.IntegerType())
-    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("home", id_type), T.StructField("pos", ints), T.StructField("home_pos", ints)])
+    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("home", id_type), T.StructField("pos", ints), T.StructField("home_pos", ints), T.StructField("sizes", ints)])
 
     def run(batches):
         held: list = []
         for t in runs(batches, 2):
-            pos, home = t.column(2).to_numpy(), t.column(3).to_numpy()
+            pos, home, near = t.column(2).to_numpy(), t.column(3).to_numpy(), t.column(4).to_numpy()
             if len(pos) > 1:
-                for c in chains_of(pos, home, k, gap_cost, max_gap):
-                    held.append((t.column(0)[0].as_py(), t.column(1)[0].as_py(), pos[c], home[c]))
+                one = np.r_[True, (pos[1:] != pos[:-1]) | (home[1:] != home[:-1])]
+                pos, home, near = pos[one], home[one], near[one]
+                kept = [c for c in chains_of(pos, home, k, gap_cost, max_gap) if len(c) > 1]
+            else:
+                kept = []
+            if kept:
+                every = np.concatenate(kept)
+                held.append((t.column(0)[0].as_py(), t.column(1)[0].as_py(), pos[every], home[every], [len(c) for c in kept]))
             if len(held) > 2000:
                 yield _rows(held, schema)
                 held = []
@@ -154,47 +270,156 @@ def edit_matches(a: np.ndarray, b: np.ndarray) -> int:
     return int(best[-1])
 
 
-def extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
-    """(words of a, words of b, equal words) by which two texts go on alike from their starts.
+def extend(a: np.ndarray, b: np.ndarray, shift: int | None = None) -> list[tuple[int, int, int]]:
+    """[(words of a, words of b, equal words)]: stretches by which two texts go on alike from their starts.
 
-    Runs of equal words are followed; after a difference the nearest small step to AGAIN equal words goes on.
+    Runs of equal words are followed; after a difference the nearest small step to AGAIN equal words goes on. In one
+    text `shift` is how far a is from b, and no step may bring them together.
     """
-    i = j = same = 0
+    i = j = 0
+    out = []
     while True:
-        n = min(len(a) - i, len(b) - j)
-        differ = np.flatnonzero(a[i:i + n] != b[j:j + n])
-        run = int(differ[0]) if len(differ) else n
-        i, j, same = i + run, j + run, same + run
+        n, run = min(len(a) - i, len(b) - j), 0
+        while run < n:  # most runs end soon
+            differ = np.flatnonzero(a[i + run:i + min(n, run + 256)] != b[j + run:j + min(n, run + 256)])
+            if len(differ):
+                run += int(differ[0])
+                break
+            run = min(n, run + 256)
+        if run:
+            out.append((run, run, run))
+        i, j = i + run, j + run
+        x_, y_ = a[i:i + 12].tolist(), b[j:j + 12].tolist()
         for x, y in STEPS:
-            if len(a) - i - x >= AGAIN and len(b) - j - y >= AGAIN and (a[i + x:i + x + AGAIN] == b[j + y:j + y + AGAIN]).all():
+            if len(x_) - x >= AGAIN and len(y_) - y >= AGAIN and x_[x:x + AGAIN] == y_[y:y + AGAIN] and (shift is None or shift + i + x - j - y > 0):
+                out.append((x, y, edit_matches(a[i:i + x], b[j:j + y])))
                 i, j = i + x, j + y
                 break
         else:
-            return i, j, same
+            return out
+
+
+def stretches(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
+    """What lies between two seeds: what goes on from the first, a gap, and what leads to the second."""
+    if not len(a) or not len(b):
+        return [(len(a), len(b), 0)] if len(a) or len(b) else []
+    head = extend(a, b)
+    i, j = sum(x for x, _, _ in head), sum(y for _, y, _ in head)
+    tail = extend(a[i:][::-1], b[j:][::-1])[::-1]
+    p, q = len(a) - sum(x for x, _, _ in tail), len(b) - sum(y for _, y, _ in tail)
+    gap = [(p - i, q - j, edit_matches(a[i:p], b[j:q]))] if p > i or q > j else []
+    return head + gap + tail
 
 
-def align(a: np.ndarray, b: np.ndarray, pos, home_pos, k: int) -> tuple[int, int, int, int, int]:
-    """(start, end, home start, home end, equal words) of a chain, aligned between its seeds and extended at both ends."""
+def align(a: np.ndarray, b: np.ndarray, pos, home_pos, k: int, same_text: bool = False) -> tuple[int, int, list[tuple[int, int, int]]]:
+    """(start, home start, stretches) of a chain, aligned between its seeds and extended at both ends."""
     i, j = pos[0], home_pos[0]
-    x, y, same = extend(a[:i][::-1], b[:j][::-1])
-    start, home_start = i - x, j - y
-    at, to = i, j
+    before = extend(a[:i][::-1], b[:j][::-1])
+    if same_text:  # read backwards, a step of the home's words more brings the two together
+        before = _apart(before, i - j)
+    start, home_start = i - sum(x for x, _, _ in before), j - sum(y for _, y, _ in before)
+    out, at, to = before[::-1], i, j
     for p, h in zip(pos, home_pos):
-        if p >= at and h >= to:
-            same += edit_matches(a[at:p], b[to:h]) + k
-        else:  # the seed overlaps the one before
+        if p < at or h < to:  # the seed overlaps the one before
             step = min(p + k - at, h + k - to)
             if step <= 0:
                 continue
-            same += edit_matches(a[at:p + k], b[to:h + k])
+            out.append((p + k - at, h + k - to, edit_matches(a[at:p + k], b[to:h + k])))
+        else:
+            out += stretches(a[at:p], b[to:h])
+            out.append((k, k, int((a[p:p + k] == b[h:h + k]).sum()) if len(a) >= p + k and len(b) >= h + k else 0))
         at, to = p + k, h + k
-    x, y, more = extend(a[at:], b[to:])
-    return start, at + x, home_start, to + y, same + more
+    return start, home_start, out + extend(a[at:], b[to:], at - to if same_text else None)
+
+
+def _apart(found: list[tuple[int, int, int]], shift: int) -> list[tuple[int, int, int]]:
+    for n, (x, y, _) in enumerate(found):
+        shift += y - x
+        if shift <= 0:
+            return found[:n]
+    return found
+
+
+def pieces(found: list[tuple[int, int, int]], min_words: int, min_identity: float) -> list[tuple[int, int]]:
+    """Ranges of stretches that are passages: all, or else the longest that are similar enough, then the longest of what
+    is left on either side. Weak ends are trimmed while enough words are left."""
+    if not found:
+        return []
+    x, y, same = np.array(found).T
+    own = np.r_[0, np.cumsum(x)]
+    score = np.r_[0, np.cumsum(same - min_identity * np.maximum(x, y))]
+    if own[-1] >= min_words and same.sum() >= min_identity * max(own[-1], y.sum()):
+        return [(0, len(found))]
+    out, todo = [], [(0, len(found))]
+    while todo:
+        lo, hi = todo.pop()
+        if own[hi] - own[lo] < min_words:
+            continue
+        best = None
+        lows = []  # starts with ever lower scores; an end reaches back to the first that is not above its own
+        for z in range(lo, hi + 1):
+            if not lows or score[z] < score[lows[-1]]:
+                lows.append(z)
+            left, right = 0, len(lows) - 1
+            while left < right:
+                mid = (left + right) // 2
+                if score[lows[mid]] <= score[z] + 1e-9:
+                    right = mid
+                else:
+                    left = mid + 1
+            s = lows[left]
+            if own[z] - own[s] >= min_words and (best is None or own[z] - own[s] > best[0]):
+                best = (own[z] - own[s], s, z)
+        if best is None:
+            continue
+        _, s, z = best
+        first, last = s, z
+        for e in range(z - 1, s, -1):
+            if score[e] > score[last] and own[e] - own[first] >= min_words:
+                last = e
+        for e in range(s + 1, last):
+            if score[e] < score[first] and own[last] - own[e] >= min_words:
+                first = e
+        out.append((first, last))
+        todo += [(lo, first), (last, hi)]
+    return sorted(out)
+
+
+def passages_of(a: np.ndarray, b: np.ndarray, pos, home_pos, sizes, k: int, min_words: int, min_identity: float, same_text: bool = False) -> list[tuple[int, int, int, int, float]]:
+    """(start, end, home start, home end, identity) of the passages of two texts; a chain inside one found is not repeated."""
+    out, n = [], 0
+    for size in sizes:
+        p, h = pos[n:n + size], home_pos[n:n + size]
+        n += size
+        if any(s <= p[0] and p[-1] + k <= e and hs <= h[0] and h[-1] + k <= he for s, e, hs, he, _ in out):
+            continue
+        start, home_start, found = align(a, b, p, h, k, same_text)
+        x, y, same = ([0, *np.cumsum([f[c] for f in found]).tolist()] for c in range(3))
+        for lo, hi in pieces(found, min_words, min_identity):
+            span = (start + x[lo], start + x[hi], home_start + y[lo], home_start + y[hi])
+            if not any(s <= span[0] and span[1] <= e and hs <= span[2] and span[3] <= he for s, e, hs, he, _ in out):
+                out.append((*span, (same[hi] - same[lo]) / max(span[1] - span[0], span[3] - span[2], 1)))
+    return out
+
+
+def uncovered(found: DataFrame, least: int) -> DataFrame:
+    """Without the passages that add fewer than `least` words to those of the document with smaller homes."""
+    def run(batches):
+        for t in runs(batches, 1):
+            taken = np.zeros(max(t.column("end").to_pylist()), bool)
+            keep = []
+            for n, (s, e) in enumerate(zip(t.column("start").to_pylist(), t.column("end").to_pylist())):
+                if e - s - int(taken[s:e].sum()) >= least:
+                    keep.append(n)
+                    taken[s:e] = True
+            yield from t.take(pa.array(keep)).combine_chunks().to_batches()
+
+    return found.repartition("doc_id").sortWithinPartitions("doc_id", "home_id", "start", F.col("end").desc()).mapInArrow(run, found.schema)
 
 
 def repeated_passages(docs: DataFrame, k: int = K, window: int = WINDOW, min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY,
                       gap_cost: float = GAP_COST, max_gap: int = MAX_GAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per passage of a document that an earlier document (a smaller id) holds too:
+    """One row per passage of a document that an earlier document (a smaller id), or the same one further up, holds too:
     doc_id, home_id, start, end, home_start, home_end (words from 0, ends exclusive), char_start, char_end (code points
     in the document's text), n_words, identity.
 
@@ -202,15 +427,11 @@ def repeated_passages(docs: DataFrame, k: int = K, window: int = WINDOW, min_wor
     null, empty or short text holds no passage; rows without an id take no part; of rows that repeat an id, each is
     compared with the homes of both. Other columns of `docs` are ignored, so their names cannot clash.
     """
-    spread = seeds(docs, k, window, id_col, text_col)
-    homes = spread.groupBy("seed").agg(F.min("doc_id").alias("home"), F.max("doc_id").alias("_last"), F.min_by("pos", "doc_id").alias("home_pos"))
-    homes = homes.filter("home < _last").select("seed", "home", "home_pos")
     id_type = docs.schema[id_col].dataType
-    found = spread.join(homes, "seed").filter("doc_id <> home").select("doc_id", "home", "pos", "home_pos")
-    linked = chains(found, k, gap_cost, max_gap, id_type)
+    linked = chains(matches(seeds(docs, k, window, id_col, text_col), id_type), k, gap_cost, max_gap, id_type)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    own = linked.join(texts, linked["doc_id"] == texts["_id"]).select("doc_id", "home", "pos", "home_pos", F.col("_text").alias("_own"))
-    both = own.join(texts, own["home"] == texts["_id"]).select("doc_id", "home", "pos", "home_pos", "_own", "_text")
+    own = linked.join(texts, linked["doc_id"] == texts["_id"]).select("doc_id", "home", "pos", "home_pos", "sizes", F.col("_text").alias("_own"))
+    both = own.join(texts, own["home"] == texts["_id"]).select("doc_id", "home", "pos", "home_pos", "sizes", "_own", "_text")
     counts = [T.StructField(c, T.LongType()) for c in ("start", "end", "home_start", "home_end", "char_start", "char_end", "n_words")]
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("home_id", id_type), *counts, T.StructField("identity", T.DoubleType())])
 
@@ -220,16 +441,17 @@ def repeated_passages(docs: DataFrame, k: int = K, window: int = WINDOW, min_wor
             for at in range(0, whole.num_rows, 200):
                 b = whole.slice(at, 200)
                 held = []
-                for doc, home, pos, home_pos, own_text, home_text in zip(*[c.to_pylist() for c in b.columns]):
-                    s, e, hs, he, same = align(word_ids(own_text, hashes), word_ids(home_text, hashes), pos, home_pos, k)
-                    identity = same / max(e - s, he - hs, 1)
-                    if e - s >= min_words and identity >= min_identity:
-                        raw = own_text.encode()
-                        spans = [m.span() for m in _WORD.finditer(raw)]
+                for doc, home, pos, home_pos, sizes, own_text, home_text in zip(*[c.to_pylist() for c in b.columns]):
+                    found = passages_of(word_ids(own_text, hashes), word_ids(home_text, hashes), pos, home_pos, sizes, k, min_words, min_identity, doc == home)
+                    if not found:
+                        continue
+                    raw = own_text.encode()
+                    spans = [m.span() for m in _WORD.finditer(raw)]
+                    for s, e, hs, he, identity in found:
                         first = len(raw[:spans[s][0]].decode())
                         last = first + len(raw[spans[s][0]:spans[e - 1][1]].decode())
                         held.append((doc, home, s, e, hs, he, first, last, e - s, identity))
                 if held:
                     yield _rows(held, schema)
 
-    return both.mapInArrow(run, schema)
+    return uncovered(both.mapInArrow(run, schema), k)
