@@ -21,3 +21,13 @@ def test_header_and_footer_around_a_differing_middle(spark):
     got = {(r["doc_id"], r["home_id"], a) for r in found(spark, docs) for a in (80, 165) if abs(r["start"] - a) <= 5 and abs(r["end"] - a - 50) <= 5}
     print("header and footer", len(got), "of 40")
     assert got == {(2 * t + 1, 2 * t, a) for t in range(20) for a in (80, 165)}
+
+
+def test_overlapping_parts_in_earlier_documents(spark):
+    rng, docs = random.Random(2), []
+    for t in range(20):
+        p = words(rng, 60)
+        docs += [(10 * t + k, " ".join(words(rng, 80) + part + words(rng, 80))) for k, part in ((1, p[:30]), (2, p[30:]), (3, p), (4, p))]
+    got = {(r["doc_id"], r["home_id"]) for r in found(spark, docs)}
+    print("overlapping parts", len(got), "of 20")
+    assert got == {(10 * t + 4, 10 * t + 3) for t in range(20)}
