@@ -148,7 +148,8 @@ def matches(spread: DataFrame, id_type) -> DataFrame:
                 opening, top, top_doc = seed[0], t.slice(0, 1), doc[0]
             bits = [t.column(c).to_numpy().view(np.uint64) for c in (3, 4)]
             fresh = index >= old
-            for partner, taken in ((first, fresh & (own > first) & (seed != opening)), (own - 1, fresh & (own > first) & ((own - 1 != first) | (seed == opening))),):
+            for partner, taken in ((first, fresh & (own > first) & (seed != opening)), (own - 1, fresh & (own > first) & ((own - 1 != first) | (seed == opening))),
+                                   (index - 1, fresh & (index > own))):
                 a = np.flatnonzero(taken)
                 if len(a):
                     b = partner[a]

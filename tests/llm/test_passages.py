@@ -31,3 +31,16 @@ def test_overlapping_parts_in_earlier_documents(spark):
     got = {(r["doc_id"], r["home_id"]) for r in found(spark, docs)}
     print("overlapping parts", len(got), "of 20")
     assert got == {(10 * t + 4, 10 * t + 3) for t in range(20)}
+
+
+def test_copies_inside_one_document(spark):
+    rng = random.Random(3)
+    p, q = words(rng, 60), words(rng, 60)
+    w = lambda: words(rng, 80)
+    docs = [(1, w() + p + w()), (2, w() + p + w() + p + w()), (3, w() + q + w() + q + w()), (4, w() + p[:6] + w() + p + w())]
+    got = {(r["doc_id"], r["home_id"], round(r["start"], -1), round(r["end"], -1)) for r in found(spark, [(k, " ".join(x)) for k, x in docs])}
+    print("copies inside", got)
+    assert got == {(2, 1, 80, 140), (2, 1, 220, 280), (3, 3, 220, 280), (4, 1, 170, 230)}
+    for n in (50, 51):  # a text of one word, and of two in turn
+        for r in found(spark, [(1, " ".join(["so"] * n)), (2, "on and " * n)]):
+            assert r["doc_id"] == r["home_id"] and r["start"] > r["home_start"]
