@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 from roadframe.llm.common import written
 from roadframe.llm.neardup import WordHash, _mix, _odd_numbers, runs
 
-K, WINDOW = 5, 12
+K, WINDOW = 5, 6
 MIN_WORDS, MIN_IDENTITY = 45, 0.8
 GAP_COST, MAX_GAP = 0.05, 60
 #: Differences that an extension beyond a chain steps over (words of either text), and the equal words it then asks for.
@@ -238,9 +238,9 @@ def chains(found: DataFrame, k: int, gap_cost: float, max_gap: int, id_type) ->
             if len(pos) > 1:
                 one = np.r_[True, (pos[1:] != pos[:-1]) | (home[1:] != home[:-1])]
                 pos, home, near = pos[one], home[one], near[one]
-                kept = [c for c in chains_of(pos, home, k, gap_cost, max_gap) if len(c) > 1]
+                kept = [c for c in chains_of(pos, home, k, gap_cost, max_gap) if len(c) > 1 or near[c[0]]]
             else:
-                kept = []
+                kept = [[0]] if near[0] else []
             if kept:
                 every = np.concatenate(kept)
                 held.append((t.column(0)[0].as_py(), t.column(1)[0].as_py(), pos[every], home[every], [len(c) for c in kept]))

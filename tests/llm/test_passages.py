@@ -44,3 +44,19 @@ def test_copies_inside_one_document(spark):
     for n in (50, 51):  # a text of one word, and of two in turn
         for r in found(spark, [(1, " ".join(["so"] * n)), (2, "on and " * n)]):
             assert r["doc_id"] == r["home_id"] and r["start"] > r["home_start"]
+
+
+def test_recall_by_edit_rate(spark):
+    rng, docs, n = random.Random(4), [], 0
+    for step in (10, 8, 6):
+        for _ in range(40):
+            p = words(rng, 60)
+            q = p[:]
+            for k in rng.sample(range(60), 60 // step):
+                q[k] = "changed"
+            docs += [(2 * n, " ".join(words(rng, 80) + p + words(rng, 80))), (2 * n + 1, " ".join(words(rng, 80) + q + words(rng, 80)))]
+            n += 1
+    got = {(r["doc_id"], r["home_id"]) for r in found(spark, docs)}
+    recall = [sum((2 * k + 1, 2 * k) in got for k in range(i, i + 40)) for i in (0, 40, 80)]
+    print("recall of 40 with one change in 10, 8, 6:", recall)
+    assert got <= {(2 * k + 1, 2 * k) for k in range(n)} and min(recall) >= 38
