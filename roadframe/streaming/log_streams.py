@@ -118,21 +118,36 @@ def _written(spark: SparkSession, out: str, batch_id: int) -> DataFrame | None:
 def append_new_pairs(requests: DataFrame, trained: DataFrame, out: str, tol: float = 1e-6) -> None:
     """Append requests whose (mask, photo, scale) is neither trained nor written before, within `tol`.
 
-    Known scales stand in their own and both neighbouring cells, so the check is an equi-join and then exact. Scales of
-    one batch that follow each other closer than `tol` count as one, the smallest. The sink is the only state.
+    Known scales stand in their own and both neighbouring cells, so the check is an equi-join and then exact. Of what is
+    left of a batch, the smallest scale is taken, then the next at or beyond it plus `tol`, and so on; scales without a
+    neighbour within `tol` need no such walk. The sink is the only state.
     """
     spark = requests.sparkSession
     cell = F.floor(F.col("scale") / (2 * tol)).cast("bigint")
     pair = ["mask_id", "photo_id"]
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        gap = F.col("scale") - F.lag("scale").over(W.partitionBy(*pair).orderBy("scale", "request_id"))
-        first = batch.withColumn("_gap", gap).filter(F.col("_gap").isNull() | (F.col("_gap") >= tol)).select(*pair, "scale", cell.alias("_cell"))
+        asked = batch.select(*pair, "scale", cell.alias("_cell"))
         held = _written(spark, out, batch_id)
         known = trained.select(*pair, "scale") if held is None else trained.select(*pair, "scale").unionByName(held)
         known = known.select(*pair, F.col("scale").alias("_known"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("_cell"))
-        near = [first[c] == known[c] for c in [*pair, "_cell"]] + [F.abs(first["scale"] - known["_known"]) < tol]
-        first.join(known, near, "left_anti").select(*pair, "scale").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        near = [asked[c] == known[c] for c in [*pair, "_cell"]] + [F.abs(asked["scale"] - known["_known"]) < tol]
+        rest = asked.join(known, near, "left_anti").select(*pair, "scale")
+        over = W.partitionBy(*pair).orderBy("scale")
+        gap = F.col("scale") - F.lag("scale").over(over)
+        start = (F.col("_gap").isNull() | (F.col("_gap") >= tol)).cast("bigint")
+        runs = rest.withColumn("_gap", gap).withColumn("_run", F.sum(start).over(over.rowsBetween(W.unboundedPreceding, 0)))
+
+        def apart(rows):
+            rows, keep, last = rows.sort_values("scale"), [], None
+            for s in rows["scale"]:
+                keep.append(last is None or s - last >= tol)
+                last = s if keep[-1] else last
+            return rows[keep]
+
+        counted = runs.select(*pair, "_run", "scale", F.count(F.lit(1)).over(W.partitionBy(*pair, "_run")).alias("_n"))
+        walked = counted.filter("_n > 1").groupBy(*pair, "_run").applyInPandas(apart, counted.schema)
+        counted.filter("_n = 1").unionByName(walked).select(*pair, "scale").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     requests.writeStream.foreachBatch(sink).option("checkpointLocation", out + "-offsets").trigger(availableNow=True).start().awaitTermination()
 
