@@ -95,8 +95,7 @@ def pack_histogram(histogram: dict[int, int], size: int) -> list[tuple[int, tupl
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
         while left:
-            k = bisect.bisect_left(rooms, length)
-            if k == len(rooms):  # no pattern takes it: open new ones, as full of this length as they get
+            if not rooms or rooms[-1] < length:  # no pattern takes it: open new ones, as full of this length as they get
                 each = size // length
                 whole, rest = divmod(left, each)
                 if whole:
@@ -104,17 +103,16 @@ def pack_histogram(histogram: dict[int, int], size: int) -> list[tuple[int, tupl
                 if rest:
                     put(size - rest * length, 1, (length,) * rest)
                 break
-            room = rooms[k]
+            room = rooms[-1]  # the shortest pack; one piece each, then others may be shorter
             count, lengths = groups[room].pop()
             if not groups[room]:
                 del groups[room]
-                del rooms[k]
-            fit = min(room // length, left)
-            used = min(count, left // fit)
+                del rooms[-1]
+            used = min(count, left)
             if used < count:
                 put(room, count - used, lengths)
-            put(room - fit * length, used, lengths + (length,) * fit)
-            left -= used * fit
+            put(room - length, used, lengths + (length,))
+            left -= used
     for room in rooms:
         done += [(count, lengths) for count, lengths in groups[room]]
     return done
