@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers as P
 
-from roadframe.llm import bpe, chat, exact, html, neardup, packing, passages, pii, quality, sharding, twins
+from roadframe.llm import alignment, bpe, chat, exact, html, neardup, packing, passages, pii, quality, sharding, twins, versions, whitening
 from roadframe.llm.common import read
 
 QUERIES: dict = {}
@@ -63,3 +63,19 @@ def op3_html(spark, sf_dir):
 @query
 def op4_passages(spark, sf_dir):
     return passages.repeated_passages(read(spark, sf_dir, "documents"))
+
+
+@query
+def op11_fingerprints(spark, sf_dir):
+    return versions.half_edit_report(read(spark, sf_dir, "documents"))
+
+
+@query
+def op12_alignment(spark, sf_dir):
+    return alignment.align_tokens(read(spark, sf_dir, "documents"), P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN,
+                                  P.path("piece_bpe_32k.model"))
+
+
+@query
+def op13_whitening(spark, sf_dir):
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
