@@ -52,8 +52,9 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 def dimension_stats(vectors: DataFrame) -> list:
     """Rows (dimension, n, total, low, high) over all vectors; totals are whole numbers."""
-    x = (F.floor(F.col("c") * SCALE) + OFFSET).cast("bigint")
-    flat = vectors.select(F.posexplode("vector").alias("k", "c")).select("k", x.alias("x"), (F.abs(F.col("c") * SCALE) >= BOUND).alias("big"))
+    big = F.abs(F.col("c") * SCALE) >= BOUND
+    x = F.when(big, 0).otherwise(F.floor(F.col("c") * SCALE) + OFFSET).cast("bigint")
+    flat = vectors.select(F.posexplode("vector").alias("k", "c")).select("k", x.alias("x"), big.alias("big"))
     got = flat.groupBy("k").agg(F.count("x").alias("n"), F.sum(F.col("x").cast("decimal(20,0)")).alias("total"), F.min("x").alias("low"),
                                 F.max("x").alias("high"), F.max("big").alias("big")).orderBy("k").collect()
     if any(r["big"] for r in got):
