@@ -12,7 +12,6 @@ from __future__ import annotations
 import gc
 import hashlib
 import json
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +21,11 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 from roadframe.llm.bpe import read_ranks
 from roadframe.llm.common import written
 
-#: Characters of the documents that share one list of id pairs. It bounds a task's memory, not the result.
-SLICE_CHARS = 8_000_000
+#: Characters of the documents that share one list of id pairs, and of those encoded at once. They bound a task's
+#: memory, not the result.
+SLICE_CHARS, TOGETHER = 4_000_000, 256_000
 #: Links of the windows that a task remembers before it starts afresh, between two slices.
-REMEMBERED = 4_000_000
+REMEMBERED = 1_500_000
 COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
 
 
@@ -52,75 +52,79 @@ def piece_token_bytes(model) -> list[bytes]:
     return [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode("utf-8") for i, p in enumerate(pieces)]
 
 
-def align_window(a: tuple, b: tuple, size_a: list[int], size_b: list[int]) -> tuple[str, int, list[int]]:
-    """Groups as text, their number, and the links (a id << 32 | b id) of one window; both sides cover the same bytes."""
-    if len(a) == 1 or len(b) == 1:
-        return f"{','.join(map(str, a))}|{','.join(map(str, b))}", 1, [x << 32 | y for x in a for y in b]
-    groups, links = [], []
-    i = j = from_i = from_j = 0
-    end_a, end_b = size_a[a[0]], size_b[b[0]]
-    while True:
-        links.append(a[i] << 32 | b[j])
-        if end_a < end_b:
-            i += 1
-            end_a += size_a[a[i]]
-        elif end_b < end_a:
-            j += 1
-            end_b += size_b[b[j]]
-        else:
-            i, j = i + 1, j + 1
-            groups.append(f"{','.join(map(str, a[from_i:i]))}|{','.join(map(str, b[from_j:j]))}")
-            if i == len(a):
-                return ";".join(groups), len(groups), links
-            from_i, from_j = i, j
-            end_a += size_a[a[i]]
-            end_b += size_b[b[j]]
-
-
 class Aligner:
-    """Windows of one pair of tokenizers, each aligned once."""
+    """Windows of one pair of tokenizers, each aligned once. A window is known by its two tuples of ids, as bytes."""
 
     def __init__(self, bytes_a: list[bytes], bytes_b: list[bytes]):
         self.bytes = bytes_a, bytes_b
-        self.sizes = [[len(t) for t in side] for side in self.bytes]
-        self.size = [np.array(s, np.int64) for s in self.sizes]
+        self.size = [np.array([len(t) for t in side], np.int64) for side in self.bytes]
         self.space = [np.array([t[:1] == b" " for t in side]) for side in self.bytes]
+        #: Every id with what may follow it in the text of groups: A with "," or "|", B with "," or ";".
+        self.spelt = [f"{k}{mark}" for side, marks in zip(self.bytes, (",|", ",;")) for mark in marks for k in range(len(side))]
         self.forget()
 
     def forget(self):
-        self.known: dict[tuple[tuple, tuple], int] = {}
+        self.known: dict[tuple[bytes, bytes], int] = {}
+        self.new: list[tuple[bytes, bytes]] = []
         self.text: list[str] = []
         self.groups: list[int] = []
-        self.links: list[tuple] = []
+        self.links: list[bytes] = []
         self.held = 0
 
     def covers(self, ids_a: list[int], ids_b: list[int], plain: bytes) -> bool:
         return all(b"".join(map(of.__getitem__, ids)) == plain for of, ids in zip(self.bytes, (ids_a, ids_b)))
 
     def windows(self, ids_a: list[int], ids_b: list[int]) -> list[int]:
-        """Numbers of the document's windows in order; new ones are aligned and remembered."""
-        a, b = np.array(ids_a), np.array(ids_b)
+        """Numbers of the document's windows in order. New ones get a number and wait for align_new."""
+        a, b = np.array(ids_a, "<u4"), np.array(ids_b, "<u4")
         ends_a, ends_b = np.cumsum(self.size[0][a]), np.cumsum(self.size[1][b])
         at = np.searchsorted(ends_b, ends_a[:-1])
         cut = np.flatnonzero((ends_b[at] == ends_a[:-1]) & self.space[0][a[1:]])
         cut = cut[self.space[1][b[at[cut] + 1]]]
-        a, b, known = tuple(ids_a), tuple(ids_b), self.known
+        bytes_a, bytes_b, known = a.tobytes(), b.tobytes(), self.known
         out, from_a, from_b = [], 0, 0
-        for to_a, to_b in zip([*(cut + 1).tolist(), len(a)], [*(at[cut] + 1).tolist(), len(b)]):
-            key = a[from_a:to_a], b[from_b:to_b]
+        for to_a, to_b in zip([*(4 * cut + 4).tolist(), len(bytes_a)], [*(4 * at[cut] + 4).tolist(), len(bytes_b)]):
+            key = bytes_a[from_a:to_a], bytes_b[from_b:to_b]
             w = known.get(key)
-            out.append(self._new(key) if w is None else w)
+            if w is None:
+                w = known[key] = len(known)
+                self.new.append(key)
+            out.append(w)
             from_a, from_b = to_a, to_b
         return out
 
-    def _new(self, key: tuple[tuple, tuple]) -> int:
-        text, groups, links = align_window(*key, *self.sizes)
-        w = self.known[key] = len(self.text)
-        self.text.append(text)
-        self.groups.append(groups)
-        self.links.append(tuple(links))
-        self.held += len(links)
-        return w
+    def align_new(self) -> None:
+        """Align the waiting windows in one go: both sides of a window cover the same bytes, so windows laid end to end
+        behave like one document whose borders are ends of both sides."""
+        if not self.new:
+            return
+        (a, ends_a, count_a), (b, ends_b, count_b) = (self._laid_out(k) for k in range(2))
+        ends = np.union1d(ends_a, ends_b)
+        at_a, at_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+        links = (a[at_a].astype(np.int64) << 32 | b[at_b]).tobytes()
+        shared = ends[(ends_a[at_a] == ends) & (ends_b[at_b] == ends)]
+        group = np.concatenate([2 * np.searchsorted(shared, ends_a), 2 * np.searchsorted(shared, ends_b) + 1])
+        order = np.argsort(group, kind="stable")
+        last = np.append(group[order][1:] != group[order][:-1], True)
+        size_a, size_b = map(len, self.bytes)
+        token = np.concatenate([a, b.astype(np.int64) + 2 * size_a])[order]
+        token += last * np.where(order < len(a), size_a, size_b)
+        spelt = list(map(self.spelt.__getitem__, token.tolist()))
+        window_ends = ends_a[np.cumsum(count_a) - 1]
+        upto = [np.cumsum(count_a + count_b), np.searchsorted(shared, window_ends) + 1, 8 * (np.searchsorted(ends, window_ends) + 1)]
+        from_token = from_group = from_link = 0
+        for to_token, to_group, to_link in zip(*(u.tolist() for u in upto)):
+            self.text.append("".join(spelt[from_token:to_token]))
+            self.groups.append(to_group - from_group)
+            self.links.append(links[from_link:to_link])
+            from_token, from_group, from_link = to_token, to_group, to_link
+        self.held += len(links) // 8
+        self.new = []
+
+    def _laid_out(self, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, their ends, ids per window) of the waiting windows."""
+        ids = np.frombuffer(b"".join(k[side] for k in self.new), "<u4")
+        return ids, np.cumsum(self.size[side][ids]), np.array([len(k[side]) // 4 for k in self.new], np.int64)
 
 
 def slice_pairs(aligner: Aligner, used: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -129,9 +133,9 @@ def slice_pairs(aligner: Aligner, used: list[np.ndarray]) -> tuple[np.ndarray, l
     if not used:
         return np.zeros(0, np.int64), [np.zeros(0, np.int64)] * 4
     windows, times = np.unique(np.concatenate(used), return_counts=True)
-    links = [aligner.links[w] for w in windows.tolist()]
-    sizes = np.fromiter(map(len, links), np.int64, len(links))
-    pairs, place = np.unique(np.fromiter(chain.from_iterable(links), np.int64, int(sizes.sum())), return_inverse=True)
+    links = list(map(aligner.links.__getitem__, windows.tolist()))
+    sizes = np.array([len(x) // 8 for x in links], np.int64)
+    pairs, place = np.unique(np.frombuffer(b"".join(links), np.int64), return_inverse=True)
     total = np.bincount(place, weights=np.repeat(times, sizes), minlength=len(pairs)).astype(np.int64)
     return windows, [pairs, total, np.cumsum(sizes) - sizes, place]
 
@@ -171,7 +175,7 @@ def _aligned(docs: DataFrame, paths: tuple, slice_chars: int) -> DataFrame:
         def flush():
             nonlocal number, ids, rows, used, chars
             windows, lists = slice_pairs(aligner, used)
-            n = len(ids)
+            n = len(rows)
             held = [np.unique(w, return_counts=True) if w is not None else None for w in (r[-1] for r in rows)]
             cols = [pa.concat_arrays([*ids, pa.nulls(1, ids[0].type)]),
                     *[pa.array([*(r[k] for r in rows), None], pa.int64()) for k in range(4)],
@@ -189,22 +193,26 @@ def _aligned(docs: DataFrame, paths: tuple, slice_chars: int) -> DataFrame:
             first = 0
             while first < len(texts):
                 last, size = first, 0
-                while last < len(texts) and chars + size < slice_chars:
+                while last < len(texts) and size < min(TOGETHER, slice_chars):
                     size += len(texts[last] or "") + 1
                     last += 1
                 part = [t or "" for t in texts[first:last]]
+                found = []
                 for text, ids_b in zip(part, encode_b(part)):
-                    row = (0, 0, 0, 0, "", None)
-                    if text:
-                        ids_a = encode_a(" " + text)
-                        if aligner.covers(ids_a, ids_b, b" " + text.encode("utf-8")):
-                            numbers = aligner.windows(ids_a, ids_b)
-                            digest = hashlib.sha256(";".join(map(aligner.text.__getitem__, numbers)).encode()).hexdigest()
-                            row = (len(ids_a), len(ids_b), sum(map(aligner.groups.__getitem__, numbers)),
-                                   sum(len(aligner.links[k]) for k in numbers), digest, np.array(numbers, np.int64))
-                            used.append(row[-1])
-                    rows.append(row)
-                ids.extend(pa.array([x], batch.column(0).type) for x in batch.column(0)[first:last].to_pylist())
+                    ids_a = encode_a(" " + text) if text else []
+                    whole = text and aligner.covers(ids_a, ids_b, b" " + text.encode("utf-8"))
+                    found.append((len(ids_a), len(ids_b), aligner.windows(ids_a, ids_b)) if whole else None)
+                aligner.align_new()
+                for held in found:
+                    if held is None:
+                        rows.append((0, 0, 0, 0, "", None))
+                        continue
+                    n_a, n_b, numbers = held
+                    digest = hashlib.sha256("".join(map(aligner.text.__getitem__, numbers))[:-1].encode()).hexdigest()
+                    rows.append((n_a, n_b, sum(map(aligner.groups.__getitem__, numbers)), sum(map(len, map(aligner.links.__getitem__, numbers))) // 8,
+                                 digest, np.array(numbers, np.int64)))
+                    used.append(rows[-1][-1])
+                ids.append(batch.column(0).slice(first, last - first))
                 chars += size
                 if chars >= slice_chars:
                     yield flush()
