@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from roadframe.llm.common import written
 
-CELLS, HASHES = 24, 3
+CELLS, HASHES = 18, 3
 #: Characters of the texts whose sketches are worked on together; it bounds memory, not the result.
 RUN_CHARS = 1 << 20
 #: One place in so many bytes ends a part inside a paragraph.
