@@ -75,10 +75,53 @@ def core(df: DataFrame) -> DataFrame:
     return df.filter("_core").drop("_core", "_chunk")
 
 
+def position_chunks(df: DataFrame, order: list[str], chunk: int = CHUNK) -> tuple[DataFrame, int]:
+    """Cut rows into chunks of at most `chunk` neighbours in `order`: adds `_chunk` (0, 1, ..), returns the number of chunks.
+
+    Chunks go by position, so sparse ids cut as evenly as dense ones. Rows are range-partitioned and sorted, a row's
+    place in its range is its position there, and one number per range (collected) makes the chunk numbers run on.
+    """
+    spark = df.sparkSession
+    placed = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order)
+                         .withColumn("_at", F.monotonically_increasing_id()))
+    range_of, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(range_of.alias("_range")).agg(F.max(place).alias("top")).orderBy("_range").collect()
+    first, total = [], 0
+    for r in sizes:
+        first.append((r["_range"], total))
+        total += r["top"] // chunk + 1
+    starts = spark.createDataFrame(first, "_range long, _first long")
+    out = placed.withColumn("_range", range_of).join(F.broadcast(starts), "_range")
+    return out.withColumn("_chunk", F.col("_first") + F.floor(place / F.lit(chunk)).cast("bigint")).drop("_range", "_first", "_at"), total
+
+
+def merge_rounds(pieces: DataFrame, keys: list[str], chunks: int, fan: int, merge) -> DataFrame:
+    """One value per key from pieces(keys.., _chunk, piece) in chunk order; `merge` maps an array of pieces to one piece.
+
+    Each round joins up to `fan` neighbours, so no row ever holds more than that many pieces, however many a key has.
+    """
+    while True:
+        chunks = -(-chunks // fan)
+        grouped = pieces.withColumn("_to", F.floor(F.col("_chunk") / F.lit(fan)).cast("bigint")).groupBy(*keys, "_to").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("_chunk", "piece"))), lambda p: p["piece"]).alias("_ps"))
+        pieces = grouped.select(*keys, F.col("_to").alias("_chunk"), merge(F.col("_ps")).alias("piece"))
+        if chunks <= 1:
+            return pieces.drop("_chunk")
+
+
+def _chunked(df: DataFrame, keys: list[str], seq: str, chunk: int, by_position: bool) -> DataFrame:
+    if by_position:
+        return position_chunks(df, [*keys, seq], chunk)[0]
+    return df.withColumn("_chunk", F.floor(F.col(seq) / F.lit(chunk)).cast("bigint"))
+
+
 def prefix_sum(df: DataFrame, keys: list[str], seq: str, value: Column, out: str,
-               chunk: int = CHUNK) -> DataFrame:
-    """Running sum by `seq`, in two levels so that no single task orders a whole hot key."""
-    d = df.withColumn("_v", value).withColumn("_chunk", F.floor(F.col(seq) / F.lit(chunk)).cast("bigint"))
+               chunk: int = CHUNK, by_position: bool = False) -> DataFrame:
+    """Running sum by `seq`, in two levels so that no single task orders a whole hot key.
+
+    Chunks go by the value of `seq`, which suits dense positions; `by_position` is for sparse ids.
+    """
+    d = _chunked(df.withColumn("_v", value), keys, seq, chunk, by_position)
     totals = d.groupBy(*keys, "_chunk").agg(F.sum("_v").alias("_t"))
     carry = totals.select(
         *keys, "_chunk",
@@ -92,8 +135,8 @@ def prefix_sum(df: DataFrame, keys: list[str], seq: str, value: Column, out: str
 
 
 def running_max(df: DataFrame, keys: list[str], seq: str, value: Column, out: str,
-                chunk: int = CHUNK) -> DataFrame:
-    d = df.withColumn("_v", value).withColumn("_chunk", F.floor(F.col(seq) / F.lit(chunk)).cast("bigint"))
+                chunk: int = CHUNK, by_position: bool = False) -> DataFrame:
+    d = _chunked(df.withColumn("_v", value), keys, seq, chunk, by_position)
     tops = d.groupBy(*keys, "_chunk").agg(F.max("_v").alias("_t"))
     carry = tops.select(
         *keys, "_chunk",

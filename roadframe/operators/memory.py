@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from roadframe.operators.common import CHUNK, materialize, prefix_sum, running_max
+from roadframe.operators.common import CHUNK, let, materialize, merge_rounds, position_chunks, running_max
 
 # fixed values of the confidence rules
 START_CONFIDENCE = 0.6
@@ -91,8 +91,7 @@ def situation_key(tree: Column, features: dict[str, tuple[str, Column]]) -> Colu
 # ---------------------------------------------------------------- versioned trees
 def save_tree(saves: DataFrame) -> DataFrame:
     """saves(name, step_id, source, data): numbers the versions of each tree 1, 2, .. in step order."""
-    v = prefix_sum(saves, ["name"], "step_id", F.lit(1), "version")
-    return v.withColumn("version", F.col("version").cast("bigint"))
+    return range_rank(saves, ["name"], [F.col("step_id").asc()], "version")
 
 
 def current_trees(versions: DataFrame) -> DataFrame:
@@ -110,7 +109,7 @@ def tree_as_of(versions: DataFrame, moments: DataFrame) -> DataFrame:
     """Version of each tree in force at each moment(name, step_id): an as-of join by a running maximum."""
     both = versions.select("name", "step_id", F.col("version"), F.lit(False).alias("_ask")).unionByName(
         moments.select("name", "step_id", F.lit(None).cast("bigint").alias("version"), F.lit(True).alias("_ask")))
-    r = running_max(both, ["name"], "step_id", F.col("version"), "_asof")
+    r = running_max(both, ["name"], "step_id", F.col("version"), "_asof", by_position=True)
     return r.filter("_ask").select("name", "step_id", F.col("_asof").alias("version"))
 
 
@@ -197,59 +196,72 @@ def _fold_value(start: Column, events: Column) -> Column:
     return F.aggregate(events, start.cast("int"), lambda acc, e: _apply(acc, e))
 
 
-def _fold_function(events: Column) -> Column:
-    """Effect of an event list on every possible confidence, as steps (lowest input, output).
+def _fold_steps(steps: Column, events: Column) -> Column:
+    """A step function (lowest input, output) followed by an event list.
 
     Each event is a monotone map, so equal outputs are neighbours; a rejection halves their number.
     """
-    start = F.transform(F.sequence(F.lit(0), F.lit(SCALE)), lambda u: F.struct(u.alias("lo"), u.alias("out")))
-
     def step(acc, e):
         moved = F.transform(acc, lambda s: F.struct(s["lo"].alias("lo"), _apply(s["out"], e).alias("out")))
-        # binding the moved list once keeps the comparison with the previous step linear
-        bound = F.transform(F.array(moved), lambda t: F.filter(
-            t, lambda s, i: (i == 0) | (s["out"] != F.get(t, i - 1)["out"])))
-        return F.get(bound, F.lit(0))
+        return let(moved, _joined)
+
+    return F.aggregate(events, steps, step)
+
 
-    return F.aggregate(events, start, step)
+def _joined(steps: Column) -> Column:
+    """Neighbouring steps of equal output as one."""
+    return F.filter(steps, lambda s, i: (i == 0) | (s["out"] != F.get(steps, i - 1)["out"]))
 
 
+#: A piece of a replay with at most so many reviews is kept as the list of them: shorter than its step function.
 RAW = 256
 
 
-def confidence_replay(reviews: DataFrame, start: DataFrame, chunk: int = CHUNK, fan: int = 4096,
+def _merge_pieces(raw: int):
+    """Pieces in order as one: a list of reviews as long as it is short, else a step function of the incoming confidence."""
+    identity = F.transform(F.sequence(F.lit(0), F.lit(SCALE)), lambda u: F.struct(u.cast("int").alias("lo"), u.cast("int").alias("out")))
+    no_events, no_steps = F.array().cast("array<boolean>"), F.array().cast("array<struct<lo:int,out:int>>")
+
+    def table(steps):
+        """Output of every confidence, so that a look-up is one array access."""
+        upto = lambda i: F.coalesce(F.get(steps, i + 1)["lo"], F.lit(SCALE + 1))
+        return F.flatten(F.transform(steps, lambda s, i: F.array_repeat(s["out"], upto(i) - s["lo"])))
+
+    def follow(steps, p):
+        through = let(table(p["steps"]), lambda t: F.transform(
+            steps, lambda s: F.struct(s["lo"].alias("lo"), F.get(t, s["out"]).alias("out"))))
+        return F.when(F.size(p["steps"]) > 0, let(through, _joined)).otherwise(_fold_steps(steps, p["events"]))
+
+    def merge(ps):
+        short = F.forall(ps, lambda p: F.size(p["steps"]) == 0) & (F.aggregate(ps, F.lit(0), lambda n, p: n + F.size(p["events"])) <= raw)
+        return F.struct(F.when(short, F.flatten(F.transform(ps, lambda p: p["events"]))).otherwise(no_events).alias("events"),
+                        F.when(short, no_steps).otherwise(F.aggregate(ps, identity, follow)).alias("steps"))
+
+    return merge
+
+
+def confidence_replay(reviews: DataFrame, start: DataFrame, chunk: int = CHUNK, fan: int = 16,
                       raw: int = RAW) -> DataFrame:
     """Confidence of every (part, pair) after its accept/reject reviews in step order.
 
-    reviews(part, pair_id, step_id, reject BOOLEAN); start(part, pair_id, confidence).
-    Step ids are unique, so a chunk of the id range bounds the events of one group even if a single pair
-    holds most of the log. Short chunks keep their events; long ones become a step function of the incoming
-    confidence. A second level composes them in order.
+    reviews(part, pair_id, step_id, reject BOOLEAN); start(part, pair_id, confidence). Step ids may be sparse.
+    Reviews are cut into chunks by position. A chunk's reviews of one pair become one piece: the list itself or, beyond
+    `raw` reviews, a step function of the incoming confidence. Pieces are composed in rounds of `fan` neighbours, so a
+    pair with most of the log is folded in parallel and no row holds more than `fan` of its functions.
     """
-    ck = F.floor(F.col("step_id") / chunk).cast("bigint")
-    ev = (reviews.withColumn("_c", ck).groupBy("part", "pair_id", "_c")
-          .agg(F.transform(F.array_sort(F.collect_list(F.struct("step_id", "reject"))), lambda s: s["reject"]).alias("ev")))
-    empty_ev = F.array().cast("array<boolean>")
-    empty_fn = F.array().cast("array<struct<lo:int,out:int>>")
-    small = F.size("ev") <= raw
-    piece = ev.select("part", "pair_id", "_c", F.struct(
-        F.col("_c").alias("c"),
-        F.when(small, F.col("ev")).otherwise(empty_ev).alias("ev"),
-        F.when(small, empty_fn).otherwise(_fold_function(F.col("ev"))).alias("fn")).alias("piece"))
-
-    def through(u, p):
-        table = F.element_at(F.filter(p["fn"], lambda s: s["lo"] <= u), -1)["out"]
-        return F.when(F.size(p["fn"]) > 0, table).otherwise(_fold_value(u, p["ev"])).cast("int")
-
-    # one more level, so that a pair active in millions of chunks is still folded in bounded groups
-    block = piece.withColumn("_b", F.floor(F.col("_c") / fan).cast("bigint")).groupBy("part", "pair_id", "_b").agg(
-        F.array_sort(F.collect_list("piece")).alias("ps"))
-    whole = block.groupBy("part", "pair_id").agg(F.array_sort(F.collect_list(F.struct("_b", "ps"))).alias("bs"))
+    pair = ["part", "pair_id"]
+    placed, chunks = position_chunks(reviews.select(*pair, "step_id", "reject"), [*pair, "step_id"], chunk)
+    merge = _merge_pieces(raw)
+    events = placed.groupBy(*pair, "_chunk").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("step_id", "reject"))), lambda s: s["reject"]).alias("ev"))
+    single = F.array(F.struct(F.col("ev").alias("events"), F.array().cast("array<struct<lo:int,out:int>>").alias("steps")))
+    pieces = events.withColumn("ps", single).select(*pair, "_chunk", merge(F.col("ps")).alias("piece"))
+    whole = merge_rounds(pieces, pair, chunks, fan, merge)
     u0 = F.bround(F.col("confidence") * SCALE, 0).cast("int")
-    out = start.select("part", "pair_id", "confidence").join(whole, ["part", "pair_id"], "left")
-    u = F.when(F.col("bs").isNull(), u0).otherwise(
-        F.aggregate("bs", u0, lambda acc, b: F.aggregate(b["ps"], acc, lambda a, p: through(a, p))))
-    return out.select("part", "pair_id", F.bround(u / float(SCALE), 4).alias("confidence"))
+    out = start.select(*pair, "confidence").join(whole, pair, "left")
+    through = F.element_at(F.filter("piece.steps", lambda s: s["lo"] <= u0), -1)["out"]
+    u = F.when(F.col("piece").isNull(), u0).when(F.size("piece.steps") > 0, through).otherwise(_fold_value(u0, F.col("piece.events")))
+    return out.select(*pair, F.bround(u / float(SCALE), 4).alias("confidence"))
 
 
 def review_counts(log: DataFrame) -> DataFrame:

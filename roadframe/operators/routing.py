@@ -6,7 +6,7 @@ import itertools
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from roadframe.operators.common import CHUNK, materialize
+from roadframe.operators.common import CHUNK, materialize, merge_rounds, position_chunks
 from roadframe.operators import memory as M
 
 MIN_USABLE = 6                      # patches a library needs before it may be used
@@ -91,11 +91,11 @@ _NO = 1 << 40
 
 
 def clamped_replay(events: DataFrame, keys: list[str], lo: Column, hi: Column, delta: Column,
-                   chunk: int = CHUNK, fan: int = 4096) -> DataFrame:
+                   chunk: int = CHUNK, fan: int = 16) -> DataFrame:
     """Composition, in step order, of moves x -> min(hi, max(lo, x + delta)); one (d, lo, hi) per key.
 
-    Such moves compose to another of the same form, so chunks of the step range are reduced independently and
-    then combined; no key is ever collected whole.
+    Such moves compose to another of the same form, so chunks (by position, ids may be sparse) are reduced
+    independently and combined in rounds; no key is ever collected whole.
     """
     def then(a, b):
         sq = lambda v: F.least(b["hi"], F.greatest(b["lo"], v + b["d"]))
@@ -104,15 +104,12 @@ def clamped_replay(events: DataFrame, keys: list[str], lo: Column, hi: Column, d
     unit = F.struct(F.lit(0).cast("bigint").alias("d"), F.lit(-_NO).cast("bigint").alias("lo"),
                     F.lit(_NO).cast("bigint").alias("hi"))
 
-    def squeeze(df, by, order, item):
-        return df.groupBy(*by).agg(F.aggregate(
-            F.transform(F.array_sort(F.collect_list(F.struct(order, item))), lambda s: s["m"]), unit, then).alias("m"))
-
     m = F.struct(delta.cast("bigint").alias("d"), lo.cast("bigint").alias("lo"), hi.cast("bigint").alias("hi")).alias("m")
-    step = events.select(*keys, "step_id", m, F.floor(F.col("step_id") / chunk).cast("bigint").alias("_c"))
-    per_chunk = squeeze(step, [*keys, "_c"], "step_id", "m").withColumn("_b", F.floor(F.col("_c") / fan))
-    per_block = squeeze(per_chunk, [*keys, "_b"], "_c", "m")
-    return squeeze(per_block, keys, "_b", "m").select(*keys, "m.*")
+    placed, chunks = position_chunks(events.select(*keys, "step_id", m), [*keys, "step_id"], chunk)
+    squeezed = lambda ms: F.aggregate(ms, unit, then)
+    pieces = placed.groupBy(*keys, "_chunk").agg(squeezed(F.transform(
+        F.array_sort(F.collect_list(F.struct("step_id", "m"))), lambda s: s["m"])).alias("piece"))
+    return merge_rounds(pieces, keys, chunks, fan, squeezed).select(*keys, "piece.*")
 
 
 def after(start: Column) -> Column:
