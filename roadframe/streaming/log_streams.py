@@ -6,13 +6,13 @@ checkpoint folder, so a restarted query goes on where it stopped and sinks see e
 
 from __future__ import annotations
 
+import math
 import os
 import uuid
+from bisect import bisect_right, insort
 
-import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from roadframe.operators.common import checkpoint_root
 from roadframe.operators.memory import CAP, FLOOR, SCALE, STEP_UP, replay_index
@@ -27,13 +27,22 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def run_available(stream: DataFrame, mode: str, out: str) -> None:
-    """Process what is there and stop. Each batch writes its own folder, replaced if the batch is repeated."""
+    """Process what is there and stop. Each batch writes its own folder, replaced if the batch is repeated.
+
+    Keyed state lives in RocksDB stores whose changes are saved with the offsets, so a restarted query finds it again.
+    """
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    q = (stream.writeStream.outputMode(mode).foreachBatch(sink)
-         .option("checkpointLocation", out + "-offsets").trigger(availableNow=True).start())
-    q.awaitTermination()
+    conf, store = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(store, None)
+    conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        q = (stream.writeStream.outputMode(mode).foreachBatch(sink)
+             .option("checkpointLocation", out + "-offsets").trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        conf.set(store, before) if before else conf.unset(store)
 
 
 def latest(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
@@ -54,46 +63,87 @@ def _review(u: int, rejected: bool) -> int:
     return max(FLOOR, _half_even(u)) if rejected else min(CAP, u + STEP_UP)
 
 
+#: Reviews of a pair that one entry of its state holds.
+BLOCK = 512
+
+
+def _cut(u: int, tail: dict[int, bool]) -> tuple[list, int]:
+    """Blocks (first step, confidence before it, steps, rejections) of reviews in step order, and the confidence after them."""
+    order, blocks = sorted(tail), []
+    for k in range(0, len(order), BLOCK):
+        steps = order[k:k + BLOCK]
+        rejects = [tail[s] for s in steps]
+        blocks.append((steps[0], u, steps, rejects))
+        for r in rejects:
+            u = _review(u, r)
+    return blocks, u
+
+
+class ReplayIndex(StatefulProcessor):
+    """All reviews of a pair in blocks by step, each with the confidence before it.
+
+    A batch opens the newest block only. A review older than that block, however late, goes into its own block, and
+    the blocks from there on are folded again.
+    """
+
+    def __init__(self, horizon: int):
+        self.horizon = horizon
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.now = handle.getValueState("now", "first long, rejections long, acceptances long, settled long, newest long, late long")
+        self.blocks = handle.getMapState("blocks", "first long", "u int, steps array<long>, rejects array<boolean>")
+
+    def handleInputRows(self, key, rows, timer_values):
+        new, u = {}, None
+        for r in rows:
+            new.setdefault(int(r["step_id"]), r["outcome"] == "rejected")
+            u = r["u0"] if u is None else u
+        held = self.now.get() if self.now.exists() else None
+        first, rejections, acceptances, settled, newest, late = held or (None, 0, 0, None, None, 0)
+        if held is None:
+            opened = {}
+        elif min(new) >= first:
+            opened = {first: self.blocks.getValue((first,))}
+        else:
+            opened = {k[0]: v for k, v in self.blocks.iterator()}
+        starts = sorted(opened)
+        at = [max(0, bisect_right(starts, s) - 1) for s in new]
+        touched = starts[min(at):] if starts else []
+        tail: dict[int, bool] = {}
+        for start in touched:
+            tail.update(zip(opened[start][1], opened[start][2]))
+        added = {s: r for s, r in new.items() if s not in tail}
+        late += sum(settled is not None and s <= settled for s in added)
+        blocks, u = _cut(opened[touched[0]][0] if touched else u, tail | added)
+        if added:
+            kept = {b[0] for b in blocks}
+            for start in touched:
+                if start not in kept:
+                    self.blocks.removeKey((start,))
+            for start, before, steps, rejects in blocks:
+                if opened.get(start) != (before, steps, rejects):
+                    self.blocks.updateValue((start,), (before, steps, rejects))
+            rejections += sum(added.values())
+            acceptances += len(added) - sum(added.values())
+            newest = max(added if newest is None else [newest, *added])
+            steps = blocks[-1][2]
+            behind = bisect_right(steps, newest - self.horizon)
+            settled = steps[behind - 1] if behind else settled
+            self.now.update((blocks[-1][0], rejections, acceptances, settled, newest, late))
+        yield Row(part=key[0], pair_id=key[1], confidence=round(u / SCALE, 4), rejections=rejections, acceptances=acceptances, too_late=late)
+
+
 def stream_replay_index(log: DataFrame, library: DataFrame, horizon: int = 65536) -> DataFrame:
     """Confidence and counts per (part, pair) as reviews arrive, in step order whatever order they arrive in.
 
-    State per pair: the confidence settled up to a step, and the reviews of the last `horizon` steps. A late row inside
-    the horizon is put in its place and the tail is applied again; a repeated step is ignored; a row older than the
-    horizon is counted in `too_late`, and `settle_late` replays its pair exactly. Step ids are unique, which bounds the tail.
+    Exact at any lateness; a repeated step is ignored. `too_late` counts reviews that came after a review more than
+    `horizon` steps newer had been applied beyond them. The work of a batch goes by its own rows, not by the log: only late
+    rows open older blocks.
     """
     start = library.select("part", "pair_id", F.bround(F.col("confidence0") * SCALE, 0).cast("int").alias("u0"))
     ev = log.filter(F.col("outcome").isin("accepted", "rejected")).select("part", "pair_id", "step_id", "outcome").join(start, ["part", "pair_id"])
-
-    def apply(key, batches, state: GroupState):
-        pdf = pd.concat(list(batches))
-        if state.exists:
-            u, rej, acc, settled, steps, rejects, late = state.get
-        else:
-            u, rej, acc, settled, steps, rejects, late = int(pdf["u0"].iat[0]), 0, 0, -1, [], [], 0
-        tail = dict(zip([int(s) for s in steps], [bool(r) for r in rejects]))
-        for step, outcome in pdf[["step_id", "outcome"]].itertuples(index=False):
-            if step in tail:
-                continue
-            if step <= settled:
-                late += 1
-                continue
-            tail[int(step)] = outcome == "rejected"
-            rej, acc = rej + (outcome == "rejected"), acc + (outcome == "accepted")
-        order = sorted(tail)
-        edge = order[-1] - horizon if order else settled
-        for s in [s for s in order if s <= edge]:
-            u, settled = _review(u, tail.pop(s)), s
-        now = u
-        rest = sorted(tail)
-        for s in rest:
-            now = _review(now, tail[s])
-        state.update((int(u), int(rej), int(acc), int(settled), rest, [tail[s] for s in rest], int(late)))
-        yield pd.DataFrame({"part": [key[0]], "pair_id": [key[1]], "confidence": [round(now / SCALE, 4)], "rejections": [int(rej)],
-                            "acceptances": [int(acc)], "too_late": [int(late)]})
-
-    return ev.groupBy("part", "pair_id").applyInPandasWithState(
-        apply, "part string, pair_id long, confidence double, rejections long, acceptances long, too_late long",
-        "u int, rejections long, acceptances long, settled long, steps array<long>, rejects array<boolean>, late long", "update", GroupStateTimeout.NoTimeout)
+    return ev.groupBy("part", "pair_id").transformWithState(
+        ReplayIndex(horizon), "part string, pair_id long, confidence double, rejections long, acceptances long, too_late long", "update", "none")
 
 
 # ---------------------------------------------------------------- running tables
@@ -107,70 +157,71 @@ def stream_summary(log: DataFrame) -> DataFrame:
     return log.groupBy("part", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _written(spark: SparkSession, out: str, batch_id: int) -> DataFrame | None:
-    """What other batches have written so far."""
-    try:
-        return spark.read.parquet(out).filter(F.col("batch") != batch_id).drop("batch")
-    except AnalysisException:
-        return None
+class NewScales(StatefulProcessor):
+    """Accepted scales of a (mask, photo) in zones of ZONE tolerances: a zone never holds more than ZONE + 1 of them."""
+
+    ZONE = 4096
+
+    def __init__(self, tol: float):
+        self.tol = tol
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getMapState("known", "zone long", "scales array<double>")
+
+    def handleInputRows(self, key, rows, timer_values):
+        zones, changed = {}, set()
+
+        def zone(scale):
+            z = math.floor(scale / (self.ZONE * self.tol))
+            if z not in zones:
+                held = self.known.getValue((z,)) if self.known.containsKey((z,)) else None
+                zones[z] = list(held[0]) if held else []
+            return z
+
+        for s in sorted({r["scale"] for r in rows}):
+            near = False
+            for z in {zone(s - self.tol), zone(s + self.tol)}:
+                at = bisect_right(zones[z], s)
+                near |= any(abs(k - s) < self.tol for k in zones[z][max(0, at - 1):at + 1])
+            if not near:
+                insort(zones[z := zone(s)], s)
+                changed.add(z)
+                yield Row(mask_id=key[0], photo_id=key[1], scale=s)
+        for z in changed:
+            self.known.updateValue((z,), (zones[z],))
 
 
 def append_new_pairs(requests: DataFrame, trained: DataFrame, out: str, tol: float = 1e-6) -> None:
-    """Append requests whose (mask, photo, scale) is neither trained nor written before, within `tol`.
+    """Append requests whose (mask, photo, scale) is neither trained nor accepted before, within `tol`.
 
-    Known scales stand in their own and both neighbouring cells, so the check is an equi-join and then exact. Of what is
-    left of a batch, the smallest scale is taken, then the next at or beyond it plus `tol`, and so on; scales without a
-    neighbour within `tol` need no such walk. The sink is the only state.
+    Trained scales stand in their own and both neighbouring cells, so that check is an equi-join and then exact. Of
+    what is left of a batch, the smallest scale is taken, then the next at or beyond it plus `tol`, and so on. Accepted
+    scales are kept as state per (mask, photo); the sink is never read. Requests without a scale are left out.
     """
-    spark = requests.sparkSession
     cell = F.floor(F.col("scale") / (2 * tol)).cast("bigint")
     pair = ["mask_id", "photo_id"]
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        asked = batch.select(*pair, "scale", cell.alias("_cell"))
-        held = _written(spark, out, batch_id)
-        known = trained.select(*pair, "scale") if held is None else trained.select(*pair, "scale").unionByName(held)
-        known = known.select(*pair, F.col("scale").alias("_known"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("_cell"))
-        near = [asked[c] == known[c] for c in [*pair, "_cell"]] + [F.abs(asked["scale"] - known["_known"]) < tol]
-        rest = asked.join(known, near, "left_anti").select(*pair, "scale")
-        over = W.partitionBy(*pair).orderBy("scale")
-        gap = F.col("scale") - F.lag("scale").over(over)
-        start = (F.col("_gap").isNull() | (F.col("_gap") >= tol)).cast("bigint")
-        runs = rest.withColumn("_gap", gap).withColumn("_run", F.sum(start).over(over.rowsBetween(W.unboundedPreceding, 0)))
-
-        def apart(rows):
-            rows, keep, last = rows.sort_values("scale"), [], None
-            for s in rows["scale"]:
-                keep.append(last is None or s - last >= tol)
-                last = s if keep[-1] else last
-            return rows[keep]
-
-        counted = runs.select(*pair, "_run", "scale", F.count(F.lit(1)).over(W.partitionBy(*pair, "_run")).alias("_n"))
-        walked = counted.filter("_n > 1").groupBy(*pair, "_run").applyInPandas(apart, counted.schema)
-        counted.filter("_n = 1").unionByName(walked).select(*pair, "scale").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    requests.writeStream.foreachBatch(sink).option("checkpointLocation", out + "-offsets").trigger(availableNow=True).start().awaitTermination()
+    asked = requests.filter(F.col("scale").isNotNull()).select(*[F.col(c).cast("bigint").alias(c) for c in pair], F.col("scale").cast("double").alias("scale"), cell.alias("_cell"))
+    known = trained.select(*[F.col(c).alias(f"_{c}") for c in pair], F.col("scale").alias("_known"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("_c"))
+    near = [F.col(c) == F.col(f"_{c}") for c in pair] + [F.col("_cell") == F.col("_c"), F.abs(F.col("scale") - F.col("_known")) < tol]
+    fresh = asked.join(known, near, "left_anti").groupBy(*pair).transformWithState(
+        NewScales(tol), "mask_id long, photo_id long, scale double", "append", "none")
+    run_available(fresh, "append", out)
 
 
 def append_once(stream: DataFrame, out: str, key: str) -> None:
-    """Append every row whose key the sink does not hold yet, however late it comes.
+    """Append every row whose key has not come before, however late it comes.
 
-    Each batch is checked against the keys written by the other batches, so no lateness bound and no growing state is
-    needed; a repeated batch replaces its own folder.
+    The keys seen are keyed state: a batch looks up its own keys and never reads what others have written; a repeated
+    batch replaces its own folder.
     """
-    spark = stream.sparkSession
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        new, held = batch.dropDuplicates([key]), _written(spark, out, batch_id)
-        new = new if held is None else new.join(held.select(key), key, "left_anti")
-        new.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", out + "-offsets").trigger(availableNow=True).start())
-    q.awaitTermination()
+    run_available(stream.dropDuplicates([key]), "append", out)
 
 
 def settle_late(index: DataFrame, log: DataFrame, library: DataFrame) -> DataFrame:
-    """The streamed index with the pairs that had reviews beyond the horizon replayed in batch from the whole log."""
+    """The streamed index with the pairs that had reviews beyond the horizon replayed in batch from the whole log.
+
+    A check of the stream: its index is exact without it.
+    """
     late = index.filter("too_late > 0").select("part", "pair_id")
     again = replay_index(library.join(late, ["part", "pair_id"], "left_semi"), log.join(late, ["part", "pair_id"], "left_semi"), ranked=False)
     settled = again.select("part", "pair_id", "confidence", "rejections", "acceptances", F.lit(0).cast("bigint").alias("too_late"))
