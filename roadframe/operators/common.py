@@ -149,43 +149,58 @@ def running_max(df: DataFrame, keys: list[str], seq: str, value: Column, out: st
                  .drop("_v", "_s", "_carry", "_chunk"))
 
 
+def _splitters_below(splitters: Column, v: Column, n: int) -> Column:
+    """How many of at most `n` ascending splitters are smaller than v, by bisection."""
+    start = F.struct(F.lit(0).alias("lo"), F.size(splitters).alias("hi"))
+
+    def halve(s, _):
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        right = F.get(splitters, mid) < v
+        return F.when(s["lo"] >= s["hi"], s).otherwise(F.struct(
+            F.when(right, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(right, s["hi"]).otherwise(mid).alias("hi")))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(n.bit_length())), start, halve, lambda s: s["lo"].cast("bigint"))
+
+
+def split_ranges(rows: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    """Cut the distinct values `_v` of every range (keys, _r) at approximate quantiles: adds `_k`, the bucket.
+
+    The quantile sketch is off by at most a quarter of a bucket, so no bucket holds more than one and a half times the
+    mean of its range, wherever the values lie.
+    """
+    at = [k / buckets for k in range(1, buckets)]
+    cuts = rows.groupBy(*keys, "_r").agg(F.array_distinct(F.percentile_approx("_v", at, 4 * buckets)).alias("_s"))
+    return rows.join(cuts, [*keys, "_r"]).withColumn("_k", _splitters_below(F.col("_s"), F.col("_v"), buckets)).drop("_s")
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                    buckets: int = 1024) -> DataFrame:
+                    buckets: int = 256, most: int = 1 << 18) -> DataFrame:
     """Linear-interpolated quantiles of a continuous column, per key.
 
-    Equal values are counted first, value ranges are counted next, and only the ranges that hold a wanted
-    rank are ordered. No task ever holds all values of a hot key.
+    Equal values are counted first. While a range that holds a wanted rank has more than `most` distinct values, it is
+    cut at splitters and only the buckets with a wanted rank go on; what is left is ordered. No task ever orders more
+    than `most` values, however many rows a key has and however far its values spread.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(
-        F.count(F.lit(1)).alias("_n"))
-    stats = counts.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
-                                      F.sum("_n").alias("_total"))
-    join = (lambda a, b: a.join(b, keys)) if keys else (lambda a, b: a.join(b))
-    width = F.col("_hi") - F.col("_lo")
-    binned = join(counts, stats).withColumn(
-        "_b", F.when(width <= 0, F.lit(0)).otherwise(
-            F.least(F.lit(buckets - 1), F.floor((F.col("_v") - F.col("_lo")) / width * buckets).cast("int"))))
-    wb = W.partitionBy(*keys).orderBy("_b")
-    tops = binned.groupBy(*keys, "_b").agg(F.sum("_n").alias("_bn"), F.first("_total").alias("_total")).select(
-        *keys, "_b", "_total", F.sum("_bn").over(wb).alias("_end"), F.col("_bn"))
+    rows = materialize(df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(
+        F.count(F.lit(1)).alias("_n")).withColumn("_r", F.lit(0).cast("bigint")))
     want = F.array(*[F.struct(F.lit(name).alias("q"), F.lit(p).alias("p")) for name, p in probs.items()])
-    ends = (tops.withColumn("_w", F.explode(want))
-                .withColumn("_pos", F.col("_w.p") * (F.col("_total") - 1))
-                .withColumn("_side", F.explode(F.array(F.lit(0), F.lit(1))))
-                .withColumn("_rank", F.when(F.col("_side") == 0, F.floor("_pos")).otherwise(F.ceil("_pos")))
-                .filter((F.col("_rank") < F.col("_end")) & (F.col("_rank") >= F.col("_end") - F.col("_bn")))
-                .select(*keys, "_b", F.col("_w.q").alias("_q"), "_pos", "_side", "_rank",
-                        (F.col("_end") - F.col("_bn")).alias("_base")))
-    # one ordered pass inside the needed ranges only
-    need = binned.join(ends.select(*keys, "_b").distinct(), [*keys, "_b"], "left_semi")
-    cum = need.withColumn("_c", F.sum("_n").over(W.partitionBy(*keys, "_b").orderBy("_v")))
-    hit = (ends.join(cum.select(*keys, "_b", "_v", "_n", "_c"), [*keys, "_b"])
-               .filter((F.col("_rank") < F.col("_base") + F.col("_c"))
-                       & (F.col("_rank") >= F.col("_base") + F.col("_c") - F.col("_n"))))
-    low, high, frac = [
-        F.max(F.when(F.col("_side") == s, F.col("_v"))) for s in (0, 1)] + [
-        F.max(F.col("_pos") - F.floor("_pos"))]
-    per_q = hit.groupBy(*keys, "_q").agg(low.alias("_l"), high.alias("_h"), frac.alias("_f")).withColumn(
+    wants = (rows.groupBy(*keys, "_r").agg(F.sum("_n").alias("_total")).withColumn("_w", F.explode(want))
+                 .withColumn("_pos", F.col("_w.p") * (F.col("_total") - 1)).withColumn("_side", F.explode(F.array(F.lit(0), F.lit(1))))
+                 .select(*keys, "_r", F.col("_w.q").alias("_q"), "_pos", "_side",
+                         F.when(F.col("_side") == 0, F.floor("_pos")).otherwise(F.ceil("_pos")).cast("bigint").alias("_rank")))
+    held = lambda end, n: (F.col("_rank") < F.col(end)) & (F.col("_rank") >= F.col(end) - F.col(n))
+    while (rows.groupBy(*keys, "_r").count().agg(F.max("count")).first()[0] or 0) > most:
+        cut = split_ranges(rows, keys, buckets)
+        tops = cut.groupBy(*keys, "_r", "_k").agg(F.sum("_n").alias("_bn")).withColumn(
+            "_end", F.sum("_bn").over(W.partitionBy(*keys, "_r").orderBy("_k")))
+        wants = materialize(wants.join(tops, [*keys, "_r"]).filter(held("_end", "_bn")).select(
+            *keys, (F.col("_r") * buckets + F.col("_k")).alias("_r"), "_q", "_pos", "_side", (F.col("_rank") - (F.col("_end") - F.col("_bn"))).alias("_rank")))
+        rows = materialize(cut.select(*keys, "_v", "_n", (F.col("_r") * buckets + F.col("_k")).alias("_r")).join(
+            wants.select(*keys, "_r").distinct(), [*keys, "_r"], "left_semi"))
+    cum = rows.withColumn("_c", F.sum("_n").over(W.partitionBy(*keys, "_r").orderBy("_v")))
+    hit = wants.join(cum, [*keys, "_r"]).filter(held("_c", "_n"))
+    low, high = [F.max(F.when(F.col("_side") == s, F.col("_v"))) for s in (0, 1)]
+    per_q = hit.groupBy(*keys, "_q").agg(low.alias("_l"), high.alias("_h"), F.max(F.col("_pos") - F.floor("_pos")).alias("_f")).withColumn(
         "_val", F.col("_l") + (F.col("_h") - F.col("_l")) * F.col("_f"))
     return per_q.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_q") == name, F.col("_val"))).alias(name) for name in probs])

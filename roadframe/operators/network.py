@@ -10,7 +10,7 @@ from roadframe.operators.common import (N8, connected_components, label_regions,
                                         scatter_offsets, tile_halo)
 
 IMG = "image_id"
-FAR = 1 << 20                    # farther than any image side
+FAR = 1 << 20                    # image sides are limited to this many pixels
 
 
 # ---------------------------------------------------------------- distances
@@ -18,8 +18,7 @@ def nearest_target(px: DataFrame, target: str, keep: tuple = ()) -> DataFrame:
     """For every pixel the squared distance to the nearest target pixel and where it is (ties: smallest y, then x).
 
     Two passes, exact: along each column the nearest target above and below by running windows, then along each
-    row the minimum of column distance squared plus horizontal offset squared. The row search never looks farther
-    than the pixel's own column distance. Pixels of an image without any target get null.
+    row the lower envelope of the parabolas that the columns' distances span, linear in the row's length. Pixels of an image without any target get null.
     """
     hit = F.when(F.col(target), F.col("y"))
     up = W.partitionBy(IMG, "x").orderBy("y").rowsBetween(W.unboundedPreceding, 0)
@@ -39,7 +38,7 @@ def nearest_target(px: DataFrame, target: str, keep: tuple = ()) -> DataFrame:
 @F.pandas_udf(T.StructType([T.StructField("d2", T.ArrayType(T.LongType())), T.StructField("ty", T.ArrayType(T.IntegerType())),
                             T.StructField("tx", T.ArrayType(T.IntegerType()))]))
 def _row_search(g: pd.Series, ty: pd.Series) -> pd.DataFrame:
-    """Minimum over a row of column distance squared plus offset squared, all rows of equal length together."""
+    """Minimum over a row of column distance squared plus offset squared, rows of equal length together."""
     d2, oy, ox = [None] * len(g), [None] * len(g), [None] * len(g)
     length = g.map(len).to_numpy()
     for n in np.unique(length):
@@ -47,28 +46,58 @@ def _row_search(g: pd.Series, ty: pd.Series) -> pd.DataFrame:
         for part in np.array_split(rows, max(1, int(len(rows) * n // 2_000_000))):
             gg = np.stack([np.asarray(g.iat[i], np.int64) for i in part])
             has = gg < FAR
-            yy = np.stack([np.asarray(ty.iat[i], float) for i in part])
-            yy = np.where(has, np.nan_to_num(yy, nan=0.0), 0).astype(np.int64)
-            far = np.int64(1) << 62
-            # distance and target row in one number: smaller distance first, then smaller row
-            code = np.where(has, gg * gg * FAR + yy, far)
-            best, col = code.copy(), np.tile(np.arange(n), (len(part), 1))
-            reach = int(min(n - 1, gg.max()))
-            for k in range(1, reach + 1):
-                for left in (True, False):
-                    mine, theirs = (slice(k, n), slice(0, n - k)) if left else (slice(0, n - k), slice(k, n))
-                    cand = np.where(has[:, theirs], code[:, theirs] + k * k * FAR, far)
-                    better = cand < best[:, mine]
-                    best[:, mine] = np.where(better, cand, best[:, mine])
-                    col[:, mine] = np.where(better, np.arange(n)[theirs], col[:, mine])
-            found = best < far
+            yy = np.where(has, np.nan_to_num(np.stack([np.asarray(ty.iat[i], float) for i in part]), nan=0.0), 0).astype(np.int64)
+            if n > FAR or yy.max(initial=0) >= FAR:
+                raise ValueError(f"image sides are limited to {FAR} pixels")
+            col = lower_envelope(gg, yy, has)
+            found = has.any(axis=1)
+            near = np.take_along_axis(gg, col, axis=1) ** 2 + (np.arange(n) - col) ** 2
+            row = np.take_along_axis(yy, col, axis=1)
             for r, i in enumerate(part):
-                d2[i] = np.where(found[r], best[r] // FAR, -1)
-                oy[i] = (best[r] % FAR).astype(np.int32)
+                d2[i] = near[r] if found[r] else np.full(n, -1)
+                oy[i] = row[r].astype(np.int32)
                 ox[i] = col[r].astype(np.int32)
     return pd.DataFrame({"d2": d2, "ty": oy, "tx": ox})
 
 
+def lower_envelope(g: np.ndarray, ty: np.ndarray, has: np.ndarray) -> np.ndarray:
+    """For every x of every row the column j that minimises (g_j^2 + (x - j)^2, ty_j, j), over columns that have a target.
+
+    All columns are parabolas of one curvature, the target row a fraction of their offset, so two of them change order
+    once, at a whole number. One sweep keeps the columns that are best somewhere and the first x of each: linear in the
+    row length, all rows of a batch side by side.
+    """
+    many, n = g.shape
+    offset = g * g * FAR + ty
+    every = np.arange(many)
+    kept, first = np.zeros((many, n), np.int64), np.zeros((many, n), np.int64)
+    top = np.full(many, -1)
+
+    def overtakes(r, j, k):
+        """First x from which column k is better than column j < k."""
+        return (offset[r, k] - offset[r, j] + FAR * (k * k - j * j)) // (2 * FAR * (k - j)) + 1
+
+    for k in range(n):
+        r = every[has[:, k]]
+        if not len(r):
+            continue
+        x, look = np.full(len(r), -(1 << 40)), np.flatnonzero(top[r] >= 0)
+        while len(look):
+            rows = r[look]
+            x[look] = overtakes(rows, kept[rows, top[rows]], k)
+            beaten = x[look] <= first[rows, top[rows]]
+            look, gone = look[beaten], rows[beaten]
+            top[gone] -= 1
+            x[look[top[gone] < 0]] = -(1 << 40)
+            look = look[top[gone] >= 0]
+        top[r] += 1
+        kept[r, top[r]], first[r, top[r]] = k, x
+    at = np.zeros((many, n), np.int64)
+    r, c = np.nonzero((np.arange(n) <= top[:, None]) & (first < n))
+    np.maximum.at(at, (r, np.maximum(first[r, c], 0)), c)
+    return np.take_along_axis(kept, np.maximum.accumulate(at, axis=1), axis=1)
+
+
 def distance_transform(px: DataFrame, keep: tuple = ()) -> DataFrame:
     """px(image_id, y, x, inside): exact Euclidean distance of inside pixels to the nearest outside pixel, else 0."""
     d = nearest_target(px.withColumn("_out", ~F.col("inside")), "_out", ("inside", *keep))
