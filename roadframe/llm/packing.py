@@ -2,7 +2,7 @@
 
 Documents become token ids in one pass; only lengths and checksums go on. A document longer than a sequence is cut
 into full sequences and a remainder. The histogram of piece lengths (at most one entry per length) is all that the
-packing itself needs: lengths are placed longest first into the open pattern with the least room that still takes
+packing itself needs: lengths are placed longest first into the open pattern with the most room, if it takes
 them, and only the counts of equal patterns are kept. Patterns are then joined back to the pieces by their rank among
 pieces of the same length.
 """

@@ -19,30 +19,47 @@ CANDIDATES = 2000
 
 
 class _Ends:
-    """Lookups in the sorted column of group ends."""
+    """Lookups in the sorted column of group ends, which stand in files of disjoint ranges.
 
-    def __init__(self, groups: DataFrame, largest: int):
-        self.ends, self.largest = groups.select("_end"), largest
+    First and last end of every file (one row each) are kept; a limit between two files is answered by them, any other
+    by the one file that holds it.
+    """
 
-    def around(self, limits: list[int]) -> tuple[list[int], list[int]]:
-        """For every limit the largest end <= limit (or 0), and the smallest end above it (or the largest of all).
+    def __init__(self, groups: DataFrame):
+        self.ends = groups.select("_end")
+        spans = groups.groupBy(F.input_file_name()).agg(F.min("_end").alias("low"), F.max("_end").alias("high")).orderBy("low").collect()
+        self.low, self.high = (np.array([r[c] for r in spans], np.int64) for c in ("low", "high"))
 
-        Every batch of ends gives at most two rows per limit, which are merged before they come to the driver.
-        """
-        at = np.array(sorted(set(limits)))
+    def around(self, limits: list[int]) -> tuple[list[int], list[int]]:
+        """For every limit the largest end <= limit (or 0), and the smallest end above it (or the largest of all)."""
+        at = np.array(sorted(set(limits)), np.int64)
+        k = np.searchsorted(self.low, at, side="right") - 1
+        below = np.where(k >= 0, self.high[k], 0)
+        above = np.append(self.low, self.high[-1])[k + 1]
+        inside = np.flatnonzero((k >= 0) & (at < self.high[k]))
+        if len(inside):
+            below[inside], above[inside] = self._inside(at[inside], self.low[k[inside]], self.high[k[inside]])
+        place = np.searchsorted(at, np.array(limits, np.int64))
+        return below[place].tolist(), above[place].tolist()
+
+    def _inside(self, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[list[int], list[int]]:
+        """The same for limits within [low, high) of a file: only the tasks that read that file answer, once each."""
+        most = np.iinfo(np.int64).max
 
         def nearest(batches):
+            below, above = np.zeros(len(at), np.int64), np.full(len(at), most)
             for b in batches:
                 ends = np.sort(b.column(0).to_numpy())
                 k = np.searchsorted(ends, at, side="right")
-                padded = np.concatenate([ends, [np.iinfo(np.int64).max]])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(at), pa.array(np.where(k > 0, padded[k - 1], 0)), pa.array(padded[k])], names=["x", "below", "above"])
+                below = np.maximum(below, np.where(k > 0, np.append(ends, 0)[k - 1], 0))
+                above = np.minimum(above, np.append(ends, most)[k])
+            mine = (below >= low) | (above <= high)
+            yield pa.RecordBatch.from_arrays([pa.array(c[mine]) for c in (at, below, above)], names=["x", "below", "above"])
 
-        near = self.ends.filter(F.col("_end").between(int(at[0]) - self.largest, int(at[-1]) + self.largest))
+        near = self.ends.filter(F.col("_end").between(int(low.min()), int(high.max())))
         found = near.mapInArrow(nearest, "x bigint, below bigint, above bigint").groupBy("x").agg(F.max("below").alias("below"), F.min("above").alias("above"))
         by = {r["x"]: (r["below"], r["above"]) for r in found.collect()}
-        return [by[x][0] for x in limits], [by[x][1] for x in limits]
+        return [by[x][0] for x in at.tolist()], [by[x][1] for x in at.tolist()]
 
 
 def smallest_capacity(ends: _Ends, total: int, largest: int, shards: int) -> int:
@@ -95,10 +112,11 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
                               F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("_digest")))
     groups = ids.groupBy("_digest").agg(F.min("doc_id").alias("_first"), F.sum("size").alias("_bytes"))
     placed = ordered(groups, [], ["_first", "_digest"], "_i", {"_before": "_bytes"})
-    placed = written(placed.select("_digest", "_first", "_bytes", (F.col("_before") + F.col("_bytes")).alias("_end")))
+    placed = placed.select("_digest", "_first", "_bytes", (F.col("_before") + F.col("_bytes")).alias("_end"))
+    placed = written(placed.repartitionByRange("_end").sortWithinPartitions("_end"))
     stats = placed.agg(F.max("_end").alias("total"), F.max("_bytes").alias("largest")).first()
     total, largest = stats["total"] or 0, stats["largest"] or 0
-    ends = _Ends(placed, largest)
+    ends = _Ends(placed)
     cuts = cuts_under(ends, total, smallest_capacity(ends, total, largest, shards), shards) if total else []
     number = F.lit(0)
     for c in cuts[:-1]:
