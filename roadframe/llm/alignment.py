@@ -12,9 +12,11 @@ from __future__ import annotations
 import gc
 import hashlib
 import json
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 (pa.compute)
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
@@ -58,6 +60,7 @@ class Aligner:
     def __init__(self, bytes_a: list[bytes], bytes_b: list[bytes]):
         self.bytes = bytes_a, bytes_b
         self.size = [np.array([len(t) for t in side], np.int64) for side in self.bytes]
+        self.length_a = self.size[0].tolist()
         self.space = [np.array([t[:1] == b" " for t in side]) for side in self.bytes]
         #: Every id with what may follow it in the text of groups: A with "," or "|", B with "," or ";".
         self.spelt = [f"{k}{mark}" for side, marks in zip(self.bytes, (",|", ",;")) for mark in marks for k in range(len(side))]
@@ -72,7 +75,8 @@ class Aligner:
         self.held = 0
 
     def covers(self, ids_a: list[int], ids_b: list[int], plain: bytes) -> bool:
-        return all(b"".join(map(of.__getitem__, ids)) == plain for of, ids in zip(self.bytes, (ids_a, ids_b)))
+        """Whether both sides spell the text. A byte-level encoder cuts the bytes and changes none, so its length tells."""
+        return b"".join(map(self.bytes[1].__getitem__, ids_b)) == plain and sum(map(self.length_a.__getitem__, ids_a)) == len(plain)
 
     def windows(self, ids_a: list[int], ids_b: list[int]) -> list[int]:
         """Numbers of the document's windows in order. New ones get a number and wait for align_new."""
@@ -127,17 +131,16 @@ class Aligner:
         return ids, np.cumsum(self.size[side][ids]), np.array([len(k[side]) // 4 for k in self.new], np.int64)
 
 
-def slice_pairs(aligner: Aligner, used: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(distinct windows of the slice, [distinct pairs, links of each in the slice, start of each window's links, place
-    of each link's pair])."""
-    if not used:
-        return np.zeros(0, np.int64), [np.zeros(0, np.int64)] * 4
-    windows, times = np.unique(np.concatenate(used), return_counts=True)
+def slice_pairs(aligner: Aligner, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(distinct windows, place of each window of the slice among them, [distinct pairs, links of each in the slice,
+    start of each distinct window's links, place of each link's pair])."""
+    windows, local = np.unique(numbers, return_inverse=True)
     links = list(map(aligner.links.__getitem__, windows.tolist()))
     sizes = np.array([len(x) // 8 for x in links], np.int64)
     pairs, place = np.unique(np.frombuffer(b"".join(links), np.int64), return_inverse=True)
-    total = np.bincount(place, weights=np.repeat(times, sizes), minlength=len(pairs)).astype(np.int64)
-    return windows, [pairs, total, np.cumsum(sizes) - sizes, place]
+    times = np.repeat(np.bincount(local, minlength=len(windows)), sizes)
+    total = np.bincount(place, weights=times, minlength=len(pairs)).astype(np.int64)
+    return windows, local, [pairs, total, np.cumsum(sizes) - sizes, place]
 
 
 def encoders(json_path: str, ranks_path: str, pattern: str, piece_path: str):
@@ -156,7 +159,7 @@ def _aligned(docs: DataFrame, paths: tuple, slice_chars: int) -> DataFrame:
     schema = T.StructType([
         T.StructField("doc_id", docs.schema["doc_id"].dataType), *[T.StructField(c, T.LongType()) for c in COUNTS],
         T.StructField("groups_sha256", T.StringType()), T.StructField("slice", T.LongType()),
-        T.StructField("windows", longs), T.StructField("times", longs),
+        T.StructField("windows", T.ArrayType(T.IntegerType())),
         *[T.StructField(c, longs) for c in ("pairs", "links", "starts", "places")]])
 
     def run(batches):
@@ -170,20 +173,22 @@ def _aligned(docs: DataFrame, paths: tuple, slice_chars: int) -> DataFrame:
         encode_a, encode_b, bytes_a, bytes_b = encoders(*paths)
         aligner = Aligner(bytes_a, bytes_b)
         number = TaskContext.get().partitionId() << 32
-        ids, rows, used, chars = [], [], [], 0
+        ids, rows, chars = [], [], 0
 
         def flush():
-            nonlocal number, ids, rows, used, chars
-            windows, lists = slice_pairs(aligner, used)
-            n = len(rows)
-            held = [np.unique(w, return_counts=True) if w is not None else None for w in (r[-1] for r in rows)]
+            nonlocal number, ids, rows, chars
+            n, sizes = len(rows), np.array([len(r[-1]) for r in rows] + [0])
+            windows, local, lists = slice_pairs(aligner, np.array(list(chain.from_iterable(r[-1] for r in rows)), np.int64))
+            ends = np.cumsum(sizes)
+            per_doc = [np.diff(np.concatenate([[0], np.cumsum(of[local])])[np.concatenate([[0], ends[:-1]])]) for of in (
+                np.array([aligner.groups[w] for w in windows.tolist()], np.int64), np.array([len(aligner.links[w]) // 8 for w in windows.tolist()], np.int64))]
+            held = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(local, pa.int32()))
             cols = [pa.concat_arrays([*ids, pa.nulls(1, ids[0].type)]),
-                    *[pa.array([*(r[k] for r in rows), None], pa.int64()) for k in range(4)],
-                    pa.array([*(r[4] for r in rows), None], pa.string()), pa.array([number] * (n + 1), pa.int64()),
-                    pa.array([*(None if h is None else np.searchsorted(windows, h[0]) for h in held), None], pa.list_(pa.int64())),
-                    pa.array([*(None if h is None else h[1] for h in held), None], pa.list_(pa.int64())),
+                    *[pa.array([*(r[k] for r in rows), None], pa.int64()) for k in range(2)],
+                    *[pa.array([*x.tolist(), None], pa.int64()) for x in per_doc],
+                    pa.array([*(r[2] for r in rows), None], pa.string()), pa.array([number] * (n + 1), pa.int64()), held,
                     *[pa.array([*[None] * n, x], pa.list_(pa.int64())) for x in lists]]
-            ids, rows, used, chars, number = [], [], [], 0, number + 1
+            ids, rows, chars, number = [], [], 0, number + 1
             if aligner.held > REMEMBERED:
                 aligner.forget()
             return pa.RecordBatch.from_arrays(cols, names=schema.names)
@@ -205,13 +210,11 @@ def _aligned(docs: DataFrame, paths: tuple, slice_chars: int) -> DataFrame:
                 aligner.align_new()
                 for held in found:
                     if held is None:
-                        rows.append((0, 0, 0, 0, "", None))
+                        rows.append((0, 0, "", []))
                         continue
                     n_a, n_b, numbers = held
                     digest = hashlib.sha256("".join(map(aligner.text.__getitem__, numbers))[:-1].encode()).hexdigest()
-                    rows.append((n_a, n_b, sum(map(aligner.groups.__getitem__, numbers)), sum(map(len, map(aligner.links.__getitem__, numbers))) // 8,
-                                 digest, np.array(numbers, np.int64)))
-                    used.append(rows[-1][-1])
+                    rows.append((n_a, n_b, digest, numbers))
                 ids.append(batch.column(0).slice(first, last - first))
                 chars += size
                 if chars >= slice_chars:
@@ -248,11 +251,11 @@ def align_tokens(docs: DataFrame, json_path: str, ranks_path: str, pattern: str,
         if len(right):
             order = np.argsort(right["place"].to_numpy())
             starts, places_ = (np.array(mine[c][0].values, np.int64) for c in ("starts", "places"))
-            per_window = [np.add.reduceat(np.asarray(right[c].to_numpy(), np.int64)[order][places_], starts) for c in ("best", "count")]
-            for k, (w, t) in enumerate(zip(docs_["windows"], docs_["times"])):
-                if w.is_valid:
-                    at, times = np.array(w.values), np.array(t.values)
-                    n_best[k], count_sum[k] = (int(v[at] @ times) for v in per_window)
+            held = docs_["windows"].combine_chunks()
+            flat, ends = held.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(held).to_numpy())])
+            for c, out in (("best", n_best), ("count", count_sum)):
+                per_window = np.add.reduceat(np.asarray(right[c].to_numpy(), np.int64)[order][places_], starts)
+                out += np.diff(np.concatenate([[0], np.cumsum(per_window[flat])])[ends])
         return pa.table({c: docs_[c] if c in docs_.column_names else pa.array(n_best if c == "n_best" else count_sum) for c in names})
 
     return table.groupBy("slice").cogroup(back.groupBy("_slice")).applyInArrow(run, schema)
