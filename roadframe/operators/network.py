@@ -195,10 +195,13 @@ def skeleton_degree(sk: DataFrame) -> DataFrame:
     return sk.select(IMG, "y", "x").join(near, [IMG, "y", "x"], "left").select(IMG, "y", "x", F.coalesce("deg", F.lit(0)).alias("deg"))
 
 
-def prune_spurs(sk: DataFrame, dt: DataFrame, dims: DataFrame, rounds: int = 4) -> tuple[DataFrame, DataFrame]:
+def prune_spurs(sk: DataFrame, dt: DataFrame, dims: DataFrame, rounds: int = 4,
+                longest: int = 80) -> tuple[DataFrame, DataFrame]:
     """Remove short dead ends that reach a branch pixel; dead ends near the image border are roads leaving it.
 
-    A spur is a region of non-branch pixels that holds an end point, so the walk along it is a region label.
+    A spur is a region of non-branch pixels that holds an end point, so the walk along it is a region label. Part of
+    the rule, not limits on the work: at most `rounds` passes (a pass can lay bare new dead ends), and a dead end of
+    more than `longest` pixels is a road however wide its junction.
     """
     cur, dropped = materialize(sk.select(IMG, "y", "x")), None
     d = dt.select(IMG, "y", "x", "dist")
@@ -213,7 +216,7 @@ def prune_spurs(sk: DataFrame, dt: DataFrame, dims: DataFrame, rounds: int = 4)
         size = lab.groupBy(IMG, "label").agg(F.count(F.lit(1)).alias("len"))
         meet = lab.select(IMG, "y", "x", "label").join(branch, [IMG, "y", "x"]).groupBy(IMG, "label").agg(F.max("bd").alias("bd"))
         spur = size.join(ends, [IMG, "label"], "left_semi").join(meet, [IMG, "label"]).filter(
-            (F.col("len") < F.greatest(F.lit(4.0), F.col("bd") * 2.5)) & (F.col("len") <= 80))
+            (F.col("len") < F.greatest(F.lit(4.0), F.col("bd") * 2.5)) & (F.col("len") <= longest))
         gone = materialize(lab.join(spur.select(IMG, "label"), [IMG, "label"], "left_semi").select(IMG, "y", "x", "label"))
         if gone.isEmpty():
             break
@@ -241,7 +244,7 @@ def junction_candidates(deg: DataFrame, dt: DataFrame, reach: int = 6) -> DataFr
     return c.join(hw, [IMG, "cand_id"], "left").select(IMG, "cand_id", "y", "x", F.coalesce("hw", F.lit(0.0)).alias("hw"))
 
 
-def near_pairs(pts: DataFrame, reach: Column, max_level: int = 20) -> DataFrame:
+def near_pairs(pts: DataFrame, reach: Column) -> DataFrame:
     """Pairs of points (image_id, pid, x, y, r) that may be within the larger of their reaches, each pair once.
 
     A point lives on the grid whose cell is the power of two covering its reach, and is also listed on every

@@ -359,13 +359,22 @@ def road_pixels(mask: DataFrame) -> DataFrame:
     return mask.groupBy(IMG).agg(F.count_if(F.col("v") > PAINT).alias("road_px"))
 
 
+# fixed values: the leaves of the three starting trees (tree, path, route, fallbacks)
+PRIME_LEAVES = [
+    ("material", "yes", "material.junction", "material.open"),
+    ("material", "no/under 1.5 m", "material.edge", "material.open"),
+    ("material", "no/1.5 m or more", "material.open", ""),
+    ("noise", "yes", "noise.junction", "noise.open"),
+    ("noise", "no", "noise.open", "noise.junction"),
+    ("lines", "yes/yes", "lines.junction_clear", ""),
+    ("lines", "yes/no", "lines.dash", ""),
+    ("lines", "no", "lines.none", ""),
+]
+
+
 def prime_trees(measured: DataFrame) -> DataFrame:
     """Leaf rows of the three starting trees for measured(image_id, tone, grain, coverage, thickness, cycle_px)."""
-    rows = [("material", "yes", "material.junction", "material.open"), ("material", "no/under 1.5 m", "material.edge", "material.open"),
-            ("material", "no/1.5 m or more", "material.open", ""), ("noise", "yes", "noise.junction", "noise.open"),
-            ("noise", "no", "noise.open", "noise.junction"), ("lines", "yes/yes", "lines.junction_clear", ""),
-            ("lines", "yes/no", "lines.dash", ""), ("lines", "no", "lines.none", "")]
-    t = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(r, ("tree", "path", "route_id", "fallbacks"))]) for r in rows])
+    t = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(r, ("tree", "path", "route_id", "fallbacks"))]) for r in PRIME_LEAVES])
     d = measured.withColumn("_t", F.explode(t)).select(IMG, "tone", "grain", "coverage", "thickness", "cycle_px", "_t.*")
     on = lambda tree, c, ids: F.when(F.col("route_id").isin(ids), F.col(c))
     return d.select(IMG, "tree", "path", "route_id", "fallbacks", F.lit(0.5).alias("confidence"),

@@ -85,6 +85,7 @@ def group_stats(parts: DataFrame, gray: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("pixels"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.percentile("v", F.lit(0.05)).alias("p5"),
         F.percentile("v", F.lit(0.95)).alias("p95"), F.avg("diff").alias("local_contrast"), F.stddev_pop("fine").alias("grain"))
     few = F.col("pixels") < 50
+    # fixed values: the readings' texts
     reading = (F.when(few, "too few pixels to measure").when(F.col("grain") < 1.0, "flat, almost no grain")
                .when(F.col("grain") < 6, "fine grain").otherwise("coarse, heavily worn"))
     total = g.groupBy(IMG).agg(F.sum("pixels").alias("_all"))

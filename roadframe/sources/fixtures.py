@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from roadframe.operators.common import prefix_sum
+from roadframe.operators.raster import PRIME_LEAVES
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -161,14 +162,7 @@ def mesh_quad(spark, sf) -> DataFrame:
 
 
 def tree_leaf(spark, sf=None) -> DataFrame:
-    rows = [("material", "yes", "material.junction", "material.open", 0.5, "stage A"),
-            ("material", "no/under 1.5 m", "material.edge", "material.open", 0.5, "stage A"),
-            ("material", "no/1.5 m or more", "material.open", "", 0.5, "stage A"),
-            ("noise", "yes", "noise.junction", "noise.open", 0.5, "stage A"),
-            ("noise", "no", "noise.open", "noise.junction", 0.5, "stage A"),
-            ("lines", "yes/yes", "lines.junction_clear", "", 0.5, "stage A"),
-            ("lines", "yes/no", "lines.dash", "", 0.5, "stage A"),
-            ("lines", "no", "lines.none", "", 0.5, "stage A")]
+    rows = [(*leaf, 0.5, "stage A") for leaf in PRIME_LEAVES]
     return spark.createDataFrame(rows, "tree string, path string, route_id string, fallbacks string, "
                                        "confidence double, source string")
 

@@ -26,6 +26,7 @@ def ingest_assets(assets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """assets(asset_id, role, name, content, ..) -> (accepted with type and hash, rejected with a reason)."""
     ext = F.lower(F.regexp_extract("name", r"\.([A-Za-z0-9]+)$", 1))
     ext = F.when(ext == "", "png").otherwise(ext)
+    # fixed values: the texts of the reasons
     d = assets.withColumn("ext", ext).withColumn(
         "reason", F.when(~F.coalesce(F.col("role").isin(ROLES), F.lit(False)), F.concat(F.lit("unknown role: "), "role"))
         .when(~F.col("ext").isin(EXTENSIONS), "use PNG, JPEG or WebP"))
