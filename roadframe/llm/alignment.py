@@ -20,7 +20,7 @@ import pyarrow.compute  # noqa: F401 (pa.compute)
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from roadframe.llm.bpe import read_ranks
+from roadframe.llm import bpe
 from roadframe.llm.common import written
 
 #: Characters of the documents that share one list of id pairs, and of those encoded at once. They bound a task's
@@ -28,6 +28,8 @@ from roadframe.llm.common import written
 SLICE_CHARS, TOGETHER = 4_000_000, 256_000
 #: Links of the windows that a task remembers before it starts afresh, between two slices.
 REMEMBERED = 1_500_000
+#: The reader without its memory: remembered functions travel by name only, and workers need no installed package.
+read_ranks = bpe.read_ranks.__wrapped__
 COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
 
 
