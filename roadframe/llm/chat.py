@@ -24,9 +24,11 @@ def rotate_perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: s
     empty, at the segment's end, for other turns. Speakers in `system` keep the system role and have no perspective; a conversation of such turns
     alone gives no rows. A null speaker is called "unknown", a null text is empty, null conversation ids form one
     conversation and null turns come first. Equal turns are ordered by speaker and a hash of the text; repeated rows are
-    rendered each. Template marks inside a text are broken up by spaces. Other columns are ignored, so their names cannot clash.
+    rendered each. Template marks inside a text or a name are broken up by spaces, line breaks in a name become spaces;
+    `speaker` and `perspective` keep the name as it is. Other columns are ignored, so their names cannot clash.
     """
     mark = r"<\|(im_start|im_end)\|>"
+    name = F.regexp_replace(F.regexp_replace("speaker", mark, "< |$1| >"), r"[\n\r]", " ")
     t = written(turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"),
                              F.coalesce(F.col(speaker_col), F.lit("unknown")).alias("speaker"),
                              F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), mark, "< |$1| >").alias("_text"),
@@ -36,7 +38,7 @@ def rotate_perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: s
     is_system = F.col("speaker").isin(*system)
     people = slim.filter(~is_system).select("conv_id", F.col("speaker").alias("perspective")).distinct()
     role = F.when(is_system, "system").when(F.col("speaker") == F.col("perspective"), "assistant").otherwise("user")
-    head = F.concat(F.lit(START), "chat_role", F.when(F.col("chat_role") == "user", F.concat(F.lit(" name="), "speaker")).otherwise(""), F.lit("\n"))
+    head = F.concat(F.lit(START), "chat_role", F.when(F.col("chat_role") == "user", F.concat(F.lit(" name="), name)).otherwise(""), F.lit("\n"))
     size = F.length(head) + F.col("_chars") + len(END) + 1
     views = null_safe(slim, people, ["conv_id"]).withColumn("chat_role", role).withColumn("_size", size.cast("bigint")).drop("_chars")
     placed = ordered(views, ["conv_id", "perspective"], ["turn", "speaker", "_mark", "_row"], "position", {"start": "_size"}).drop("speaker", "turn", "conv_id")

@@ -78,7 +78,7 @@ WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker,
 p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
 s AS (SELECT t.*, p.perspective, CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS chat_role
     FROM t JOIN p ON t.conv_id = p.conv_id),
-h AS (SELECT *, '{chat.START}' || chat_role || CASE WHEN chat_role = 'user' THEN ' name=' || speaker ELSE '' END || chr(10) AS head FROM s),
+h AS (SELECT *, '{chat.START}' || chat_role || CASE WHEN chat_role = 'user' THEN ' name=' || regexp_replace(regexp_replace(speaker, '<\\|(im_start|im_end)\\|>', '< |\\1| >', 'g'), '[\\n\\r]', ' ', 'g') ELSE '' END || chr(10) AS head FROM s),
 z AS (SELECT *, head || body || '{chat.END}' || chr(10) AS segment FROM h),
 o AS (SELECT *, CAST(row_number() OVER w - 1 AS BIGINT) AS position,
     CAST(coalesce(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn, speaker, body ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
