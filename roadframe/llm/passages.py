@@ -3,9 +3,9 @@
 1. Word k-mers are thinned by winnowing: the smallest hash of every window is a seed, so that any `k + window - 1` words
    that two documents share hold a shared seed. Each seed carries a bitmap of the words on either side.
 2. Seed occurrences are cut into sorted ranges; each is matched with the first document that holds the seed, with the
-   previous one, and with the occurrence before it in its own document. A seed that a third of all documents hold thus
-   gives a few matches per occurrence and never a pair of every two. Runs that cross ranges are closed over one row per
-   range.
+   previous one, with the occurrence before it in its own document, and with those before it that have the same words to
+   the left or to the right. A seed that a third of all documents hold thus gives at most five matches per occurrence and
+   never a pair of every two. Runs that cross ranges are closed over one row per range and words beside.
 3. The matches of two documents are chained in order: a Fenwick tree over the home's positions gives the best chain to
    go on from, with a cost for every word skipped. A lone seed goes on if the words beside it agree on one side.
 4. Chains are aligned on the words of both texts, between the seeds and beyond both ends. An alignment that is not
@@ -106,14 +106,52 @@ def seeds(docs: DataFrame, k: int, window: int, id_col: str, text_col: str) -> D
     return docs.filter(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(run, schema)
 
 
-#: Kinds of rows that a sorted range gives: a match, an occurrence whose seed may stand in the range before, and the
-#: first and last occurrence of a seed at an end of the range.
-MATCH, OPEN, EDGE = 0, 1, 2
+#: Kinds of rows that a sorted range gives: a match, an occurrence whose seed may stand in a range before, the first and
+#: last occurrence of a seed at an end of the range, and, per words on one side of such a seed (left, right), the first
+#: and the last occurrence with these words.
+MATCH, OPEN, EDGE, HEADS, TAILS = 0, 1, 2, (3, 4), (5, 6)
+
+
+def before_beside(seed: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """The occurrence before, of those with the same seed and the same words on one side; -1 without one. Occurrences
+    are sorted by seed."""
+    out = np.full(len(seed), -1)
+    new = np.r_[True, seed[1:] != seed[:-1]]
+    several = np.flatnonzero(~(new & np.r_[new[1:], True]))
+    order = several[np.lexsort((side[several], seed[several]))]
+    same = (seed[order[1:]] == seed[order[:-1]]) & (side[order[1:]] == side[order[:-1]])
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
+def seed_runs(batches):
+    """(table, first, last): whole runs of seeds of sorted batches; the run of the last seed comes alone."""
+    held: list[pa.RecordBatch] = []
+    first = True
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        seed = batch.column(0).to_numpy()
+        cut = int(np.searchsorted(seed, seed[-1]))
+        if cut == 0 and (not held or held[-1].column(0)[-1].as_py() == seed[-1]):
+            held.append(batch)
+            continue
+        ready = [*held, batch.slice(0, cut)] if cut else held
+        held = [batch.slice(cut)]
+        yield pa.Table.from_batches(ready).combine_chunks(), first, False
+        first = False
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks(), first, True
 
 
 def matches(spread: DataFrame, id_type) -> DataFrame:
-    """doc_id, home, pos, home_pos, near: occurrences of seeds with those in the first and the previous document and the
-    one before in the same document. near: the words beside the seeds agree."""
+    """doc_id, home, pos, home_pos, near: occurrences of seeds with those in the first and the previous document, the
+    one before in the same document, and the ones before with the same words to the left and to the right.
+    near: the words beside the seeds agree.
+
+    The last two join the holders of one passage across documents that hold a part of it only. A task holds the
+    occurrences of one seed in its range; a frequent seed takes many ranges.
+    """
     here = [T.StructField("doc_id", id_type), T.StructField("pos", T.IntegerType()), T.StructField("left", T.LongType()), T.StructField("right", T.LongType())]
     schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("seed", T.LongType()), *here,
                            *[T.StructField(f"home_{f.name}", f.dataType) for f in here], T.StructField("near", T.BooleanType()), T.StructField("head", T.BooleanType())])
@@ -123,47 +161,46 @@ def matches(spread: DataFrame, id_type) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_type
 
         part, types = TaskContext.get().partitionId(), [to_arrow_type(f.dataType) for f in schema]
-        kept, opening, top, edges = None, None, None, []
 
-        def rows(kind, t, a, b, near, head):
-            n = len(a)
-            cols = [np.full(n, kind), np.full(n, part), t.column(0).take(pa.array(a)), *[t.column(c).take(pa.array(a)) for c in range(1, 5)],
-                    *[t.column(c).take(pa.array(b)) for c in range(1, 5)], near, head]
+        def rows(kind, t, a, b, near=None, head=None):
+            no = np.zeros(len(a), bool)
+            cols = [np.full(len(a), kind), np.full(len(a), part), t.column(0).take(pa.array(a)), *[t.column(c).take(pa.array(a)) for c in range(1, 5)],
+                    *[t.column(c).take(pa.array(b)) for c in range(1, 5)], no if near is None else near, no if head is None else head]
             return pa.RecordBatch.from_arrays([(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else pa.array(c)).cast(x) for c, x in zip(cols, types)], names=schema.names)
 
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            t = pa.Table.from_batches([batch])
-            old = 0
-            if kept is not None:
-                old, t = kept.num_rows, pa.concat_tables([kept, t])
+        for t, opens, closes in seed_runs(batches):
             seed, doc = t.column(0).to_numpy(), t.column(1).to_numpy()
             n = len(seed)
             index = np.arange(n)
             new = np.r_[True, seed[1:] != seed[:-1]]
             first = np.maximum.accumulate(np.where(new, index, 0))  # of the seed
             own = np.maximum.accumulate(np.where(new | np.r_[True, doc[1:] != doc[:-1]], index, 0))  # of the seed in the document
-            if opening is None:
-                opening, top, top_doc = seed[0], t.slice(0, 1), doc[0]
             bits = [t.column(c).to_numpy().view(np.uint64) for c in (3, 4)]
-            fresh = index >= old
-            for partner, taken in ((first, fresh & (own > first) & (seed != opening)), (own - 1, fresh & (own > first) & ((own - 1 != first) | (seed == opening))),
-                                   (index - 1, fresh & (index > own))):
+            beside = [before_beside(seed, side) for side in bits]
+            opening = (seed == seed[0]) if opens else np.zeros(n, bool)
+            partners = [np.where((own > first) & ~opening, first, -1), np.where(own > first, own - 1, -1), np.where(index > own, index - 1, -1), *beside]
+            for k, partner in enumerate(partners):
+                taken = partner >= 0
+                for other in partners[:k]:
+                    taken &= partner != other
                 a = np.flatnonzero(taken)
                 if len(a):
                     b = partner[a]
-                    yield rows(MATCH, t, a, b, agree(bits[0][a], bits[1][a], bits[0][b], bits[1][b]), np.zeros(len(a), bool))
-            a = np.flatnonzero(fresh & (seed == opening))
+                    yield rows(MATCH, t, a, b, agree(bits[0][a], bits[1][a], bits[0][b], bits[1][b]))
+            a = np.flatnonzero(opening)
             if len(a):
-                yield rows(OPEN, t, a, a, np.zeros(len(a), bool), doc[a] == top_doc)
-            last = [n - 1] if seed[-1] == opening else [n - 1, int(np.searchsorted(seed, opening, "right")) - 1]
-            if last[-1] >= 0 and seed[last[-1]] == opening:
-                edges[:1] = [(top, t.slice(last[-1], 1))]
-            edges[1:] = [] if seed[-1] == opening else [(t.slice(int(first[-1]), 1), t.slice(n - 1, 1))]
-            kept = t.take(pa.array(np.unique([first[-1], max(own[-1] - 1, first[-1]), own[-1], n - 1])))
-        for low, high in edges:
-            yield rows(EDGE, pa.concat_tables([low, high]), np.array([0]), np.array([1]), np.zeros(1, bool), np.zeros(1, bool))
+                yield rows(OPEN, t, a, a, head=doc[a] == doc[0])
+                for kind, before in zip(HEADS, beside):
+                    c = a[before[a] < 0]
+                    yield rows(kind, t, c, c)
+            for at_end in ([opening] if opens else []) + ([seed == seed[-1]] if closes and not (opens and seed[0] == seed[-1]) else []):
+                a = np.flatnonzero(at_end)
+                yield rows(EDGE, t, a[:1], a[-1:])
+                for kind, before in zip(TAILS, beside):
+                    last = at_end.copy()
+                    last[before[a][before[a] >= 0]] = False
+                    c = np.flatnonzero(last)
+                    yield rows(kind, t, c, c)
 
     ranged = spread.repartitionByRange("seed", "doc_id").sortWithinPartitions("seed", "doc_id", "pos")
     found = written(ranged.mapInArrow(run, schema))
@@ -172,14 +209,22 @@ def matches(spread: DataFrame, id_type) -> DataFrame:
     edges = found.filter(F.col("kind") == EDGE).select("seed", "part", F.first(low).over(over).alias("_first"), F.lag(high).over(over).alias("_last"))
     opened = found.filter(F.col("kind") == OPEN).select("seed", "part", "doc_id", "pos", "left", "right", "head").join(edges, ["seed", "part"])
     opened = opened.select("doc_id", "pos", "left", "right", F.explode(F.array(F.col("_first"), F.when(F.col("head"), F.col("_last")))).alias("_home"))
+    # of the words on one side, a range has one first and one last occurrence
+    is_left = F.col("kind").isin(HEADS[0], TAILS[0])
+    ends = found.filter(F.col("kind").isin(*HEADS, *TAILS)).select(
+        "seed", is_left.alias("_is_left"), F.when(is_left, F.col("left")).otherwise(F.col("right")).alias("_beside"), "part", F.col("kind").isin(*TAILS).alias("_tail"), *[f.name for f in here], low.alias("_own"))
+    earlier = W.partitionBy("seed", "_is_left", "_beside").orderBy("part", "_tail").rowsBetween(W.unboundedPreceding, -1)
+    carried = ends.withColumn("_home", F.last(F.when(F.col("_tail"), F.col("_own")), True).over(earlier)).filter("not _tail")
+    opened = opened.unionByName(carried.select("doc_id", "pos", "left", "right", "_home"))
 
     def side(c: str):
         x, y = F.col(c), F.col(f"_home.{c}")
         same = F.bit_count(x.bitwiseAND(y))
         return (same > 0) & (2 * same >= F.greatest(F.bit_count(x), F.bit_count(y)))
 
-    opened = opened.filter("_home.doc_id < doc_id").select("doc_id", F.col("_home.doc_id").alias("home"), "pos", F.col("_home.pos").alias("home_pos"),
-                                                           (side("left") | side("right")).alias("near"))
+    earlier_home = (F.col("_home.doc_id") < F.col("doc_id")) | ((F.col("_home.doc_id") == F.col("doc_id")) & (F.col("_home.pos") < F.col("pos")))
+    opened = opened.filter(earlier_home).select("doc_id", F.col("_home.doc_id").alias("home"), "pos", F.col("_home.pos").alias("home_pos"),
+                                                (side("left") | side("right")).alias("near"))
     return found.filter(F.col("kind") == MATCH).select("doc_id", F.col("home_doc_id").alias("home"), "pos", "home_pos", "near").unionByName(opened)
 
 

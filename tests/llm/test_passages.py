@@ -60,3 +60,38 @@ def test_recall_by_edit_rate(spark):
     recall = [sum((2 * k + 1, 2 * k) in got for k in range(i, i + 40)) for i in (0, 40, 80)]
     print("recall of 40 with one change in 10, 8, 6:", recall)
     assert got <= {(2 * k + 1, 2 * k) for k in range(n)} and min(recall) >= 38
+
+
+def test_partial_holders_between_the_full_ones(spark):
+    rng, docs = random.Random(5), []
+    for t in range(20):
+        p = words(rng, 60)
+        docs += [(100 * t + k, " ".join(words(rng, 80) + part + words(rng, 80)))
+                 for k, part in ((1, p[:35]), (2, p[25:]), (20, p), (30, p[:35]), (31, p[25:]), (50, p))]
+    for parts in (4, 40):  # with 40, seeds reach over ranges
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = {(r["doc_id"], r["home_id"]) for r in found(spark, docs)}
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        print("partial holders", len(got), "of 20")
+        assert got == {(100 * t + 50, 100 * t + 20) for t in range(20)}
+
+
+def test_one_passage_in_most_documents(spark):
+    rng = random.Random(6)
+    p = words(rng, 60)
+    docs = [(k, " ".join(words(rng, 30) + (p if k % 10 == 0 else p[:35] if k % 2 else p[25:]) + words(rng, 30))) for k in range(600)]
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    got = {r["doc_id"] for r in found(spark, docs)}
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    print("hot passage", len(got), "of 59")
+    assert got == set(range(10, 600, 10))
+
+
+def test_odd_rows(spark):
+    rng = random.Random(7)
+    p = " ".join(words(rng, 60))
+    far = " ".join(words(rng, 200000))
+    rows = [(1, None), (2, ""), (3, " \n\t "), (4, p), (4, p), (5, p.upper()), (None, p), (6, far + " " + p)]
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id bigint, text string, home_id string, seed string")
+    got = {(r["doc_id"], r["home_id"], r["start"]) for r in passages.repeated_passages(docs).collect()}
+    assert (5, 4, 0) in got and (6, 4, 200000) in got and {g[0] for g in got} <= {4, 5, 6}
