@@ -164,9 +164,13 @@ def matches(spread: DataFrame, id_type) -> DataFrame:
 
         def rows(kind, t, a, b, near=None, head=None):
             no = np.zeros(len(a), bool)
-            cols = [np.full(len(a), kind), np.full(len(a), part), t.column(0).take(pa.array(a)), *[t.column(c).take(pa.array(a)) for c in range(1, 5)],
-                    *[t.column(c).take(pa.array(b)) for c in range(1, 5)], no if near is None else near, no if head is None else head]
-            return pa.RecordBatch.from_arrays([(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else pa.array(c)).cast(x) for c, x in zip(cols, types)], names=schema.names)
+
+            def side(c, at):  # a match needs its places only
+                return pa.nulls(len(a), types[2]) if kind == MATCH and c not in (1, 2) else t.column(c).take(pa.array(at))
+
+            cols = [np.full(len(a), kind), np.full(len(a), part), side(0, a), *[side(c, a) for c in range(1, 5)],
+                    *[side(c, b) for c in range(1, 5)], no if near is None else near, no if head is None else head]
+            return pa.RecordBatch.from_arrays([(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c if isinstance(c, pa.Array) else pa.array(c)).cast(x) for c, x in zip(cols, types)], names=schema.names)
 
         for t, opens, closes in seed_runs(batches):
             seed, doc = t.column(0).to_numpy(), t.column(1).to_numpy()
