@@ -100,6 +100,34 @@ def resize_patches(patches: DataFrame, key: list[str], n: int, factor: float, fi
     return d
 
 
+def resize_to(patches: DataFrame, key: list[str], side: str, target: str, fields: list[str]) -> DataFrame:
+    """Patches of different sides brought to the side their row names: patches(*key, y, x, side, target, *fields).
+
+    The weights of `resize_weights` in whole numbers, worked out per pixel, so sides may vary by row. Input that is
+    spread by `key` or a part of it is not shuffled again. Rows without a side or target give no pixels.
+    """
+    n, m = F.col(side).cast("bigint"), F.col(target).cast("bigint")
+
+    def reach(i):
+        shrunk = F.sequence((i * m / n).cast("bigint"), (((i + 1) * m - 1) / n).cast("bigint"))
+        low = F.when(i == 0, F.lit(0)).otherwise(F.floor((m * (2 * i - 1) - n) / (2 * n)))
+        high = F.when(i == n - 1, m - 1).otherwise(F.ceil((m * (2 * i + 3) - n) / (2 * n)))
+        grown = F.sequence(F.greatest(low, F.lit(0)).cast("bigint"), F.least(high, m - 1).cast("bigint"))
+        return F.when(m < n, shrunk).otherwise(grown)
+
+    def weight(o, i):
+        box = (F.least((o + 1) * n, (i + 1) * m) - F.greatest(o * n, i * m)) / n
+        centre = F.least(F.greatest((2 * o + 1) * n - m, F.lit(0)), 2 * m * (n - 1))
+        return F.when(m < n, box).otherwise((2 * m - F.abs(centre - 2 * m * i)) / (2 * m))
+
+    d = patches.select(*key, "y", "x", side, target, *fields)
+    for axis in ("y", "x"):
+        i = F.col(axis).cast("bigint")
+        d = d.withColumn(f"_{axis}", F.explode(reach(i))).withColumn(f"_w{axis}", weight(F.col(f"_{axis}"), i)).filter(F.col(f"_w{axis}") > 0)
+    return d.groupBy(*key, F.col("_y").cast("int").alias("y"), F.col("_x").cast("int").alias("x")).agg(
+        *[F.sum(F.col(f) * F.col("_wy") * F.col("_wx")).alias(f) for f in fields])
+
+
 def zoom_lines(px: DataFrame, line: list[str], pos: str, field: str, scale: int) -> DataFrame:
     """Linear interpolation of one axis onto scale times as many samples, end samples kept."""
     p = lines(px, line, pos, [field]).select(*line, F.transform("a", lambda s: s[field]).alias("a"))

@@ -8,6 +8,7 @@ from roadframe.functions.scalars import clip, mix, pick
 from roadframe.operators import network as N, raster as A
 from roadframe.operators.common import label_regions, lines, let, materialize, scatter_offsets
 from roadframe.operators.memory import last_wins, range_rank, set_index
+from roadframe.operators.synth import resize_to
 
 IMG = "image_id"
 # fixed values of the training rules
@@ -208,14 +209,57 @@ def merge_shares(libs: DataFrame, cap: int | None = None) -> DataFrame:
     return d.withColumn("kept", kept.cast("bigint")).drop("_t", "_base", "_rest", "_pos", "_spare")
 
 
-def merge_libraries(libs: DataFrame, cap: int | None = None) -> DataFrame:
-    """Chosen patches (part, pair_id, patch): a hashed sample without replacement of each pair's share."""
-    s = merge_shares(libs, cap)
+def _chosen(libs: DataFrame, cap: int | None) -> DataFrame:
+    s = merge_shares(libs, cap).select("part", "pair_id", "patches", "size_px", "common_size", "kept").filter("patches > 0")
     d = s.withColumn("patch", F.explode(F.sequence(F.lit(0), (F.col("patches") - 1).cast("int"))))
+    if cap is None:
+        return d
     d = d.withColumn("_h", mix(F.col("pair_id"), F.col("patch")))
     # one pair's patches are one library, a bounded group
     k = F.row_number().over(W.partitionBy("part", "pair_id").orderBy("_h", "patch"))
-    return d.withColumn("_k", k).filter(F.col("_k") <= F.col("kept")).select("part", "pair_id", "patch", "common_size")
+    return d.withColumn("_k", k).filter(F.col("_k") <= F.col("kept"))
+
+
+def merge_libraries(libs: DataFrame, cap: int | None = None) -> DataFrame:
+    """Chosen patches (part, pair_id, patch): a hashed sample without replacement of each pair's share."""
+    return _chosen(libs, cap).select("part", "pair_id", "patch", "common_size")
+
+
+def library_measures(patches: DataFrame, value: str) -> DataFrame:
+    """patches(part, pair_id, patch, y, x, value) -> (part, pair_id, pixels, patches, size_px, mean, grain, local_contrast):
+    grain is the deviation of all pixels of the pair, local contrast the mean deviation inside a patch."""
+    v = F.col(value)
+    one = patches.groupBy("part", "pair_id", "patch").agg(F.count(v).alias("_n"), F.sum(v).alias("_s"), F.sum(v * v).alias("_q"), F.stddev_pop(v).alias("_d"),
+                                                          (F.max("y") + 1).alias("_side"))
+    n, mean = F.sum("_n"), F.sum("_s") / F.sum("_n")
+    return one.groupBy("part", "pair_id").agg(n.alias("pixels"), F.count(F.lit(1)).alias("patches"), F.max("_side").alias("size_px"), mean.alias("mean"),
+                                              F.sqrt(F.greatest(F.sum("_q") / n - mean * mean, F.lit(0.0))).alias("grain"), F.avg("_d").alias("local_contrast"))
+
+
+def merged_patches(libs: DataFrame, patches: DataFrame, fields: list[str], cap: int | None = None) -> DataFrame:
+    """The merged library's pixels (part, pair_id, patch, size_px, y, x, *fields): chosen patches at the common size.
+
+    patches(part, pair_id, patch, y, x, *fields), patch numbers from 0 in each pair. Pixels are shuffled once.
+    """
+    key = ["part", "pair_id", "patch"]
+    d = patches.select(*key, "y", "x", *fields).join(_chosen(libs, cap).select(*key, F.col("size_px").alias("_side"), "common_size"), key)
+    return resize_to(d.withColumn("size_px", F.col("common_size")), [*key, "size_px"], "_side", "common_size", fields)
+
+
+def merged_statistics(libs: DataFrame, cap: int | None = None) -> DataFrame:
+    """One row per part: size_px, count, pairs, pixels, tone, grain, contrast, sizes_seen.
+
+    libs(part, pair_id, pixels, patches, size_px, mean, grain, local_contrast). Tone, grain and contrast weigh every pair
+    by its pixels; a measure that is missing counts as 0. Pairs without patches take no part.
+    """
+    n = F.greatest(F.sum("pixels"), F.lit(1))
+    pooled = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0.0)) * F.col("pixels")) / n
+    g = merge_shares(libs.filter("patches > 0"), cap).groupBy("part").agg(
+        F.first("common_size").alias("size_px"), F.sum("kept").alias("count"), F.count(F.lit(1)).alias("pairs"), F.sum("pixels").alias("pixels"),
+        pooled("mean").alias("tone"), pooled("grain").alias("grain"), pooled("local_contrast").alias("contrast"),
+        F.array_sort(F.collect_set("size_px")).alias("sizes_seen"))  # patch sides: a few dozen values
+    return g.select("part", "size_px", "count", "pairs", "pixels", F.round("tone", 2).alias("tone"), F.round("grain", 3).alias("grain"),
+                    F.round("contrast", 3).alias("contrast"), "sizes_seen")
 
 
 def upgrade_routes(routes: DataFrame, measured: DataFrame) -> DataFrame:

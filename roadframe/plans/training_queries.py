@@ -227,6 +227,42 @@ def merge_libraries_capped(spark, sf):
     return T.merge_libraries(X.library_rows(spark, sf), 300)
 
 
+def patch_libraries(spark, sf):
+    """The patches as libraries of pairs: 60 patches a pair, dealt to three parts, cut to the side that suits the pair."""
+    def build():
+        pair = F.floor(F.col("vec_id") / 60).cast("bigint")
+        d = X.patch_px(spark, sf).withColumn("pair_id", pair).filter((F.col("y") < 4 + F.col("pair_id") % 5) & (F.col("x") < 4 + F.col("pair_id") % 5))
+        part = F.when(F.col("vec_id") % 3 == 0, "junction").when(F.col("vec_id") % 3 == 1, "edge").otherwise("open")
+        number = M.range_rank(d.filter("y = 0 and x = 0").select(part.alias("part"), "pair_id", "vec_id"), ["part", "pair_id"], [F.col("vec_id").asc()], "_n")
+        return d.join(number.select("part", "vec_id", (F.col("_n") - 1).cast("int").alias("patch")), "vec_id").select("part", "pair_id", "patch", "y", "x", "v")
+    return stage(spark, sf, "patch_libraries", build)
+
+
+POOLED = """pl0 AS (SELECT vec_id, vec_id // 60 AS pair_id, CASE vec_id % 3 WHEN 0 THEN 'junction' WHEN 1 THEN 'edge' ELSE 'open' END AS part, y, x, v FROM patch_px WHERE y < 4 + (vec_id // 60) % 5 AND x < 4 + (vec_id // 60) % 5),
+pl AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY part, pair_id ORDER BY vec_id) - 1 AS INTEGER) AS patch FROM pl0),
+ms AS (SELECT part, pair_id, count(*) AS pixels, count(DISTINCT patch) AS patches, max(y) + 1 AS size_px, avg(v) AS mean, stddev_pop(v) AS grain FROM pl GROUP BY 1, 2),
+lc AS (SELECT part, pair_id, avg(sd) AS local_contrast FROM (SELECT part, pair_id, patch, stddev_pop(v) AS sd FROM pl GROUP BY 1, 2, 3) q GROUP BY 1, 2),
+cs AS (SELECT part, CAST(trunc(quantile_cont(size_px, 5e-1)) AS INTEGER) AS size_px FROM ms GROUP BY 1)"""
+
+
+@query("merged_patches", sql("patch_px", POOLED + """,
+wt AS (SELECT n, m, o, i, CASE WHEN m < n THEN greatest(0, least((o+1)*n, (i+1)*m) - greatest(o*n, i*m)) / CAST(n AS DOUBLE)
+  ELSE greatest(0, 2*m - abs(least(greatest((2*o+1)*n - m, 0), 2*m*(n-1)) - 2*m*i)) / (2e0*m) END AS w FROM range(4, 9) AS a(n), range(4, 9) AS b(m), range(8) AS c(o), range(8) AS d(i) WHERE o < m AND i < n)
+SELECT p.part, p.pair_id, p.patch, c.size_px, CAST(a.o AS INTEGER) AS y, CAST(b.o AS INTEGER) AS x, round(sum(p.v*a.w*b.w), 6) AS v FROM pl p JOIN ms s ON s.part=p.part AND s.pair_id=p.pair_id JOIN cs c ON c.part=p.part
+ JOIN wt a ON a.n=s.size_px AND a.m=c.size_px AND a.i=p.y JOIN wt b ON b.n=s.size_px AND b.m=c.size_px AND b.i=p.x GROUP BY 1, 2, 3, 4, 5, 6"""))
+def merged_patches(spark, sf):
+    px = patch_libraries(spark, sf)
+    return T.merged_patches(T.library_measures(px, "v"), px, ["v"]).withColumn("v", F.round("v", 6))
+
+
+@query("merged_statistics", sql("patch_px", POOLED + """
+SELECT m.part, c.size_px, CAST(sum(m.patches) AS BIGINT) AS count, count(*) AS pairs, CAST(sum(m.pixels) AS BIGINT) AS pixels, round(sum(m.mean*m.pixels)/sum(m.pixels), 2) AS tone,
+ round(sum(m.grain*m.pixels)/sum(m.pixels), 3) AS grain, round(sum(l.local_contrast*m.pixels)/sum(m.pixels), 3) AS contrast, list_sort(list(DISTINCT m.size_px)) AS sizes_seen
+FROM ms m JOIN lc l USING (part, pair_id) JOIN cs c ON c.part=m.part GROUP BY 1, 2"""))
+def merged_statistics(spark, sf):
+    return T.merged_statistics(T.library_measures(patch_libraries(spark, sf), "v"))
+
+
 @query("upgrade_routes", sql("tree_leaf library_rows", """
 m AS (SELECT part, count(*) FILTER (patches >= 190) AS pairs, CAST(sum(pixels) FILTER (patches >= 190) AS BIGINT) AS px FROM library_rows GROUP BY 1),
 r AS (SELECT t.*, CASE WHEN tree='lines' THEN 'lines' ELSE split_part(route_id, '.', 2) END AS part FROM tree_leaf t)
