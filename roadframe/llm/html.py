@@ -46,10 +46,21 @@ footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main
 table tbody td tfoot th thead title tr ul""".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _LOOSE = frozenset("p li dt dd option tr td th b i u em strong span font small".split())  # often left open: never on the stack
-_RAW = r"script|style|noscript|template|svg|iframe|object|textarea|title|math|canvas|audio|video|xmp"
+_RAW = r"script|style|noscript|template|iframe|textarea|title|xmp"
+_MEDIA = r"svg|object|math|canvas|audio|video"  # left out whole; without an end tag of their own, the tag alone
 _TOKEN = re.compile(
-    rf"<!--.*?(?:--!?>|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
+    rf"<!--.*?(?:--!?>|\Z)|<({_RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
+    rf"|<(?P<media>{_MEDIA})(?=[\s/>])(?:[^>]*/>|[^>]*>(?:[^<]*+(?:<(?!/?(?P=media)(?=[\s/>]))[^<]*+)*+</(?P=media)\s*>)?)"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I)
+_FORM_END = re.compile(r"</form\s*>", re.I)
+_CONTROLS = re.compile(r"<(select|button|textarea|script|style)(?=[\s/>]).*?(?:</\1\s*>|\Z)|<[^>]*>", re.S | re.I)
+#: A form with so many words outside its controls is the page, not furniture.
+FORM_WORDS = 60
+#: The least words of a block outside furniture that make a page's classes trustworthy, and of the text found otherwise.
+TRUSTED_WORDS, LOOSE_WORDS = 10, 40
+#: Words before a furniture word that make a class speak of the layout around it (fixed values).
+_LAYOUT = frozenset("has with no without".split())
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
 
@@ -60,7 +71,10 @@ def _cues(attributes: str) -> tuple[set[str], bool]:
         value = next((v for v in values if v), "").lower()
         name = name.lower()
         if name in ("class", "id", "role"):
-            words.update(re.split(r"[\s_-]+", value))
+            for token in value.split():
+                parts = re.split(r"[_-]+", token)
+                if parts[0] not in _LAYOUT:
+                    words.update(parts)
         elif name == "style":
             hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
         else:
@@ -69,19 +83,46 @@ def _cues(attributes: str) -> tuple[set[str], bool]:
 
 
 def parse_blocks(html: str) -> list[dict]:
-    """Flat text blocks in page order, with the features of FEATURES."""
+    """Flat text blocks in page order, with the features of FEATURES.
+
+    Where the classes say that all text is furniture, those of elements that hold half of the page's words or more are
+    left aside (a layout named after its sidebar), and an article below furniture starts afresh; the rest must then have
+    an article or a heading.
+    """
+    blocks, held, words = _parse(html, None)
+    if not held or any(not b["in_boiler"] and not b["heading"] and (b["in_main"] or b["words"] >= TRUSTED_WORDS) for b in blocks):
+        return blocks
+    loose = _parse(html, frozenset(k for k, n in held.items() if 2 * n >= words))[0]
+    own = [b for b in loose if not b["in_boiler"] and b["link_density"] < 0.5]
+    is_page = any(b["in_main"] or b["heading"] for b in own) and sum(b["words"] for b in own) >= LOOSE_WORDS
+    return loose if is_page else blocks
+
+
+def _parse(html: str, forgiven: frozenset | None) -> tuple[list[dict], dict[int, int], int]:
+    """(blocks, words held by each element that is furniture, words of the page). An element's number is
+    where it opens."""
     blocks: list[dict] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, main, boiler, link of open elements
+    stack: list[tuple] = []  # tag, main, boiler, link of open elements; number of furniture and the words before it
+    held: dict[int, int] = {}
+    total = 0
     pieces: list[tuple[str, bool]] = []
     heading = False
 
+    def close(k: int):
+        for *_, number, before in stack[k:]:
+            if number is not None:
+                held[number] = total - before
+        del stack[k:]
+
     def flush():
+        nonlocal total
         if pieces:
             text = " ".join("".join(p for p, _ in pieces).split())
             if text:
                 words = text.count(" ") + 1
+                total += words
                 linked = len(" ".join(p for p, link in pieces if link).split())
-                _, main, boiler, _ = stack[-1] if stack else ("", False, False, False)
+                _, main, boiler, *_ = stack[-1] if stack else ("", False, False, False)
                 blocks.append({"text": text, "in_main": int(main), "in_boiler": int(boiler), "heading": int(heading), "words": words, "link_density": min(1.0, linked / words)})
             pieces.clear()
 
@@ -89,11 +130,26 @@ def parse_blocks(html: str) -> list[dict]:
         if raw:
             pieces.append((unescape(raw), bool(stack and stack[-1][3])))
 
+    form_ends = True  # whether a form may still be closed further down
+
+    def wide_form(start: int) -> bool:
+        nonlocal form_ends
+        end = _FORM_END.search(html, start) if form_ends else None
+        form_ends = end is not None
+        return end is None or len(_CONTROLS.sub(" ", html[start:end.start()]).split()) >= FORM_WORDS
+
+    def end_cell(row: bool):
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] == "table":
+                return
+            if stack[k][0] in ("td", "th") or row and stack[k][0] == "tr":
+                close(k)
+
     at = 0
     for m in _TOKEN.finditer(html):
         text_of(html[at:m.start()])
         at = m.end()
-        closing, tag, attributes = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
+        closing, tag, attributes = (m[3], m[4], m[5]) if m[4] else (m[6], m[7], m[8])
         if not tag:
             if m[1]:
                 flush()
@@ -110,17 +166,20 @@ def parse_blocks(html: str) -> list[dict]:
                 heading = False
         if tag in _VOID:
             continue
+        if tag in ("td", "th", "tr"):
+            end_cell(tag == "tr")
         if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    del stack[k:]
+                    close(k)
                     break
             continue
         if stack and (stack[-1][0] == "p" and tag in _BLOCK_TAGS or stack[-1][0] == tag == "li"):
-            stack.pop()  # closed by what follows
+            close(len(stack) - 1)  # closed by what follows
         if tag in _LOOSE and not attributes.strip():
             continue
-        _, main, boiler, link = stack[-1] if stack else ("", False, False, False)
+        _, main, boiler, link, *_ = stack[-1] if stack else ("", False, False, False)
+        number = None
         if tag in ("html", "body"):
             pass
         elif tag == "head":
@@ -128,7 +187,15 @@ def parse_blocks(html: str) -> list[dict]:
         else:
             words, hidden = _cues(attributes) if attributes.strip() else ((), False)
             own = _OWN_PARTS if main else ()
-            furniture = (tag in _BOILER_TAGS and tag not in own) or hidden or any(w in _BOILER and w not in own for w in words)
+            furniture = (tag in _BOILER_TAGS and tag not in own) or any(w in _BOILER and w not in own for w in words)
+            if furniture and tag == "form" and wide_form(at):
+                furniture = any(w in _BOILER - {"form"} for w in words)
+            if furniture:
+                number = m.start()
+                furniture = forgiven is None or number not in forgiven
+            if forgiven is not None and tag in ("article", "main"):
+                boiler = False
+            furniture = furniture or hidden
             article = tag in ("article", "main") or any(w in _MAIN for w in words)
             boiler = boiler or furniture
             main = main or article and not furniture
@@ -138,10 +205,11 @@ def parse_blocks(html: str) -> list[dict]:
         if tag == "body":  # an unclosed head ends here
             stack[:] = [s for s in stack if s[0] == "html"]
             boiler = False
-        stack.append((tag, main, boiler, link))
+        stack.append((tag, main, boiler, link, number, total))
     text_of(html[at:])
     flush()
-    return blocks
+    close(0)
+    return blocks, held, total
 
 
 def _features(blocks: list[dict]) -> list[list[float]]:
