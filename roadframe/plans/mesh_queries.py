@@ -34,20 +34,43 @@ def lattice_ends(spark, sf):
     return e.select("image_id", "street_id", "length", "e.*")
 
 
-@query("follow_straightest", sql("lattice_street", GQ.NODE + """, le AS (SELECT image_id, street_id, 0 AS which, node0 AS node, x0 AS x, y0 AS y, (x1-x0)/sqrt(pow(x1-x0,2)+pow(y1-y0,2)) AS ux, (y1-y0)/sqrt(pow(x1-x0,2)+pow(y1-y0,2)) AS uy, sqrt(pow(x1-x0,2)+pow(y1-y0,2)) AS len FROM lattice_street
+WALKED = GQ.NODE + """, le AS (SELECT image_id, street_id, 0 AS which, node0 AS node, x0 AS x, y0 AS y, (x1-x0)/sqrt(pow(x1-x0,2)+pow(y1-y0,2)) AS ux, (y1-y0)/sqrt(pow(x1-x0,2)+pow(y1-y0,2)) AS uy, sqrt(pow(x1-x0,2)+pow(y1-y0,2)) AS len FROM lattice_street
  UNION ALL SELECT image_id, street_id, 1, node1, x1, y1, (x0-x1)/sqrt(pow(x1-x0,2)+pow(y1-y0,2)), (y0-y1)/sqrt(pow(x1-x0,2)+pow(y1-y0,2)), sqrt(pow(x1-x0,2)+pow(y1-y0,2)) FROM lattice_street),
 wk(hop, image_id, first, street_id, which, turn, len, sides, used) AS (SELECT 0, image_id, street_id, street_id, 0, 0e0, len, CAST(0 AS BIGINT), [street_id] FROM le WHERE which = 0 UNION ALL
  SELECT hop+1, image_id, first, b.s2, b.w2, b.turn, b.l, sides, list_append(used, b.s2) FROM (
   SELECT w.hop, w.image_id, w.first, any_value(w.used) AS used, count(*) - 2 AS sides, arg_min({'s2': n.street_id, 'w2': n.which, 'turn': round(degrees(acos(least(1e0, greatest(-1e0, -f.ux*n.ux - f.uy*n.uy)))), 6), 'l': w.len + sqrt(pow(c.cx-f.x,2)+pow(c.cy-f.y,2)) + sqrt(pow(n.x-c.cx,2)+pow(n.y-c.cy,2)) + n.len},
    round(degrees(acos(least(1e0, greatest(-1e0, -f.ux*n.ux - f.uy*n.uy)))), 6)*1000000 + n.street_id*2 + n.which) FILTER (NOT list_contains(w.used, n.street_id) AND round(degrees(acos(least(1e0, greatest(-1e0, -f.ux*n.ux - f.uy*n.uy)))), 6) <= 35) AS b
-  FROM wk w JOIN le f ON f.image_id=w.image_id AND f.street_id=w.street_id AND f.which=1-w.which JOIN nd c ON c.image_id=f.image_id AND c.root=f.node JOIN le n ON n.image_id=f.image_id AND n.node=f.node WHERE w.len < 350 GROUP BY 1, 2, 3) q WHERE b IS NOT NULL)
-SELECT image_id*100 + first AS walker, hop, image_id, street_id, which, turn, round(len, 6) AS length, sides FROM wk""", recursive=True))
+  FROM wk w JOIN le f ON f.image_id=w.image_id AND f.street_id=w.street_id AND f.which=1-w.which JOIN nd c ON c.image_id=f.image_id AND c.root=f.node JOIN le n ON n.image_id=f.image_id AND n.node=f.node WHERE w.len < 350 GROUP BY 1, 2, 3) q WHERE b IS NOT NULL)"""
+PATCHED = WALKED.replace("c.root=f.node JOIN", "c.root=f.node AND (c.root + c.image_id) % 5 <> 0 JOIN")
+OUT = "\nSELECT image_id*100 + first AS walker, hop, image_id, street_id, which, turn, round(len, 6) AS length, sides FROM wk"
+
+
+@query("follow_straightest", sql("lattice_street", WALKED + OUT, recursive=True))
 def follow_straightest(spark, sf):
     nodes = GQ.lattice_nodes(spark, sf).select("image_id", F.col("root").cast("int").alias("node"), "cx", "cy")
     w = GQ.lattice(spark, sf).select((F.col("image_id") * 100 + F.col("street_id")).alias("walker"), "image_id", "street_id", F.lit(0).alias("which"), F.lit(350.0).alias("need"))
     return B.follow_straightest(w, lattice_ends(spark, sf), nodes).withColumn("length", F.round("length", 6))
 
 
+def patched_walks(spark, sf):
+    """Walks that end at nodes that are no patch: every fifth of an image."""
+    nodes = GQ.lattice_nodes(spark, sf).select("image_id", F.col("root").cast("int").alias("node"), "cx", "cy", ((F.col("root") + F.col("image_id")) % 5 != 0).alias("patch"))
+    w = GQ.lattice(spark, sf).select((F.col("image_id") * 100 + F.col("street_id")).alias("walker"), "image_id", "street_id", F.lit(0).alias("which"), F.lit(350.0).alias("need"))
+    return stage(spark, sf, "patched_walks", lambda: B.follow_straightest(w, lattice_ends(spark, sf), nodes))
+
+
+@query("follow_patches", sql("lattice_street", PATCHED + OUT, recursive=True))
+def follow_patches(spark, sf):
+    return patched_walks(spark, sf).withColumn("length", F.round("length", 6))
+
+
+@query("side_streets", sql("lattice_street", PATCHED + """
+SELECT o.image_id*100 + o.first AS walker, o.hop, o.image_id, e.node, e.street_id, e.which FROM wk o JOIN wk b ON b.image_id=o.image_id AND b.first=o.first AND b.hop=o.hop-1
+ JOIN le a ON a.image_id=o.image_id AND a.street_id=o.street_id AND a.which=o.which JOIN le e ON e.image_id=a.image_id AND e.node=a.node AND e.street_id <> o.street_id AND e.street_id <> b.street_id""", recursive=True))
+def side_streets(spark, sf):
+    return B.side_streets(patched_walks(spark, sf), lattice_ends(spark, sf))
+
+
 def paths(spark, sf):
     return stage(spark, sf, "paths", lambda: Q.order_path(NQ.segments(spark, sf)))
 
