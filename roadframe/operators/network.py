@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from roadframe.operators.common import (N8, connected_components, label_regions, lines, materialize, pixel_code,
                                         scatter_offsets, tile_halo)
+from roadframe.operators.discs import disc_components
 
 IMG = "image_id"
 FAR = 1 << 20                    # image sides are limited to this many pixels
@@ -244,37 +245,13 @@ def junction_candidates(deg: DataFrame, dt: DataFrame, reach: int = 6) -> DataFr
     return c.join(hw, [IMG, "cand_id"], "left").select(IMG, "cand_id", "y", "x", F.coalesce("hw", F.lit(0.0)).alias("hw"))
 
 
-def near_pairs(pts: DataFrame, reach: Column) -> DataFrame:
-    """Pairs of points (image_id, pid, x, y, r) that may be within the larger of their reaches, each pair once.
-
-    A point lives on the grid whose cell is the power of two covering its reach, and is also listed on every
-    coarser grid in use; the one with the larger reach probes the 3x3 cells around it.
-    """
-    lv = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(reach, F.lit(1.0)))).cast("int"))
-    p = pts.withColumn("_lv", lv)
-    used = p.select(IMG, F.col("_lv").alias("L")).distinct()
-    cell = lambda c, l: F.floor(c / F.pow(F.lit(2.0), l)).cast("bigint")
-    low = p.join(used, IMG).filter(F.col("_lv") <= F.col("L")).select(
-        IMG, "L", cell(F.col("x"), F.col("L")).alias("gx"), cell(F.col("y"), F.col("L")).alias("gy"),
-        *[F.col(c).alias(f"{c}_b") for c in pts.columns if c != IMG], F.col("_lv").alias("lv_b"))
-    three = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    hi = (p.withColumn("L", F.col("_lv")).withColumn("_dx", F.explode(three)).withColumn("_dy", F.explode(three))
-           .withColumn("gx", cell(F.col("x"), F.col("L")) + F.col("_dx")).withColumn("gy", cell(F.col("y"), F.col("L")) + F.col("_dy"))
-           .drop("_dx", "_dy"))
-    return hi.join(low, [IMG, "L", "gx", "gy"]).filter((F.col("lv_b") < F.col("_lv")) | (F.col("pid_b") < F.col("pid"))).drop("L", "gx", "gy", "lv_b", "_lv")
-
-
 def merge_candidates(cands: DataFrame, factor: float = 1.6) -> DataFrame:
     """Join candidates closer than factor * (sum of half widths), transitively: adds `root`, the smallest id.
 
     Candidates at the same spot are one point with the widest half width, so repeated points add no pairs.
     """
-    spot = cands.groupBy(IMG, "x", "y").agg(F.min("cand_id").alias("pid"), F.max("hw").alias("hw"))
-    pairs = near_pairs(spot, F.col("hw") * (2 * factor))
-    close = F.hypot(F.col("x") - F.col("x_b"), F.col("y") - F.col("y_b")) < (F.col("hw") + F.col("hw_b")) * factor
-    cc = connected_components(pairs.filter(close).select(IMG, F.col("pid").alias("u"), F.col("pid_b").alias("v")), [IMG])
-    root = spot.join(cc.select(IMG, F.col("id").alias("pid"), "label"), [IMG, "pid"], "left").select(
-        IMG, "x", "y", F.coalesce("label", "pid").alias("root"))
+    spot = cands.groupBy(IMG, "x", "y").agg(F.min("cand_id").alias("pid"), F.max("hw").alias("r"))
+    root = spot.join(disc_components(spot, factor), [IMG, "pid"], "left").select(IMG, "x", "y", F.coalesce("label", "pid").alias("root"))
     return cands.join(root, [IMG, "x", "y"]).select(IMG, "cand_id", "x", "y", "hw", "root")
 
 
