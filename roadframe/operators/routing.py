@@ -11,6 +11,7 @@ from roadframe.operators import memory as M
 
 MIN_USABLE = 6                      # patches a library needs before it may be used
 KERB_BRANCH = 1.5                   # metres
+PRIMED_CONFIDENCE = 0.5             # of a library from priming
 
 
 # ---------------------------------------------------------------- trees
@@ -224,17 +225,66 @@ def validate_review(reviews: DataFrame) -> DataFrame:
     return reviews.withColumn("valid", ok)
 
 
-def inspect_point(points: DataFrame, codes: DataFrame, dt: DataFrame, js: DataFrame, index: DataFrame, mpp: float) -> DataFrame:
-    """points(placement_id, image_id, y, x): part, kerb distance, junction type and the library used there.
+def part_choices(index: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
+    """One row per part of the road: its situation key, the library used there now and how many candidates it was chosen from.
 
-    The choice depends on the part alone, so it is made once per part and looked up.
+    rejected(key, route) holds the routes reviewers turned down by situation; of it only the primed libraries matter, all
+    others are judged by their cooldown. A primed library is always the last candidate; it has no patches of its own.
+    """
+    spark = index.sparkSession
+    parts = spark.createDataFrame([(0, p) for p in ("open", "edge", "junction")], "ask_id int, part string")
+    key = M.situation_key(F.lit("material"), {"part": ("text", F.col("part")), "junction": ("bool", F.col("part") == "junction")})
+    parts = parts.withColumn("key", key).withColumn("_primed", F.concat(F.lit("material."), "part", F.lit(".primed")))
+    if rejected is None:
+        parts = parts.withColumn("primed_rejected", F.lit(False))
+    else:
+        no = rejected.select("key", F.col("route").alias("_primed")).distinct().withColumn("_no", F.lit(True))
+        parts = parts.join(no, ["key", "_primed"], "left").withColumn("primed_rejected", F.coalesce("_no", F.lit(False))).drop("_no")
+    none = F.lit(None).cast("bigint").alias("prefer_pair")
+    op = choose_pair(index, parts.filter("part = 'open'").select("ask_id", "part", none, "primed_rejected"))
+    rest = parts.filter("part <> 'open'").join(op.select("ask_id", F.col("pair_id").alias("prefer_pair")), "ask_id")
+    pick = op.unionByName(choose_pair(index, rest.select("ask_id", "part", "prefer_pair", "primed_rejected"))).drop("ask_id")
+    usable = index.filter(F.col("patches") >= MIN_USABLE)
+    of = usable.groupBy("part").agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("cooldown") > 0).alias("_out"))
+    used = usable.select("part", "pair_id", "rank", "confidence", "patches", "size_px")
+    d = parts.select("part", "key", "primed_rejected").join(pick, "part").join(of, "part", "left").join(used, ["part", "pair_id"], "left")
+    n, primed = F.coalesce("_n", F.lit(0)), F.col("pair_id").isNull()
+    return d.select("part", "key", "pair_id", "route", "exhausted", F.when(primed, n + 1).otherwise(F.col("rank")).cast("bigint").alias("rank"),
+                    F.when(primed, PRIMED_CONFIDENCE).otherwise(F.col("confidence")).alias("confidence"),
+                    F.when(primed, 0).otherwise(F.col("patches")).cast("bigint").alias("patches"), "size_px", (n + 1).alias("candidates"),
+                    (F.coalesce("_out", F.lit(0)) + F.col("primed_rejected").cast("int")).alias("rejected"), "primed_rejected")
+
+
+def part_candidates(index: DataFrame, choices: DataFrame) -> DataFrame:
+    """The candidates behind `part_choices`, one row per part and library in order of rank, the primed library last.
+
+    They are the same for every point of a part, so points carry their number and join here by part.
+    """
+    few = F.broadcast(choices.select("part", "candidates", "primed_rejected", F.col("route").alias("_chosen")))
+    own = index.filter(F.col("patches") >= MIN_USABLE).join(few, "part").select(
+        "part", F.concat(F.lit("material."), "part", F.lit("@"), F.col("pair_id").cast("string")).alias("route"), "pair_id", F.col("rank").cast("bigint").alias("rank"),
+        "confidence", "weight", F.col("patches").cast("bigint").alias("patches"), "size_px", "rejections", "acceptances", (F.col("cooldown") > 0).alias("rejected"), "_chosen")
+    zero, kinds = F.lit(0).cast("bigint"), dict(own.dtypes)
+    null = lambda c: F.lit(None).cast(kinds[c]).alias(c)
+    primed = choices.select(
+        "part", F.concat(F.lit("material."), "part", F.lit(".primed")).alias("route"), null("pair_id"), F.col("candidates").cast("bigint").alias("rank"),
+        F.lit(PRIMED_CONFIDENCE).alias("confidence"), F.lit(0.0).alias("weight"), zero.alias("patches"), null("size_px"), zero.alias("rejections"),
+        zero.alias("acceptances"), F.col("primed_rejected").alias("rejected"), F.col("route").alias("_chosen"))
+    return own.unionByName(primed).withColumn("chosen", F.col("route") == F.col("_chosen")).drop("_chosen")
+
+
+def inspect_point(points: DataFrame, codes: DataFrame, dt: DataFrame, js: DataFrame, choices: DataFrame, mpp: float) -> DataFrame:
+    """points(placement_id, image_id, y, x): part, kerb distance, junction, situation key and the library used there.
+
+    The choice depends on the part alone, so it is made once per part (`part_choices`) and looked up. Off the road all
+    columns but `on_road` are null; points outside the image have no row.
     """
     part = F.when(F.col("code") == 1, "junction").when(F.col("code") == 2, "edge").when(F.col("code") == 3, "open")
     d = points.join(codes, ["image_id", "y", "x"]).join(dt.select("image_id", "y", "x", "dist"), ["image_id", "y", "x"], "left").withColumn("part", part)
     j = js.select("image_id", F.col("jid").alias("junction_id"), "type")
-    one = index.sparkSession.range(1).select(F.lit(0).alias("ask_id"), F.lit(False).alias("primed_rejected"))
-    pick = choose_parts(index, one).select("part", "pair_id")
-    d = d.join(j, ["image_id", "junction_id"], "left").join(F.broadcast(pick), "part", "left")
-    on = F.col("part").isNotNull()
+    # one row per part of the road
+    d = d.join(j, ["image_id", "junction_id"], "left").join(F.broadcast(choices.drop("primed_rejected")), "part", "left")
+    on, known = F.col("part").isNotNull(), (F.col("part") == "junction") & F.col("type").isNotNull()
     return d.select("placement_id", on.alias("on_road"), "part", F.when(on, F.round(F.coalesce("dist", F.lit(0.0)) * mpp, 2)).alias("edge_m"),
-                    F.when(F.col("part") == "junction", F.col("type")).alias("junction_type"), "pair_id")
+                    F.when(known, F.col("junction_id")).alias("junction_id"), F.when(known, F.col("type")).alias("junction_type"),
+                    *[c for c in choices.columns if c not in ("part", "primed_rejected")])

@@ -313,14 +313,44 @@ def snap_copies(spark, sf):
 
 
 # ------------------------------------------------------------------ inspection
-@query("inspect_point", sql("mask_px photo_px placements library_rows review_log", SQ.S_CODE + "," + BOTH + """,
-pk AS (SELECT part, arg_min(pair_id, rank) AS f FROM idx WHERE patches >= 6 AND cooldown = 0 GROUP BY 1), op AS (SELECT f FROM pk WHERE part='open'),
+CHOICE = """us AS (SELECT * FROM idx WHERE patches >= 6), pk AS (SELECT part, arg_min(pair_id, rank) FILTER (cooldown = 0) AS f, arg_min(pair_id, rank) AS fst, count(*) AS n, count(*) FILTER (cooldown > 0) AS sit FROM us GROUP BY 1),
+rj AS (SELECT p.part, EXISTS (SELECT 1 FROM review_log l WHERE l.part = p.part AND l.outcome = 'rejected' AND l.value > 100) AS pr FROM (VALUES ('open'), ('edge'), ('junction')) AS p(part)),
+op AS (SELECT coalesce(k.f, CASE WHEN r.pr THEN k.fst END) AS f FROM rj r LEFT JOIN pk k USING (part) WHERE r.part = 'open'),
+cq0 AS (SELECT r.part, r.pr, coalesce(u.pair_id, k.f, CASE WHEN r.pr THEN k.fst END) AS pair_id, u.pair_id IS NULL AND k.f IS NULL AND r.pr AS exhausted, coalesce(k.n, 0) AS n, coalesce(k.sit, 0) AS sit
+ FROM rj r LEFT JOIN pk k USING (part) LEFT JOIN us u ON u.part = r.part AND u.cooldown = 0 AND u.pair_id = (SELECT f FROM op)),
+choice AS (SELECT c.part, c.pr, 'material|junction=' || CASE WHEN c.part = 'junction' THEN 'y' ELSE 'n' END || '|part=' || c.part AS key, c.pair_id, 'material.' || c.part || coalesce('@' || CAST(c.pair_id AS VARCHAR), '.primed') AS route, c.exhausted,
+ CAST(CASE WHEN c.pair_id IS NULL THEN c.n + 1 ELSE u.rank END AS BIGINT) AS rank, CASE WHEN c.pair_id IS NULL THEN 5e-1 ELSE u.confidence END AS confidence, CAST(CASE WHEN c.pair_id IS NULL THEN 0 ELSE u.patches END AS BIGINT) AS patches, u.size_px,
+ c.n + 1 AS candidates, c.sit + CASE WHEN c.pr THEN 1 ELSE 0 END AS rejected FROM cq0 c LEFT JOIN us u ON u.part = c.part AND u.pair_id = c.pair_id)"""
+
+
+def choices(spark, sf):
+    def build():
+        log = X.review_log(spark, sf)
+        # reviews above this value stand for those of the primed library of the part
+        key = M.situation_key(F.lit("material"), {"part": ("text", F.col("part")), "junction": ("bool", F.col("part") == "junction")})
+        no = log.filter("outcome = 'rejected' and value > 100").select(key.alias("key"), F.concat(F.lit("material."), "part", F.lit(".primed")).alias("route"))
+        return RT.part_choices(index_now(spark, sf), no)
+    return stage(spark, sf, "choices", build)
+
+
+def index_now(spark, sf):
+    return stage(spark, sf, "index_now", lambda: M.replay_index(X.library_rows(spark, sf), X.review_log(spark, sf)))
+
+
+@query("inspect_point", sql("mask_px photo_px placements library_rows review_log", SQ.S_CODE + "," + BOTH + "," + CHOICE + """,
 ipt AS (SELECT p.placement_id, p.image_id, CAST(p.cy AS INTEGER) AS y, CAST(p.cx AS INTEGER) AS x FROM placements p),
 hz AS (SELECT t.placement_id, t.image_id, t.y, t.x, c.junction_id, CASE c.code WHEN 1 THEN 'junction' WHEN 2 THEN 'edge' WHEN 3 THEN 'open' END AS part, d.dist FROM ipt t JOIN code c USING (image_id, y, x) LEFT JOIN dt d USING (image_id, y, x))
-SELECT h.placement_id, h.part IS NOT NULL AS on_road, h.part, CASE WHEN h.part IS NOT NULL THEN round(coalesce(h.dist, 0e0)*25e-2, 2) END AS edge_m, CASE WHEN h.part='junction' THEN j.type END AS junction_type,
- CASE WHEN h.part IS NOT NULL THEN coalesce(u.pair_id, k.f) END AS pair_id FROM hz h LEFT JOIN tj j ON j.image_id=h.image_id AND j.jid=h.junction_id LEFT JOIN pk k ON k.part=h.part LEFT JOIN idx u ON u.part=h.part AND u.pair_id=(SELECT f FROM op) AND u.patches >= 6 AND u.cooldown = 0""", recursive=True))
+SELECT h.placement_id, h.part IS NOT NULL AS on_road, h.part, CASE WHEN h.part IS NOT NULL THEN round(coalesce(h.dist, 0e0)*25e-2, 2) END AS edge_m, CASE WHEN h.part='junction' AND j.type IS NOT NULL THEN h.junction_id END AS junction_id,
+ CASE WHEN h.part='junction' THEN j.type END AS junction_type, c.key, c.pair_id, c.route, c.exhausted, c.rank, c.confidence, c.patches, c.size_px, c.candidates, c.rejected
+ FROM hz h LEFT JOIN tj j ON j.image_id=h.image_id AND j.jid=h.junction_id LEFT JOIN choice c ON c.part=h.part""", recursive=True))
 def inspect_point(spark, sf):
     pts = X.placements(spark, sf).select("placement_id", "image_id", F.col("cy").cast("int").alias("y"), F.col("cx").cast("int").alias("x"))
-    idx = materialize(M.replay_index(X.library_rows(spark, sf), X.review_log(spark, sf)))
-    return RT.inspect_point(pts, SQ.codes(spark, sf), NQ.dt(spark, sf), SQ.numbered(spark, sf), idx, 0.25).select(
-        "placement_id", "on_road", "part", "edge_m", "junction_type", "pair_id")
+    return RT.inspect_point(pts, SQ.codes(spark, sf), NQ.dt(spark, sf), SQ.numbered(spark, sf), choices(spark, sf), 0.25)
+
+
+@query("inspect_candidates", sql("library_rows review_log", BOTH + "," + CHOICE + """
+SELECT u.part, 'material.' || u.part || '@' || CAST(u.pair_id AS VARCHAR) AS route, u.pair_id, CAST(u.rank AS BIGINT) AS rank, u.confidence, round(u.weight, 6) AS weight, CAST(u.patches AS BIGINT) AS patches, u.size_px, u.rejections, u.acceptances, u.cooldown > 0 AS rejected,
+ c.pair_id IS NOT NULL AND c.pair_id = u.pair_id AS chosen FROM us u JOIN choice c USING (part)
+UNION ALL SELECT part, 'material.' || part || '.primed', NULL, candidates, 5e-1, 0e0, 0, NULL, 0, 0, pr, pair_id IS NULL FROM choice"""))
+def inspect_candidates(spark, sf):
+    return RT.part_candidates(index_now(spark, sf), choices(spark, sf)).withColumn("weight", F.round("weight", 6))
