@@ -363,6 +363,9 @@ TILE_DEFAULTS = {"photo_width_m": 2.0, "tile_m": 4.0, "px": 1024.0, "variants":
 CONCRETE = {"tone": 165.0, "ratio": 0.6}
 
 
+TILE_PARTS = ("open", "edge", "junction", "sidewalk")
+
+
 def tile_settings(saved: DataFrame, asked: DataFrame) -> DataFrame:
     """One value per (set_id, name): what was asked for, else what was saved last, else the default."""
     base = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.lit(v).alias("d")) for k, v in TILE_DEFAULTS.items()]))
@@ -384,11 +387,26 @@ def tile_set(index: DataFrame, measured: DataFrame, variants: int = 3, prime_ton
     base = F.coalesce("open_contrast", "edge_contrast", "junction_contrast")
     tone = F.coalesce("open_tone", F.lit(prime_tone).cast("double"))
     rows = [F.struct(F.lit(p).alias("part"), tone.alias("tone"), F.coalesce(F.col(f"{p}_contrast") / base, F.lit(1.0)).alias("ratio"),
-                     F.coalesce(F.col(f"{p}_tone"), F.lit(prime_tone).cast("double")).alias("part_tone")) for p in ("open", "edge", "junction")]
+                     F.coalesce(F.col(f"{p}_tone"), F.lit(prime_tone).cast("double")).alias("part_tone")) for p in TILE_PARTS[:3]]
     rows.append(F.struct(F.lit("sidewalk").alias("part"), F.lit(CONCRETE["tone"]).alias("tone"), F.lit(CONCRETE["ratio"]).alias("ratio"), F.lit(CONCRETE["tone"]).alias("part_tone")))
     return s.select(F.explode(F.array(*rows)).alias("t")).select("t.*", F.explode(F.sequence(F.lit(1), F.lit(variants))).alias("variant"))
 
 
+def tile_scores(settings: DataFrame, tiles: DataFrame, size: int) -> DataFrame:
+    """Seam and noticeability of each tile brought to the tone and contrast of each part.
+
+    settings(part, tone, ratio) has one row per part, as `tile_set` gives them; tiles(variant, y, x, r, g, b) are square and
+    calmed. Parts without settings have no row.
+    """
+    each = tiles.withColumn("part", F.explode(F.array(*[F.lit(p) for p in TILE_PARTS]))).join(
+        F.broadcast(settings.select("part", "tone", "ratio").distinct()), "part")
+    each = each.withColumn(IMG, F.concat_ws("/", "part", F.col("variant").cast("string")))
+    names = each.select(IMG, "part", "variant", "tone", "ratio").distinct()
+    toned = retone_tile(each, F.col("ratio"), F.col("tone"))
+    luma = materialize(toned.select(IMG, "y", "x", ((F.col("r") + F.col("g") + F.col("b")) / 3.0).alias("v")))
+    return names.join(seam_score(luma), IMG).join(noticeability(luma, size), IMG).drop(IMG)
+
+
 def lag_repeat_check(prof: DataFrame, key: str, tile_lag: int, shares=(0.8, 0.85, 1.15, 1.2)) -> DataFrame:
     """prof(key, seq, v): similarity one tile apart minus the mean similarity at nearby distances.
 

@@ -227,8 +227,11 @@ def luma(spark, sf):
     return calm(spark, sf).select("image_id", "y", "x", ((F.col("r") + F.col("g") + F.col("b")) / 3.0).alias("v"))
 
 
-@query("seam_score", sql("mask_px photo_px", LUMA + """, dd AS (SELECT image_id, avg(abs(v - px)) AS dx, avg(abs(v - py)) AS dy FROM (SELECT *, lag(v) OVER (PARTITION BY image_id, y ORDER BY x) AS px, lag(v) OVER (PARTITION BY image_id, x ORDER BY y) AS py FROM lu) GROUP BY 1),
-ax AS (SELECT a.image_id, avg(abs(a.v-b.v)) AS c FROM lu a JOIN lu b ON a.image_id=b.image_id AND a.y=b.y AND a.x=0 AND b.x=31 GROUP BY 1), ay AS (SELECT a.image_id, avg(abs(a.v-b.v)) AS c FROM lu a JOIN lu b ON a.image_id=b.image_id AND a.x=b.x AND a.y=0 AND b.y=31 GROUP BY 1)
+SEAM = """dd AS (SELECT image_id, avg(abs(v - px)) AS dx, avg(abs(v - py)) AS dy FROM (SELECT *, lag(v) OVER (PARTITION BY image_id, y ORDER BY x) AS px, lag(v) OVER (PARTITION BY image_id, x ORDER BY y) AS py FROM lu) GROUP BY 1),
+ax AS (SELECT a.image_id, avg(abs(a.v-b.v)) AS c FROM lu a JOIN lu b ON a.image_id=b.image_id AND a.y=b.y AND a.x=0 AND b.x=31 GROUP BY 1), ay AS (SELECT a.image_id, avg(abs(a.v-b.v)) AS c FROM lu a JOIN lu b ON a.image_id=b.image_id AND a.x=b.x AND a.y=0 AND b.y=31 GROUP BY 1)"""
+
+
+@query("seam_score", sql("mask_px photo_px", LUMA + "," + SEAM + """
 SELECT d.image_id, round((ax.c+ay.c)/2/greatest((dx+dy)/2, 1e-6), 6) AS seam FROM dd d JOIN ax USING (image_id) JOIN ay USING (image_id)"""))
 def seam_score(spark, sf):
     return S.seam_score(luma(spark, sf)).select("image_id", *R("seam"))
@@ -268,9 +271,32 @@ v AS (SELECT (SELECT mean FROM tp WHERE part='open') AS ot, coalesce((SELECT lc
 r AS (SELECT tp.part, v.ot AS tone, coalesce(tp.lc/v.base, 1e0) AS ratio, tp.mean AS part_tone FROM tp CROSS JOIN v UNION ALL SELECT 'sidewalk', 165e0, 6e-1, 165e0)
 SELECT part, tone, round(ratio, 6) AS ratio, part_tone, CAST(n.n AS INTEGER) AS variant FROM r CROSS JOIN range(1, 4) AS n(n)"""))
 def tile_set(spark, sf):
+    return part_tiles(spark, sf, 3).select("part", "tone", *R("ratio"), "part_tone", "variant")
+
+
+def part_tiles(spark, sf, variants):
     lib = X.library_rows(spark, sf)
     m = lib.select("part", "pair_id", (F.col("size_px") * 2.0 + 80).alias("mean"), F.when(F.col("pair_id") % 5 == 0, None).otherwise(F.col("patches") / 100.0 + 1).alias("local_contrast"))
-    return S.tile_set(M.replay_index(lib, X.review_log(spark, sf)), m, 3).select("part", "tone", *R("ratio"), "part_tone", "variant")
+    return S.tile_set(M.replay_index(lib, X.review_log(spark, sf)), m, variants)
+
+
+_RETONED = lambda c: f"least(255, greatest(0, m.{c} - coalesce((m.r+m.g+m.b)/3 - s.tone, 0) + (c.{c}-m.{c})*least(2e0, greatest(4e-1, s.ratio)))) AS {c}"
+
+
+@query("tile_scores", sql("mask_px photo_px library_rows review_log", CALM + "," + BOTH + f""",
+sms AS (SELECT part, pair_id, 80 + size_px*2e0 AS mean, CASE WHEN pair_id % 5 = 0 THEN NULL ELSE 1 + patches/1e2 END AS lc FROM library_rows), stp AS (SELECT i.part, m.mean, m.lc FROM idx i JOIN sms m USING (part, pair_id) WHERE i.rank = 1),
+sv AS (SELECT (SELECT mean FROM stp WHERE part='open') AS ot, coalesce((SELECT lc FROM stp WHERE part='open'), (SELECT lc FROM stp WHERE part='edge'), (SELECT lc FROM stp WHERE part='junction')) AS base),
+st AS (SELECT stp.part, sv.ot AS tone, coalesce(stp.lc/sv.base, 1e0) AS ratio FROM stp CROSS JOIN sv UNION ALL SELECT 'sidewalk', 165e0, 6e-1),
+cmn AS (SELECT image_id, avg(r) AS r, avg(g) AS g, avg(b) AS b FROM calm GROUP BY 1),
+rt AS (SELECT s.part || '/' || CAST(c.image_id AS VARCHAR) AS image_id, c.y, c.x, {_RETONED('r')}, {_RETONED('g')}, {_RETONED('b')} FROM calm c JOIN cmn m USING (image_id) CROSS JOIN st s),
+lu AS (SELECT image_id, y, x, (r+g+b)/3 AS v FROM rt), {{SEAM}}, """ .replace("{SEAM}", SEAM) + blur_sql("nm", "lu", ["v"], 32 / 40, "wrap", 32) + "," + blur_sql("nv", "lu", ["v"], 1.5, "wrap", 32) + """,
+nt AS (SELECT l.image_id, stddev_pop(m.v)/greatest(stddev_pop(l.v - f.v), 1e-6) AS n FROM lu l JOIN nm m USING (image_id, y, x) JOIN nv f USING (image_id, y, x) GROUP BY 1)
+SELECT s.part, CAST(split_part(d.image_id, '/', 2) AS BIGINT) AS variant, s.tone, round(s.ratio, 6) AS ratio, round((ax.c+ay.c)/2/greatest((dx+dy)/2, 1e-6), 6) AS seam, round(n.n, 6) AS noticeability
+ FROM dd d JOIN ax USING (image_id) JOIN ay USING (image_id) JOIN nt n USING (image_id) JOIN st s ON s.part = split_part(d.image_id, '/', 1)"""))
+def tile_scores(spark, sf):
+    # a tile set's variants are the tiles made from the photos of the table
+    tiles = calm(spark, sf).withColumnRenamed("image_id", "variant")
+    return S.tile_scores(part_tiles(spark, sf, 1), tiles, 32).select("part", "variant", "tone", *R("ratio", "seam", "noticeability"))
 
 
 @query("tile_settings", sql("review_log", """
