@@ -15,14 +15,17 @@
 
 from __future__ import annotations
 
-import re
+import itertools
+import operator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from roadframe.llm.common import written
-from roadframe.llm.neardup import WordHash, _mix, _odd_numbers, runs
+from roadframe.llm.neardup import _mix, _odd_numbers, runs
+from roadframe.llm.words import text_bytes, word_hashes, word_places
 
 K, WINDOW = 5, 6
 MIN_WORDS, MIN_IDENTITY = 45, 0.8
@@ -34,43 +37,61 @@ AGAIN = 3
 STEPS += tuple((x, x) for x in range(4, 9))
 #: Words on either side of a seed that its bitmaps hold.
 BESIDE = 16
+#: Words of a document beyond its chains that go to the home; and how far ahead of its place an extension reads.
+MARGIN, LOOK = 64, 12
+COUNTS = ("start", "end", "home_start", "home_end", "char_start", "char_end", "n_words")
+
+def slices(batches, *texts: int, size: int = 1 << 21):
+    """Slices of batches with some `size` bytes in the given columns, or one row."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        sizes = sum(pc.fill_null(pc.binary_length(b.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in texts)
+        cut = np.flatnonzero(np.diff(np.cumsum(sizes + 1) // size)) + 1
+        for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), b.num_rows]):
+            yield b.slice(lo, hi - lo)
 
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-
-
-def word_ids(text: str | None, hashes: WordHash) -> np.ndarray:
-    w = (text or "").encode().lower().split()
-    return np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w))
 
+def seeds_of(ids: np.ndarray, first: np.ndarray, k: int, window: int) -> tuple[np.ndarray, ...]:
+    """(text, word position, value, words to the left, to the right) of the seeds of texts whose words start at `first`.
 
-def seeds_of(ids: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(values, word positions): the smallest k-mer of every window, at every position it has; a shorter text is
-    one window."""
-    n = len(ids) - k + 1
-    if n <= 0:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    A seed is the smallest k-mer of a window, at every position it has; a shorter text is one window. The words beside it
+    are 64-bit bitmaps of BESIDE words before and after.
+    """
+    n, texts = np.diff(first), len(first) - 1
+    gap = max(BESIDE, k + window)  # words of nothing before, between and behind the texts
+    base = first[:-1] + gap * np.arange(1, texts + 1)
+    place = np.arange(len(ids)) + np.repeat(base - first[:-1], n)
+    total = len(ids) + gap * (texts + 1)
+    spread, whole = np.zeros(total, np.uint64), np.zeros(total, bool)
+    spread[place], whole[place] = ids, True
     factor = _odd_numbers(k, 29)
-    values = np.zeros(n, np.uint64)
+    values = np.zeros(total, np.uint64)
     for j in range(k):
-        values += ids[j:n + j] * factor[j]
+        values[:total - j] += spread[j:] * factor[j]
     values = _mix(values)
-    if n <= window:
-        at = np.array([int(np.argmin(values))])
-    else:
-        windows = np.lib.stride_tricks.sliding_window_view(values, window)
-        at = np.unique(windows.argmin(axis=1) + np.arange(n - window + 1))
-    return values[at], at
-
-
-def beside(ids: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit bitmaps of the BESIDE words before and after the k-mers at `at`."""
-    bits = np.zeros(len(ids) + 2 * BESIDE, np.uint64)
-    bits[BESIDE:len(ids) + BESIDE] = np.uint64(1) << (ids >> np.uint64(58))
-    n = 1
-    while n < BESIDE:
-        bits[:-n] |= bits[n:].copy()
-        n *= 2
-    return bits[at], bits[at + k + BESIDE]
+    whole[:total - k + 1] &= whole[k - 1:]
+    values[~whole] = np.iinfo(np.uint64).max
+    least, step = values.copy(), np.zeros(total, np.int64)
+    for j in range(1, window):
+        less = values[j:] < least[:total - j]
+        np.copyto(least[:total - j], values[j:], where=less)
+        step[:total - j][less] = j
+    opens = whole.copy()  # of the windows: those that end in the text, and the first
+    opens[1:] &= ~whole[:-1]
+    opens[:total - window + 1] |= whole[:total - window + 1] & whole[window - 1:]
+    at = np.flatnonzero(opens)
+    chosen = np.zeros(total, bool)
+    chosen[at + step[at]] = True
+    at = np.flatnonzero(chosen)
+    bits = np.zeros(total, np.uint64)
+    bits[place] = np.uint64(1) << (ids >> np.uint64(58))
+    m = 1
+    while m < BESIDE:
+        bits[:-m] |= bits[m:].copy()
+        m *= 2
+    text = np.searchsorted(base, at, side="right") - 1
+    return text, at - base[text], values[at], bits[at - BESIDE], bits[at + k]
 
 
 def agree(left, right, home_left, home_right):
@@ -88,20 +109,13 @@ def seeds(docs: DataFrame, k: int, window: int, id_col: str, text_col: str) -> D
                            T.StructField("left", T.LongType()), T.StructField("right", T.LongType())])
 
     def run(batches):
-        hashes = WordHash()
-        for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                b = whole.slice(start, 1000)
-                found = []
-                for t in b.column(1).to_pylist():
-                    ids = word_ids(t, hashes)
-                    values, at = seeds_of(ids, k, window)
-                    found.append((values, at, *beside(ids, at, k)))
-                row = np.repeat(np.arange(b.num_rows), [len(f[0]) for f in found])
-                values, at, left, right = (np.concatenate(c) for c in zip(*found))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(values.view(np.int64)), b.column(0).take(pa.array(row)), pa.array(at.astype(np.int32)),
-                     pa.array(left.view(np.int64)), pa.array(right.view(np.int64))], names=schema.names)
+        for b in slices(batches, 1):
+            raw, offsets = text_bytes(b.column(1))
+            starts, ends, first = word_places(raw, offsets)
+            row, at, values, left, right = seeds_of(word_hashes(raw, starts, ends), first, k, window)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(values.view(np.int64)), b.column(0).take(pa.array(row)), pa.array(at.astype(np.int32)),
+                 pa.array(left.view(np.int64)), pa.array(right.view(np.int64))], names=schema.names)
 
     return docs.filter(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(run, schema)
 
@@ -124,8 +138,25 @@ def before_beside(seed: np.ndarray, side: np.ndarray) -> np.ndarray:
     return out
 
 
+def by_document(t: pa.Table) -> pa.Table:
+    """Rows sorted by seed, sorted by seed, doc_id and pos: few seeds stand more than once."""
+    seed = t.column(0).to_numpy()
+    same = seed[1:] == seed[:-1]
+    several = np.flatnonzero(np.r_[False, same] | np.r_[same, False])
+    if not len(several):
+        return t
+    some = t.select(t.column_names[:3]).take(pa.array(several))
+    if pa.types.is_integer(some.schema.types[1]):
+        order = np.lexsort([c.to_numpy() for c in some.columns[::-1]])
+    else:
+        order = pc.sort_indices(some, sort_keys=[(c, "ascending") for c in some.column_names]).to_numpy()
+    rows = np.arange(len(seed))
+    rows[several] = several[order]
+    return t.take(pa.array(rows)).combine_chunks()
+
+
 def seed_runs(batches):
-    """(table, first, last): whole runs of seeds of sorted batches; the run of the last seed comes alone."""
+    """(table, first, last): whole runs of seeds of batches sorted by them; the run of the last seed comes alone."""
     held: list[pa.RecordBatch] = []
     first = True
     for batch in batches:
@@ -138,10 +169,10 @@ def seed_runs(batches):
             continue
         ready = [*held, batch.slice(0, cut)] if cut else held
         held = [batch.slice(cut)]
-        yield pa.Table.from_batches(ready).combine_chunks(), first, False
+        yield by_document(pa.Table.from_batches(ready).combine_chunks()), first, False
         first = False
     if held:
-        yield pa.Table.from_batches(held).combine_chunks(), first, True
+        yield by_document(pa.Table.from_batches(held).combine_chunks()), first, True
 
 
 def matches(spread: DataFrame, id_type) -> DataFrame:
@@ -206,8 +237,8 @@ def matches(spread: DataFrame, id_type) -> DataFrame:
                     c = np.flatnonzero(last)
                     yield rows(kind, t, c, c)
 
-    ranged = spread.repartitionByRange("seed", "doc_id").sortWithinPartitions("seed", "doc_id", "pos")
-    found = written(ranged.mapInArrow(run, schema))
+    ranged = spread.repartitionByRange("seed", "doc_id").sortWithinPartitions("seed")  # one number: Spark's radix sort
+    found = written(ranged.mapInArrow(run, schema), free=True)
     over = W.partitionBy("seed").orderBy("doc_id", "pos")
     low, high = (F.struct(*[F.col(f"{p}{f.name}").alias(f.name) for f in here]) for p in ("", "home_"))
     edges = found.filter(F.col("kind") == EDGE).select("seed", "part", F.first(low).over(over).alias("_first"), F.lag(high).over(over).alias("_last"))
@@ -235,45 +266,74 @@ def matches(spread: DataFrame, id_type) -> DataFrame:
 def chains_of(pos: np.ndarray, home: np.ndarray, k: int, gap_cost: float, max_gap: int) -> list[list[int]]:
     """Best chains of matches, as lists of indices; matches are sorted by (pos, home) and each is used once at most."""
     order = np.unique(home)
-    rank = np.searchsorted(order, home) + 1
+    ranks, pos, home = (np.searchsorted(order, home) + 1).tolist(), pos.tolist(), home.tolist()
     size = len(order)
     tree = [(-np.inf, -1)] * (size + 1)  # Fenwick tree: best (score + cost of its place, match) up to a rank
-    score, back = np.zeros(len(pos)), np.full(len(pos), -1)
-    i = 0
-    while i < len(pos):
-        j = i
-        while j < len(pos) and pos[j] == pos[i]:
-            place = gap_cost * (int(pos[j]) + int(home[j]))
-            best, r = (-np.inf, -1), int(rank[j]) - 1
+    score, back = [float(k)] * len(pos), [-1] * len(pos)
+    reach, i, n = max_gap + k, 0, len(pos)
+    while i < n:
+        j, here = i, pos[i]
+        while j < n and pos[j] == here:
+            best, prev, r = -np.inf, -1, ranks[j] - 1
             while r > 0:
-                if tree[r][0] > best[0]:
-                    best = tree[r]
+                entry = tree[r]
+                if entry[0] > best:
+                    best, prev = entry
                 r -= r & -r
-            score[j] = k
-            prev = best[1]
-            if prev >= 0 and best[0] - place > 0 and pos[j] - pos[prev] <= max_gap + k and home[j] - home[prev] <= max_gap + k:
-                score[j] += best[0] - place - max(0, k - min(int(pos[j] - pos[prev]), int(home[j] - home[prev])))
-                back[j] = prev
+            if prev >= 0:
+                gain = best - gap_cost * (here + home[j])
+                if gain > 0 and here - pos[prev] <= reach and home[j] - home[prev] <= reach:
+                    score[j] += gain - max(0, k - min(here - pos[prev], home[j] - home[prev]))
+                    back[j] = prev
             j += 1
         for x in range(i, j):  # matches at one position cannot follow each other
-            entry, r = (score[x] + gap_cost * (int(pos[x]) + int(home[x])), x), int(rank[x])
+            entry, r = (score[x] + gap_cost * (here + home[x]), x), ranks[x]
             while r <= size:
                 if entry[0] > tree[r][0]:
                     tree[r] = entry
                 r += r & -r
         i = j
-    used, out = np.zeros(len(pos), bool), []
-    for x in np.argsort(-score, kind="stable"):
+    used, out = [False] * n, []
+    for x in np.argsort(-np.array(score), kind="stable").tolist():
         chain = []
         while x >= 0 and not used[x]:
             used[x] = True
-            chain.append(int(x))
+            chain.append(x)
             x = back[x]
         if chain:
             out.append(chain[::-1])
     return out
 
 
+def pair_runs(batches, size: int = 1 << 16):
+    """(table, starts): whole runs of rows with the same first two columns, many in one table, and where each starts."""
+    held, n, full = [], 0, size
+
+    def cut(tables):
+        t = pa.Table.from_batches(tables).combine_chunks()
+        new = np.ones(t.num_rows, bool)
+        new[1:] = False
+        for c in t.columns[:2]:
+            new[1:] |= pc.not_equal(c.slice(1), c.slice(0, t.num_rows - 1)).to_numpy()
+        return t, np.flatnonzero(new)
+
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n < full:
+            continue
+        t, starts = cut(held)
+        last = int(starts[-1])
+        if last:
+            yield t.slice(0, last), starts[:-1]
+        held, n = t.slice(last).to_batches(), t.num_rows - last
+        full = max(size, 2 * n)
+    if held:
+        yield cut(held)
+
+
 def chains(found: DataFrame, k: int, gap_cost: float, max_gap: int, id_type) -> DataFrame:
     """doc_id, home, pos, home_pos, sizes (arrays): the chains between a document and a home, one after another, best
     first, and how many seeds each has. Of chains of one seed, those whose neighbours agree."""
@@ -282,20 +342,26 @@ def chains(found: DataFrame, k: int, gap_cost: float, max_gap: int, id_type) ->
 
     def run(batches):
         held: list = []
-        for t in runs(batches, 2):
-            pos, home, near = t.column(2).to_numpy(), t.column(3).to_numpy(), t.column(4).to_numpy()
-            if len(pos) > 1:
-                one = np.r_[True, (pos[1:] != pos[:-1]) | (home[1:] != home[:-1])]
-                pos, home, near = pos[one], home[one], near[one]
-                kept = [c for c in chains_of(pos, home, k, gap_cost, max_gap) if len(c) > 1 or near[c[0]]]
-            else:
-                kept = [[0]] if near[0] else []
-            if kept:
-                every = np.concatenate(kept)
-                held.append((t.column(0)[0].as_py(), t.column(1)[0].as_py(), pos[every], home[every], [len(c) for c in kept]))
-            if len(held) > 2000:
-                yield _rows(held, schema)
-                held = []
+        for t, starts in pair_runs(batches):
+            every_pos, every_home, every_near = (t.column(c).to_numpy() for c in (2, 3, 4))
+            ends = np.r_[starts[1:], t.num_rows]
+            some = (ends > starts + 1) | every_near[starts]  # a lone match goes on if the words beside it agree
+            starts, ends = starts[some], ends[some]
+            for doc, other, lo, hi in zip(t.column(0).take(pa.array(starts)).to_pylist(), t.column(1).take(pa.array(starts)).to_pylist(), starts.tolist(), ends.tolist()):
+                pos, home, near = every_pos[lo:hi], every_home[lo:hi], every_near[lo:hi]
+                if hi == lo + 1:
+                    held.append((doc, other, pos, home, [1]))
+                else:
+                    one = np.ones(len(pos), bool)
+                    one[1:] = (pos[1:] != pos[:-1]) | (home[1:] != home[:-1])
+                    pos, home, near = pos[one], home[one], near[one]
+                    kept = [c for c in chains_of(pos, home, k, gap_cost, max_gap) if len(c) > 1 or near[c[0]]]
+                    if kept:
+                        every = list(itertools.chain.from_iterable(kept))
+                        held.append((doc, other, pos[every], home[every], [len(c) for c in kept]))
+                if len(held) > 2000:
+                    yield _rows(held, schema)
+                    held = []
         if held:
             yield _rows(held, schema)
 
@@ -308,40 +374,45 @@ def _rows(held: list, schema: T.StructType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(zip(*held), schema)], names=schema.names)
 
 
-def edit_matches(a: np.ndarray, b: np.ndarray) -> int:
+def edit_matches(a: list, b: list) -> int:
     """Equal words in the best alignment of two short stretches."""
+    if not a or not b:
+        return 0
     if len(a) == len(b):
-        same = int((a == b).sum())
+        same = sum(map(operator.eq, a, b))
         if same >= len(a) - 1:
             return same
-    best = np.zeros(len(b) + 1, np.int64)
+    best = [0] * (len(b) + 1)
     for x in a:
-        best[1:] = np.maximum.accumulate(np.maximum(best[1:], best[:-1] + (b == x)))
-    return int(best[-1])
+        before = 0
+        for j, y in enumerate(b, 1):
+            above = best[j]
+            best[j] = max(above, best[j - 1], before + (x == y))
+            before = above
+    return best[-1]
 
 
-def extend(a: np.ndarray, b: np.ndarray, shift: int | None = None) -> list[tuple[int, int, int]]:
-    """[(words of a, words of b, equal words)]: stretches by which two texts go on alike from their starts.
+def extend(a: list, b: list, i: int = 0, j: int = 0, shift: int | None = None) -> list[tuple[int, int, int]]:
+    """[(words of a, words of b, equal words)]: stretches by which two texts go on alike from words i and j.
 
     Runs of equal words are followed; after a difference the nearest small step to AGAIN equal words goes on. In one
-    text `shift` is how far a is from b, and no step may bring them together.
+    text, with a from word `shift` on, no step may bring the two together.
     """
-    i = j = 0
+    na, nb = len(a), len(b)
     out = []
     while True:
-        n, run = min(len(a) - i, len(b) - j), 0
-        while run < n:  # most runs end soon
-            differ = np.flatnonzero(a[i + run:i + min(n, run + 256)] != b[j + run:j + min(n, run + 256)])
-            if len(differ):
-                run += int(differ[0])
-                break
-            run = min(n, run + 256)
+        n, run = min(na - i, nb - j), 0
+        while run < n and a[i + run] == b[j + run]:
+            run += 1
+            if run % 64 == 0:  # most runs end soon
+                while run + 64 <= n and a[i + run:i + run + 64] == b[j + run:j + run + 64]:
+                    run += 64
         if run:
             out.append((run, run, run))
         i, j = i + run, j + run
-        x_, y_ = a[i:i + 12].tolist(), b[j:j + 12].tolist()
+        most_x, most_y = na - i - AGAIN, nb - j - AGAIN
         for x, y in STEPS:
-            if len(x_) - x >= AGAIN and len(y_) - y >= AGAIN and x_[x:x + AGAIN] == y_[y:y + AGAIN] and (shift is None or shift + i + x - j - y > 0):
+            if x <= most_x and y <= most_y and a[i + x] == b[j + y] and a[i + x:i + x + AGAIN] == b[j + y:j + y + AGAIN] and (shift is None or shift + i + x - j - y > 0):
                 out.append((x, y, edit_matches(a[i:i + x], b[j:j + y])))
                 i, j = i + x, j + y
                 break
@@ -349,10 +420,12 @@ def extend(a: np.ndarray, b: np.ndarray, shift: int | None = None) -> list[tuple
             return out
 
 
-def stretches(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
+def stretches(a: list, b: list) -> list[tuple[int, int, int]]:
     """What lies between two seeds: what goes on from the first, a gap, and what leads to the second."""
-    if not len(a) or not len(b):
-        return [(len(a), len(b), 0)] if len(a) or len(b) else []
+    if not a or not b:
+        return [(len(a), len(b), 0)] if a or b else []
+    if a == b:
+        return [(len(a), len(a), len(a))]
     head = extend(a, b)
     i, j = sum(x for x, _, _ in head), sum(y for _, y, _ in head)
     tail = extend(a[i:][::-1], b[j:][::-1])[::-1]
@@ -361,12 +434,13 @@ def stretches(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
     return head + gap + tail
 
 
-def align(a: np.ndarray, b: np.ndarray, pos, home_pos, k: int, same_text: bool = False) -> tuple[int, int, list[tuple[int, int, int]]]:
-    """(start, home start, stretches) of a chain, aligned between its seeds and extended at both ends."""
+def align(a: list, b: list, back_a: list, back_b: list, pos, home_pos, k: int, same_text: bool = False, offset: int = 0) -> tuple[int, int, list[tuple[int, int, int]]]:
+    """(start, home start, stretches) of a chain, aligned between its seeds and extended at both ends. back_a, back_b: the
+    words from the last to the first. a starts at word `offset` of its text; places in it count from there."""
     i, j = pos[0], home_pos[0]
-    before = extend(a[:i][::-1], b[:j][::-1])
+    before = extend(back_a, back_b, max(0, len(a) - i), max(0, len(b) - j))
     if same_text:  # read backwards, a step of the home's words more brings the two together
-        before = _apart(before, i - j)
+        before = _apart(before, i + offset - j)
     start, home_start = i - sum(x for x, _, _ in before), j - sum(y for _, y, _ in before)
     out, at, to = before[::-1], i, j
     for p, h in zip(pos, home_pos):
@@ -377,9 +451,9 @@ def align(a: np.ndarray, b: np.ndarray, pos, home_pos, k: int, same_text: bool =
             out.append((p + k - at, h + k - to, edit_matches(a[at:p + k], b[to:h + k])))
         else:
             out += stretches(a[at:p], b[to:h])
-            out.append((k, k, int((a[p:p + k] == b[h:h + k]).sum()) if len(a) >= p + k and len(b) >= h + k else 0))
+            out.append((k, k, sum(map(operator.eq, a[p:p + k], b[h:h + k])) if len(a) >= p + k and len(b) >= h + k else 0))
         at, to = p + k, h + k
-    return start, home_start, out + extend(a[at:], b[to:], at - to if same_text else None)
+    return start, home_start, out + extend(a, b, at, to, offset if same_text else None)
 
 
 def _apart(found: list[tuple[int, int, int]], shift: int) -> list[tuple[int, int, int]]:
@@ -393,7 +467,7 @@ def _apart(found: list[tuple[int, int, int]], shift: int) -> list[tuple[int, int
 def pieces(found: list[tuple[int, int, int]], min_words: int, min_identity: float) -> list[tuple[int, int]]:
     """Ranges of stretches that are passages: all, or else the longest that are similar enough, then the longest of what
     is left on either side. Weak ends are trimmed while enough words are left."""
-    if not found:
+    if sum(f[0] for f in found) < min_words:
         return []
     x, y, same = np.array(found).T
     own = np.r_[0, np.cumsum(x)]
@@ -435,16 +509,23 @@ def pieces(found: list[tuple[int, int, int]], min_words: int, min_identity: floa
     return sorted(out)
 
 
-def passages_of(a: np.ndarray, b: np.ndarray, pos, home_pos, sizes, k: int, min_words: int, min_identity: float, same_text: bool = False) -> list[tuple[int, int, int, int, float]]:
-    """(start, end, home start, home end, identity) of the passages of two texts; a chain inside one found is not repeated."""
-    out, n = [], 0
+def passages_of(a: list, b: list, pos, home_pos, sizes, k: int, min_words: int, min_identity: float, same_text: bool = False,
+                offset: int = 0, low: int = 0, high: int | None = None) -> list[tuple[int, int, int, int, float]] | None:
+    """(start, end, home start, home end, identity) of the passages of two texts; a chain inside one found is not repeated.
+
+    a may be a stretch of its text from word `offset` on, in which places count from its own start. None if an alignment
+    came below word `low` or above `high`, where words that are not in the stretch might count.
+    """
+    out, n, back_a, back_b = [], 0, a[::-1], b[::-1]
     for size in sizes:
         p, h = pos[n:n + size], home_pos[n:n + size]
         n += size
         if any(s <= p[0] and p[-1] + k <= e and hs <= h[0] and h[-1] + k <= he for s, e, hs, he, _ in out):
             continue
-        start, home_start, found = align(a, b, p, h, k, same_text)
-        x, y, same = ([0, *np.cumsum([f[c] for f in found]).tolist()] for c in range(3))
+        start, home_start, found = align(a, b, back_a, back_b, p, h, k, same_text, offset)
+        x, y, same = ([0, *itertools.accumulate(f[c] for f in found)] for c in range(3))
+        if start < low or high is not None and start + x[-1] > high:
+            return None
         for lo, hi in pieces(found, min_words, min_identity):
             span = (start + x[lo], start + x[hi], home_start + y[lo], home_start + y[hi])
             if not any(s <= span[0] and span[1] <= e and hs <= span[2] and span[3] <= he for s, e, hs, he, _ in out):
@@ -452,6 +533,86 @@ def passages_of(a: np.ndarray, b: np.ndarray, pos, home_pos, sizes, k: int, min_
     return out
 
 
+def distinct_neighbours(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The values without those that equal the one before, and the place of each row's value among them."""
+    new = np.ones(len(column), bool)
+    new[1:] = pc.fill_null(pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)), True).to_numpy(zero_copy_only=False)
+    return column.take(pa.array(np.flatnonzero(new))), np.cumsum(new) - 1
+
+
+def stretch_rows(own: DataFrame, k: int, margin: int | None) -> DataFrame:
+    """doc_id, home, pos, home_pos, sizes, _from, _rest, _before, _own of chains with their text (`_own`): the words from
+    `margin` before the first seed to `margin` after the last, or all. _from and _rest: words left out on either side,
+    _before: code points before the stretch."""
+    ints = [T.StructField(c, T.IntegerType()) for c in ("_from", "_rest", "_before")]
+    schema = T.StructType([*[own.schema[c] for c in ("doc_id", "home", "pos", "home_pos", "sizes")], *ints, T.StructField("_own", T.StringType())])
+
+    def run(batches):
+        for b in slices(batches, 5):
+            texts, which = distinct_neighbours(b.column(5))
+            raw, offsets = text_bytes(texts)
+            starts, ends, first = word_places(raw, offsets)
+            words = np.diff(first)[which]
+            pos = b.column(2)
+            row_starts = np.r_[0, np.cumsum(pc.list_value_length(pos).to_numpy())][:-1]
+            places = pos.flatten().to_numpy()
+            lo, hi = np.zeros(b.num_rows, np.int64), words.copy()
+            if margin is not None:
+                low, high = np.minimum.reduceat(places, row_starts) - margin, np.maximum.reduceat(places, row_starts) + k + margin
+                inside = high - margin <= words  # else the seeds are those of another row with this id
+                lo[inside], hi[inside] = np.maximum(low, 0)[inside], np.minimum(high, words)[inside]
+            start, end = offsets[which].copy(), offsets[which + 1].copy()
+            some = lo < hi
+            at = first[which]
+            start[some], end[some] = starts[(at + lo)[some]], ends[(at + hi - 1)[some]]
+            points = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)]
+            cut = pa.array([raw[x:y].tobytes() for x, y in zip(start.tolist(), end.tolist())], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], *[pa.array(c.astype(np.int32)) for c in (lo, words - hi, points[start] - points[offsets[which]])], cut], names=schema.names)
+
+    return own.select("doc_id", "home", "pos", "home_pos", "sizes", "_own").mapInArrow(run, schema)
+
+
+def aligned(both: DataFrame, k: int, min_words: int, min_identity: float, id_type) -> DataFrame:
+    """Passages of stretches (see stretch_rows) with the home's text, `_text`; where a stretch was too short, the chains."""
+    counts = [T.StructField(c, T.LongType()) for c in COUNTS]
+    ints = T.ArrayType(T.IntegerType())
+    chain = [T.StructField(c, ints) for c in ("pos", "home_pos", "sizes")]
+    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("home_id", id_type), *counts, T.StructField("identity", T.DoubleType()), *chain])
+
+    def run(batches):
+        for b in slices(batches, 8, 9):
+            own, whole = text_bytes(b.column(8)), distinct_neighbours(b.column(9))
+            starts, ends, first = word_places(*own)
+            ids = word_hashes(own[0], starts, ends)
+            raw, offsets = text_bytes(whole[0])
+            places = word_places(raw, offsets)
+            home_ids, home_first, told, there = word_hashes(raw, *places[:2]), places[2], -1, []
+            points = np.r_[0, np.cumsum((own[0] & 0xC0) != 0x80)]
+            held = []
+            docs, homes = b.column(0).to_pylist(), b.column(1).to_pylist()
+            pos, home_pos, sizes, before, rest, chars = (b.column(c).to_pylist() for c in range(2, 8))
+            for n, h in enumerate(whole[1].tolist()):
+                x, y = int(first[n]), int(first[n + 1])
+                if h != told:
+                    told, there = h, home_ids[home_first[h]:home_first[h + 1]].tolist()
+                a, out = ids[x:y].tolist(), before[n]
+                here = [p - out for p in pos[n]] if out else pos[n]
+                found = passages_of(a, there, here, home_pos[n], sizes[n], k, min_words, min_identity, docs[n] == homes[n],
+                                    out, LOOK if out else 0, y - x - LOOK if rest[n] else None)
+                if found is None:
+                    held.append((docs[n], homes[n], *[None] * 8, pos[n], home_pos[n], sizes[n]))
+                    continue
+                for s, e, hs, he, identity in found:
+                    if s < 0 or e > y - x:  # seeds of another row with this id
+                        continue
+                    origin = points[own[1][n]] - chars[n]
+                    held.append((docs[n], homes[n], s + out, e + out, hs, he, int(points[starts[x + s]] - origin), int(points[ends[x + e - 1]] - origin), e - s, identity, None, None, None))
+            if held:
+                yield _rows(held, schema)
+
+    return both.select("doc_id", "home", "pos", "home_pos", "sizes", "_from", "_rest", "_before", "_own", "_text").mapInArrow(run, schema)
+
+
 def uncovered(found: DataFrame, least: int) -> DataFrame:
     """Without the passages that add fewer than `least` words to those of the document with smaller homes."""
     def run(batches):
@@ -480,28 +641,13 @@ def repeated_passages(docs: DataFrame, k: int = K, window: int = WINDOW, min_wor
     id_type = docs.schema[id_col].dataType
     linked = chains(matches(seeds(docs, k, window, id_col, text_col), id_type), k, gap_cost, max_gap, id_type)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    own = linked.join(texts, linked["doc_id"] == texts["_id"]).select("doc_id", "home", "pos", "home_pos", "sizes", F.col("_text").alias("_own"))
-    both = own.join(texts, own["home"] == texts["_id"]).select("doc_id", "home", "pos", "home_pos", "sizes", "_own", "_text")
-    counts = [T.StructField(c, T.LongType()) for c in ("start", "end", "home_start", "home_end", "char_start", "char_end", "n_words")]
-    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("home_id", id_type), *counts, T.StructField("identity", T.DoubleType())])
 
-    def run(batches):
-        hashes = WordHash()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                b = whole.slice(at, 200)
-                held = []
-                for doc, home, pos, home_pos, sizes, own_text, home_text in zip(*[c.to_pylist() for c in b.columns]):
-                    found = passages_of(word_ids(own_text, hashes), word_ids(home_text, hashes), pos, home_pos, sizes, k, min_words, min_identity, doc == home)
-                    if not found:
-                        continue
-                    raw = own_text.encode()
-                    spans = [m.span() for m in _WORD.finditer(raw)]
-                    for s, e, hs, he, identity in found:
-                        first = len(raw[:spans[s][0]].decode())
-                        last = first + len(raw[spans[s][0]:spans[e - 1][1]].decode())
-                        held.append((doc, home, s, e, hs, he, first, last, e - s, identity))
-                if held:
-                    yield _rows(held, schema)
+    def found(chained: DataFrame, margin: int | None) -> DataFrame:
+        own = chained.join(texts, chained["doc_id"] == texts["_id"]).select("doc_id", "home", "pos", "home_pos", "sizes", F.col("_text").alias("_own"))
+        cut = stretch_rows(own, k, margin)
+        return aligned(cut.join(texts, cut["home"] == texts["_id"]), k, min_words, min_identity, id_type)
 
-    return uncovered(both.mapInArrow(run, schema), k)
+    near = written(found(linked, MARGIN), free=True)
+    passages = ["doc_id", "home_id", *COUNTS, "identity"]
+    far = near.filter("pos IS NOT NULL").select("doc_id", F.col("home_id").alias("home"), "pos", "home_pos", "sizes").distinct()
+    return uncovered(near.filter("pos IS NULL").select(*passages).unionByName(found(far, None).select(*passages)), k)
