@@ -15,6 +15,7 @@
 
 from __future__ import annotations
 
+import bisect
 import itertools
 import operator
 
@@ -39,6 +40,8 @@ STEPS += tuple((x, x) for x in range(4, 9))
 BESIDE = 16
 #: Words of a document beyond its chains that go to the home; and how far ahead of its place an extension reads.
 MARGIN, LOOK = 64, 12
+#: Seeds that a task holds before it packs them by range, and of a range, some 36 bytes each.
+BLOCK_ROWS, SEEDS_A_RANGE = 400_000, 1_000_000
 COUNTS = ("start", "end", "home_start", "home_end", "char_start", "char_end", "n_words")
 
 def slices(batches, *texts: int, size: int = 1 << 21):
@@ -103,21 +106,104 @@ def agree(left, right, home_left, home_right):
     return out
 
 
-def seeds(docs: DataFrame, k: int, window: int, id_col: str, text_col: str) -> DataFrame:
-    """seed, doc_id, pos, left, right."""
-    schema = T.StructType([T.StructField("seed", T.LongType()), T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("pos", T.IntegerType()),
-                           T.StructField("left", T.LongType()), T.StructField("right", T.LongType())])
+def seed_fields(id_type) -> T.StructType:
+    return T.StructType([T.StructField("seed", T.LongType()), T.StructField("doc_id", id_type), T.StructField("pos", T.IntegerType()),
+                         T.StructField("left", T.LongType()), T.StructField("right", T.LongType())])
+
+
+def seed_batches(batches, k: int, window: int, id_type):
+    """Batches of seed, doc_id, pos, left, right for batches of documents (id, text)."""
+    schema = arrow_seeds(id_type)
+    for b in slices(batches, 1):
+        raw, offsets = text_bytes(b.column(1))
+        starts, ends, first = word_places(raw, offsets)
+        row, at, values, left, right = seeds_of(word_hashes(raw, starts, ends), first, k, window)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(values.view(np.int64)), b.column(0).take(pa.array(row)).cast(schema.types[1]), pa.array(at.astype(np.int32)),
+             pa.array(left.view(np.int64)), pa.array(right.view(np.int64))], schema=schema)
+
+
+def arrow_seeds(id_type) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return pa.schema([(f.name, to_arrow_type(f.dataType)) for f in seed_fields(id_type)])
+
+
+def seed_borders(docs: DataFrame, k: int, window: int) -> list[tuple[int, object]]:
+    """(seed, doc_id or None): where the ranges of sorted seeds start. docs(id, text).
+
+    Seeds are hashes, so even steps deal them out; those that would fill half a range by themselves are cut between
+    documents. Every sixteenth document tells how many seeds there are and which are frequent: this sets how even the
+    ranges are, and nothing else.
+    """
+    id_col, id_type = docs.columns[0], docs.schema[0].dataType
+    schema = T.StructType(seed_fields(id_type).fields[:2])
 
     def run(batches):
-        for b in slices(batches, 1):
-            raw, offsets = text_bytes(b.column(1))
-            starts, ends, first = word_places(raw, offsets)
-            row, at, values, left, right = seeds_of(word_hashes(raw, starts, ends), first, k, window)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(values.view(np.int64)), b.column(0).take(pa.array(row)), pa.array(at.astype(np.int32)),
-                 pa.array(left.view(np.int64)), pa.array(right.view(np.int64))], names=schema.names)
+        for b in seed_batches(batches, k, window, id_type):
+            yield b.select([0, 1])
+
+    some = written(docs.filter(F.pmod(F.xxhash64(id_col), F.lit(16)) == 0).mapInArrow(run, schema))
+    n = some.count()
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 16 * n // SEEDS_A_RANGE)
+    share = max(64, n // parts // 2)
+    often = some.groupBy("seed").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= share).select("seed")
+    at = F.row_number().over(W.partitionBy("seed").orderBy("doc_id"))
+    cuts: dict = {}
+    for seed, doc in some.join(F.broadcast(often), "seed").withColumn("_at", at).filter(F.col("_at") % share == 0).select("seed", "doc_id").collect():
+        cuts.setdefault(seed, set()).add(doc)
+    step = (1 << 64) // parts
+    steps = {step * i - (1 << 63) for i in range(1, parts)}
+    return [c for seed in sorted(steps | set(cuts)) for c in [(seed, None), *[(seed, d) for d in sorted(cuts.get(seed, ()))]]]
+
+
+def part_of(seed: np.ndarray, doc: pa.Array, borders: list, border_seeds: np.ndarray) -> np.ndarray:
+    """The range of each occurrence: how many borders it has reached."""
+    low = np.searchsorted(border_seeds, seed, side="left")
+    out = np.searchsorted(border_seeds, seed, side="right")
+    on = np.flatnonzero(out > low)  # of a seed that has borders
+    on = on[np.argsort(low[on], kind="stable")]
+    for rows in np.split(on, np.flatnonzero(np.diff(low[on])) + 1):
+        ids = [d for _, d in borders[low[rows[0]] + 1:out[rows[0]]]] if len(rows) else []
+        if not ids:
+            continue
+        own = doc.take(pa.array(rows))
+        if pa.types.is_integer(doc.type):
+            reached = np.searchsorted(np.array(ids), own.to_numpy(), side="right")
+        else:
+            reached = np.array([bisect.bisect_right(ids, d) for d in own.to_pylist()])
+        out[rows] -= len(ids) - reached
+    return out
 
-    return docs.filter(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(run, schema)
+
+def dealt_seeds(docs: DataFrame, borders: list, k: int, window: int) -> DataFrame:
+    """part, rows: the seeds of many documents as one block per range, so that Spark moves blocks and not rows."""
+    id_type = docs.schema[0].dataType
+
+    def run(batches):
+        border_seeds = np.array([s for s, _ in borders], np.int64)
+
+        def blocks(held):
+            t = pa.Table.from_batches(held).combine_chunks()
+            part = part_of(t.column(0).to_numpy(), t.column(1).combine_chunks(), borders, border_seeds)
+            order = np.argsort(part, kind="stable")
+            t, part = t.take(pa.array(order)).combine_chunks().to_batches()[0], part[order]
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+            packed = [t.slice(lo, hi - lo).serialize().to_pybytes() for lo, hi in zip(cuts, cuts[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]].astype(np.int32)), pa.array(packed, pa.binary())], names=["part", "rows"])
+
+        held, n = [], 0
+        for b in seed_batches(batches, k, window, id_type):
+            if b.num_rows:
+                held.append(b)
+                n += b.num_rows
+            if n >= BLOCK_ROWS:
+                yield blocks(held)
+                held, n = [], 0
+        if held:
+            yield blocks(held)
+
+    return docs.mapInArrow(run, T.StructType([T.StructField("part", T.IntegerType()), T.StructField("rows", T.BinaryType())]))
 
 
 #: Kinds of rows that a sorted range gives: a match, an occurrence whose seed may stand in a range before, the first and
@@ -138,44 +224,27 @@ def before_beside(seed: np.ndarray, side: np.ndarray) -> np.ndarray:
     return out
 
 
-def by_document(t: pa.Table) -> pa.Table:
-    """Rows sorted by seed, sorted by seed, doc_id and pos: few seeds stand more than once."""
-    seed = t.column(0).to_numpy()
-    same = seed[1:] == seed[:-1]
-    several = np.flatnonzero(np.r_[False, same] | np.r_[same, False])
-    if not len(several):
-        return t
-    some = t.select(t.column_names[:3]).take(pa.array(several))
-    if pa.types.is_integer(some.schema.types[1]):
-        order = np.lexsort([c.to_numpy() for c in some.columns[::-1]])
+def seed_runs(batches, schema: pa.Schema, size: int = 1 << 17):
+    """(table, first, last): whole runs of the seeds of a range, sorted by seed, doc_id and pos, from its blocks."""
+    held = [pa.ipc.read_record_batch(pa.py_buffer(x), schema) for b in batches for x in b.column(1).to_pylist()]
+    if not held:
+        return
+    t = pa.Table.from_batches(held).combine_chunks()
+    del held
+    if pa.types.is_integer(schema.types[1]):
+        order = np.lexsort([t.column(c).to_numpy() for c in (2, 1, 0)])
     else:
-        order = pc.sort_indices(some, sort_keys=[(c, "ascending") for c in some.column_names]).to_numpy()
-    rows = np.arange(len(seed))
-    rows[several] = several[order]
-    return t.take(pa.array(rows)).combine_chunks()
+        order = pc.sort_indices(t, sort_keys=[(c, "ascending") for c in schema.names[:3]]).to_numpy()
+    seed, at = t.column(0).to_numpy()[order], 0
+    while at < len(seed):
+        end = len(seed) if at + size >= len(seed) else int(np.searchsorted(seed, seed[at + size]))
+        if end <= at:  # one seed has them all
+            end = int(np.searchsorted(seed, seed[at], side="right"))
+        yield t.take(pa.array(order[at:end])).combine_chunks(), at == 0, end == len(seed)
+        at = end
 
 
-def seed_runs(batches):
-    """(table, first, last): whole runs of seeds of batches sorted by them; the run of the last seed comes alone."""
-    held: list[pa.RecordBatch] = []
-    first = True
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        seed = batch.column(0).to_numpy()
-        cut = int(np.searchsorted(seed, seed[-1]))
-        if cut == 0 and (not held or held[-1].column(0)[-1].as_py() == seed[-1]):
-            held.append(batch)
-            continue
-        ready = [*held, batch.slice(0, cut)] if cut else held
-        held = [batch.slice(cut)]
-        yield by_document(pa.Table.from_batches(ready).combine_chunks()), first, False
-        first = False
-    if held:
-        yield by_document(pa.Table.from_batches(held).combine_chunks()), first, True
-
-
-def matches(spread: DataFrame, id_type) -> DataFrame:
+def matches(docs: DataFrame, k: int, window: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, home, pos, home_pos, near: occurrences of seeds with those in the first and the previous document, the
     one before in the same document, and the ones before with the same words to the left and to the right.
     near: the words beside the seeds agree.
@@ -183,6 +252,8 @@ def matches(spread: DataFrame, id_type) -> DataFrame:
     The last two join the holders of one passage across documents that hold a part of it only. A task holds the
     occurrences of one seed in its range; a frequent seed takes many ranges.
     """
+    docs = docs.filter(F.col(id_col).isNotNull()).select(id_col, text_col)
+    id_type = docs.schema[id_col].dataType
     here = [T.StructField("doc_id", id_type), T.StructField("pos", T.IntegerType()), T.StructField("left", T.LongType()), T.StructField("right", T.LongType())]
     schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("seed", T.LongType()), *here,
                            *[T.StructField(f"home_{f.name}", f.dataType) for f in here], T.StructField("near", T.BooleanType()), T.StructField("head", T.BooleanType())])
@@ -203,7 +274,7 @@ def matches(spread: DataFrame, id_type) -> DataFrame:
                     *[side(c, b) for c in range(1, 5)], no if near is None else near, no if head is None else head]
             return pa.RecordBatch.from_arrays([(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c if isinstance(c, pa.Array) else pa.array(c)).cast(x) for c, x in zip(cols, types)], names=schema.names)
 
-        for t, opens, closes in seed_runs(batches):
+        for t, opens, closes in seed_runs(batches, arrow_seeds(id_type)):
             seed, doc = t.column(0).to_numpy(), t.column(1).to_numpy()
             n = len(seed)
             index = np.arange(n)
@@ -237,30 +308,49 @@ def matches(spread: DataFrame, id_type) -> DataFrame:
                     c = np.flatnonzero(last)
                     yield rows(kind, t, c, c)
 
-    ranged = spread.repartitionByRange("seed", "doc_id").sortWithinPartitions("seed")  # one number: Spark's radix sort
-    found = written(ranged.mapInArrow(run, schema), free=True)
-    over = W.partitionBy("seed").orderBy("doc_id", "pos")
-    low, high = (F.struct(*[F.col(f"{p}{f.name}").alias(f.name) for f in here]) for p in ("", "home_"))
-    edges = found.filter(F.col("kind") == EDGE).select("seed", "part", F.first(low).over(over).alias("_first"), F.lag(high).over(over).alias("_last"))
-    opened = found.filter(F.col("kind") == OPEN).select("seed", "part", "doc_id", "pos", "left", "right", "head").join(edges, ["seed", "part"])
-    opened = opened.select("doc_id", "pos", "left", "right", F.explode(F.array(F.col("_first"), F.when(F.col("head"), F.col("_last")))).alias("_home"))
+    borders = seed_borders(docs, k, window)
+    found = written(dealt_seeds(docs, borders, k, window).repartitionById(len(borders) + 1, "part").mapInArrow(run, schema), free=True)
+    # two rows a range at most: the first and the last occurrence of a seed in it
+    edges = found.filter(F.col("kind") == EDGE).select("seed", "part", *[f"{p}{f.name}" for p in ("", "home_") for f in here]).orderBy("seed", "part").collect()
+    before = {}  # the seed's first occurrence, and its last one in a range before
+    for n, e in enumerate(edges):
+        follows = n > 0 and edges[n - 1].seed == e.seed
+        before[e.seed, e.part] = (before[e.seed, edges[n - 1].part][0], tuple(edges[n - 1])[6:]) if follows else (tuple(e)[2:6], None)
+
+    def closed(batches):
+        for b in batches:
+            part = b.column(0).to_numpy()
+            for p in np.unique(part).tolist():
+                t = b.filter(pa.array(part == p))
+                first, last = before[t.column(1)[0].as_py(), p]
+                for home, rows in ((first, t), (last, t.filter(t.column(6)))):
+                    if home is None or not rows.num_rows:
+                        continue
+                    doc = pa.scalar(home[0], b.schema.types[2])
+                    rows = rows.filter(pc.or_(pc.greater(rows.column(2), doc), pc.and_(pc.equal(rows.column(2), doc), pc.greater(rows.column(3), home[1]))))
+                    n = rows.num_rows
+                    sides = [rows.column(c).to_numpy().view(np.uint64) for c in (4, 5)]
+                    near = agree(*sides, *[np.full(n, x, np.int64).view(np.uint64) for x in home[2:]])
+                    yield pa.RecordBatch.from_arrays([rows.column(2), pa.array([home[0]] * n, b.schema.types[2]), rows.column(3), pa.array(np.full(n, home[1], np.int32)), pa.array(near)],
+                                                     names=["doc_id", "home", "pos", "home_pos", "near"])
+
+    links = T.StructType([T.StructField("doc_id", id_type), T.StructField("home", id_type), T.StructField("pos", T.IntegerType()), T.StructField("home_pos", T.IntegerType()), T.StructField("near", T.BooleanType())])
+    opened = found.filter(F.col("kind") == OPEN).select("part", "seed", "doc_id", "pos", "left", "right", "head").mapInArrow(closed, links)
+    low = F.struct(*[f.name for f in here])
     # of the words on one side, a range has one first and one last occurrence
     is_left = F.col("kind").isin(HEADS[0], TAILS[0])
     ends = found.filter(F.col("kind").isin(*HEADS, *TAILS)).select(
         "seed", is_left.alias("_is_left"), F.when(is_left, F.col("left")).otherwise(F.col("right")).alias("_beside"), "part", F.col("kind").isin(*TAILS).alias("_tail"), *[f.name for f in here], low.alias("_own"))
     earlier = W.partitionBy("seed", "_is_left", "_beside").orderBy("part", "_tail").rowsBetween(W.unboundedPreceding, -1)
     carried = ends.withColumn("_home", F.last(F.when(F.col("_tail"), F.col("_own")), True).over(earlier)).filter("not _tail")
-    opened = opened.unionByName(carried.select("doc_id", "pos", "left", "right", "_home"))
 
     def side(c: str):
         x, y = F.col(c), F.col(f"_home.{c}")
         same = F.bit_count(x.bitwiseAND(y))
         return (same > 0) & (2 * same >= F.greatest(F.bit_count(x), F.bit_count(y)))
 
-    earlier_home = (F.col("_home.doc_id") < F.col("doc_id")) | ((F.col("_home.doc_id") == F.col("doc_id")) & (F.col("_home.pos") < F.col("pos")))
-    opened = opened.filter(earlier_home).select("doc_id", F.col("_home.doc_id").alias("home"), "pos", F.col("_home.pos").alias("home_pos"),
-                                                (side("left") | side("right")).alias("near"))
-    return found.filter(F.col("kind") == MATCH).select("doc_id", F.col("home_doc_id").alias("home"), "pos", "home_pos", "near").unionByName(opened)
+    carried = carried.filter("_home IS NOT NULL").select("doc_id", F.col("_home.doc_id").alias("home"), "pos", F.col("_home.pos").alias("home_pos"), (side("left") | side("right")).alias("near"))
+    return found.filter(F.col("kind") == MATCH).select("doc_id", F.col("home_doc_id").alias("home"), "pos", "home_pos", "near").unionByName(opened).unionByName(carried)
 
 
 def chains_of(pos: np.ndarray, home: np.ndarray, k: int, gap_cost: float, max_gap: int) -> list[list[int]]:
@@ -448,10 +538,13 @@ def align(a: list, b: list, back_a: list, back_b: list, pos, home_pos, k: int, s
             step = min(p + k - at, h + k - to)
             if step <= 0:
                 continue
-            out.append((p + k - at, h + k - to, edit_matches(a[at:p + k], b[to:h + k])))
+            x, y = a[at:p + k], b[to:h + k]
+            out.append((p + k - at, h + k - to, len(x) if x == y else edit_matches(x, y)))
         else:
-            out += stretches(a[at:p], b[to:h])
-            out.append((k, k, sum(map(operator.eq, a[p:p + k], b[h:h + k])) if len(a) >= p + k and len(b) >= h + k else 0))
+            if p > at or h > to:
+                out += stretches(a[at:p], b[to:h])
+            x, y = a[p:p + k], b[h:h + k]
+            out.append((k, k, 0 if len(x) < k or len(y) < k else k if x == y else sum(map(operator.eq, x, y))))
         at, to = p + k, h + k
     return start, home_start, out + extend(a, b, at, to, offset if same_text else None)
 
@@ -467,7 +560,7 @@ def _apart(found: list[tuple[int, int, int]], shift: int) -> list[tuple[int, int
 def pieces(found: list[tuple[int, int, int]], min_words: int, min_identity: float) -> list[tuple[int, int]]:
     """Ranges of stretches that are passages: all, or else the longest that are similar enough, then the longest of what
     is left on either side. Weak ends are trimmed while enough words are left."""
-    if sum(f[0] for f in found) < min_words:
+    if not found:
         return []
     x, y, same = np.array(found).T
     own = np.r_[0, np.cumsum(x)]
@@ -523,9 +616,12 @@ def passages_of(a: list, b: list, pos, home_pos, sizes, k: int, min_words: int,
         if any(s <= p[0] and p[-1] + k <= e and hs <= h[0] and h[-1] + k <= he for s, e, hs, he, _ in out):
             continue
         start, home_start, found = align(a, b, back_a, back_b, p, h, k, same_text, offset)
-        x, y, same = ([0, *itertools.accumulate(f[c] for f in found)] for c in range(3))
-        if start < low or high is not None and start + x[-1] > high:
+        words = sum(f[0] for f in found)
+        if start < low or high is not None and start + words > high:
             return None
+        if words < min_words:
+            continue
+        x, y, same = ([0, *itertools.accumulate(f[c] for f in found)] for c in range(3))
         for lo, hi in pieces(found, min_words, min_identity):
             span = (start + x[lo], start + x[hi], home_start + y[lo], home_start + y[hi])
             if not any(s <= span[0] and span[1] <= e and hs <= span[2] and span[3] <= he for s, e, hs, he, _ in out):
@@ -639,7 +735,7 @@ def repeated_passages(docs: DataFrame, k: int = K, window: int = WINDOW, min_wor
     compared with the homes of both. Other columns of `docs` are ignored, so their names cannot clash.
     """
     id_type = docs.schema[id_col].dataType
-    linked = chains(matches(seeds(docs, k, window, id_col, text_col), id_type), k, gap_cost, max_gap, id_type)
+    linked = chains(matches(docs, k, window, id_col, text_col), k, gap_cost, max_gap, id_type)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
 
     def found(chained: DataFrame, margin: int | None) -> DataFrame:
