@@ -41,7 +41,9 @@ BESIDE = 16
 #: Words of a document beyond its chains that go to the home; and how far ahead of its place an extension reads.
 MARGIN, LOOK = 64, 12
 #: Seeds that a task holds before it packs them by range, and of a range, some 36 bytes each.
-BLOCK_ROWS, SEEDS_A_RANGE = 400_000, 1_000_000
+BLOCK_ROWS, SEEDS_A_RANGE = 200_000, 500_000
+#: A frequent seed is cut into ranges of so many occurrences at least, in sixteenths.
+LEAST_CUT = 4096
 COUNTS = ("start", "end", "home_start", "home_end", "char_start", "char_end", "n_words")
 
 def slices(batches, *texts: int, size: int = 1 << 21):
@@ -146,7 +148,7 @@ def seed_borders(docs: DataFrame, k: int, window: int) -> list[tuple[int, object
     some = written(docs.filter(F.pmod(F.xxhash64(id_col), F.lit(16)) == 0).mapInArrow(run, schema))
     n = some.count()
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 16 * n // SEEDS_A_RANGE)
-    share = max(64, n // parts // 2)
+    share = max(LEAST_CUT, n // parts // 2)
     often = some.groupBy("seed").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= share).select("seed")
     at = F.row_number().over(W.partitionBy("seed").orderBy("doc_id"))
     cuts: dict = {}
@@ -224,11 +226,17 @@ def before_beside(seed: np.ndarray, side: np.ndarray) -> np.ndarray:
     return out
 
 
-def seed_runs(batches, schema: pa.Schema, size: int = 1 << 17):
-    """(table, first, last): whole runs of the seeds of a range, sorted by seed, doc_id and pos, from its blocks."""
-    held = [pa.ipc.read_record_batch(pa.py_buffer(x), schema) for b in batches for x in b.column(1).to_pylist()]
+def seed_runs(batches, schema: pa.Schema, borders: list, size: int = 1 << 17):
+    """(table, first, last): whole runs of the seeds of a range, sorted by seed, doc_id and pos, from its blocks. first,
+    last: the run of the first seed may go back into the range before, that of the last one on into the next."""
+    held, parts = [], set()
+    for b in batches:
+        parts |= set(b.column(0).to_pylist())
+        held += [pa.ipc.read_record_batch(pa.py_buffer(x), schema) for x in b.column(1).to_pylist()]
     if not held:
         return
+    opens = min(parts) > 0 and borders[min(parts) - 1][1] is not None
+    closes = max(parts) < len(borders) and borders[max(parts)][1] is not None
     t = pa.Table.from_batches(held).combine_chunks()
     del held
     if pa.types.is_integer(schema.types[1]):
@@ -240,7 +248,7 @@ def seed_runs(batches, schema: pa.Schema, size: int = 1 << 17):
         end = len(seed) if at + size >= len(seed) else int(np.searchsorted(seed, seed[at + size]))
         if end <= at:  # one seed has them all
             end = int(np.searchsorted(seed, seed[at], side="right"))
-        yield t.take(pa.array(order[at:end])).combine_chunks(), at == 0, end == len(seed)
+        yield t.take(pa.array(order[at:end])).combine_chunks(), opens and at == 0, closes and end == len(seed)
         at = end
 
 
@@ -254,6 +262,7 @@ def matches(docs: DataFrame, k: int, window: int, id_col: str, text_col: str) ->
     """
     docs = docs.filter(F.col(id_col).isNotNull()).select(id_col, text_col)
     id_type = docs.schema[id_col].dataType
+    borders = seed_borders(docs, k, window)
     here = [T.StructField("doc_id", id_type), T.StructField("pos", T.IntegerType()), T.StructField("left", T.LongType()), T.StructField("right", T.LongType())]
     schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("seed", T.LongType()), *here,
                            *[T.StructField(f"home_{f.name}", f.dataType) for f in here], T.StructField("near", T.BooleanType()), T.StructField("head", T.BooleanType())])
@@ -274,7 +283,7 @@ def matches(docs: DataFrame, k: int, window: int, id_col: str, text_col: str) ->
                     *[side(c, b) for c in range(1, 5)], no if near is None else near, no if head is None else head]
             return pa.RecordBatch.from_arrays([(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c if isinstance(c, pa.Array) else pa.array(c)).cast(x) for c, x in zip(cols, types)], names=schema.names)
 
-        for t, opens, closes in seed_runs(batches, arrow_seeds(id_type)):
+        for t, opens, closes in seed_runs(batches, arrow_seeds(id_type), borders):
             seed, doc = t.column(0).to_numpy(), t.column(1).to_numpy()
             n = len(seed)
             index = np.arange(n)
@@ -308,7 +317,6 @@ def matches(docs: DataFrame, k: int, window: int, id_col: str, text_col: str) ->
                     c = np.flatnonzero(last)
                     yield rows(kind, t, c, c)
 
-    borders = seed_borders(docs, k, window)
     found = written(dealt_seeds(docs, borders, k, window).repartitionById(len(borders) + 1, "part").mapInArrow(run, schema), free=True)
     # two rows a range at most: the first and the last occurrence of a seed in it
     edges = found.filter(F.col("kind") == EDGE).select("seed", "part", *[f"{p}{f.name}" for p in ("", "home_") for f in here]).orderBy("seed", "part").collect()

@@ -72,3 +72,22 @@ def test_shuffle_files_of_the_seeds_do_not_stay(spark):
     before = spark.conf.get(name, None)
     d = spark.range(1000).repartition(3)
     assert common.written(d, free=True).count() == 1000 and spark.conf.get(name, None) == before
+
+
+def test_seeds_of_most_documents_are_cut_into_ranges(spark, monkeypatch):
+    """A frequent seed takes many ranges; the matches across them are those of one range."""
+    rng = random.Random(5)
+    p = some(rng, 60)
+    rows = [(k, " ".join(some(rng, 30) + (p if k % 10 == 0 else p[:35] if k % 2 else p[25:]) + some(rng, 30))) for k in range(600)]
+    number, name = spark.createDataFrame(rows, TEXT), spark.createDataFrame([(f"d{k:04}", t) for k, t in rows], "doc_id string, text string")
+    found = {}
+    for kind, docs in (("number", number), ("name", name)):
+        for least, parts in ((4096, 4), (4, 40), (1, 300)):
+            monkeypatch.setattr(passages, "LEAST_CUT", least)
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            cuts = [c for c in passages.seed_borders(docs, passages.K, passages.WINDOW) if c[1] is not None]
+            assert bool(cuts) == (least < 4096)
+            found[kind, least] = sorted((int(str(r[0]).strip("d")), int(str(r[1]).strip("d")), *r[2:]) for r in passages.repeated_passages(docs).collect())
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert {r[0] for r in found["number", 4096]} == set(range(10, 600, 10))
+    assert all(f == found["number", 4096] for f in found.values())
