@@ -540,8 +540,10 @@ def align(a: list, b: list, back_a: list, back_b: list, pos, home_pos, k: int, s
     if same_text:  # read backwards, a step of the home's words more brings the two together
         before = _apart(before, i + offset - j)
     start, home_start = i - sum(x for x, _, _ in before), j - sum(y for _, y, _ in before)
-    out, at, to = before[::-1], i, j
-    for p, h in zip(pos, home_pos):
+    out, at, to, n = before[::-1], i, j, 0
+    while n < len(pos):
+        p, h = pos[n], home_pos[n]
+        n += 1
         if p < at or h < to:  # the seed overlaps the one before
             step = min(p + k - at, h + k - to)
             if step <= 0:
@@ -553,7 +555,16 @@ def align(a: list, b: list, back_a: list, back_b: list, pos, home_pos, k: int, s
                 out += stretches(a[at:p], b[to:h])
             x, y = a[p:p + k], b[h:h + k]
             out.append((k, k, 0 if len(x) < k or len(y) < k else k if x == y else sum(map(operator.eq, x, y))))
-        at, to = p + k, h + k
+        at, to, run = p + k, h + k, 0
+        while n < len(pos) and pos[n] - home_pos[n] == p - h:  # the next seeds in step, as long as all words are equal
+            end = pos[n] + k
+            x = a[at:end]
+            if len(x) < end - at or x != b[to:home_pos[n] + k]:
+                break
+            run += end - at
+            at, to, n = end, home_pos[n] + k, n + 1
+        if run:
+            out.append((run, run, run))
     return start, home_start, out + extend(a, b, at, to, offset if same_text else None)
 
 
