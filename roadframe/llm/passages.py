@@ -2,13 +2,15 @@
 
 1. Word k-mers are thinned by winnowing: the smallest hash of every window is a seed, so that any `k + window - 1` words
    that two documents share hold a shared seed. Each seed carries a bitmap of the words on either side.
-2. Seed occurrences are cut into sorted ranges; each is matched with the first document that holds the seed, with the
-   previous one, with the occurrence before it in its own document, and with those before it that have the same words to
-   the left or to the right. A seed that a third of all documents hold thus gives at most five matches per occurrence and
-   never a pair of every two. Runs that cross ranges are closed over one row per range and words beside.
+2. Seed occurrences go in blocks to ranges of seeds, where they are sorted; each is matched with the first document that
+   holds the seed, with the previous one, with the occurrence before it in its own document, and with those before it that
+   have the same words to the left or to the right. A seed that a third of all documents hold thus gives at most five
+   matches per occurrence and never a pair of every two. A seed too frequent for one range is cut between documents, and its matches across ranges
+   are closed over one row per range and words beside.
 3. The matches of two documents are chained in order: a Fenwick tree over the home's positions gives the best chain to
    go on from, with a cost for every word skipped. A lone seed goes on if the words beside it agree on one side.
-4. Chains are aligned on the words of both texts, between the seeds and beyond both ends. An alignment that is not
+4. Chains are aligned on the words of both texts, between the seeds and beyond both ends. The home gets the stretch around
+   a document's chains, and the whole text if an alignment comes to the end of that. An alignment that is not
    similar enough is cut into its longest stretches that are; those that are long enough are passages.
 5. Of the passages of a document, those that the ones with smaller homes cover are left out.
 """
